@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetward.llm import quality_rules
+from fleetward.llm import mixing, pii, quality_rules
 from fleetward.llm.common import table
 
 
+def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op9_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pii_disclosure": op5_pii_disclosure,
+    "op9_mix_systematic": op9_mix_systematic,
     "op10_quality_divergence": op10_quality_divergence,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_mix_systematic": mixing.ORACLE_SQL,
+}
