@@ -68,7 +68,7 @@ def _spans(kind: str, text: Column) -> Column:
     empty = F.array().cast("array<struct<s:int,e:int,x:string>>")
     found = F.zip_with(
         F.regexp_extract_all(text, pattern, F.lit(0)), gaps,
-        lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x).alias("n"), x.alias("x"), _valid(kind, x).alias("ok")),
+        lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x).alias("n"), x.alias("x"), (x.isNotNull() & _valid(kind, x)).alias("ok")),
     )
 
     def add(acc: Column, m: Column) -> Column:
@@ -113,7 +113,7 @@ def _neighbours(text: Column, start: Column, end: Column) -> Column:
     def add(acc: Column, m: Column) -> Column:
         s = acc["at"] + m["gap"]
         e = s + m["n"]
-        whole = ((s > start) | (start == 0)) & ((e < end) | (e == F.length(text))) & (m["n"] >= MIN_TERM)
+        whole = ((s > start) | (start == 0)) & ((e < end) | (e == F.length(text))) & (F.coalesce(m["n"], F.lit(0)) >= MIN_TERM)
         one = F.array(F.struct(F.lower(m["x"]).alias("term"), s.alias("s"), e.alias("e")))
         return F.struct((s + F.coalesce(m["n"], F.lit(0))).alias("at"), F.when(whole, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
