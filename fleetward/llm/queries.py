@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetward.llm import mixing, pii, quality_rules
+from fleetward.llm import decontaminate, mixing, pii, quality_rules
 from fleetward.llm.common import table
 
 
+def op3_decontaminate_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate_simhash": op3_decontaminate_simhash,
     "op5_pii_disclosure": op5_pii_disclosure,
     "op9_mix_systematic": op9_mix_systematic,
     "op10_quality_divergence": op10_quality_divergence,
