@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetward.llm import decontaminate, mixing, pii, quality_rules
+from fleetward.llm import decontaminate, mixing, pii, quality_rules, substring_dedup
 from fleetward.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_decontaminate_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -28,10 +32,12 @@ def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate_simhash": op3_decontaminate_simhash,
+    "op4_substring_rlz": op4_substring_rlz,
     "op5_pii_disclosure": op5_pii_disclosure,
     "op9_mix_systematic": op9_mix_systematic,
     "op10_quality_divergence": op10_quality_divergence,
 }
 ORACLES: dict[str, str] = {
+    "op4_substring_rlz": substring_dedup.ORACLE_SQL,
     "op9_mix_systematic": mixing.ORACLE_SQL,
 }
