@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetward.llm import decontaminate, mixing, pii, quality_rules, substring_dedup, suffix_dedup
+from fleetward.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, substring_dedup, suffix_dedup
 from fleetward.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("h1", "h2")
+
+
 def op7_suffix_hash_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate_simhash": op3_decontaminate_simhash,
     "op4_substring_rlz": op4_substring_rlz,
     "op5_pii_disclosure": op5_pii_disclosure,
+    "op6_jaccard_chosen_path": op6_jaccard_chosen_path,
     "op7_suffix_hash_sort": op7_suffix_hash_sort,
     "op9_mix_systematic": op9_mix_systematic,
     "op10_quality_divergence": op10_quality_divergence,
