@@ -33,6 +33,8 @@ REACH = 64
 #: Different surroundings in which a word must stand near an entity, and the share of the entity's information.
 MIN_SUPPORT = 3
 DISCLOSURE = 0.8
+#: Different surroundings for each text that has both: below, the texts are copies of each other.
+INDEPENDENT = 0.5
 MIN_TERM = 3
 _P = "__pi_"
 
@@ -121,9 +123,10 @@ def _neighbours(text: Column, start: Column, end: Column) -> Column:
 
 
 def _contexts(based: DataFrame) -> DataFrame:
-    """One row for each entity and different surroundings of each text: h1, h2, entity, around (hash), near."""
+    """One row for each entity in each text: h1, h2, entity, near."""
     p, col = _P, F.col
-    one = based.where(F.size(p + "base") > 0).select(p + "h1", p + "h2", p + "t", F.explode(p + "base").alias(p + "m"))
+    # Outer forms: inner ones would have Spark filter on an array's size, below the projections that build it.
+    one = based.select(p + "h1", p + "h2", p + "t", F.explode_outer(p + "base").alias(p + "m")).where(col(p + "m").isNotNull())
     m, t = col(p + "m"), col(p + "t")
     left = F.greatest(m["s"] - REACH, F.lit(0))
     right = F.least(m["e"] + REACH, F.length(t))
@@ -131,27 +134,35 @@ def _contexts(based: DataFrame) -> DataFrame:
         p + "h1", p + "h2", F.concat(m["kind"], F.lit(":"), F.lower(m["x"])).alias("entity"),
         F.concat(_neighbours(t, left, m["s"]), _neighbours(t, m["e"], right)).alias("near"),
     )
-    return one.withColumn("around", F.xxhash64(F.array_sort(F.transform("near", lambda x: x["term"]))))
+    return one
 
 
 def _disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """(entity, term): words whose knowledge gives an entity away, by counts over all documents."""
-    p = _P
+    p, col = _P, F.col
+    # All texts that differ count; the number is a single one.
+    n = float(max(docs.select(F.xxhash64(text_of()).alias("h")).distinct().count(), 1))
+
+    def told(holders: str) -> Column:
+        """Share of the entity's information, if the term stands in so many texts."""
+        share = col("n_e") / n
+        return F.log2(col("n_docs") / F.greatest(holders, "n_docs") / share) / F.greatest(-F.log2(share), F.lit(1e-9))
+
     entities = contexts.select("entity", p + "h1", p + "h2").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = contexts.select("entity", "around", F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
-    pairs = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_SUPPORT)
-    both = contexts.select("entity", p + "h1", p + "h2", F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
-    both = both.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_docs"))
-    wanted = stage(pairs.join(both, ["entity", "term"]).join(entities, "entity"), "pii-pairs")
+    terms = contexts.select("entity", p + "h1", p + "h2", F.array_distinct(F.transform("near", lambda x: x["term"])).alias("terms"))
+    near = terms.select("entity", p + "h1", p + "h2", "terms", F.explode("terms").alias("term"))
+    # The least hash of the other words: surroundings that are copied, with few changes, mostly have it in common.
+    around = F.array_min(F.transform("terms", lambda x: F.when(x != col("term"), F.xxhash64(x))))
+    both = near.groupBy("entity", "term").agg(F.count_distinct(around).alias("n_te"), F.count_distinct(p + "h1", p + "h2").alias("n_docs"))
+    support = both.where((col("n_te") >= MIN_SUPPORT) & (col("n_te") >= INDEPENDENT * col("n_docs")))
+    # A word stands in no fewer texts than it does near entities: what falls short by that number falls short.
+    at_least = near.select(p + "h1", p + "h2", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    wanted = support.join(entities, "entity").join(at_least, "term").where(told("n_near") >= DISCLOSURE)
+    wanted = stage(wanted, "pii-pairs")
     terms = small_side(stage(wanted.select("term").distinct(), "pii-terms"), 64)
-    words = docs.select(F.xxhash64(text_of()).alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit("\\p{L}++"), F.lit(0)))).alias("term"))
+    words = docs.select(F.xxhash64(text_of()).alias("h"), F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit("\\p{L}++"), F.lit(0)))).alias("term"))
     seen = words.join(terms, "term").groupBy("term").agg(F.count_distinct("h").alias("n_t"))
-    # All texts that differ count: the number is one row, joined below as a literal.
-    n = float(max(docs.select(F.xxhash64(text_of()).alias("h")).distinct().count(), 1))
-    given = F.col("n_docs") / F.greatest("n_t", "n_docs")
-    share = F.col("n_e") / n
-    told = F.log2(given / share) / F.greatest(-F.log2(share), F.lit(1e-9))
-    return wanted.join(seen, "term").where((told >= DISCLOSURE) & (given > share)).select("entity", "term")
+    return wanted.join(seen, "term").where(told("n_t") >= DISCLOSURE).select("entity", "term")
 
 
 def _term_spans(docs: DataFrame, based: DataFrame) -> DataFrame:
