@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetward.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, substring_dedup, suffix_dedup
+from fleetward.llm import decontaminate, jaccard_join, mixing, pairwise_quality, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
 from fleetward.llm.common import table
 
 
+def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +47,8 @@ def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_bradley_terry": op1_quality_bradley_terry,
+    "op2_toxicity_segments": op2_toxicity_segments,
     "op3_decontaminate_simhash": op3_decontaminate_simhash,
     "op4_substring_rlz": op4_substring_rlz,
     "op5_pii_disclosure": op5_pii_disclosure,
