@@ -118,15 +118,21 @@ def evidence(found: list[tuple[int, int, float]], n: int, lam: float, log_k: flo
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Logistic curve by Newton's method; more evidence (all features but the length) never lowers a score."""
     mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
-    c = np.zeros(z.shape[1])
-    for _ in range(80):
-        p = 1 / (1 + np.exp(-np.clip(z @ c, -30, 30)))
-        g = z.T @ (weight * (y - p)) - 1e-2 * c
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(c))
-        c = c + np.clip(np.linalg.solve(h, g), -1, 1)
-    return {"mean": mean, "sd": sd, "c": c}
+    use = np.ones(z.shape[1], dtype=bool)
+    while True:
+        c = np.zeros(z.shape[1])
+        for _ in range(80):
+            p = 1 / (1 + np.exp(-np.clip(z @ c, -30, 30)))
+            g = (z.T @ (weight * (y - p)) - 1e-2 * c)[use]
+            h = ((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(c)))[np.ix_(use, use)]
+            c[use] += np.clip(np.linalg.solve(h, g), -1, 1)
+        worst = int(np.argmin(c[: x.shape[1] - 1]))
+        if c[worst] >= 0:
+            return {"mean": mean, "sd": sd, "c": c}
+        use[worst] = False
 
 
 def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,10 +145,16 @@ def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"level": np.full(len(key), level), "cell": key >> 1, "y": key & 1, "n": n})
 
 
-def _tokens_of(model: dict, texts: list[str | None]) -> Iterator[np.ndarray]:
+def _tokens_of(model: dict, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Scores and word positions of each text; a word that is only said again at once adds nothing and is left out."""
     cells, size = token_cells(texts)
     scores = log_odds(cells, model["toxic"], model["every"], model["rate"]) - DRIFT
-    yield from np.split(scores, np.cumsum(size)[:-1]) if len(size) else ()
+    border = np.cumsum(size) - size
+    new = np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)] if len(cells) else np.empty(0, dtype=bool)
+    new[border[size > 0]] = True
+    for a, n in zip(border, size, strict=True):
+        at = np.flatnonzero(new[a : a + n])
+        yield scores[a + at], at
 
 
 def _calibration_rows(shared):
@@ -150,7 +162,7 @@ def _calibration_rows(shared):
         model = shared.value
         for b in batches:
             out = []
-            for y, s in zip(b["y"], _tokens_of(model, b["text"].tolist()), strict=True):
+            for y, (s, _) in zip(b["y"], _tokens_of(model, b["text"].tolist()), strict=True):
                 found = segments(s)
                 # A histogram of the tokens' scores is enough for lambda.
                 out.append((y, len(s), [x[2] for x in found], np.bincount(np.clip((s * 8).round().astype(int) + 160, 0, 320), minlength=321)))
@@ -202,10 +214,10 @@ def _scored_rows(shared, with_passages: bool):
                 yield b.drop(columns="text").assign(score=0.5, n_passages=0, **({"passages": [[] for _ in range(len(b))]} if with_passages else {}))
                 continue
             x, passages = [], []
-            for s in _tokens_of(model, b["text"].tolist()):
+            for s, at in _tokens_of(model, b["text"].tolist()):
                 f, own = evidence(segments(s), len(s), model["lam"], model["log_k"])
                 x.append(f)
-                passages.append(own)
+                passages.append([(int(at[a]), int(at[e - 1]) + 1, v) for a, e, v in own])
             curve = model["curve"]
             z = np.hstack([(np.array(x).reshape(len(b), -1) - curve["mean"]) / curve["sd"], np.ones((len(b), 1))]) if len(b) else np.empty((0, 5))
             out = b.drop(columns="text").assign(score=1 / (1 + np.exp(-np.clip(z @ curve["c"], -30, 30))), n_passages=[len(p) for p in passages])
