@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetward.llm import decontaminate, jaccard_join, mixing, pairwise_quality, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
+from fleetward.llm import decontaminate, html_text, jaccard_join, mixing, pairwise_quality, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
 from fleetward.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_suffix_hash_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
+def op8_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii_disclosure": op5_pii_disclosure,
     "op6_jaccard_chosen_path": op6_jaccard_chosen_path,
     "op7_suffix_hash_sort": op7_suffix_hash_sort,
+    "op8_html_tree_model": op8_html_tree_model,
     "op9_mix_systematic": op9_mix_systematic,
     "op10_quality_divergence": op10_quality_divergence,
 }
