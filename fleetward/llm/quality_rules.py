@@ -121,10 +121,12 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def references(measures: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Shares by language, summed over all documents. At most one row a language comes to the driver."""
     p = _P
-    sums = [F.sum(F.col(p + "classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
+    # A condition in the sums, not a filter: Spark would push that below the projections that build the arrays.
+    fit = lambda x: F.sum(F.when(~base_failed(), x))
+    sums = [fit(F.get(p + "classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
     width = max(len(x) for x in COMMON_WORDS.values()) + 1
-    sums += [F.sum(F.get(F.col(p + "common"), F.lit(i))).alias(f"w{i}") for i in range(width)]
-    rows = measures.where(F.col(p + "k").isNotNull() & ~base_failed()).groupBy(p + "k").agg(*sums).collect()
+    sums += [fit(F.get(p + "common", F.lit(i))).alias(f"w{i}") for i in range(width)]
+    rows = measures.groupBy(p + "k").agg(*sums).collect()
     out = {}
     for row in rows:
         classes = [row[f"c{i}"] or 0 for i in range(len(CLASSES))]
@@ -185,5 +187,5 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     refs = references(measured(docs.select("doc_id", "text")).select(p + "k", p + "classes", p + "common", *(p + x for x in MEASURES)))
     judged = with_verdict(measured(docs), refs)
     # The verdict passes a generator, below which Spark doesn't push the filter: its arrays are computed once.
-    held = judged.select(*(F.col(f"`{c}`") for c in docs.columns), F.inline(F.array(F.struct(F.col(p + "kept").alias(p + "keep")))))
+    held = judged.select(*(F.col(f"`{c}`") for c in docs.columns), F.inline_outer(F.array(F.struct(F.col(p + "kept").alias(p + "keep")))))
     return held.where(F.col(p + "keep")).drop(p + "keep")
