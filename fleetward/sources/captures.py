@@ -20,7 +20,7 @@ def typed_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     deals files out; captures are files of bounded size, one task each.
     """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").format("binaryFile").load(path)
-    body = files.select(F.col("path").alias("file"), F.split(F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\\r\\n", "\n"), "\n").alias("lines"))
+    body = files.select(F.col("path").alias("file"), F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\\r\\n", "\n"), "\n").alias("lines"))
     fields = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("[^"]*"|[^,]*)')), lambda x: F.regexp_replace(x, '^"|"$', ""))
     rows = body.select("file", fields(F.get("lines", F.lit(0))).alias("names"), F.posexplode("lines").alias("at", "line")).where((F.col("at") > 0) & (F.trim("line") != ""))
     cells = F.transform(fields(F.col("line")), lambda x: F.when(F.trim(x) == "", None).otherwise(x))
