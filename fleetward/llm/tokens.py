@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -79,3 +82,10 @@ def batch_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     at = np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum([len(x) for x in raw], out=at[1:])
     return np.frombuffer(b"".join(raw), dtype=np.uint8), at
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in smaller frames, so that what is worked out of each text is never held for a whole batch."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.iloc[a : a + rows].reset_index(drop=True)

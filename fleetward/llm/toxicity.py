@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fleetward.llm.common import held_out
 from fleetward.llm.labelled import class_counts, labelled_sample
-from fleetward.llm.tokens import _BYTE, mix, powers, word_bounds, word_hashes
+from fleetward.llm.tokens import _BYTE, mix, powers, slices, word_bounds, word_hashes
 
 PER_CLASS = 10_000
 #: Table sizes: words, first six bytes, first four bytes.
@@ -36,6 +36,8 @@ PRIOR = 4.0
 DRIFT = 1.0
 EXPECTED = 0.05
 THRESHOLD = 0.5
+#: Texts whose words are held at once.
+AT_ONCE = 200
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -137,7 +139,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.nda
 
 def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words counted by table, cell and label: at most a row for each cell and label of a batch."""
-    for b in batches:
+    for b in slices(batches, AT_ONCE):
         cells, size = token_cells(b["text"].tolist())
         y = np.repeat(b["y"].to_numpy(), size).astype(np.int64)
         for level in range(3):
@@ -160,7 +162,7 @@ def _tokens_of(model: dict, texts: list[str | None]) -> Iterator[tuple[np.ndarra
 def _calibration_rows(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for b in batches:
+        for b in slices(batches, AT_ONCE):
             out = []
             for y, (s, _) in zip(b["y"], _tokens_of(model, b["text"].tolist()), strict=True):
                 found = segments(s)
@@ -209,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict
 def _scored_rows(shared, with_passages: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for b in batches:
+        for b in slices(batches, AT_ONCE):
             if model is None:
                 yield b.drop(columns="text").assign(score=0.5, n_passages=0, **({"passages": [[] for _ in range(len(b))]} if with_passages else {}))
                 continue
