@@ -666,3 +666,105 @@ def out_of_order_steps(spark, sf_dir):
     w = Window.partitionBy("client_id").orderBy("ordinal")
     d = obs.withColumn("d", F.col("t") - F.lag("t").over(w))
     return d.groupBy("client_id").agg(F.count_if(F.col("d") < 0).alias("back"), F.count("d").alias("steps"))
+
+
+# --- views, contrasts, completion --------------------------------------------------------------------------------
+
+
+@query("d08_split_manifest", f"WITH {OBS}, {SPLIT} SELECT client_id, split, attack_subtype, min(ordinal) AS first, max(ordinal) AS last, count(*) AS n FROM sp GROUP BY ALL")
+def split_manifest(spark, sf_dir):
+    return split_scores(spark, sf_dir).groupBy("client_id", "split", "attack_subtype").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count("*").alias("n"))
+
+
+@query("j09_detected_intervals", TH + ", i AS (SELECT client_id, attack_subtype, min(t) AS a, max(t) AS b FROM obs WHERE label = 'attack' AND ordinal % 50 = 1 GROUP BY client_id, attack_subtype) SELECT client_id, attack_subtype FROM i WHERE EXISTS (SELECT 1 FROM obs o JOIN th USING (client_id) WHERE o.client_id = i.client_id AND o.score > th.threshold AND o.t BETWEEN i.a AND i.b)")
+def detected_intervals(spark, sf_dir):
+    z = timed_alerts(spark, sf_dir)
+    spans = z.where((F.col("label") == "attack") & (F.pmod("ordinal", F.lit(50)) == 1)).groupBy("client_id", "attack_subtype").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    alerts = z.where(F.col("score") > F.col("threshold")).select(F.col("client_id").alias("c"), F.col("t").alias("at"))
+    return spans.join(alerts, (F.col("client_id") == F.col("c")) & F.col("at").between(F.col("a"), F.col("b")), "left_semi").select("client_id", "attack_subtype")
+
+
+@query("a33_auroc_invariance", f"WITH {OBS} SELECT client_id, true AS same FROM obs GROUP BY 1")
+def auroc_invariance(spark, sf_dir):
+    """Ranking metrics don't depend on thresholds: the area is the same for scores on any rising scale."""
+    obs = observations(spark, sf_dir)
+    a = evaluate.auroc(obs, ["client_id"])
+    b = evaluate.auroc(obs.withColumn("score", F.col("score") * 2 + 1), ["client_id"]).withColumnRenamed("auroc", "other")
+    return a.join(b, "client_id").select("client_id", (F.abs(F.col("auroc") - F.col("other")) < 1e-12).alias("same"))
+
+
+@query("a39_seed_gain", SEEDS + ", g AS (SELECT a.seed, avg(a.macro_recall - b.macro_recall) AS gain FROM fu a JOIN fu b ON a.seed = b.seed AND a.budget_id = b.budget_id AND a.policy = 'equal_alert' AND b.policy = 'equal_rate' GROUP BY 1) SELECT seed, round(gain, 9) AS gain FROM g")
+def seed_gain(spark, sf_dir):
+    d = infer.paired_differences(seed_evaluations(spark, sf_dir), "equal_alert", "equal_rate", "macro_recall")
+    return rounded(d.groupBy("seed").agg(F.avg("diff").alias("gain")))
+
+
+def _contrast_sql(metric: str, tag: str) -> str:
+    return PAIRS.replace("macro_recall", metric).replace(", df AS", f", df{tag} AS").replace("FROM df ", f"FROM df{tag} ").replace(" sd AS", f" sd{tag} AS").replace("FROM sd,", f"FROM sd{tag},").replace(" sf AS", f" sf{tag} AS").replace("FROM sf ", f"FROM sf{tag} ").replace(" tp AS", f" tp{tag} AS")
+
+
+@query("o14_primary_inference", SEEDS + _contrast_sql("macro_recall", "1") + _contrast_sql("worst_recall", "2") + ", u AS (SELECT 'macro_recall' AS metric, * FROM tp1 UNION ALL SELECT 'worst_recall', * FROM tp2), r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY p, budget_id) AS k, count(*) OVER (PARTITION BY metric) AS m FROM u) SELECT metric, budget_id, round(mean, 9) AS mean, round(p, 9) AS p, round(max(least(1.0, (m - k + 1) * p)) OVER (PARTITION BY metric ORDER BY k), 9) AS adjusted, bool_and(p <= 0.05::DOUBLE / (m - k + 1)) OVER (PARTITION BY metric ORDER BY k) AS rejected FROM r")
+def primary_inference(spark, sf_dir):
+    evals = seed_evaluations(spark, sf_dir)
+    tests = None
+    for metric in ("macro_recall", "worst_recall"):
+        one = infer.sign_flip(infer.paired_differences(evals, "equal_alert", "equal_rate", metric)).withColumn("metric", F.lit(metric))
+        tests = one if tests is None else tests.unionByName(one)
+    return rounded(infer.holm(tests, family=["metric"]).select("metric", "budget_id", "mean", "p", "adjusted", "rejected"))
+
+
+def _view_sql(validation: str, test: str) -> str:
+    inner = SPLIT.replace("sp AS (", "sp0 AS (", 1)
+    return f"WITH {OBS}, {inner}, sp AS (SELECT * FROM sp0 WHERE NOT (split = 'attack_validation' AND attack_subtype <> '{validation}') AND NOT (split = 'attack_test' AND attack_subtype <> '{test}')), {CLIENTS}, {WEIGHT},\n{result_sql(EQUAL)},\n" + fleet_sql("", f"{BUDGET}::DOUBLE").rstrip()
+
+
+@query("o25_family_transfer", "SELECT * FROM (" + _view_sql("error", "purchase") + " SELECT 'error to purchase' AS direction, " + ", ".join(r9(c, c) for c in FLEET) + " FROM fu) UNION ALL SELECT * FROM (" + _view_sql("purchase", "error") + " SELECT 'purchase to error' AS direction, " + ", ".join(r9(c, c) for c in FLEET) + " FROM fu)")
+def family_transfer(spark, sf_dir):
+    s = split_scores(spark, sf_dir)
+    out = None
+    for a, b in (("error", "purchase"), ("purchase", "error")):
+        v = splits.restrict_subtypes(s, [a], [b])
+        one = evaluate.fleet(evaluate.per_client(equal_results(v)), benign_weights(v), BUDGET).select(F.lit(f"{a} to {b}").alias("direction"), *FLEET)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query("o22_conservative_allocation")
+def conservative_allocation(spark, sf_dir):
+    s = split_scores(spark, sf_dir)
+    util = scoring.conservative_utilities(frontier.confusions(s))
+    return policies.allocate(policies.problem_points(util, frontier.equal_weights(s.select("client_id").distinct()), BUDGET), "macro")
+
+
+@query("d10_completion", SEEDS + ", e AS (SELECT seed, budget_id, policy FROM (SELECT DISTINCT seed FROM obs), (VALUES ('b1'), ('b2'), ('b3'), ('b4')) b(budget_id), (VALUES ('equal_rate'), ('equal_alert')) p(policy)), s AS (SELECT CASE WHEN f.seed IS NULL THEN 'MISSING' WHEN usage <= 1.1 THEN 'VALID' ELSE 'MALFORMED' END AS state FROM e LEFT JOIN fu f USING (seed, budget_id, policy)) SELECT count(*) AS cells, count(*) FILTER (WHERE state = 'VALID') AS valid, count(*) FILTER (WHERE state = 'MISSING') AS missing, count(*) FILTER (WHERE state = 'MALFORMED') AS malformed, CASE WHEN count(*) FILTER (WHERE state = 'MISSING') = count(*) THEN 'NOT_STARTED' WHEN count(*) FILTER (WHERE state = 'MALFORMED') > 0 THEN 'FAILED' WHEN count(*) FILTER (WHERE state = 'MISSING') > 0 THEN 'EXECUTION_INCOMPLETE' ELSE 'PASSED' END AS state FROM s")
+def completion(spark, sf_dir):
+    """Expected cells of seeds, budgets and policies against what has been evaluated; one budget is never run."""
+    from fleetward.operators import checks
+
+    evals = seed_evaluations(spark, sf_dir)
+    cells = F.explode(F.array(*map(F.lit, [*SEED_BUDGETS, "b4"]))).alias("budget_id")
+    expected = observations(spark, sf_dir).select("seed").distinct().select("seed", cells).select("seed", "budget_id", F.explode(F.array(F.lit("equal_rate"), F.lit("equal_alert"))).alias("policy"))
+    return checks.progress(checks.completion(expected, evals, ["seed", "budget_id", "policy"], F.col("usage") <= 1.1))
+
+
+@query("d04_partition_digest")
+def partition_digest(spark, sf_dir):
+    from fleetward.operators import checks
+
+    return checks.digest(split_scores(spark, sf_dir), ["client_id", "split"], ["ordinal", "score", "label", "attack_subtype"])
+
+
+@query("u06_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    from fleetward.operators import checks
+
+    return checks.repeated(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
+
+
+@query("u04_unmatched_keys", "SELECT k AS c_custkey, side FROM (SELECT c_custkey AS k, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
+def unmatched_keys(spark, sf_dir):
+    from fleetward.operators import checks
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("c_custkey"))
+    return checks.unmatched(c, o, ["c_custkey"])

@@ -61,3 +61,21 @@ def test_sessions_batch_and_stream(spark, tmp_path):
     q.stop()
     # The last session waits for the watermark.
     assert show(spark.table("sessions").collect()) == want - {(400, 400, 1)}
+
+
+def test_score_tables(spark, tmp_path):
+    from fleetward.operators import checks
+    from fleetward.sources import tables
+
+    rows = [("f", k, float(k), "benign", None, None, "d", 1, "ab"[k % 2], "benign_test" if k % 3 else "benign_train") for k in range(20)]
+    df = spark.createDataFrame(rows, "source_file string, source_row long, score double, label string, attack_subtype string, timestamp double, dataset_id string, seed long, client_id string, split string").withColumn("sample_id", tables.sample_id())
+    path = str(tmp_path / "scores")
+    tables.write_scores(df, path)
+    got = tables.read_scores(spark, path, ["sample_id", "score"], client_id="a", split=["benign_test"], seed=1)
+    assert sorted(r["score"] for r in got.collect()) == [float(k) for k in range(0, 20, 2) if k % 3]
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "client_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert checks.repeated(df, ["sample_id"]).count() == 0 and checks.not_finite(df, ["score"]).count() == 0
+    assert checks.not_finite(df.withColumn("score", F.lit(float("inf"))), ["score"]).count() == 20
+    again = tables.read_scores(spark, path)
+    assert checks.digest(df, ["client_id"], ["sample_id", "score"]).exceptAll(checks.digest(again, ["client_id"], ["sample_id", "score"])).count() == 0
