@@ -71,11 +71,11 @@ def dispersion(clients: DataFrame) -> DataFrame:
 
 
 def gini(values: DataFrame, column: str) -> DataFrame:
-    """One row: Gini coefficient, 0 if all values are 0; by ranks, from a table of one row a client."""
+    """One row: Gini coefficient, 0 if all values are 0, null without any; by ranks, from a table of one row a client."""
     w = Window.partitionBy(F.lit(1))
     ranked = values.select(F.col(column).cast("double").alias("x"), F.row_number().over(w.orderBy(column)).alias("i"), F.count("*").over(w).alias("n"))
     out = ranked.agg(F.sum(F.col("i") * F.col("x")).alias("ix"), F.sum("x").alias("x"), F.max("n").alias("n"))
-    return out.select(F.when(F.col("x") > 0, 2 * F.col("ix") / (F.col("n") * F.col("x")) - (F.col("n") + 1) / F.col("n")).otherwise(0.0).alias("gini"))
+    return out.select(F.when(F.col("x") > 0, 2 * F.col("ix") / (F.col("n") * F.col("x")) - (F.col("n") + 1) / F.col("n")).when(F.col("x").isNotNull(), 0.0).alias("gini"))
 
 
 def score_counts(scores: DataFrame, keys: list[str]) -> DataFrame:

@@ -209,7 +209,7 @@ def fpr_dispersion(spark, sf_dir):
     return rounded(evaluate.dispersion(evaluate.per_client(equal_results(split_scores(spark, sf_dir)))))
 
 
-@query("a27_false_alert_gini", f"WITH {OBS}, {SPLIT}, {CLIENTS},\n{result_sql(EQUAL)} SELECT round(sum(abs(a.fp - b.fp)) / (2.0 * sqrt(count(*)) * sum(a.fp) / sqrt(count(*))), 9) AS gini FROM pc a, pc b")
+@query("a27_false_alert_gini", f"WITH {OBS}, {SPLIT}, {CLIENTS},\n{result_sql(EQUAL)} SELECT round(CASE WHEN sum(a.fp) = 0 THEN 0.0::DOUBLE ELSE sum(abs(a.fp - b.fp)) / (2.0::DOUBLE * sum(a.fp)) END, 9) AS gini FROM pc a, pc b")
 def false_alert_gini(spark, sf_dir):
     return rounded(evaluate.gini(evaluate.per_client(equal_results(split_scores(spark, sf_dir))), "fp"))
 
@@ -385,7 +385,7 @@ def test_oracle(spark, sf_dir):
     return policies.allocate(points, "macro")
 
 
-@query("o24_subtype_fold", f"WITH {CURVE.replace('GROUP BY ALL)', 'GROUP BY ALL)', 1)}, z AS (SELECT client_id, grid_ix, tp / (tp + fn)::DOUBLE AS u FROM cf WHERE attack_subtype = 'error') SELECT client_id, grid_ix, round(u, 9) AS utility FROM z")
+@query("o24_subtype_fold", f"WITH {CURVE.replace('GROUP BY ALL)', 'GROUP BY ALL)', 1)}, z AS (SELECT client_id, grid_ix, tp / (tp + fn)::DOUBLE AS u FROM cf WHERE attack_subtype = 'error' AND tp + fn >= 50) SELECT client_id, grid_ix, round(u, 9) AS utility FROM z")
 def subtype_fold(spark, sf_dir):
     s = splits.restrict_subtypes(split_scores(spark, sf_dir), ["error"], ["purchase"])
     return rounded(frontier.utilities(frontier.confusions(s)).select("client_id", "grid_ix", "utility"))
@@ -551,7 +551,7 @@ def robustness_grid(spark, sf_dir):
     return rounded(events.robustness(timed_alerts(spark, sf_dir), STEPS))
 
 
-@query("e13_event_gini", TH + f", {event_sql('client_id', ALERTS + chr(32) + 'AND o.label = ' + repr('benign'))}, c AS (SELECT client_id, count(*) AS n FROM ev GROUP BY 1) SELECT round(sum(abs(a.n - b.n)) / (2.0 * sum(a.n)), 9) AS gini FROM c a, c b")
+@query("e13_event_gini", TH + f", {event_sql('client_id', ALERTS + chr(32) + 'AND o.label = ' + repr('benign'))}, c AS (SELECT client_id, count(*) AS n FROM ev GROUP BY 1) SELECT round(sum(abs(a.n - b.n)) / (2.0::DOUBLE * sum(a.n)), 9) AS gini FROM c a, c b")
 def event_gini(spark, sf_dir):
     a = timed_alerts(spark, sf_dir).where((F.col("score") > F.col("threshold")) & (F.col("label") == "benign"))
     ev = events.eventize(a.select("client_id", "t"), ["client_id"])

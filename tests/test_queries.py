@@ -6,12 +6,15 @@ from parity import assert_same, by_sql
 from fleetward import queries as fleet
 
 SF = "/root/testdata/sf0.001"
+#: Their SQL takes the combinations of five eligible devices, which the smallest tables don't have.
+LARGER = {"o04_macro_objective", "o05_minimax_objective", "j13_exhaustive_macro"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 @pytest.mark.parametrize("name", sorted(fleet.ORACLES))
 def test_query_equals_sql(spark, name):
-    assert_same(fleet.QUERIES[name](spark, SF).toPandas(), by_sql(SF, fleet.ORACLES[name]))
+    sf = "/root/testdata/sf0.01" if name in LARGER else SF
+    assert_same(fleet.QUERIES[name](spark, sf).toPandas(), by_sql(sf, fleet.ORACLES[name]))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
