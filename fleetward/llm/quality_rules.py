@@ -178,7 +178,7 @@ def judge(docs: DataFrame) -> DataFrame:
     measures = stage(measured(docs.select("doc_id", "text")).select(*keep), "quality-rules")
     out = with_verdict(measures, references(measures))
     names = [*MEASURES, "base_failed", "kept"]
-    return out.select("doc_id", *(F.col(p + x).alias(x) for x in names), F.col(p + "k").alias("judged_as"), *(F.col(p + x).alias(x) for x in ("class_distance", "word_distance")))
+    return out.select("doc_id", *(F.col(p + x).alias(x) for x in names), F.col(p + "k").alias("judged_as"), *(F.round(p + x, 6).alias(x) for x in ("class_distance", "word_distance")))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -189,3 +189,37 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     # The verdict passes a generator, below which Spark doesn't push the filter: its arrays are computed once.
     held = judged.select(*(F.col(f"`{c}`") for c in docs.columns), F.inline_outer(F.array(F.struct(F.col(p + "kept").alias(p + "keep")))))
     return held.where(F.col(p + "keep")).drop(p + "keep")
+
+
+def oracle_sql() -> str:
+    """judge() in DuckDB's SQL."""
+    blank = " \\t\\n\\x0B\\f\\r"
+    words = {k: "[" + ", ".join(f"'{w}'" for w in own) + "]" for k, own in COMMON_WORDS.items()}
+    gone = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+    hits = ", ".join(f"{{'n': len(list_filter(lw, lambda x: list_contains({own}, x))), 'k': '{k}'}}" for k, own in words.items())
+    own = "CASE lang " + " ".join(f"WHEN '{k}' THEN {own}" for k, own in words.items()) + " END"
+    mark = "[.,;:?''\"()-]+"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{blank}]+') AS w FROM documents),
+g AS (SELECT k, i, list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2) AS h FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+c AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, h) AS n FROM g) WHERE n > 1),
+r AS (SELECT k, count(DISTINCT j) AS rep FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM c) GROUP BY k),
+n AS (SELECT k, count(*) - count(DISTINCT x) AS dup FROM (SELECT k, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^{blank}]') GROUP BY k),
+l AS (SELECT *, list_transform(w, lambda x: lower(rtrim(x, '.,;:!?'))) AS lw FROM d),
+m AS (
+  SELECT k, doc_id, t, lw, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {gone(SYMBOLS + "+")} AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep, 0) AS n_repeat_words,
+    list_extract(list_reverse_sort([{hits}]), 1).k AS lang, {gone(chr(92) + "p{L}+")} AS letters, {gone(chr(92) + "p{Lu}+")} AS upper_, {gone(chr(92) + "p{Nd}+")} AS digit, {gone(mark)} AS stop
+  FROM l LEFT JOIN r USING (k) LEFT JOIN n USING (k)),
+q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, length(t) - word_chars AS blank,
+    list_transform({own}, lambda v: len(list_filter(lw, lambda x: x = v))) AS own FROM m),
+v AS (SELECT *, [letters - upper_, upper_, digit, blank, stop, greatest(length(t) - blank - letters - digit - stop, 0)] AS cl, list_append(own, n_words - list_sum(own)) AS co FROM q),
+e AS (SELECT k, lang, base_failed, kind, i, x, sum(x) OVER (PARTITION BY k, kind) AS total FROM (
+  SELECT k, lang, base_failed, 1 AS kind, unnest(range(1, 7)) AS i, unnest(cl)::BIGINT AS x FROM v UNION ALL SELECT k, lang, base_failed, 2, unnest(range(1, len(co) + 1)), unnest(co)::BIGINT FROM v)),
+f AS (SELECT lang, kind, i, sum(x) AS x, sum(sum(x)) OVER (PARTITION BY lang, kind) AS total FROM e WHERE NOT base_failed GROUP BY 1, 2, 3),
+z AS (SELECT k, e.kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + s)) ELSE 0 END + CASE WHEN s > 0 THEN s * log2(2 * s / (p + s)) ELSE 0 END) / 2, 0)) AS dist
+  FROM (SELECT e.k, e.kind, e.x / e.total::DOUBLE AS p, f.x / f.total::DOUBLE AS s FROM e JOIN f USING (lang, kind, i)
+    WHERE e.total > 0 AND lang IN (SELECT lang FROM f WHERE kind = 2 GROUP BY 1 HAVING any_value(total) >= {MIN_REFERENCE_WORDS})) e GROUP BY 1, 2),
+o AS (SELECT v.*, CASE WHEN n_words >= {MIN_WORDS_CLASSES} THEN a.dist END AS cd, CASE WHEN n_words >= {MIN_WORDS_COMMON} THEN b.dist END AS wd FROM v LEFT JOIN z a ON a.k = v.k AND a.kind = 1 LEFT JOIN z b ON b.k = v.k AND b.kind = 2)
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(cd, 0) > {MAX_CLASS_DISTANCE}::DOUBLE OR coalesce(wd, 0) > {MAX_WORD_DISTANCE}::DOUBLE) AS kept, lang AS judged_as, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
+FROM o"""
