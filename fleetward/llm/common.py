@@ -28,9 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: computed once, and no executor's loss takes it away."""
+def stage(df: DataFrame, what: str, few: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: computed once, and no executor's loss takes it away.
+
+    few: df has far fewer rows than what it was made of, so they are brought into a sixteenth of the partitions
+    (eight at least) and as many files; it is computed at full width before that.
+    """
     spark = df.sparkSession
+    if few:
+        df = df.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

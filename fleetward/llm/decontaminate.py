@@ -72,7 +72,7 @@ def _stretches(docs: DataFrame, items: DataFrame, similarity: float) -> tuple[Da
     # One number for each length that occurs: no more than the longest item has words.
     sizes = sorted(r["n"] for r in items.select("n").distinct().collect())
     longest = sizes[-1] if sizes else 1
-    known = small_side(stage(items.select(F.explode("g").alias("x")).distinct(), "decontaminate-known"), 40)
+    known = small_side(stage(items.select(F.explode("g").alias("x")).distinct(), "decontaminate-known", few=True), 40)
     words = docs.select("doc_id", text_of().alias("t")).select("doc_id", F.xxhash64("t").alias("h"), _shingles(col("t")).alias("w"))
     hashed = words.select("doc_id", "h", _hashes(col("w")).alias("g"))
     # The outer form: the inner one would have Spark filter on the array's size, below the projections that build it.
@@ -122,10 +122,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     columns are left out.
     """
     p, col = _P, F.col
-    items = stage(items_of(benchmark.select("item_id", "text")), "decontaminate-items")
+    items = stage(items_of(benchmark.select("item_id", "text")), "decontaminate-items", few=True)
     stretches, sizes = _stretches(docs.select("doc_id", "text"), items, similarity)
-    stretches = stage(stretches, "decontaminate-stretches")
-    windows = stage(_windows(stretches.dropDuplicates(["ck"]), sizes, similarity), "decontaminate-windows")
+    stretches = stage(stretches, "decontaminate-stretches", few=True)
+    # Few rows, much work for each: dealt out in full, where Spark would put them into one task by their size.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contents = stretches.dropDuplicates(["ck"]).repartition(parts)
+    windows = stage(_windows(contents, sizes, similarity), "decontaminate-windows", few=True)
     block_of = lambda b, fp: F.struct(F.lit(b).alias("b"), _block(fp, b).alias("v"))
     probes = windows.select("ck", "n", "o", "fp", F.inline(F.array(*(block_of(b, col("fp")) for b in range(BLOCKS)))))
     flips = [0, *(1 << i for i in range(BITS))]
@@ -138,7 +141,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     found = found.withColumn(p + "both", both).withColumn("similarity", col(p + "both") / (col("real") + F.size("item_g") - col(p + "both")))
     found = found.where((col("similarity") >= similarity - 1e-12) & (F.size("item_g") == col("n")))
     best = found.groupBy("ck", "item_id").agg(F.max(F.struct("similarity", (-col("o")).alias("o"), "n")).alias("best"))
-    best = small_side(stage(best, "decontaminate-found"), 128)
+    best = small_side(stage(best, "decontaminate-found", few=True), 128)
     out = stretches.select("doc_id", "first", "ck").join(best, "ck")
     out = out.select("doc_id", "item_id", F.struct(col("best.similarity").alias("similarity"), (col("best.o") - col("first")).alias("o"), col("best.n").alias("n")).alias("best"))
     out = out.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
@@ -147,5 +150,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose document holds no benchmark item, with the columns of docs; null ids go together."""
-    bad = small_side(stage(matches(docs, benchmark, similarity).select(F.col("doc_id").alias(_P + "id")).distinct(), "decontaminate-ids"), 24)
+    bad = small_side(stage(matches(docs, benchmark, similarity).select(F.col("doc_id").alias(_P + "id")).distinct(), "decontaminate-ids", few=True), 24)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad[_P + "id"]), "left_anti")

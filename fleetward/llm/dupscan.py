@@ -28,16 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetward.llm.common import small_side, stage, text_of
-from fleetward.llm.tokens import mix, powers, window_hashes
+from fleetward.llm.tokens import mix, powers, slices, window_hashes
 
 #: Symbols of a text that are worked on at once; longer texts come in pieces that overlap by a window.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 #: Occurrences of one gram that one task takes; beyond, their windows are dealt out by hash.
 GROUP_LIMIT = 20_000
 #: Different surroundings of one gram that are held against each other two by two; beyond, by window hash.
 PAIR_LIMIT = 256
 ROWS_AT_ONCE = 4096
+TEXTS_AT_ONCE = 500
 
 
 @dataclass(frozen=True)
@@ -163,7 +164,7 @@ def _mark(n: int, width: int, row: np.ndarray, first: np.ndarray, last: np.ndarr
 def _by_window_hash(g: Group, pick: np.ndarray) -> np.ndarray:
     """Marks of the picked rows' repeated windows, by sorting 64-bit hashes of their windows, gram by gram."""
     kind = g.kind
-    hashes = offset_hashes(kind, g.x[pick])
+    hashes = np.concatenate([offset_hashes(kind, g.x[pick[a : a + ROWS_AT_ONCE]]) for a in range(0, len(pick), ROWS_AT_ONCE)])
     t = np.arange(kind.left + 1)
     valid = (t >= g.t_min[pick, None]) & (t <= g.t_max[pick, None])
     row, col = np.nonzero(valid)
@@ -219,7 +220,7 @@ def decide(kind: Kind, rows: pd.DataFrame, dtype: type) -> pd.DataFrame:
 
 def _anchor_rows(kind: Kind):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches, TEXTS_AT_ONCE):
             text, pos, _, _, gram = select_anchors(kind, [kind.symbols(t) for t in b["text"]])
             order = np.lexsort((gram, text))
             same = np.zeros(len(order) + 1, dtype=bool)
@@ -233,7 +234,7 @@ def _anchor_rows(kind: Kind):
 
 def _occurrence_rows(kind: Kind):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches, TEXTS_AT_ONCE):
             texts = [kind.symbols(t) for t in b["text"]]
             text, pos, lo, hi, gram = select_anchors(kind, texts)
             wanted = [np.asarray(x, dtype=np.int64) for x in b["at"]]
@@ -301,25 +302,25 @@ def repeated_starts(docs: DataFrame, kind: Kind, dtype: type, group_limit: int =
     col = F.col
     anchors = stage(docs.select("h1", "h2", "text").mapInPandas(_anchor_rows(kind), "h1 long, h2 long, gram long, pos long, twice boolean"), f"{kind.name}-anchors")
     grams = anchors.groupBy("gram").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("twice").alias("twice"))
-    shared = small_side(stage(grams.where((col("a") != col("b")) | col("twice")).select("gram"), f"{kind.name}-grams"), 24)
+    shared = small_side(stage(grams.where((col("a") != col("b")) | col("twice")).select("gram"), f"{kind.name}-grams", few=True), 24)
     reps = docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     reps = stage(reps, f"{kind.name}-texts")
-    copied = stage(reps.where(col("n") > 1).select("h1", "h2"), f"{kind.name}-copied")
+    copied = stage(reps.where(col("n") > 1).select("h1", "h2"), f"{kind.name}-copied", few=True)
     places = anchors.join(shared, "gram").groupBy("h1", "h2").agg(F.collect_set("pos").alias("at"))
-    places = stage(places.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]), f"{kind.name}-places")
+    places = stage(places.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]), f"{kind.name}-places", few=True)
     texts = docs.join(small_side(places, 400), ["h1", "h2"]).where(col("doc_id").eqNullSafe(col("rep")))
     schema = "h1 long, h2 long, gram long, pos long, lo long, hi long, n_left long, around binary"
     found = stage(texts.select("h1", "h2", "text", "at").mapInPandas(_occurrence_rows(kind), schema), f"{kind.name}-occurrences")
-    hot = small_side(stage(found.groupBy("gram").count().where(col("count") > group_limit).select("gram"), f"{kind.name}-hot"), 24)
+    hot = small_side(stage(found.groupBy("gram").count().where(col("count") > group_limit).select("gram"), f"{kind.name}-hot", few=True), 24)
     cold = found.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
     starts = cold.mapInPandas(_decided_rows(kind, dtype), "h1 long, h2 long, first long, last long")
     windows = found.join(hot, "gram", "left_semi").mapInPandas(_window_rows(kind, dtype), "w1 long, w2 long, h1 long, h2 long, first long")
-    windows = stage(windows, f"{kind.name}-windows")
+    windows = stage(windows, f"{kind.name}-windows", few=True)
     place = F.struct("h1", "h2", "first")
     twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(col("a") != col("b")).select("w1", "w2")
-    more = windows.join(small_side(stage(twice, f"{kind.name}-twice"), 32), ["w1", "w2"]).select("h1", "h2", "first", col("first").alias("last"))
+    more = windows.join(small_side(stage(twice, f"{kind.name}-twice", few=True), 32), ["w1", "w2"]).select("h1", "h2", "first", col("first").alias("last"))
     starts = starts.unionByName(more).groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    return copied, stage(starts, f"{kind.name}-starts")
+    return copied, stage(starts, f"{kind.name}-starts", few=True)
 
 
 def with_repeats(docs: DataFrame, kind: Kind, dtype: type, group_limit: int = GROUP_LIMIT) -> DataFrame:

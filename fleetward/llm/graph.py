@@ -16,15 +16,15 @@ def components(edges: DataFrame, what: str) -> DataFrame:
     """
     col = F.col
     both = edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct()
-    both = stage(both, f"{what}-edges")
-    labels = stage(both.groupBy(col("a").alias("node")).agg(F.min("b").alias("component")), f"{what}-labels")
+    both = stage(both, f"{what}-edges", few=True)
+    labels = stage(both.groupBy(col("a").alias("node")).agg(F.min("b").alias("component")), f"{what}-labels", few=True)
     while True:
         known = small_side(labels.select(col("node").alias("b"), col("component").alias("of_b")), 32)
         low = both.join(known, "b").groupBy(col("a").alias("node")).agg(F.min("of_b").alias("low"))
-        low = stage(low, f"{what}-low")
+        low = stage(low, f"{what}-low", few=True)
         jump = small_side(low.select(col("node").alias("low"), col("low").alias("lower")), 32)
         new = low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("component"))
-        new = stage(new, f"{what}-labels")
+        new = stage(new, f"{what}-labels", few=True)
         old = small_side(labels.select("node", col("component").alias("was")), 32)
         if not new.join(old, "node").where(col("component") != col("was")).limit(1).count():
             return new

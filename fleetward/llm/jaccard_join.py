@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fleetward.llm.common import small_side, stage, text_of
 from fleetward.llm.graph import components
-from fleetward.llm.tokens import mix, window_hashes, word_bounds, word_hashes
+from fleetward.llm.tokens import mix, slices, window_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -62,7 +62,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in slices(batches, 500):
         sets = [shingle_set(t) for t in b["text"]]
         s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
         s2 = np.array([mix(s ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
@@ -70,20 +70,25 @@ def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h1": b["h1"], "h2": b["h2"], "s1": s1, "s2": s2, "n": [len(s) for s in sets], "sk": marks})
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For edges a-b of n nodes: each linked node, and the least node that it hangs together with."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    node = np.union1d(a, b)
-    return node, label[node]
+class Forest:
+    """Which of n nodes hang together, taken in a node's links at a time: no list of links is kept."""
+
+    def __init__(self, n: int) -> None:
+        self.label, self.linked = np.arange(n), np.zeros(n, dtype=bool)
+
+    def add(self, x: int, y: np.ndarray) -> None:
+        if not len(y):
+            return
+        self.linked[x] = True
+        self.linked[y] = True
+        own = np.unique(np.r_[self.label[x], self.label[y]])
+        if len(own) > 1:
+            self.label[np.isin(self.label, own)] = own[0]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each linked node, and the least node that it hangs together with."""
+        node = np.flatnonzero(self.linked)
+        return node, self.label[node]
 
 
 def _near(sk: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, same: np.ndarray, similarity: float) -> np.ndarray:
@@ -101,8 +106,7 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str], at_least: int) ->
         n += len(b)
         if n >= at_least:
             rows = pd.concat(held, ignore_index=True)
-            new = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
-            cut = int(np.flatnonzero(new)[-1])
+            cut = int(_borders(rows, keys)[-2])
             if cut:
                 yield rows.iloc[:cut]
             held, n = [rows.iloc[cut:].reset_index(drop=True)], len(rows) - cut
@@ -111,8 +115,8 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str], at_least: int) ->
 
 
 def _borders(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    new = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
-    return np.r_[np.flatnonzero(new), len(rows)]
+    key = rows[keys].to_numpy()
+    return np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(rows)]
 
 
 def _candidate_rows(similarity: float):
@@ -131,18 +135,16 @@ def _candidate_rows(similarity: float):
             for s, m in zip(at[:-1][size > 2], size[size > 2], strict=True):
                 own = sk[s : s + m]
                 cross = rows["i"].iat[s] != rows["j"].iat[s]
-                found = []
+                found = Forest(m)
                 for x in range(m - 1):
                     y = np.arange(x + 1, m)
                     if cross:
                         y = y[side[s + y] != side[s + x]]
                     y = y[_near(sk, n, s + np.full(len(y), x), s + y, (own[y] == own[x]).mean(axis=1), similarity)]
-                    found.append(np.stack([np.full(len(y), x), y]))
-                a, b = np.concatenate(found, axis=1)
-                if len(a):
-                    node, root = _forest(m, a, b)
-                    out_a.append(c[s + root])
-                    out_b.append(c[s + node])
+                    found.add(x, y)
+                node, root = found.edges()
+                out_a.append(c[s + root])
+                out_b.append(c[s + node])
             yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return run
@@ -159,8 +161,9 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
     out = np.zeros((m, m), dtype=np.float64)
-    wide = max(1, (1 << 22) // m)
-    for start in range(0, int(code[-1]) + 1 if len(code) else 0, wide):
+    every = int(code[-1]) + 1 if len(code) else 0
+    wide = max(1, min(every, (1 << 21) // m))
+    for start in range(0, every, wide):
         a, b = np.searchsorted(code, [start, start + wide])
         part = np.zeros((m, wide), dtype=np.float32)
         part[owner[a:b], code[a:b] - start] = 1
@@ -186,9 +189,11 @@ def _exact_rows(similarity: float):
                     side = rows["block"].to_numpy()[s + once]
                     linked &= side[:, None] != side[None, :]
                 np.fill_diagonal(linked, False)
-                a, b = np.nonzero(np.triu(linked))
-                if len(a):
-                    node, root = _forest(len(c), a, b)
+                found = Forest(len(c))
+                for x in np.flatnonzero(linked.any(axis=1)):
+                    found.add(x, np.flatnonzero(linked[x]))
+                node, root = found.edges()
+                if len(node):
                     out.append(pd.DataFrame({"c": c[node], "root": c[root], "links": linked.sum(axis=1)[node]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
@@ -197,10 +202,8 @@ def _exact_rows(similarity: float):
 
 
 def _token_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for a in range(0, len(b), 500):
-            part = b.iloc[a : a + 500]
-            yield part.drop(columns="text").assign(tokens=[shingle_set(t).tobytes() for t in part["text"]])
+    for b in slices(batches, 500):
+        yield b.drop(columns="text").assign(tokens=[shingle_set(t).tobytes() for t in b["text"]])
 
 
 def _block_pairs(rows: DataFrame, of: str, key: str, size: str, block: int) -> DataFrame:
@@ -222,13 +225,13 @@ def _candidates(classes: DataFrame, similarity: float, split: int, block: int) -
 
     rows = classes.where(col("n") > 0).select("c", F.inline(F.arrays_zip(path(DEPTH).alias("path"), path(2 * DEPTH).alias("deep"))))
     big = rows.groupBy("path").count().where(col("count") > split).select("path", F.lit(True).alias("big"))
-    big = small_side(stage(big, "jaccard-big"), 24)
+    big = small_side(stage(big, "jaccard-big", few=True), 24)
     placed = rows.join(big, "path", "left").select("c", F.when(col("big"), col("deep")).otherwise(col("path")).alias("id"))
     member = F.xxhash64("c")
     nodes = placed.groupBy("id").agg(F.count("*").alias("size"), F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(20,0)")).alias("s")).where(col("size") > 1)
     # Nodes of different runs that hold the same sets are searched once.
     nodes = nodes.groupBy("size", "x", "s").agg(F.min("id").alias("id")).select("id", "size")
-    members = stage(placed.join(small_side(stage(nodes, "jaccard-nodes"), 32), "id"), "jaccard-members")
+    members = stage(placed.join(small_side(stage(nodes, "jaccard-nodes", few=True), 32), "id"), "jaccard-members", few=True)
     held = classes.select("c", "n", "sk").join(small_side(members, 40), "c")
     held = _block_pairs(held, "c", "id", "size", block).select("id", "i", "j", "block", "c", "n", "sk")
     held = held.repartition("id", "i", "j").sortWithinPartitions("id", "i", "j")
@@ -238,8 +241,8 @@ def _candidates(classes: DataFrame, similarity: float, split: int, block: int) -
 def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, similarity: float, block: int) -> DataFrame:
     """(c, root, links) from exact comparison of all pairs in a cluster; a row for each block pair that has links."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = clusters.join(small_side(stage(sizes, "jaccard-sizes"), 32), "component").join(classes.select(F.col("c").alias("node"), "h1", "h2", "rep"), "node")
-    wanted = small_side(stage(wanted.withColumnRenamed("node", "c"), "jaccard-wanted"), 64)
+    wanted = clusters.join(small_side(stage(sizes, "jaccard-sizes", few=True), 32), "component").join(classes.select(F.col("c").alias("node"), "h1", "h2", "rep"), "node")
+    wanted = small_side(stage(wanted.withColumnRenamed("node", "c"), "jaccard-wanted", few=True), 64)
     texts = docs.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "component", "size", "text")
     sets = texts.mapInPandas(_token_rows, "c long, component long, size long, tokens binary")
     sets = _block_pairs(sets, "c", "component", "size", block).select("component", "i", "j", "block", "c", "tokens")
@@ -263,15 +266,15 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, split: int = SPLIT, bl
     first = F.min(F.struct("doc_id", "h1", "h2")).alias("first")
     classes = sketches.where(col("n") > 0).groupBy("s1", "s2").agg(F.count("*").alias("n_copies"), first, F.min("doc_id").alias("class_id"), F.any_value("n").alias("n"), F.any_value("sk").alias("sk"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n_copies", "class_id", "n", "sk", col("first.doc_id").alias("rep"), col("first.h1").alias("h1"), col("first.h2").alias("h2")), "jaccard-classes")
-    clusters = components(stage(_candidates(classes, similarity, split, block), "jaccard-candidates"), "jaccard-clusters")
-    found = stage(_links(hashed, classes, clusters, similarity, exact_block), "jaccard-links")
+    clusters = components(stage(_candidates(classes, similarity, split, block), "jaccard-candidates", few=True), "jaccard-clusters")
+    found = stage(_links(hashed, classes, clusters, similarity, exact_block), "jaccard-links", few=True)
     links = found.groupBy("c").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(col("root").alias("a"), col("c").alias("b")), "jaccard-groups").select(col("node").alias("c"), "component")
     known = classes.select("c", "s1", "s2", "n_copies", "class_id").join(links, "c", "left").join(groups, "c", "left")
-    known = stage(known.where((col("n_copies") > 1) | (col("n_links") > 0)), "jaccard-known")
+    known = stage(known.where((col("n_copies") > 1) | (col("n_links") > 0)), "jaccard-known", few=True)
     least = known.where(col("component").isNotNull()).groupBy("component").agg(F.min("class_id").alias("group_id"))
-    known = known.join(small_side(stage(least, "jaccard-least"), 32), "component", "left")
-    known = small_side(stage(known.select("s1", "s2", "class_id", "n_copies", "n_links", F.coalesce("group_id", "class_id").alias("group_id")), "jaccard-info"), 72)
+    known = known.join(small_side(stage(least, "jaccard-least", few=True), 32), "component", "left")
+    known = small_side(stage(known.select("s1", "s2", "class_id", "n_copies", "n_links", F.coalesce("group_id", "class_id").alias("group_id")), "jaccard-info", few=True), 72)
     out = sketches.select("doc_id", "h1", "h2", "s1", "s2").join(known, ["s1", "s2"], "left")
     alone = col("n_copies").isNull()
     return out.select(
@@ -288,13 +291,13 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     p, col = _P, F.col
     found = join(docs, similarity).where("grouped").groupBy("group_id", "doc_id", "h1", "h2").agg(F.count("*").alias("n"))
-    found = stage(found, "jaccard-grouped")
+    found = stage(found, "jaccard-grouped", few=True)
     first = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "h1", "h2", "n")).alias("first")).select("first.*")
     first = first.select(col("doc_id").alias(p + "id"), col("h1").alias(p + "h1"), col("h2").alias(p + "h2"), (col("n") > 1).alias(p + "again"))
     fate = found.select(col("doc_id").alias(p + "id"), col("h1").alias(p + "h1"), col("h2").alias(p + "h2"), F.lit(True).alias(p + "in"))
     same = lambda a, b: (a[p + "h1"] == b[p + "h1"]) & (a[p + "h2"] == b[p + "h2"]) & a[p + "id"].eqNullSafe(b[p + "id"])
     fate = fate.alias("f").join(first.alias("o"), same({c: col(f"f.{c}") for c in fate.columns}, {c: col(f"o.{c}") for c in first.columns}), "left").select("f.*", p + "again")
-    fate = small_side(stage(fate, "jaccard-fate"), 64)
+    fate = small_side(stage(fate, "jaccard-fate", few=True), 64)
     marked = docs.withColumns({p + "a": F.xxhash64(text_of()), p + "b": F.xxhash64(F.lit(7), text_of())})
     kept = marked.join(fate, (marked[p + "a"] == fate[p + "h1"]) & (marked[p + "b"] == fate[p + "h2"]) & docs["doc_id"].eqNullSafe(fate[p + "id"]), "left")
     kept = kept.where(col(p + "in").isNull() | col(p + "again").isNotNull())

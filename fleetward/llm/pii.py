@@ -158,8 +158,8 @@ def _disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     # A word stands in no fewer texts than it does near entities: what falls short by that number falls short.
     at_least = near.select(p + "h1", p + "h2", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     wanted = support.join(entities, "entity").join(at_least, "term").where(told("n_near") >= DISCLOSURE)
-    wanted = stage(wanted, "pii-pairs")
-    terms = small_side(stage(wanted.select("term").distinct(), "pii-terms"), 64)
+    wanted = stage(wanted, "pii-pairs", few=True)
+    terms = small_side(stage(wanted.select("term").distinct(), "pii-terms", few=True), 64)
     words = docs.select(F.xxhash64(text_of()).alias("h"), F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit("\\p{L}++"), F.lit(0)))).alias("term"))
     seen = words.join(terms, "term").groupBy("term").agg(F.count_distinct("h").alias("n_t"))
     return wanted.join(seen, "term").where(told("n_t") >= DISCLOSURE).select("entity", "term")
@@ -168,8 +168,8 @@ def _disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 def _term_spans(docs: DataFrame, based: DataFrame) -> DataFrame:
     """(h1, h2, terms): spans of disclosing words for each text that has any."""
     p = _P
-    contexts = stage(_contexts(based), "pii-contexts")
-    secret = small_side(stage(_disclosing(docs, contexts), "pii-disclosing"), 128)
+    contexts = stage(_contexts(based), "pii-contexts", few=True)
+    secret = small_side(stage(_disclosing(docs, contexts), "pii-disclosing", few=True), 128)
     one = contexts.select("entity", p + "h1", p + "h2", F.explode("near").alias("x")).select("entity", p + "h1", p + "h2", F.col("x.term").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
     span = F.struct("s", F.lit(len(PATTERNS)).alias("o"), "e", F.lit("term").alias("kind"), F.col("term").alias("x"))
     return one.join(secret, ["entity", "term"]).groupBy(p + "h1", p + "h2").agg(F.collect_set(span).alias(p + "terms"))
@@ -181,7 +181,7 @@ def _joined(spans: Column) -> Column:
 
 def _with_terms(based: DataFrame, terms: DataFrame) -> DataFrame:
     p = _P
-    out = based.join(small_side(stage(terms, "pii-terms-of-texts"), 256), [p + "h1", p + "h2"], "left")
+    out = based.join(small_side(stage(terms, "pii-terms-of-texts", few=True), 256), [p + "h1", p + "h2"], "left")
     every = F.when(F.col(p + "terms").isNull(), F.col(p + "base")).otherwise(F.array_sort(F.concat(p + "base", p + "terms")))
     return out.withColumn(p + "all", every)
 

@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from fleetward.llm import dupscan
-from fleetward.llm.dupscan import GROUP_LIMIT, Group, Kind
-from fleetward.llm.tokens import word_bounds, word_hashes
+from fleetward.llm.dupscan import GROUP_LIMIT, TEXTS_AT_ONCE, Group, Kind
+from fleetward.llm.tokens import slices, word_bounds, word_hashes
 
 WINDOW = 35
 GRAM = 8
@@ -62,7 +62,7 @@ def word_kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
 
 def _kept_rows(window: int, with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches, TEXTS_AT_ONCE):
             out = []
             for doc, text, copied, runs in zip(b["doc_id"], b["text"], b["copied"], b["runs"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")

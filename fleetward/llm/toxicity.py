@@ -179,7 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict
     n0, n1 = class_counts(labels, "toxic")
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", per_class, 2)
     later = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0
-    counts = sample.where(~later).select("text", "y").mapInPandas(_count_rows, "level int, cell long, y int, n long").groupBy("level", "cell", "y").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.where(~later).select("text", "y").mapInPandas(_count_rows, "level int, cell long, y int, n long").groupBy("level", "cell", "y").agg(F.sum("n").alias("n"))
+    # A cell seen once, in a clean document, says less than its prior: most of a corpus's rare words stay out.
+    counts = counts.where((F.col("y") == 1) | (F.col("n") > 1)).toPandas()
     toxic, every = ([np.zeros(size) for size in TABLES] for _ in range(2))
     for level in range(3):
         own = counts[counts["level"] == level]
