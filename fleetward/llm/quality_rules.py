@@ -178,7 +178,7 @@ def judge(docs: DataFrame) -> DataFrame:
     measures = stage(measured(docs.select("doc_id", "text")).select(*keep), "quality-rules")
     out = with_verdict(measures, references(measures))
     names = [*MEASURES, "base_failed", "kept"]
-    return out.select("doc_id", *(F.col(p + x).alias(x) for x in names), F.col(p + "k").alias("judged_as"), *(F.round(p + x, 6).alias(x) for x in ("class_distance", "word_distance")))
+    return out.select("doc_id", *(F.col(p + x).alias(x) for x in names), F.col(p + "k").alias("judged_as"), *(F.col(p + x).alias(x) for x in ("class_distance", "word_distance")))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """judge() in DuckDB's SQL."""
+    """judge() in DuckDB's SQL, with both distances to six digits."""
     blank = " \\t\\n\\x0B\\f\\r"
     words = {k: "[" + ", ".join(f"'{w}'" for w in own) + "]" for k, own in COMMON_WORDS.items()}
     gone = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
