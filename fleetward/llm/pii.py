@@ -33,8 +33,6 @@ REACH = 64
 #: Different surroundings in which a word must stand near an entity, and the share of the entity's information.
 MIN_SUPPORT = 3
 DISCLOSURE = 0.8
-#: Different surroundings for each text that has both: below, the texts are copies of each other.
-INDEPENDENT = 0.5
 MIN_TERM = 3
 _P = "__pi_"
 
@@ -137,6 +135,20 @@ def _contexts(based: DataFrame) -> DataFrame:
     return one
 
 
+def _text_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_t): in how many different texts each word stands, summed in the tasks before it is shuffled.
+
+    Texts that occur once are counted as they are; of the others one row each is taken first.
+    """
+    hashed = docs.select(F.xxhash64(text_of()).alias("h"), text_of().alias("t"))
+    again = small_side(stage(hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"), "pii-copies", few=True), 24)
+    once = hashed.join(again, "h", "left_anti").select("t")
+    one_each = hashed.join(again, "h").groupBy("h").agg(F.any_value("t").alias("t")).select("t")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit("\\p{L}++"), F.lit(0)))
+    counts = [x.select(F.explode_outer(words).alias("term")).groupBy("term").agg(F.count("*").alias("n")) for x in (once, one_each)]
+    return counts[0].unionByName(counts[1]).groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
 def _disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """(entity, term): words whose knowledge gives an entity away, by counts over all documents."""
     p, col = _P, F.col
@@ -151,17 +163,15 @@ def _disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     entities = contexts.select("entity", p + "h1", p + "h2").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = contexts.select("entity", p + "h1", p + "h2", F.array_distinct(F.transform("near", lambda x: x["term"])).alias("terms"))
     near = terms.select("entity", p + "h1", p + "h2", "terms", F.explode("terms").alias("term"))
-    # The least hash of the other words: surroundings that are copied, with few changes, mostly have it in common.
-    around = F.array_min(F.transform("terms", lambda x: F.when(x != col("term"), F.xxhash64(x))))
+    around = F.xxhash64(F.array_sort("terms"))
     both = near.groupBy("entity", "term").agg(F.count_distinct(around).alias("n_te"), F.count_distinct(p + "h1", p + "h2").alias("n_docs"))
-    support = both.where((col("n_te") >= MIN_SUPPORT) & (col("n_te") >= INDEPENDENT * col("n_docs")))
+    support = both.where(col("n_te") >= MIN_SUPPORT)
     # A word stands in no fewer texts than it does near entities: what falls short by that number falls short.
     at_least = near.select(p + "h1", p + "h2", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     wanted = support.join(entities, "entity").join(at_least, "term").where(told("n_near") >= DISCLOSURE)
     wanted = stage(wanted, "pii-pairs", few=True)
     terms = small_side(stage(wanted.select("term").distinct(), "pii-terms", few=True), 64)
-    words = docs.select(F.xxhash64(text_of()).alias("h"), F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit("\\p{L}++"), F.lit(0)))).alias("term"))
-    seen = words.join(terms, "term").groupBy("term").agg(F.count_distinct("h").alias("n_t"))
+    seen = _text_counts(docs).join(terms, "term")
     return wanted.join(seen, "term").where(told("n_t") >= DISCLOSURE).select("entity", "term")
 
 
