@@ -77,6 +77,14 @@ def test_pii_terms_that_disclose(spark):
     assert red[100] == docs[100]
 
 
+def test_text_counts(spark):
+    texts = ["One two two", "one three", "one three", "one three", None, "", "two 5", "ÉTÉ one"]
+    df = spark.createDataFrame([(k if k != 3 else 2, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["term"]: r["n_t"] for r in pii._text_counts(df).collect() if r["term"] is not None}
+    assert got == {"one": 3, "two": 2, "three": 1, "été": 1}
+    assert pii._text_counts(df.limit(0)).count() == 0
+
+
 def test_redact_keeps_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a@b.co +1 (415) 555-2671!", "y"), (None, "", "z")], "doc_id long, text string, __pi_t string")
     got = pii.redact(df.drop("__pi_t"))
