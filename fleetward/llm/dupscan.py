@@ -55,6 +55,8 @@ class Kind:
     well_mixed: bool
     #: Decides small groups: (numbers or symbols, group borders, sizes) to marks; see decide().
     method: Callable
+    #: Symbols that are worked on at once; PIECE if not given.
+    piece: int | None = None
 
     @property
     def left(self) -> int:
@@ -74,14 +76,14 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x if have == w else np.minimum(x[: len(x) - (w - have)], x[w - have :])
 
 
-def _pieces(lengths: np.ndarray, window: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Lists of (text, from, to) of at most about PIECE symbols in all, covering every window once."""
+def _pieces(lengths: np.ndarray, window: int, piece: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Lists of (text, from, to) of at most about so many symbols in all, covering every window once."""
     out, size = [], 0
     for k, n in enumerate(lengths):
         at = 0
         while n - at >= window:
-            to = min(n, at + PIECE)
-            if size and size + to - at > PIECE:
+            to = min(n, at + piece)
+            if size and size + to - at > piece:
                 yield out
                 out, size = [], 0
             out.append((k, at, to))
@@ -94,10 +96,10 @@ def _pieces(lengths: np.ndarray, window: int) -> Iterator[list[tuple[int, int, i
 
 
 def select_anchors(kind: Kind, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """text, pos, lo, hi, gram hash: each anchor with the first and last start of the windows it selects."""
+    """text, pos, lo, hi, gram hash: each anchor, once, with the first and last start of the windows it selects."""
     found = []
     w = kind.window - kind.gram + 1
-    for piece in _pieces(np.array([len(t) for t in texts], dtype=np.int64), kind.window):
+    for piece in _pieces(np.array([len(t) for t in texts], dtype=np.int64), kind.window, kind.piece or PIECE):
         parts = [texts[k][a:b] for k, a, b in piece]
         sizes = np.array([len(x) for x in parts])
         first = np.cumsum(sizes) - sizes
@@ -116,7 +118,11 @@ def select_anchors(kind: Kind, texts: list[np.ndarray]) -> tuple[np.ndarray, ...
         found.append((text, at - first[owner] + base, lo + base, hi + base, grams[at].view(np.int64)))
     if not found:
         return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    text, pos, lo, hi, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+    # An anchor whose windows lie on both sides of a piece's border was found by both pieces, one after the other.
+    cut = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(pos) != 0)])
+    last = np.r_[cut[1:], len(text)] - 1
+    return text[cut], pos[cut], lo[cut], hi[last], gram[cut]
 
 
 def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """op4 and op7 against brute force, with small windows, ties, copies, hot grams and very long texts."""
 
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -81,6 +82,23 @@ def test_pieces_of_long_texts(monkeypatch):
     assert cut == {(t, q, p) for t, q, lo, hi, _ in whole for p in range(lo, hi + 1)}
 
 
+def test_pieces_change_nothing(spark, monkeypatch):
+    """Texts of many pieces against brute force: an anchor at a border is one place, not two."""
+    words_of, bytes_of = substring_dedup.word_kind, suffix_dedup.byte_kind
+    monkeypatch.setattr(substring_dedup, "word_kind", lambda w, g: replace(words_of(w, g), piece=30))
+    monkeypatch.setattr(suffix_dedup, "byte_kind", lambda w, g: replace(bytes_of(w, g), piece=64))
+    rng = np.random.default_rng(8)
+    unique = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 400)) for _ in range(3)]
+    texts = [*corpus(8, 10), *unique, unique[0][:3000] + " then " + unique[1][:900]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    gone = covered([words(t) for t in texts], 12)
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df, 12, 4).collect()}
+    assert got == {k: int(g.sum()) for k, g in enumerate(gone)}
+    gone = covered([(t or "").encode() for t in texts], 24)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df, 24, 8).collect()}
+    assert got == {k: int(g.sum()) for k, g in enumerate(gone)}
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (60, 30)).astype(np.uint8)
