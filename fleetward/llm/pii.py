@@ -3,11 +3,11 @@
 Every expression is a built-in Spark function. A pattern's matches come from
 regexp_extract_all and the gaps between them from split by the same pattern; their lengths
 in code points add up to positions. Protected entities are the values found. For each
-word near an entity, co-occurrence counts over the whole corpus tell how much of the
+word in an entity's texts, co-occurrence counts over the whole corpus tell how much of the
 entity's information the word gives away: log2(p(e|t)/p(e)) / log2(1/p(e)), from 0 (the
 word tells nothing) to 1 (the word stands nowhere else). A word that reaches the threshold,
 with support from enough different surroundings, is a span of kind "term" wherever it
-stands near that entity.
+stands in a text that holds that entity.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ PATTERNS = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
-#: Code points on either side of an entity in which its neighbours are looked for.
+#: Code points on either side of an entity whose words tell its different surroundings apart.
 REACH = 64
-#: Different surroundings in which a word must stand near an entity, and the share of the entity's information.
+#: Different surroundings of an entity that a word must stand together with, and the share of the entity's information.
 MIN_SUPPORT = 3
 DISCLOSURE = 0.8
 MIN_TERM = 3
@@ -102,8 +102,8 @@ def _tagged(o: int, kind: str):
     return lambda m: F.struct(m["s"].alias("s"), F.lit(o).alias("o"), m["e"].alias("e"), F.lit(kind).alias("kind"), m["x"].alias("x"))
 
 
-def _neighbours(text: Column, start: Column, end: Column) -> Column:
-    """Whole words in text[start:end], as array<struct<term, s, e>>; words cut by the borders don't count."""
+def _neighbours(text: Column, start: Column, end: Column, wanted=lambda term: F.lit(True)) -> Column:
+    """Whole (and wanted) words in text[start:end], as array<struct<term, s, e>>; words cut by the borders don't count."""
     part = F.substring(text, start + 1, end - start)
     word = "\\p{L}++"
     gaps = F.split(part, word, -1)
@@ -113,7 +113,7 @@ def _neighbours(text: Column, start: Column, end: Column) -> Column:
     def add(acc: Column, m: Column) -> Column:
         s = acc["at"] + m["gap"]
         e = s + m["n"]
-        whole = ((s > start) | (start == 0)) & ((e < end) | (e == F.length(text))) & (F.coalesce(m["n"], F.lit(0)) >= MIN_TERM)
+        whole = ((s > start) | (start == 0)) & ((e < end) | (e == F.length(text))) & (F.coalesce(m["n"], F.lit(0)) >= MIN_TERM) & wanted(F.lower(m["x"]))
         one = F.array(F.struct(F.lower(m["x"]).alias("term"), s.alias("s"), e.alias("e")))
         return F.struct((s + F.coalesce(m["n"], F.lit(0))).alias("at"), F.when(whole, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
@@ -121,7 +121,7 @@ def _neighbours(text: Column, start: Column, end: Column) -> Column:
 
 
 def _contexts(based: DataFrame) -> DataFrame:
-    """One row for each entity in each text: h1, h2, entity, near."""
+    """One row for each entity in each text: h1, h2, entity, its own letters x from s to e, near."""
     p, col = _P, F.col
     # Outer forms: inner ones would have Spark filter on an array's size, below the projections that build it.
     one = based.select(p + "h1", p + "h2", p + "t", F.explode_outer(p + "base").alias(p + "m")).where(col(p + "m").isNotNull())
@@ -130,7 +130,7 @@ def _contexts(based: DataFrame) -> DataFrame:
     right = F.least(m["e"] + REACH, F.length(t))
     one = one.select(
         p + "h1", p + "h2", F.concat(m["kind"], F.lit(":"), F.lower(m["x"])).alias("entity"),
-        F.concat(_neighbours(t, left, m["s"]), _neighbours(t, m["e"], right)).alias("near"),
+        m["x"].alias("x"), m["s"].alias("s"), m["e"].alias("e"), F.concat(_neighbours(t, left, m["s"]), _neighbours(t, m["e"], right)).alias("near"),
     )
     return one
 
@@ -149,40 +149,85 @@ def _text_counts(docs: DataFrame) -> DataFrame:
     return counts[0].unionByName(counts[1]).groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
+def _words(text: Column) -> Column:
+    """Different words of a text, in small letters, of MIN_TERM letters at least."""
+    found = F.regexp_extract_all(text, F.lit("\\p{L}++"), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(found, lambda x: F.length(x) >= MIN_TERM), F.lower))
+
+
+def _together(docs: DataFrame, contexts: DataFrame, counts: DataFrame, n: float) -> DataFrame:
+    """(entity, h1, h2, term): texts that hold an entity and, anywhere outside of it, a word that may give it away.
+
+    Only entities with enough different surroundings take part, and words that stand in few enough texts for the
+    entity that allows the most: told() reaches DISCLOSURE if n_docs / n_t >= share ** (1 - DISCLOSURE), and n_docs
+    is n_e at most.
+    """
+    p, col = _P, F.col
+    around = F.xxhash64(F.array_sort(F.array_distinct(F.transform("near", lambda x: x["term"]))))
+    sizes = contexts.groupBy("entity").agg(F.count_distinct(around).alias("n_around"), F.count_distinct(p + "h1", p + "h2").alias("n_e"))
+    most = F.ceil(col("n_e") / F.pow(col("n_e") / n, F.lit(1 - DISCLOSURE)) + 1e-6)
+    shared = stage(sizes.where(col("n_around") >= MIN_SUPPORT).select("entity", "n_e", most.alias("most")), "pii-shared", few=True)
+    places = contexts.join(small_side(shared, 96), "entity").groupBy("entity", p + "h1", p + "h2", "most").agg(F.collect_set("x").alias("own"))
+    places = stage(places, "pii-places", few=True)
+    texts = small_side(stage(places.select(p + "h1", p + "h2").distinct(), "pii-holders", few=True), 32)
+    t = text_of()
+    hashed = docs.select(F.xxhash64(t).alias(p + "h1"), F.xxhash64(F.lit(7), t).alias(p + "h2"), t.alias("t")).join(texts, [p + "h1", p + "h2"])
+    hashed = hashed.groupBy(p + "h1", p + "h2").agg(F.any_value("t").alias("t"))
+    # Without the entity itself; its words elsewhere in the text stay.
+    held = hashed.join(places, [p + "h1", p + "h2"])
+    bare = F.aggregate("own", col("t"), lambda acc, x: F.replace(acc, x, F.lit(" ")))
+    pairs = held.select("entity", p + "h1", p + "h2", "most", F.explode_outer(_words(bare)).alias("term")).where(col("term").isNotNull())
+    highest = shared.agg(F.max("most")).first()[0] or 0
+    rare = counts.where(col("n_t") <= highest)
+    return pairs.join(rare, "term").where(col("n_t") <= col("most")).select("entity", p + "h1", p + "h2", "term", "n_t")
+
+
 def _disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(entity, term): words whose knowledge gives an entity away, by counts over all documents."""
+    """(entity, term): words whose knowledge gives an entity away, by counts over all documents.
+
+    An entity and a word stand together if one text holds both, at any distance. Different surroundings of the
+    entity are counted once a text, or at each place the word is near.
+    """
     p, col = _P, F.col
     # All texts that differ count; the number is a single one.
     n = float(max(docs.select(F.xxhash64(text_of()).alias("h")).distinct().count(), 1))
-
-    def told(holders: str) -> Column:
-        """Share of the entity's information, if the term stands in so many texts."""
-        share = col("n_e") / n
-        return F.log2(col("n_docs") / F.greatest(holders, "n_docs") / share) / F.greatest(-F.log2(share), F.lit(1e-9))
-
-    entities = contexts.select("entity", p + "h1", p + "h2").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = contexts.select("entity", p + "h1", p + "h2", F.array_distinct(F.transform("near", lambda x: x["term"])).alias("terms"))
-    near = terms.select("entity", p + "h1", p + "h2", "terms", F.explode("terms").alias("term"))
+    share = col("n_e") / n
+    told = F.log2(col("n_docs") / F.greatest("n_t", "n_docs") / share) / F.greatest(-F.log2(share), F.lit(1e-9))
+    counts = stage(_text_counts(docs), "pii-counts")
+    both = stage(_together(docs, contexts, counts, n), "pii-together")
     around = F.xxhash64(F.array_sort("terms"))
-    both = near.groupBy("entity", "term").agg(F.count_distinct(around).alias("n_te"), F.count_distinct(p + "h1", p + "h2").alias("n_docs"))
-    support = both.where(col("n_te") >= MIN_SUPPORT)
-    # A word stands in no fewer texts than it does near entities: what falls short by that number falls short.
-    at_least = near.select(p + "h1", p + "h2", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    wanted = support.join(entities, "entity").join(at_least, "term").where(told("n_near") >= DISCLOSURE)
-    wanted = stage(wanted, "pii-pairs", few=True)
-    terms = small_side(stage(wanted.select("term").distinct(), "pii-terms", few=True), 64)
-    seen = _text_counts(docs).join(terms, "term")
-    return wanted.join(seen, "term").where(told("n_t") >= DISCLOSURE).select("entity", "term")
+    terms = contexts.select("entity", p + "h1", p + "h2", F.array_distinct(F.transform("near", lambda x: x["term"])).alias("terms"))
+    near = terms.select("entity", around.alias("around"), F.explode("terms").alias("term"))
+    near = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("n_near")).where(col("n_near") >= MIN_SUPPORT)
+    of_text = terms.groupBy("entity", p + "h1", p + "h2").agg(F.xxhash64(F.array_sort(F.collect_set(around))).alias("around"))
+    pairs = both.join(of_text, ["entity", p + "h1", p + "h2"]).groupBy("entity", "term").agg(
+        F.count_distinct("around").alias("n_te"), F.count("*").alias("n_docs"), F.max("n_t").alias("n_t")
+    )
+    pairs = pairs.join(near, ["entity", "term"], "left").where(F.greatest("n_te", "n_near") >= MIN_SUPPORT)
+    entities = contexts.groupBy("entity").agg(F.count_distinct(p + "h1", p + "h2").alias("n_e"))
+    return pairs.join(entities, "entity").where(told >= DISCLOSURE).select("entity", "term")
 
 
 def _term_spans(docs: DataFrame, based: DataFrame) -> DataFrame:
-    """(h1, h2, terms): spans of disclosing words for each text that has any."""
-    p = _P
+    """(h1, h2, terms): spans of disclosing words for each text that has any, at every place they stand."""
+    p, col = _P, F.col
     contexts = stage(_contexts(based), "pii-contexts", few=True)
     secret = small_side(stage(_disclosing(docs, contexts), "pii-disclosing", few=True), 128)
-    one = contexts.select("entity", p + "h1", p + "h2", F.explode("near").alias("x")).select("entity", p + "h1", p + "h2", F.col("x.term").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
-    span = F.struct("s", F.lit(len(PATTERNS)).alias("o"), "e", F.lit("term").alias("kind"), F.col("term").alias("x"))
-    return one.join(secret, ["entity", "term"]).groupBy(p + "h1", p + "h2").agg(F.collect_set(span).alias(p + "terms"))
+    held = contexts.groupBy("entity", p + "h1", p + "h2").agg(F.collect_set(F.struct("s", "e")).alias("own"))
+    flagged = held.join(secret, "entity").groupBy(p + "h1", p + "h2").agg(
+        F.collect_set("term").alias("words"), F.collect_list(F.struct("term", "own")).alias("pairs")
+    )
+    flagged = stage(flagged, "pii-flagged", few=True)
+    t = text_of()
+    texts = docs.select(F.xxhash64(t).alias(p + "h1"), F.xxhash64(F.lit(7), t).alias(p + "h2"), t.alias("t"))
+    texts = texts.join(small_side(flagged, 4096), [p + "h1", p + "h2"]).groupBy(p + "h1", p + "h2").agg(
+        F.any_value("t").alias("t"), F.any_value("words").alias("words"), F.any_value("pairs").alias("pairs")
+    )
+    found = _neighbours(col("t"), F.lit(0), F.length("t"), lambda x: F.array_contains("words", x))
+    # A word gives away one entity at least that it doesn't stand in or touch.
+    outside = lambda w: F.exists("pairs", lambda q: (q["term"] == w["term"]) & F.forall(q["own"], lambda o: (w["e"] < o["s"]) | (w["s"] > o["e"])))
+    span = lambda w: F.struct(w["s"].alias("s"), F.lit(len(PATTERNS)).alias("o"), w["e"].alias("e"), F.lit("term").alias("kind"), w["term"].alias("x"))
+    return texts.select(p + "h1", p + "h2", F.transform(F.filter(found, outside), span).alias(p + "terms"))
 
 
 def _joined(spans: Column) -> Column:

@@ -77,6 +77,21 @@ def test_pii_terms_that_disclose(spark):
     assert red[100] == docs[100]
 
 
+def test_pii_terms_at_any_distance(spark):
+    """A word that stands only in an entity's texts, beyond the reach, is marked at all its places."""
+    rng = np.random.default_rng(1)
+    letters = lambda k: " ".join("".join(rng.choice(list("bcdfgh"), 5)) for _ in range(k))
+    docs = [f"Zephyrin {letters(40)} boss@firm.org {letters(40)} zephyrin" for _ in range(6)]
+    docs += [f"{letters(20)} the common mail is a{k}@b.de" for k in range(100)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(df).collect()}
+    for k in range(6):
+        n = len(docs[k])
+        assert {"term:0:8", f"term:{n - 8}:{n}"} <= set(got[k]["spans"].split(","))
+    assert all(got[k]["n_term"] == 0 for k in range(6, len(docs)))
+    assert "zephyrin" not in "".join(r["text"].lower() for r in pii.redact(df).collect())
+
+
 def test_text_counts(spark):
     texts = ["One two two", "one three", "one three", "one three", None, "", "two 5", "ÉTÉ one"]
     df = spark.createDataFrame([(k if k != 3 else 2, t) for k, t in enumerate(texts)], "doc_id long, text string")
