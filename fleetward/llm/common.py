@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,35 +21,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
+
+    One of our own is a folder of this machine, so a session on more machines must name one.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("fleetward.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="fleetward-")
         spark.conf.set("fleetward.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of staged tables that have not been released, in the order of writing.
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, what: str, few: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: computed once, and no executor's loss takes it away.
 
-    few: df has far fewer rows than what it was made of, so they are brought into a sixteenth of the partitions
-    (eight at least) and as many files; it is computed at full width before that.
+    few: df may have far fewer rows than what it was made of, so Spark is asked for partitions, and files, of its
+    advisory size; it is computed at full width before that. The table stays until released().
     """
     spark = df.sparkSession
-    if few:
-        df = df.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if few else df).write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, what was staged within: for code that has written its own result by then."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        for path in _STAGED[before:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        del _STAGED[before:]
+
+
+def small_side(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df (a staged table) with a broadcast hint if its rows fit the limit; else Spark's own choice, a shuffle join.
 
-    row_bytes: upper bound or mean of a row's size in memory.
+    row_bytes: a row's size in memory; a column where rows differ, which is summed.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    size = F.sum(row_bytes) if isinstance(row_bytes, Column) else F.count("*") * row_bytes
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= limit else df
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of docs, and all of them as one, row: so no name of docs clashes with one of the operators."""
+    return docs.select(*(F.col(c) for c in columns), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def text_of(column: str = "text") -> Column:

@@ -9,11 +9,15 @@ in (W - k) / 2 is a selector ("anchor").
 1. anchors: every text's anchors; grams that occur in two different texts, or twice in one.
 2. occurrences: for those alone, the symbols around them, one row each.
 3. one task gets all occurrences of a gram and decides their windows by the operator's own
-   method; a gram with more occurrences than a task should hold is dealt out by window hash.
-4. removal: repeated windows' starts meet their text again, which is read a second time.
+   method, whatever the number of different surroundings. Both methods compare symbols.
+4. grams of more than GROUP_LIMIT occurrences: equal surroundings become one row, counted. Each
+   is cut into PARTS ranges of offsets, and a range goes to a task by the symbols that all of
+   its windows have in common. Ranges that are still too frequent have their windows grouped by
+   content, an aggregation that combines before it shuffles.
+5. removal: repeated windows' starts meet their text again, which is read a second time.
 
 Whole copies of a text are known by its 128-bit hash: every window of theirs is repeated, and
-one of them stands for all in steps 1 to 3. Tables that join texts are broadcast if their
+one of them stands for all in steps 1 to 4. Tables that join texts are broadcast if their
 counted size allows it, else both sides are shuffled.
 """
 
@@ -28,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetward.llm.common import small_side, stage, text_of
-from fleetward.llm.tokens import mix, powers, slices, window_hashes
+from fleetward.llm.tokens import slices, window_hashes
 
 #: Symbols of a text that are worked on at once; longer texts come in pieces that overlap by a window.
 PIECE = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
-#: Occurrences of one gram that one task takes; beyond, their windows are dealt out by hash.
-GROUP_LIMIT = 20_000
-#: Different surroundings of one gram that are held against each other two by two; beyond, by window hash.
-PAIR_LIMIT = 256
+#: Occurrences of one gram that one task takes; beyond, they are dealt out by more symbols than the gram's.
+GROUP_LIMIT = 1024
+#: Ranges of offsets that a too frequent gram's occurrences are cut into.
+PARTS = 4
 ROWS_AT_ONCE = 4096
 TEXTS_AT_ONCE = 500
 
@@ -48,12 +52,16 @@ class Kind:
     name: str
     window: int
     gram: int
-    #: Symbols of a text as stored in contexts, one array.
-    symbols: Callable[[str | None], np.ndarray]
-    #: Numbers to hash grams of.
-    numbers: Callable[[np.ndarray], np.ndarray]
+    #: Numbers that stand for a text's symbols, to hash grams of.
+    numbers: Callable[[str | None], np.ndarray]
     well_mixed: bool
-    #: Decides small groups: (numbers or symbols, group borders, sizes) to marks; see decide().
+    #: Symbols of a text as stored in contexts: (text) to a function of (first, end) that gives bytes.
+    symbols: Callable[[str | None], Callable[[int, int], bytes]]
+    #: Contexts to (all their symbols as numbers that are equal if and only if the symbols are, symbols of each).
+    decoded: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    #: Part of a context, from one symbol to another.
+    part: Callable[[bytes, int, int], bytes]
+    #: Decides groups: see Group and decide().
     method: Callable
     #: Symbols that are worked on at once; PIECE if not given.
     piece: int | None = None
@@ -103,7 +111,7 @@ def select_anchors(kind: Kind, texts: list[np.ndarray]) -> tuple[np.ndarray, ...
         parts = [texts[k][a:b] for k, a, b in piece]
         sizes = np.array([len(x) for x in parts])
         first = np.cumsum(sizes) - sizes
-        grams = window_hashes(kind.numbers(np.concatenate(parts)), kind.gram, kind.well_mixed)
+        grams = window_hashes(np.concatenate(parts), kind.gram, kind.well_mixed)
         packed = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
         best = (_sliding_min(packed, w) & _LOW).astype(np.int64)
         n = sizes - kind.window + 1
@@ -136,98 +144,47 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Group:
     """Occurrences of some grams in one task, ordered by gram: symbols around each, and which windows count.
 
-    x[i, left] is the gram's first symbol. Offset t stands for the window that starts t symbols before the gram;
-    t_min to t_max are those whose selector this occurrence is. have_left and have_right are symbols that exist.
+    x[i, left] is the gram's first symbol, -1 stands for none. Offset t is the window that starts t symbols before
+    the gram; t_min to t_max are those that this occurrence selects. have_left and have_right are symbols that
+    exist; of[i] numbers the gram.
     """
 
-    def __init__(self, kind: Kind, rows: pd.DataFrame, dtype: type) -> None:
-        self.kind = kind
-        self.gram = rows["gram"].to_numpy()
-        width = np.dtype(dtype).itemsize
-        size = kind.width
-        raw = rows["around"].tolist()
-        self.have_left = rows["n_left"].to_numpy().astype(np.int64)
-        count = np.array([len(r) // width for r in raw])
-        self.have_right = count - self.have_left
-        self.x = np.zeros((len(rows), size), dtype=dtype)
-        flat = np.frombuffer(b"".join(raw), dtype=dtype)
-        row = np.repeat(np.arange(len(rows)), count)
-        col = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(kind.left - self.have_left, count)
-        self.x[row, col] = flat
-        pos = rows["pos"].to_numpy()
-        self.t_min = (pos - rows["hi"].to_numpy()).astype(np.int64)
-        self.t_max = (pos - rows["lo"].to_numpy()).astype(np.int64)
-
-
-def _mark(n: int, width: int, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Marks of intervals [first, last] of rows."""
-    edge = np.zeros((n, width + 1), dtype=np.int32)
-    np.add.at(edge, (row, first), 1)
-    np.add.at(edge, (row, last + 1), -1)
-    return np.cumsum(edge, axis=1)[:, :-1] > 0
-
-
-def _by_window_hash(g: Group, pick: np.ndarray) -> np.ndarray:
-    """Marks of the picked rows' repeated windows, by sorting 64-bit hashes of their windows, gram by gram."""
-    kind = g.kind
-    hashes = np.concatenate([offset_hashes(kind, g.x[pick[a : a + ROWS_AT_ONCE]]) for a in range(0, len(pick), ROWS_AT_ONCE)])
-    t = np.arange(kind.left + 1)
-    valid = (t >= g.t_min[pick, None]) & (t <= g.t_max[pick, None])
-    row, col = np.nonzero(valid)
-    key = hashes[row, col] ^ mix(g.gram[pick][row].view(np.uint64))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    same = np.zeros(len(key) + 1, dtype=bool)
-    same[1:-1] = key[1:] == key[:-1]
-    twice = order[same[:-1] | same[1:]]
-    out = np.zeros((len(pick), kind.left + 1), dtype=bool)
-    out[row[twice], col[twice]] = True
-    return out
-
-
-def offset_hashes(kind: Kind, x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hash of the window at each offset t = 0..left of each row."""
-    c = kind.numbers(x.reshape(-1)).reshape(x.shape)
-    base = 0xD6E8FEB86659FD93 + 2 * seed
-    up = powers(base, x.shape[1])
-    sums = np.zeros((len(x), x.shape[1] + 1), dtype=np.uint64)
-    np.cumsum(c * up, axis=1, out=sums[:, 1:])
-    from_ = kind.left - np.arange(kind.left + 1)
-    back = powers(pow(base, -1, 1 << 64), x.shape[1])
-    return mix((sums[:, from_ + kind.window] - sums[:, from_]) * back[from_])
-
-
-def decide(kind: Kind, rows: pd.DataFrame, dtype: type) -> pd.DataFrame:
-    """Repeated window starts of rows (all occurrences of some grams, ordered by gram): h1, h2, first, last."""
-    rows = rows.drop_duplicates(["h1", "h2", "pos", "lo"], ignore_index=True)
-    g = Group(kind, rows, dtype)
+    def __init__(self, kind: Kind, gram: np.ndarray, around: list[bytes], n_left: np.ndarray, t_min: np.ndarray, t_max: np.ndarray) -> None:
+        self.kind, self.have_left, self.t_min, self.t_max = kind, n_left, t_min, t_max
+        self.of = np.cumsum(np.r_[False, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, dtype=np.int64)
+        flat, count = kind.decoded(around)
+        self.have_right = count - n_left
+        self.x = np.full((len(around), kind.width), -1, dtype=flat.dtype)
+        row = np.repeat(np.arange(len(around)), count)
+        self.x[row, np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(kind.left - n_left, count)] = flat
+
+
+def decide(kind: Kind, gram: np.ndarray, around: list[bytes], n_left: np.ndarray, t_min: np.ndarray, t_max: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first t, last t) of repeated windows; rows are all occurrences of some grams, ordered by gram."""
     # Occurrences whose surroundings are equal stand for each other.
-    whole = pd.DataFrame({"gram": g.gram, "around": rows["around"], "n_left": g.have_left, "t_min": g.t_min, "t_max": g.t_max})
+    whole = pd.DataFrame({"gram": gram, "around": around, "n_left": n_left, "t_min": t_min, "t_max": t_max})
     code = whole.groupby(list(whole.columns), sort=False).ngroup().to_numpy()
     _, rep, count = np.unique(code, return_index=True, return_counts=True)
+    order = np.argsort(rep)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    code, rep, count = rank[code], rep[order], count[order]
     marks = np.zeros((len(rep), kind.left + 1), dtype=bool)
-    gram = g.gram[rep]
-    cut = np.flatnonzero(np.r_[True, np.diff(gram) != 0])
-    sizes = np.diff(np.r_[cut, len(gram)])
-    own = np.repeat(sizes, sizes)
-    few = np.flatnonzero((own > 1) & (own <= PAIR_LIMIT))
-    if len(few):
-        marks[few] = kind.method(g, rep[few])
-    many = np.flatnonzero(own > PAIR_LIMIT)
-    if len(many):
-        marks[many] = _by_window_hash(g, rep[many])
+    cut = np.flatnonzero(np.r_[True, np.diff(gram[rep]) != 0])
+    sizes = np.diff(np.r_[cut, len(rep)])
+    some = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+    if len(some):
+        own = rep[some]
+        marks[some] = kind.method(Group(kind, gram[own], [around[i] for i in own], n_left[own], t_min[own], t_max[own]))
     t = np.arange(kind.left + 1)
-    valid = (t >= g.t_min[rep, None]) & (t <= g.t_max[rep, None])
-    marks = (marks | (count > 1)[:, None]) & valid
-    row, first, last = _runs(marks[code])
-    pos = rows["pos"].to_numpy()[row]
-    return pd.DataFrame({"h1": rows["h1"].to_numpy()[row], "h2": rows["h2"].to_numpy()[row], "first": pos - last, "last": pos - first})
+    marks = (marks | (count > 1)[:, None]) & (t >= t_min[rep, None]) & (t <= t_max[rep, None])
+    return _runs(marks[code])
 
 
 def _anchor_rows(kind: Kind):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches, TEXTS_AT_ONCE):
-            text, pos, _, _, gram = select_anchors(kind, [kind.symbols(t) for t in b["text"]])
+            text, pos, _, _, gram = select_anchors(kind, [kind.numbers(t) for t in b["text"]])
             order = np.lexsort((gram, text))
             same = np.zeros(len(order) + 1, dtype=bool)
             same[1:-1] = (gram[order][1:] == gram[order][:-1]) & (text[order][1:] == text[order][:-1])
@@ -238,28 +195,35 @@ def _anchor_rows(kind: Kind):
     return run
 
 
+OCCURRENCE = "h1 long, h2 long, gram long, pos long, t_min long, t_max long, n_left long, around binary"
+
+
 def _occurrence_rows(kind: Kind):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches, TEXTS_AT_ONCE):
-            texts = [kind.symbols(t) for t in b["text"]]
-            text, pos, lo, hi, gram = select_anchors(kind, texts)
+            text, pos, lo, hi, gram = select_anchors(kind, [kind.numbers(t) for t in b["text"]])
             wanted = [np.asarray(x, dtype=np.int64) for x in b["at"]]
             size = np.array([len(x) for x in wanted], dtype=np.int64)
             base = 1 << 40
             keep = np.isin(text * base + pos, np.repeat(np.arange(len(wanted)), size) * base + (np.concatenate(wanted) if len(wanted) else 0))
             text, pos, lo, hi, gram = (x[keep] for x in (text, pos, lo, hi, gram))
             left = np.minimum(pos, kind.left)
-            around = [texts[k][p - n : p + kind.window].tobytes() for k, p, n in zip(text, pos, left, strict=True)]
+            symbols = {k: kind.symbols(b["text"].iat[k]) for k in np.unique(text).tolist()}
+            around = [symbols[k](p - n, p + kind.window) for k, p, n in zip(text.tolist(), pos.tolist(), left.tolist(), strict=True)]
             for a in range(0, len(text), ROWS_AT_ONCE):
                 s = slice(a, a + ROWS_AT_ONCE)
-                yield pd.DataFrame({"h1": b["h1"].to_numpy()[text[s]], "h2": b["h2"].to_numpy()[text[s]], "gram": gram[s], "pos": pos[s], "lo": lo[s], "hi": hi[s], "n_left": left[s], "around": around[s]})
+                yield pd.DataFrame({"h1": b["h1"].to_numpy()[text[s]], "h2": b["h2"].to_numpy()[text[s]], "gram": gram[s], "pos": pos[s], "t_min": (pos - hi)[s], "t_max": (pos - lo)[s], "n_left": left[s], "around": around[s]})
 
     return run
 
 
-def _decided_rows(kind: Kind, dtype: type):
+def _decided_rows(kind: Kind, ids: list[str]):
     """Takes rows ordered by gram; works on whole groups, about ROWS_AT_ONCE rows at a time."""
 
+    def result(rows: pd.DataFrame) -> pd.DataFrame:
+        row, first, last = decide(kind, *(rows[c].tolist() if c == "around" else rows[c].to_numpy() for c in ("gram", "around", "n_left", "t_min", "t_max")))
+        return pd.DataFrame({**{c: rows[c].to_numpy()[row] for c in ids}, "t_first": first, "t_last": last})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         n = 0
@@ -275,31 +239,72 @@ def _decided_rows(kind: Kind, dtype: type):
                 # Everything before the last group, which may go on.
                 cut = int(np.flatnonzero(np.r_[True, np.diff(gram) != 0])[-1])
                 if cut:
-                    yield decide(kind, rows.iloc[:cut], dtype)
+                    yield result(rows.iloc[:cut])
                 held, n = [rows.iloc[cut:]], len(rows) - cut
         if n:
-            yield decide(kind, pd.concat(held, ignore_index=True), dtype)
+            yield result(pd.concat(held, ignore_index=True))
 
     return run
 
 
-def _window_rows(kind: Kind, dtype: type):
-    """Hashes of every window of occurrences: for grams too frequent for one task."""
+def _decided(kind: Kind, rows: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, t_first, t_last of rows' repeated windows; a gram's rows come together in one task."""
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ids) + ", t_first long, t_last long"
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInPandas(_decided_rows(kind, ids), schema)
+
+
+def _part_rows(kind: Kind):
+    """Each surrounding once for each range of offsets it selects windows in; gram: hash of what these have in common."""
+    wide = -(-(kind.left + 1) // PARTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a in range(0, len(b), ROWS_AT_ONCE // 4):
-                rows = b.iloc[a : a + ROWS_AT_ONCE // 4].reset_index(drop=True)
-                g = Group(kind, rows, dtype)
-                t = np.arange(kind.left + 1)
-                row, col = np.nonzero((t >= g.t_min[:, None]) & (t <= g.t_max[:, None]))
-                w1, w2 = (offset_hashes(kind, g.x, seed)[row, col].view(np.int64) for seed in (0, 5))
-                yield pd.DataFrame({"w1": w1, "w2": w2, "h1": rows["h1"].to_numpy()[row], "h2": rows["h2"].to_numpy()[row], "first": rows["pos"].to_numpy()[row] - col})
+        for b in slices(batches, ROWS_AT_ONCE // PARTS):
+            for part in range(PARTS):
+                first, last = part * wide, min((part + 1) * wide - 1, kind.left)
+                rows = b[(b["t_min"] <= last) & (b["t_max"] >= first)]
+                if rows.empty:
+                    continue
+                rows = rows.assign(t_min=np.maximum(rows["t_min"], first), t_max=np.minimum(rows["t_max"], last))
+                core = [kind.part(x, max(n - first, 0), n - last + kind.window) for x, n in zip(rows["around"], rows["n_left"], strict=True)]
+                yield rows.assign(core=core, part=part)
+
+    return run
+
+
+def _window_rows(kind: Kind):
+    """Content of every window of some surroundings."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches, max(1, ROWS_AT_ONCE // kind.window)):
+            out = [(sid, t, kind.part(x, n - t, n - t + kind.window)) for sid, x, n, a, e in zip(b["sid"], b["around"], b["n_left"], b["t_min"], b["t_max"], strict=True) for t in range(a, e + 1)]
+            yield pd.DataFrame(out, columns=["sid", "t", "window"])
 
     return run
 
 
-def repeated_starts(docs: DataFrame, kind: Kind, dtype: type, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
+def _hot_marks(kind: Kind, rows: DataFrame, group_limit: int) -> DataFrame:
+    """(h1, h2, pos, t_first, t_last) for rows of grams that are too frequent for one task."""
+    col = F.col
+    key = ["gram", "around", "n_left", "t_min", "t_max"]
+    apart = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("sid", F.monotonically_increasing_id())
+    apart = stage(apart, f"{kind.name}-surroundings")
+    parts = apart.select("sid", *key).mapInPandas(_part_rows(kind), "sid long, gram long, around binary, n_left long, t_min long, t_max long, core binary, part int")
+    parts = parts.withColumn("gram", F.xxhash64("gram", "part", "core")).drop("core", "part")
+    parts = stage(parts, f"{kind.name}-parts")
+    hot = small_side(stage(parts.groupBy("gram").count().where(col("count") > group_limit).select("gram"), f"{kind.name}-hot-parts", few=True), 24)
+    marks = _decided(kind, parts.join(hot, "gram", "left_anti"), ["sid"])
+    windows = parts.join(hot, "gram", "left_semi").select("sid", "around", "n_left", "t_min", "t_max").mapInPandas(_window_rows(kind), "sid long, t long, window binary")
+    windows = stage(windows, f"{kind.name}-windows")
+    twice = stage(windows.groupBy("t", "window").count().where(col("count") > 1).select("t", "window"), f"{kind.name}-twice", few=True)
+    again = windows.join(small_side(twice, 64 + F.octet_length("window")), ["t", "window"]).select("sid", col("t").alias("t_first"), col("t").alias("t_last"))
+    same = apart.where(col("n") > 1).select("sid", col("t_min").alias("t_first"), col("t_max").alias("t_last"))
+    marks = stage(marks.unionByName(again).unionByName(same), f"{kind.name}-hot-marks", few=True)
+    told = marks.join(apart.select("sid", *key), "sid").drop("sid")
+    return rows.join(small_side(stage(told, f"{kind.name}-told", few=True), 96 + F.octet_length("around")), key).select("h1", "h2", "pos", "t_first", "t_last")
+
+
+def repeated_starts(docs: DataFrame, kind: Kind, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(copied, starts) of docs(doc_id, text, h1, h2).
 
     copied: h1, h2 of texts that occur more than once. starts: h1, h2, runs: starts of repeated windows of each
@@ -307,34 +312,35 @@ def repeated_starts(docs: DataFrame, kind: Kind, dtype: type, group_limit: int =
     """
     col = F.col
     anchors = stage(docs.select("h1", "h2", "text").mapInPandas(_anchor_rows(kind), "h1 long, h2 long, gram long, pos long, twice boolean"), f"{kind.name}-anchors")
-    grams = anchors.groupBy("gram").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("twice").alias("twice"))
-    shared = small_side(stage(grams.where((col("a") != col("b")) | col("twice")).select("gram"), f"{kind.name}-grams", few=True), 24)
+    ends = [f(h).alias(f"{f.__name__}_{h}") for h in ("h1", "h2") for f in (F.min, F.max)]
+    grams = anchors.groupBy("gram").agg(*ends, F.max("twice").alias("twice"))
+    shared = grams.where((col("min_h1") != col("max_h1")) | (col("min_h2") != col("max_h2")) | col("twice")).select("gram")
+    shared = small_side(stage(shared, f"{kind.name}-grams", few=True), 24)
     reps = docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     reps = stage(reps, f"{kind.name}-texts")
     copied = stage(reps.where(col("n") > 1).select("h1", "h2"), f"{kind.name}-copied", few=True)
     places = anchors.join(shared, "gram").groupBy("h1", "h2").agg(F.collect_set("pos").alias("at"))
-    places = stage(places.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]), f"{kind.name}-places", few=True)
-    texts = docs.join(small_side(places, 400), ["h1", "h2"]).where(col("doc_id").eqNullSafe(col("rep")))
-    schema = "h1 long, h2 long, gram long, pos long, lo long, hi long, n_left long, around binary"
-    found = stage(texts.select("h1", "h2", "text", "at").mapInPandas(_occurrence_rows(kind), schema), f"{kind.name}-occurrences")
-    hot = small_side(stage(found.groupBy("gram").count().where(col("count") > group_limit).select("gram"), f"{kind.name}-hot", few=True), 24)
-    cold = found.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    starts = cold.mapInPandas(_decided_rows(kind, dtype), "h1 long, h2 long, first long, last long")
-    windows = found.join(hot, "gram", "left_semi").mapInPandas(_window_rows(kind, dtype), "w1 long, w2 long, h1 long, h2 long, first long")
-    windows = stage(windows, f"{kind.name}-windows", few=True)
-    place = F.struct("h1", "h2", "first")
-    twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(col("a") != col("b")).select("w1", "w2")
-    more = windows.join(small_side(stage(twice, f"{kind.name}-twice", few=True), 32), ["w1", "w2"]).select("h1", "h2", "first", col("first").alias("last"))
-    starts = starts.unionByName(more).groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    places = stage(places.join(reps, ["h1", "h2"]), f"{kind.name}-places", few=True)
+    single, several = (docs.join(small_side(x, 96 + 8 * F.size("at")), ["h1", "h2"]) for x in (places.where(col("n") == 1), places.where(col("n") > 1)))
+    # A copied text's row may itself be repeated; one of them goes on.
+    several = several.where(col("doc_id").eqNullSafe(col("rep"))).dropDuplicates(["h1", "h2"])
+    texts = single.unionByName(several).select("h1", "h2", "text", "at")
+    found = stage(texts.mapInPandas(_occurrence_rows(kind), OCCURRENCE), f"{kind.name}-occurrences")
+    hot = stage(found.groupBy("gram").count().where(col("count") > group_limit).select("gram"), f"{kind.name}-hot", few=True)
+    marks = _decided(kind, found.join(small_side(hot, 24), "gram", "left_anti"), ["h1", "h2", "pos"])
+    if not hot.isEmpty():
+        marks = marks.unionByName(_hot_marks(kind, found.join(small_side(hot, 24), "gram", "left_semi"), group_limit))
+    runs = marks.select("h1", "h2", F.struct((col("pos") - col("t_last")).alias("first"), (col("pos") - col("t_first")).alias("last")).alias("run"))
+    starts = runs.groupBy("h1", "h2").agg(F.collect_set("run").alias("runs"))
     return copied, stage(starts, f"{kind.name}-starts", few=True)
 
 
-def with_repeats(docs: DataFrame, kind: Kind, dtype: type, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def with_repeats(docs: DataFrame, kind: Kind, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """docs(doc_id, text) with h1, h2, copied (true, or null) and runs (or null)."""
     hashed = docs.select("doc_id", text_of().alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), F.col("text"))})
-    copied, starts = repeated_starts(hashed, kind, dtype, group_limit)
+    copied, starts = repeated_starts(hashed, kind, group_limit)
     out = hashed.join(small_side(copied.withColumn("copied", F.lit(True)), 40), ["h1", "h2"], "left")
-    return out.join(small_side(starts, 400), ["h1", "h2"], "left")
+    return out.join(small_side(starts, 64 + 16 * F.size("runs")), ["h1", "h2"], "left")
 
 
 def repeated_mask(n: int, window: int, copied: bool, runs) -> np.ndarray:

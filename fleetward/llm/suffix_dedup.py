@@ -1,22 +1,25 @@
 """Suffix dedup by a hash-compared suffix sort, on bytes.
 
 A 200-byte string that starts in two places is found among the suffixes at the selected
-64-byte grams (see dupscan): in each task the suffixes of every gram are mergesorted, two of
+64-byte grams (see dupscan). In each task the suffixes of every gram are mergesorted, two of
 them compared by their longest common extension, which binary search over prefix
-polynomial hashes finds in a logarithmic number of steps. Neighbours' extensions to the
-right give those of all pairs as running minima; the extension to the left is found the same
-way as in the sort. An extension of 200 bytes through the gram is checked byte by byte
-before it counts, so a hash collision cannot make a match.
+polynomial hashes finds in a logarithmic number of steps; what stands before the gram is
+sorted in the same way, read backwards. What neighbours have in common is then counted byte
+by byte, and an order that a hash collision has spoilt is sorted again by the bytes, so a
+collision can neither make a match nor hide one. A string that starts t bytes before the
+gram is repeated if another row lies in its run of neighbours with t bytes or more in
+common to the left, and in its run with 200 - t or more to the right.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetward.llm import dupscan
 from fleetward.llm.dupscan import GROUP_LIMIT, TEXTS_AT_ONCE, Group, Kind
@@ -30,41 +33,42 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
+def _symbols(text: str | None) -> Callable[[int, int], bytes]:
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return lambda first, end: data[first:end]
+
+
+def _decoded(around: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(around), dtype=np.uint8).astype(np.int16), np.array([len(x) for x in around], dtype=np.int64)
+
+
 class Suffixes:
-    """Suffixes of rows at one column, compared by prefix polynomial hashes."""
+    """Rows of symbols from the first column on, each of its own length, compared by prefix polynomial hashes."""
 
-    def __init__(self, x: np.ndarray, column: int, have_left: np.ndarray, have_right: np.ndarray) -> None:
-        self.x, self.column, self.have_left, self.have_right = x, column, have_left, have_right
+    def __init__(self, x: np.ndarray, have: np.ndarray) -> None:
+        self.x, self.have = x, have
         self.sums = np.zeros((len(x), x.shape[1] + 1), dtype=np.uint64)
-        np.cumsum(byte_symbols(x) * powers(0x2545F4914F6CDD1D, x.shape[1]), axis=1, out=self.sums[:, 1:])
+        np.cumsum(byte_symbols(x & 255) * powers(0x2545F4914F6CDD1D, x.shape[1]), axis=1, out=self.sums[:, 1:])
 
-    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, sign: int) -> np.ndarray:
-        """Binary search for the longest extension with equal hashes; rows are aligned, so sums compare as they are."""
+    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Binary search for the longest extension with equal hashes."""
         flat, wide = self.sums.reshape(-1), self.sums.shape[1]
-        at_a, at_b = a * wide + self.column, b * wide + self.column
-        from_a, from_b = flat[at_a], flat[at_b]
+        at_a, at_b = a * wide, b * wide
+        most = np.minimum(self.have[a], self.have[b])
         n = np.zeros(len(a), dtype=np.int64)
         step = 1 << int(most.max(initial=1)).bit_length()
         while step := step >> 1:
             more = n + step
             fits = more <= most
-            far = np.where(fits, more, 0) * sign
-            n = np.where(fits & (flat[at_a + far] - from_a == flat[at_b + far] - from_b), more, n)
+            far = np.where(fits, more, 0)
+            n = np.where(fits & (flat[at_a + far] == flat[at_b + far]), more, n)
         return n
 
-    def right(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self._common(a, b, np.minimum(self.have_right[a], self.have_right[b]), 1)
-
-    def left(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self._common(a, b, np.minimum(self.have_left[a], self.have_left[b]), -1)
-
-    def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether suffix a sorts before suffix b; equal ones by row."""
-        n = self.right(a, b)
-        ends_a, ends_b = n >= self.have_right[a], n >= self.have_right[b]
-        at = np.minimum(self.column + n, self.x.shape[1] - 1)
-        less = np.where(ends_a | ends_b, np.where(ends_a & ends_b, a < b, ends_a), self.x[a, at] < self.x[b, at])
-        return less
+    def before(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether suffix a sorts before suffix b, n being what they have in common; equal ones by row."""
+        ends_a, ends_b = n >= self.have[a], n >= self.have[b]
+        at = np.minimum(n, self.x.shape[1] - 1)
+        return np.where(ends_a | ends_b, np.where(ends_a & ends_b, a < b, ends_a), self.x[a, at] < self.x[b, at])
 
     def sort(self, cut: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Rows in suffix order within each group (start, size), by mergesort of all groups side by side.
@@ -83,7 +87,8 @@ class Suffixes:
             lo, hi = np.zeros(len(at), dtype=np.int64), n_other
             while (go := np.flatnonzero(lo < hi)).size:
                 mid = (lo[go] + hi[go]) // 2
-                less = self.before(order[other[go] + mid], order[at[go]])
+                a, b = order[other[go] + mid], order[at[go]]
+                less = self.before(a, b, self.extension(a, b))
                 lo[go] = np.where(less, mid + 1, lo[go])
                 hi[go] = np.where(less, hi[go], mid)
             to = start[at] + (mine & ~1) * run + inside % run + lo
@@ -92,46 +97,52 @@ class Suffixes:
             order, run = new, 2 * run
         return order
 
-
-def extend(g: Group, pick: np.ndarray) -> np.ndarray:
-    """Marks of the offsets that common extensions of WINDOW bytes cover, pair by pair of each gram's suffixes."""
-    kind = g.kind
-    left, window = kind.left, kind.window
-    x, gram = g.x[pick], g.gram[pick]
-    s = Suffixes(x, left, g.have_left[pick], g.have_right[pick])
-    cut = np.flatnonzero(np.r_[True, np.diff(gram) != 0])
-    order = s.sort(cut, np.diff(np.r_[cut, len(gram)]))
-    reach = np.zeros(len(order), dtype=np.int64)
-    reach[:-1] = np.where(gram[1:] == gram[:-1], s.right(order[:-1], order[1:]), -1)
-    least = reach.copy()
-    rows, firsts, lasts = [], [], []
-    for step in range(1, len(pick)):
-        if step > 1:
-            least = np.minimum(least[: len(least) - 1], reach[step - 1 : len(order) - 1])
-        else:
-            least = least[:-1]
-        i = np.flatnonzero(least >= 0)
-        if not len(i):
-            break
-        a, b, ahead = order[i], order[i + step], least[i]
-        behind = s.left(a, b)
-        first = np.maximum(window - ahead, 0)
-        long = np.flatnonzero(first <= behind)
-        a, b, ahead, behind, first = a[long], b[long], ahead[long], behind[long], first[long]
-        col = np.arange(x.shape[1])
-        inside = (col >= left - behind[:, None]) & (col < left + ahead[:, None])
-        real = ((x[a] == x[b]) | ~inside).all(axis=1)
-        for own in (a, b):
-            rows.append(own[real])
-            firsts.append(first[real])
-            lasts.append(behind[real])
-    if not rows:
-        return np.zeros((len(pick), left + 1), dtype=bool)
-    return dupscan._mark(len(pick), left + 1, np.concatenate(rows), np.concatenate(firsts), np.concatenate(lasts))
+    def common(self, order: np.ndarray) -> np.ndarray:
+        """Symbols that neighbours in the order have in common, counted one by one."""
+        a, b = order[:-1], order[1:]
+        n = np.argmin(np.pad(self.x[a] == self.x[b], ((0, 0), (0, 1))), axis=1)
+        return np.minimum(n, np.minimum(self.have[a], self.have[b]))
+
+    def neighbours(self, cut: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix order of each group, and what each row has in common with the one before it (-1: none is)."""
+        of = np.repeat(np.arange(len(cut)), sizes)
+        order = self.sort(cut, sizes)
+        n = self.common(order)
+        wrong = ~self.before(order[:-1], order[1:], n) & (of[1:] == of[:-1])
+        for k in np.unique(of[1:][wrong]).tolist():
+            # A collision has misled the sort: this group by its bytes.
+            s = slice(cut[k], cut[k] + sizes[k])
+            order[s] = sorted(range(s.start, s.stop), key=lambda i: (self.x[i, : self.have[i]].tolist(), i))
+        if wrong.any():
+            n = self.common(order)
+        return order, np.r_[-1, np.where(of[1:] == of[:-1], n, -1)]
+
+
+def extend(g: Group) -> np.ndarray:
+    """Marks of the repeated strings, by offset: from the orders to the right and to the left of each gram."""
+    left, window = g.kind.left, g.kind.window
+    cut = np.flatnonzero(np.r_[True, np.diff(g.of) != 0])
+    sizes = np.diff(np.r_[cut, len(g.of)])
+    sides = []
+    for x, have in ((g.x[:, left:], g.have_right), (np.ascontiguousarray(g.x[:, :left][:, ::-1]), g.have_left)):
+        order, n = Suffixes(x, have).neighbours(cut, sizes)
+        sides.append((order, n))
+    out = np.zeros((len(g.x), left + 1), dtype=bool)
+    run = np.empty((2, len(g.x)), dtype=np.int64)
+    for t in range(left + 1):
+        rows = np.flatnonzero((g.t_min <= t) & (t <= g.t_max))
+        if len(rows) < 2:
+            continue
+        for k, least in ((0, window - t), (1, t)):
+            order, n = sides[k]
+            run[k, order] = np.cumsum(n < least)
+        _, code, count = np.unique(run[0, rows] * len(g.x) + run[1, rows], return_inverse=True, return_counts=True)
+        out[rows, t] = count[code] > 1
+    return out
 
 
 def byte_kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
-    return Kind("bytes", window, gram, _bytes, byte_symbols, False, extend)
+    return Kind("bytes", window, gram, lambda t: byte_symbols(_bytes(t)), False, _symbols, _decoded, lambda x, first, end: x[first:end], extend)
 
 
 def _kept_rows(window: int, with_kept: bool):
@@ -145,7 +156,7 @@ def _kept_rows(window: int, with_kept: bool):
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 row = [doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()]
                 out.append([*row, kept] if with_kept else row)
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept])
 
     return run
 
@@ -157,6 +168,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     character, so it is bytes; repeated rows are copies of each other; null ids stay; an empty table gives no rows.
     Other columns of docs are left out.
     """
-    out = dupscan.with_repeats(docs.select("doc_id", "text"), byte_kind(window, gram), np.uint8, group_limit)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return out.select("doc_id", "text", "copied", "runs").mapInPandas(_kept_rows(window, with_kept), schema)
+    out = dupscan.with_repeats(docs.select("doc_id", "text"), byte_kind(window, gram), group_limit)
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    # Ids pass as text: pandas would make floating-point numbers of them beside a null.
+    kept = out.select(F.col("doc_id").cast("string"), "text", "copied", "runs").mapInPandas(_kept_rows(window, with_kept), schema)
+    return kept.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -46,9 +46,8 @@ def words(t):
     return [x for x in (t or "").replace("\x0b", " ").split() if x]
 
 
-@pytest.mark.parametrize("seed,limit,pairs", [(0, 20000, 256), (1, 2, 256), (2, 20000, 1), (3, 20000, 3)])
-def test_words(spark, monkeypatch, seed, limit, pairs):
-    monkeypatch.setattr(dupscan, "PAIR_LIMIT", pairs)
+@pytest.mark.parametrize("seed,limit", [(0, 1024), (1, 2), (2, 6), (3, 20)])
+def test_words(spark, seed, limit):
     df = frame(spark, corpus(seed))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     gone = covered([words(t) for _, t in rows], 12)
@@ -58,9 +57,8 @@ def test_words(spark, monkeypatch, seed, limit, pairs):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
 
 
-@pytest.mark.parametrize("seed,limit,pairs", [(4, 20000, 256), (5, 2, 256), (6, 20000, 1), (7, 20000, 3)])
-def test_bytes(spark, monkeypatch, seed, limit, pairs):
-    monkeypatch.setattr(dupscan, "PAIR_LIMIT", pairs)
+@pytest.mark.parametrize("seed,limit", [(4, 1024), (5, 2), (6, 6), (7, 20)])
+def test_bytes(spark, seed, limit):
     df = frame(spark, corpus(seed))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     data = [(t or "").encode() for _, t in rows]
@@ -99,16 +97,93 @@ def test_pieces_change_nothing(spark, monkeypatch):
     assert got == {k: int(g.sum()) for k, g in enumerate(gone)}
 
 
-def test_suffix_sort():
+@pytest.mark.parametrize("weak", [False, True])
+def test_suffix_sort(monkeypatch, weak):
+    """Also with hashes that are all alike: the order is then put right by the bytes."""
+    if weak:
+        monkeypatch.setattr(suffix_dedup, "byte_symbols", lambda x: np.zeros(x.shape, dtype=np.uint64))
     rng = np.random.default_rng(1)
-    x = rng.integers(0, 2, (60, 30)).astype(np.uint8)
+    x = rng.integers(0, 2, (60, 26)).astype(np.int16)
     right = rng.integers(1, 26, 60)
-    s = suffix_dedup.Suffixes(x, 4, np.full(60, 4), right)
-    order = s.sort(np.array([0, 7, 40]), np.array([7, 33, 20]))
+    order, common = suffix_dedup.Suffixes(x, right).neighbours(np.array([0, 7, 40]), np.array([7, 33, 20]))
     for a, b in ((0, 7), (7, 40), (40, 60)):
-        assert sorted(order[a:b]) == list(range(a, b))
-        keys = [(bytes(x[i, 4 : 4 + right[i]]), i) for i in order[a:b]]
+        assert sorted(order[a:b]) == list(range(a, b)) and common[a] == -1
+        keys = [(x[i, : right[i]].tolist(), i) for i in order[a:b]]
         assert keys == sorted(keys)
+        for (p, _), (q, _), n in zip(keys, keys[1:], common[a + 1 : b], strict=False):
+            assert p[:n] == q[:n] and (n == min(len(p), len(q)) or p[n] != q[n])
+
+
+def occurrences(kind, seqs, encode):
+    """All windows of some sequences by their selectors, as decide() takes them."""
+    rows = []
+    for k, (numbers, n) in enumerate(seqs):
+        for _, pos, lo, hi, gram in zip(*dupscan.select_anchors(kind, [numbers]), strict=True):
+            left = min(pos, kind.left)
+            rows.append((gram, encode(k, pos - left, min(pos + kind.window, n)), left, pos - hi, pos - lo, k, pos))
+    rows.sort(key=lambda r: (r[0], r[5], r[6]))
+    return rows
+
+
+@pytest.mark.parametrize("weak", [False, True])
+@pytest.mark.parametrize("which", ["words", "bytes"])
+def test_decide_any_number_of_surroundings(monkeypatch, which, weak):
+    """Thousands of different surroundings of one gram in one task, against brute force; also with useless hashes."""
+    rng = np.random.default_rng(5)
+    n = 400 if weak else 4000
+    shared = "s1 s2 s3 s4 s5 s6"
+    texts = [" ".join([*rng.choice(["p", "q", "r", "u"], int(rng.integers(0, 9))), shared, *rng.choice(["p", "q", "r", "u"], int(rng.integers(4, 9)))]) for _ in range(n)]
+    if which == "words":
+        kind = substring_dedup.word_kind(12, 4)
+        seqs = [t.split() for t in texts]
+        symbols = [kind.symbols(t) for t in texts]
+        rows = occurrences(kind, [(kind.numbers(t), len(s)) for t, s in zip(texts, seqs, strict=True)], lambda k, a, b: symbols[k](a, b))
+    else:
+        kind = suffix_dedup.byte_kind(24, 8)
+        seqs = [t.encode() for t in texts]
+        rows = occurrences(kind, [(kind.numbers(t), len(s)) for t, s in zip(texts, seqs, strict=True)], lambda k, a, b: seqs[k][a:b])
+    if weak:
+        monkeypatch.setattr(substring_dedup, "mix", lambda x: np.zeros(x.shape, dtype=np.uint64))
+        monkeypatch.setattr(substring_dedup, "word_hashes", lambda d, s, e: np.zeros(len(s), dtype=np.uint64))
+        monkeypatch.setattr(suffix_dedup, "byte_symbols", lambda x: np.zeros(x.shape, dtype=np.uint64))
+    gram, around, n_left, t_min, t_max, text, pos = (list(x) for x in zip(*rows, strict=True))
+    assert weak or max(np.unique(gram, return_counts=True)[1]) > 1000
+    got = set()
+    for row, first, last in zip(*dupscan.decide(kind, np.array(gram), around, np.array(n_left), np.array(t_min), np.array(t_max)), strict=True):
+        got |= {(text[row], pos[row] - t) for t in range(first, last + 1)}
+    seen = {}
+    for k, s in enumerate(seqs):
+        for i in range(len(s) - kind.window + 1):
+            seen.setdefault(tuple(s[i : i + kind.window]), []).append((k, i))
+    assert got == {p for places in seen.values() if len(places) > 1 for p in places}
+
+
+def test_factors_are_greedy():
+    """A block's factors: the longest run of words it has in common with another block, then on at the boundary."""
+    kind = substring_dedup.word_kind(4, 2)
+    around = [b"a b g h c d", b"x b g h c y", b"a b g h z z"]
+    g = dupscan.Group(kind, np.zeros(3, dtype=np.int64), around, np.full(3, 2), np.zeros(3, dtype=np.int64), np.full(3, 2))
+    blocks = substring_dedup.Blocks(g)
+    assert blocks.longest(np.arange(3), 0).tolist() == [4, 0, 4]
+    assert blocks.longest(np.arange(3), 1).tolist() == [4, 4, 0]
+    assert substring_dedup.factor(g).tolist() == [[False, True, True], [False, True, False], [False, False, True]]
+
+
+def test_ids_beside_null(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b c"), (None, "d e f")], "doc_id long, text string").coalesce(1)
+    for out in (substring_dedup.remove_repeats(df), suffix_dedup.remove_repeats(df)):
+        assert {r["doc_id"] for r in out.collect()} == {big, None}
+
+
+def test_shuffled_where_nothing_may_be_broadcast(spark, monkeypatch):
+    """The same rows when no side of a join is small enough to broadcast."""
+    from fleetward.llm import common
+
+    df = frame(spark, corpus(9))
+    want = sorted(map(str, substring_dedup.remove_repeats(df, 12, 4, group_limit=6).collect()))
+    monkeypatch.setattr(common.small_side, "__defaults__", (-1,))
+    assert sorted(map(str, substring_dedup.remove_repeats(df, 12, 4, group_limit=6).collect())) == want
 
 
 def test_window_hashes_depend_on_content_alone():
