@@ -1,13 +1,22 @@
-"""Personal data: patterns for four kinds, and information-theoretic sanitisation of what stands near them.
+"""Personal data: patterns for four kinds, and information-theoretic sanitisation of the words that give them away.
 
 Every expression is a built-in Spark function. A pattern's matches come from
 regexp_extract_all and the gaps between them from split by the same pattern; their lengths
-in code points add up to positions. Protected entities are the values found. For each
-word in an entity's texts, co-occurrence counts over the whole corpus tell how much of the
-entity's information the word gives away: log2(p(e|t)/p(e)) / log2(1/p(e)), from 0 (the
-word tells nothing) to 1 (the word stands nowhere else). A word that reaches the threshold,
-with support from enough different surroundings, is a span of kind "term" wherever it
-stands in a text that holds that entity.
+in code points add up to positions.
+
+Protected entities are the values found, and the part of a value that its owner shares with
+few others: an address's domain, an ip's first two parts, a card's first six digits, a phone
+number without its last four. Over all different texts, counts of texts with an entity (n_e),
+with a word (n_t) and with both, at any distance (n_te), tell what the word discloses:
+
+    p(e) = n_e / n        p(e|t) = (n_te + p(e)) / (n_t + 1)        PMI = log2(p(e|t) / p(e))
+
+The estimate is smoothed by one text of the prior, so a word seen once is believed by half. A word
+is a span of kind "term" wherever it stands in a text that holds the entity, if knowing it
+leaves at most log2(1 / BELIEF) bits of the entity's information (p(e|t) >= BELIEF) and tells
+MIN_BITS at least. Words that stand in one text only, beside an entity, are among these: who
+knows one finds the text, and with it the entity. A word of many texts never is, unless
+most of them hold the same entity.
 """
 
 from __future__ import annotations
@@ -17,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetward.llm.common import small_side, stage, text_of
+from fleetward.llm.common import packed, small_side, stage, text_of
 
 # The kinds in order and their patterns. They match what the plain patterns match; possessive
 # repetition and the look-behind keep a long run of one character class from being scanned again and again.
@@ -28,13 +37,11 @@ PATTERNS = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
-#: Code points on either side of an entity whose words tell its different surroundings apart.
-REACH = 64
-#: Different surroundings of an entity that a word must stand together with, and the share of the entity's information.
-MIN_SUPPORT = 3
-DISCLOSURE = 0.8
+#: The disclosure threshold; least bits that a word tells; a word's least letters.
+BELIEF = 0.5
+MIN_BITS = 3.0
 MIN_TERM = 3
-_P = "__pi_"
+_WORD = "\\p{L}++"
 
 
 def _digits(x: Column) -> Column:
@@ -81,164 +88,129 @@ def _spans(kind: str, text: Column) -> Column:
     return F.when(sign, summed).otherwise(empty)
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    """Adds __pi_t, __pi_h1 and __pi_h2 (the text's hash) and __pi_base: array<struct<s, o, e, kind, x>> in order."""
-    p, col = _P, F.col
-    out = docs.withColumn(p + "t", text_of())
-    out = out.withColumns({p + kind: _spans(kind, col(p + "t")) for kind in PATTERNS})
-    tagged = [
-        F.transform(col(p + kind), _tagged(o, kind)) for o, kind in enumerate(PATTERNS)
-    ]
-    return out.withColumns(
-        {
-            p + "h1": F.xxhash64(p + "t"),
-            p + "h2": F.xxhash64(F.lit(7), col(p + "t")),
-            p + "base": F.array_sort(F.concat(*tagged)),
-        }
-    ).drop(*(p + kind for kind in PATTERNS))
+def _base(rows: DataFrame) -> DataFrame:
+    """Adds to rows with a text t: h1 and h2 (its hash) and base: array<struct<s, o, e, kind, x>> in order."""
+    out = rows.withColumns({kind: _spans(kind, F.col("t")) for kind in PATTERNS})
+    tagged = [F.transform(kind, _tagged(o, kind)) for o, kind in enumerate(PATTERNS)]
+    return out.withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(7), "t"), "base": F.array_sort(F.concat(*tagged))}).drop(*PATTERNS)
 
 
 def _tagged(o: int, kind: str):
     return lambda m: F.struct(m["s"].alias("s"), F.lit(o).alias("o"), m["e"].alias("e"), F.lit(kind).alias("kind"), m["x"].alias("x"))
 
 
-def _neighbours(text: Column, start: Column, end: Column, wanted=lambda term: F.lit(True)) -> Column:
-    """Whole (and wanted) words in text[start:end], as array<struct<term, s, e>>; words cut by the borders don't count."""
-    part = F.substring(text, start + 1, end - start)
-    word = "\\p{L}++"
-    gaps = F.split(part, word, -1)
-    found = F.zip_with(F.regexp_extract_all(part, F.lit(word), F.lit(0)), gaps, lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x).alias("n"), x.alias("x")))
-    empty = F.array().cast("array<struct<term:string,s:int,e:int>>")
+def _replaced(text: Column, spans: Column, put) -> Column:
+    """The text with put(span) in place of each span; where spans overlap, of the first one."""
 
-    def add(acc: Column, m: Column) -> Column:
-        s = acc["at"] + m["gap"]
-        e = s + m["n"]
-        whole = ((s > start) | (start == 0)) & ((e < end) | (e == F.length(text))) & (F.coalesce(m["n"], F.lit(0)) >= MIN_TERM) & wanted(F.lower(m["x"]))
-        one = F.array(F.struct(F.lower(m["x"]).alias("term"), s.alias("s"), e.alias("e")))
-        return F.struct((s + F.coalesce(m["n"], F.lit(0))).alias("at"), F.when(whole, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(found, F.struct(start.alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
-
-
-def _contexts(based: DataFrame) -> DataFrame:
-    """One row for each entity in each text: h1, h2, entity, its own letters x from s to e, near."""
-    p, col = _P, F.col
-    # Outer forms: inner ones would have Spark filter on an array's size, below the projections that build it.
-    one = based.select(p + "h1", p + "h2", p + "t", F.explode_outer(p + "base").alias(p + "m")).where(col(p + "m").isNotNull())
-    m, t = col(p + "m"), col(p + "t")
-    left = F.greatest(m["s"] - REACH, F.lit(0))
-    right = F.least(m["e"] + REACH, F.length(t))
-    one = one.select(
-        p + "h1", p + "h2", F.concat(m["kind"], F.lit(":"), F.lower(m["x"])).alias("entity"),
-        m["x"].alias("x"), m["s"].alias("s"), m["e"].alias("e"), F.concat(_neighbours(t, left, m["s"]), _neighbours(t, m["e"], right)).alias("near"),
-    )
-    return one
+    def step(acc: Column, m: Column) -> Column:
+        new = m["s"] >= acc["at"]
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["s"] - acc["at"]), put(m))
+        return F.struct(F.greatest(acc["at"], m["e"]).alias("at"), F.when(new, out).otherwise(acc["out"]).alias("out"))
 
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(done)
 
-def _text_counts(docs: DataFrame) -> DataFrame:
-    """(term, n_t): in how many different texts each word stands, summed in the tasks before it is shuffled.
 
-    Texts that occur once are counted as they are; of the others one row each is taken first.
-    """
-    hashed = docs.select(F.xxhash64(text_of()).alias("h"), text_of().alias("t"))
-    again = small_side(stage(hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"), "pii-copies", few=True), 24)
-    once = hashed.join(again, "h", "left_anti").select("t")
-    one_each = hashed.join(again, "h").groupBy("h").agg(F.any_value("t").alias("t")).select("t")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit("\\p{L}++"), F.lit(0)))
-    counts = [x.select(F.explode_outer(words).alias("term")).groupBy("term").agg(F.count("*").alias("n")) for x in (once, one_each)]
-    return counts[0].unionByName(counts[1]).groupBy("term").agg(F.sum("n").alias("n_t"))
+def _masked() -> Column:
+    """The text with blanks for its base spans, as long as it was: overlapping spans end where the furthest does."""
+    t = F.col("t")
+
+    def step(acc: Column, m: Column) -> Column:
+        out = F.concat(acc["out"], F.substring(t, acc["at"] + 1, m["s"] - acc["at"]), F.repeat(F.lit(" "), m["e"] - F.greatest(acc["at"], m["s"])))
+        return F.struct(F.greatest(acc["at"], m["e"]).alias("at"), out.alias("out"))
+
+    done = F.aggregate("base", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    return F.when(F.size("base") == 0, t).otherwise(done)
 
 
 def _words(text: Column) -> Column:
     """Different words of a text, in small letters, of MIN_TERM letters at least."""
-    found = F.regexp_extract_all(text, F.lit("\\p{L}++"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
     return F.array_distinct(F.transform(F.filter(found, lambda x: F.length(x) >= MIN_TERM), F.lower))
 
 
-def _together(docs: DataFrame, contexts: DataFrame, counts: DataFrame, n: float) -> DataFrame:
-    """(entity, h1, h2, term): texts that hold an entity and, anywhere outside of it, a word that may give it away.
+def _placed(text: Column, wanted: Column) -> Column:
+    """Places of the wanted words in a text, as array<struct<s, o, e, kind, x>>."""
+    gaps = F.split(text, _WORD, -1)
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), gaps, lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x).alias("n"), x.alias("x")))
+    empty = F.array().cast("array<struct<s:int,o:int,e:int,kind:string,x:string>>")
 
-    Only entities with enough different surroundings take part, and words that stand in few enough texts for the
-    entity that allows the most: told() reaches DISCLOSURE if n_docs / n_t >= share ** (1 - DISCLOSURE), and n_docs
-    is n_e at most.
-    """
-    p, col = _P, F.col
-    around = F.xxhash64(F.array_sort(F.array_distinct(F.transform("near", lambda x: x["term"]))))
-    sizes = contexts.groupBy("entity").agg(F.count_distinct(around).alias("n_around"), F.count_distinct(p + "h1", p + "h2").alias("n_e"))
-    most = F.ceil(col("n_e") / F.pow(col("n_e") / n, F.lit(1 - DISCLOSURE)) + 1e-6)
-    shared = stage(sizes.where(col("n_around") >= MIN_SUPPORT).select("entity", "n_e", most.alias("most")), "pii-shared", few=True)
-    places = contexts.join(small_side(shared, 96), "entity").groupBy("entity", p + "h1", p + "h2", "most").agg(F.collect_set("x").alias("own"))
-    places = stage(places, "pii-places", few=True)
-    texts = small_side(stage(places.select(p + "h1", p + "h2").distinct(), "pii-holders", few=True), 32)
-    t = text_of()
-    hashed = docs.select(F.xxhash64(t).alias(p + "h1"), F.xxhash64(F.lit(7), t).alias(p + "h2"), t.alias("t")).join(texts, [p + "h1", p + "h2"])
-    hashed = hashed.groupBy(p + "h1", p + "h2").agg(F.any_value("t").alias("t"))
-    # Without the entity itself; its words elsewhere in the text stay.
-    held = hashed.join(places, [p + "h1", p + "h2"])
-    bare = F.aggregate("own", col("t"), lambda acc, x: F.replace(acc, x, F.lit(" ")))
-    pairs = held.select("entity", p + "h1", p + "h2", "most", F.explode_outer(_words(bare)).alias("term")).where(col("term").isNotNull())
-    highest = shared.agg(F.max("most")).first()[0] or 0
-    rare = counts.where(col("n_t") <= highest)
-    return pairs.join(rare, "term").where(col("n_t") <= col("most")).select("entity", p + "h1", p + "h2", "term", "n_t")
-
-
-def _disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(entity, term): words whose knowledge gives an entity away, by counts over all documents.
-
-    An entity and a word stand together if one text holds both, at any distance. Different surroundings of the
-    entity are counted once a text, or at each place the word is near.
-    """
-    p, col = _P, F.col
-    # All texts that differ count; the number is a single one.
-    n = float(max(docs.select(F.xxhash64(text_of()).alias("h")).distinct().count(), 1))
+    def add(acc: Column, m: Column) -> Column:
+        s = acc["at"] + m["gap"]
+        e = s + F.coalesce(m["n"], F.lit(0))
+        one = F.array(F.struct(s.alias("s"), F.lit(len(PATTERNS)).alias("o"), e.alias("e"), F.lit("term").alias("kind"), F.lower(m["x"]).alias("x")))
+        return F.struct(e.alias("at"), F.when(F.array_contains(wanted, F.lower(m["x"])), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+
+
+def _entities(m: Column) -> Column:
+    """What a span protects: the value, and the part that few share."""
+    low, digits, kind = F.lower(m["x"]), _digits(m["x"]), m["kind"]
+    value = F.when(kind.isin("card", "phone"), digits).otherwise(low)
+    part = F.when(kind == "email", F.substring_index(low, "@", -1)).when(kind == "ip", F.substring_index(low, ".", 2)).when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 4))
+    return F.array(F.concat(kind, F.lit("="), value), F.concat(kind, F.lit("~"), part))
+
+
+def _once(based: DataFrame) -> list[DataFrame]:
+    """The different texts (h1, h2, t, base), in two tables: those that occur once, and one row of each other."""
+    rows = based.select("h1", "h2", "t", "base")
+    again = small_side(stage(rows.groupBy("h1", "h2").count().where(F.col("count") > 1).select("h1", "h2"), "pii-copies", few=True), 32)
+    return [rows.join(again, ["h1", "h2"], "left_anti"), rows.join(again, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])]
+
+
+def _text_counts(texts: list[DataFrame]) -> DataFrame:
+    """(term, n_t): in how many different texts each word stands, summed in the tasks before it is shuffled."""
+    counts = [x.select(F.explode(_words(_masked())).alias("term")).groupBy("term").agg(F.count("*").alias("n")) for x in texts]
+    return counts[0].unionByName(counts[1]).groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def _belief(n_te: Column, n_t: Column, share: Column) -> Column:
+    return (n_te + share) / (n_t + 1)
+
+
+def _told(n_te: Column, n_t: Column, share: Column) -> Column:
+    """Whether so many texts of a word with an entity, of so many with the word, disclose the entity."""
+    return (_belief(n_te, n_t, share) >= BELIEF) & (F.log2(_belief(n_te, n_t, share) / share) >= MIN_BITS)
+
+
+def _flagged(based: DataFrame) -> DataFrame:
+    """(h1, h2, words): for each text that has any, the words that disclose an entity of the text."""
+    col = F.col
+    texts = _once(based)
+    # A single number each: texts in all, and what bounds the words that any entity lets through.
+    n = float(max(sum(x.count() for x in texts), 1))
+    held = texts[0].unionByName(texts[1]).where(F.size("base") > 0)
+    held = held.select("h1", "h2", F.explode(F.array_distinct(F.flatten(F.transform("base", _entities)))).alias("entity"))
+    held = stage(held, "pii-held", few=True)
     share = col("n_e") / n
-    told = F.log2(col("n_docs") / F.greatest("n_t", "n_docs") / share) / F.greatest(-F.log2(share), F.lit(1e-9))
-    counts = stage(_text_counts(docs), "pii-counts")
-    both = stage(_together(docs, contexts, counts, n), "pii-together")
-    around = F.xxhash64(F.array_sort("terms"))
-    terms = contexts.select("entity", p + "h1", p + "h2", F.array_distinct(F.transform("near", lambda x: x["term"])).alias("terms"))
-    near = terms.select("entity", around.alias("around"), F.explode("terms").alias("term"))
-    near = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("n_near")).where(col("n_near") >= MIN_SUPPORT)
-    of_text = terms.groupBy("entity", p + "h1", p + "h2").agg(F.xxhash64(F.array_sort(F.collect_set(around))).alias("around"))
-    pairs = both.join(of_text, ["entity", p + "h1", p + "h2"]).groupBy("entity", "term").agg(
-        F.count_distinct("around").alias("n_te"), F.count("*").alias("n_docs"), F.max("n_t").alias("n_t")
-    )
-    pairs = pairs.join(near, ["entity", "term"], "left").where(F.greatest("n_te", "n_near") >= MIN_SUPPORT)
-    entities = contexts.groupBy("entity").agg(F.count_distinct(p + "h1", p + "h2").alias("n_e"))
-    return pairs.join(entities, "entity").where(told >= DISCLOSURE).select("entity", "term")
-
-
-def _term_spans(docs: DataFrame, based: DataFrame) -> DataFrame:
-    """(h1, h2, terms): spans of disclosing words for each text that has any, at every place they stand."""
-    p, col = _P, F.col
-    contexts = stage(_contexts(based), "pii-contexts", few=True)
-    secret = small_side(stage(_disclosing(docs, contexts), "pii-disclosing", few=True), 128)
-    held = contexts.groupBy("entity", p + "h1", p + "h2").agg(F.collect_set(F.struct("s", "e")).alias("own"))
-    flagged = held.join(secret, "entity").groupBy(p + "h1", p + "h2").agg(
-        F.collect_set("term").alias("words"), F.collect_list(F.struct("term", "own")).alias("pairs")
-    )
-    flagged = stage(flagged, "pii-flagged", few=True)
-    t = text_of()
-    texts = docs.select(F.xxhash64(t).alias(p + "h1"), F.xxhash64(F.lit(7), t).alias(p + "h2"), t.alias("t"))
-    texts = texts.join(small_side(flagged, 4096), [p + "h1", p + "h2"]).groupBy(p + "h1", p + "h2").agg(
-        F.any_value("t").alias("t"), F.any_value("words").alias("words"), F.any_value("pairs").alias("pairs")
-    )
-    found = _neighbours(col("t"), F.lit(0), F.length("t"), lambda x: F.array_contains("words", x))
-    # A word gives away one entity at least that it doesn't stand in or touch.
-    outside = lambda w: F.exists("pairs", lambda q: (q["term"] == w["term"]) & F.forall(q["own"], lambda o: (w["e"] < o["s"]) | (w["s"] > o["e"])))
-    span = lambda w: F.struct(w["s"].alias("s"), F.lit(len(PATTERNS)).alias("o"), w["e"].alias("e"), F.lit("term").alias("kind"), w["term"].alias("x"))
-    return texts.select(p + "h1", p + "h2", F.transform(F.filter(found, outside), span).alias(p + "terms"))
+    shared = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(_told(col("n_e"), col("n_e"), share))
+    shared = stage(shared.withColumns({"share": share, "most": (col("n_e") + share) / BELIEF - 1}), "pii-shared", few=True)
+    bound = shared.agg(F.max("most").alias("most"), F.max("share").alias("share")).first()
+    holders = stage(held.join(small_side(shared, 64 + F.octet_length("entity")), "entity"), "pii-holders", few=True)
+    of = small_side(stage(holders.select("h1", "h2").distinct(), "pii-texts", few=True), 32)
+    counts = _text_counts(texts).where((col("n_t") <= (bound["most"] or 0.0) + 1e-6) & (_belief(col("n_t"), col("n_t"), F.lit(bound["share"] or 0.0)) >= BELIEF - 1e-9))
+    counts = stage(counts, "pii-counts", few=True)
+    terms = [x.join(of, ["h1", "h2"]).select("h1", "h2", F.explode(_words(_masked())).alias("term")) for x in texts]
+    terms = stage(terms[0].unionByName(terms[1]).join(small_side(counts, 40 + F.octet_length("term")), "term"), "pii-terms", few=True)
+    pairs = holders.join(terms, ["h1", "h2"]).where(col("n_t") <= col("most") + 1e-6).groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("share").alias("share"))
+    secret = stage(pairs.where(_told(col("n_te"), col("n_t"), col("share"))).select("entity", "term"), "pii-disclosing", few=True)
+    secret = small_side(secret, 48 + F.octet_length("entity") + F.octet_length("term"))
+    marked = holders.select("h1", "h2", "entity").join(terms.select("h1", "h2", "term"), ["h1", "h2"]).join(secret, ["entity", "term"])
+    return marked.groupBy("h1", "h2").agg(F.collect_set("term").alias("words"))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", m["kind"], m["s"].cast("string"), m["e"].cast("string"))), ",")
 
 
-def _with_terms(based: DataFrame, terms: DataFrame) -> DataFrame:
-    p = _P
-    out = based.join(small_side(stage(terms, "pii-terms-of-texts", few=True), 256), [p + "h1", p + "h2"], "left")
-    every = F.when(F.col(p + "terms").isNull(), F.col(p + "base")).otherwise(F.array_sort(F.concat(p + "base", p + "terms")))
-    return out.withColumn(p + "all", every)
+def _with_terms(based: DataFrame) -> DataFrame:
+    """Adds all: base and term spans in order."""
+    flagged = stage(_flagged(based), "pii-flagged", few=True)
+    words = F.aggregate("words", F.lit(64), lambda n, x: n + 32 + F.octet_length(x))
+    out = based.join(small_side(flagged, words), ["h1", "h2"], "left")
+    every = F.array_sort(F.concat("base", _placed(_masked(), F.col("words"))))
+    return out.withColumn("all", F.when(F.col("words").isNull(), F.col("base")).otherwise(every))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -247,33 +219,22 @@ def find(docs: DataFrame) -> DataFrame:
     Null text counts as empty, with no spans; copies of a text get the same spans and count once in the
     statistics; repeated rows and null ids stay; an empty table gives no rows. Other columns are left out.
     """
-    p = _P
-    docs = docs.select("doc_id", "text")
-    based = _base(docs)
-    kept = stage(based.select("doc_id", p + "h1", p + "h2", p + "base"), "pii-base")
-    out = _with_terms(kept, _term_spans(docs, based))
-    count = lambda kind: F.size(F.filter(p + "all", lambda m: m["kind"] == kind)).cast("long")
+    out = _with_terms(stage(_base(docs.select("doc_id", text_of().alias("t"))), "pii-base"))
+    count = lambda kind: F.size(F.filter("all", lambda m: m["kind"] == kind)).cast("long")
     return out.select(
         "doc_id", *(count(kind).alias(f"n_{kind}") for kind in PATTERNS),
-        F.sha2(_joined(F.col(p + "base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col(p + "all")).alias("spans"), count("term").alias("n_term"),
+        F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), count("term").alias("n_term"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by a mark of its kind; where spans overlap, the first one's mark.
 
-    Null text stays null; all rows and columns stay.
+    Null text stays null; all rows and columns stay, whatever their names; repeated rows and null ids are like
+    others; an empty table stays empty.
     """
-    p = _P
-    out = _with_terms(_base(docs), _term_spans(docs, _base(docs.select("doc_id", "text"))))
-    t = F.col(p + "t")
-    mark = lambda kind: reduce(lambda c, k: c.when(kind == k, F.lit(MARKS[k])), MARKS, F.when(F.lit(False), F.lit("")))
-
-    def step(acc: Column, m: Column) -> Column:
-        new = m["s"] >= acc["at"]
-        put = F.concat(acc["out"], F.substring(t, acc["at"] + 1, m["s"] - acc["at"]), mark(m["kind"]))
-        return F.struct(F.greatest(acc["at"], m["e"]).alias("at"), F.when(new, put).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(p + "all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    text = F.when(F.col("text").isNull() | (F.size(p + "all") == 0), F.col("text")).otherwise(done)
-    return out.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    based = _base(packed(docs).withColumn("t", text_of("row.text"))).drop("t")
+    out = _with_terms(stage(based, "pii-base").withColumn("t", text_of("row.text")))
+    mark = lambda m: reduce(lambda c, k: c.when(m["kind"] == k, F.lit(MARKS[k])), MARKS, F.when(F.lit(False), F.lit("")))
+    text = F.when(F.col("row.text").isNotNull(), _replaced(F.col("t"), F.col("all"), mark))
+    return out.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

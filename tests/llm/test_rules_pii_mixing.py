@@ -10,6 +10,7 @@ import pytest
 from parity import assert_same, by_sql
 
 from fleetward.llm import mixing, pii, quality_rules
+from fleetward.llm.common import text_of
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,16 +57,17 @@ def test_pii_base(spark):
         joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), (r, joined)
         assert [r[f"n_{k}"] for k in PATTERNS] == [sum(x[3] == k for x in spans) for k in PATTERNS]
-        assert r["spans"] == joined and r["n_term"] == 0
+        assert ",".join(x for x in r["spans"].split(",") if not x.startswith("term")) == joined and r["n_term"] == r["spans"].count("term")
 
 
 def test_pii_terms_that_disclose(spark):
+    """A name that stands only beside an address is a term; words that stand in many texts are none."""
     rng = np.random.default_rng(0)
-    filler = lambda: " ".join(f"w{rng.integers(0, 400)}x".replace("0", "o").replace("1", "i") for _ in range(6))
-    letters = lambda: " ".join("".join(rng.choice(list("bcdfgh"), 5)) for _ in range(6))
+    common = ["".join(rng.choice(list("bcdfgh"), 5)) for _ in range(20)]
+    letters = lambda: " ".join(rng.permutation(common))
     docs = [f"{letters()} ask Zephyrin at boss@firm.org {letters()}" for _ in range(6)]
-    docs += [f"{letters()} the common mail is a{k}@b.de {letters()}" for k in range(40)]
-    docs += [f"{letters()} the common word {filler()}" for _ in range(150)]
+    docs += [f"{letters()} ask at the common mail a{k}@b.de {letters()}" for k in range(40)]
+    docs += [f"{letters()} ask at the common mail word {letters()}" for k in range(150)]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.find(df).collect()}
     for k in range(6):
@@ -78,11 +80,12 @@ def test_pii_terms_that_disclose(spark):
 
 
 def test_pii_terms_at_any_distance(spark):
-    """A word that stands only in an entity's texts, beyond the reach, is marked at all its places."""
+    """A word that stands only in an entity's texts, far from it, is marked at all its places."""
     rng = np.random.default_rng(1)
-    letters = lambda k: " ".join("".join(rng.choice(list("bcdfgh"), 5)) for _ in range(k))
-    docs = [f"Zephyrin {letters(40)} boss@firm.org {letters(40)} zephyrin" for _ in range(6)]
-    docs += [f"{letters(20)} the common mail is a{k}@b.de" for k in range(100)]
+    common = ["".join(rng.choice(list("bcdfgh"), 5)) for _ in range(40)]
+    letters = lambda: " ".join(rng.permutation(common))
+    docs = [f"Zephyrin {letters()} boss@firm.org {letters()} zephyrin" for _ in range(6)]
+    docs += [f"{letters()} the common mail is a{k}@b.de" for k in range(100)]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.find(df).collect()}
     for k in range(6):
@@ -92,18 +95,86 @@ def test_pii_terms_at_any_distance(spark):
     assert "zephyrin" not in "".join(r["text"].lower() for r in pii.redact(df).collect())
 
 
+def told_spans(texts):
+    """All spans of each text, the disclosure rule by brute force over whole texts."""
+    kinds = list(PATTERNS)
+    whole, base, words = [t or "" for t in texts], [base_spans(t) for t in texts], []
+    for t, spans in zip(whole, base, strict=True):
+        chars = list(t)
+        for s, _, e, _ in spans:
+            chars[s:e] = " " * (e - s)
+        words.append([(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", "".join(chars)) if m.end() - m.start() >= 3])
+
+    def entities(k):
+        out = set()
+        for s, _, e, kind in base[k]:
+            x = whole[k][s:e].lower()
+            d = re.sub(r"\D", "", x)
+            out.add((kind, "=", d if kind in ("card", "phone") else x))
+            out.add((kind, "~", {"email": x.split("@")[-1], "ip": ".".join(x.split(".")[:2]), "card": d[:6], "phone": d[:-4]}[kind]))
+        return out
+
+    first = {t: k for k, t in reversed(list(enumerate(whole)))}
+    n = len(first)
+    of_entity, of_term, both = {}, {}, {}
+    for k in first.values():
+        terms = {w for *_, w in words[k]}
+        for w in terms:
+            of_term[w] = of_term.get(w, 0) + 1
+        for x in entities(k):
+            of_entity[x] = of_entity.get(x, 0) + 1
+            for w in terms:
+                both[x, w] = both.get((x, w), 0) + 1
+    secret = set()
+    for (x, w), n_te in both.items():
+        p = of_entity[x] / n
+        belief = (n_te + p) / (of_term[w] + 1)
+        bits = math.log2(belief / p)
+        if belief >= pii.BELIEF and bits >= pii.MIN_BITS:
+            secret.add((x, w))
+    out = []
+    for k in range(len(texts)):
+        own = {w for x, w in secret if x in entities(k)}
+        terms = [(s, len(kinds), e, "term") for s, e, w in words[k] if w in own]
+        out.append(",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(base[k] + terms)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_pii_disclosure_rule(spark, seed):
+    """The whole rule against brute force: owners' words near and far, shared domains and prefixes, copies, chance."""
+    rng = np.random.default_rng(seed)
+    noise = lambda k: " ".join("".join(rng.choice(list("bcdfghé"), int(rng.integers(1, 3)))) + rng.choice(["", "a", "ou", "."]) for _ in range(k))
+    owners = [(f"own{c}er{c}", f"{c}x@host{c}.org", f"+1 (41{i}) 555-0{i}{i}1", f"10.{i}.3.4") for i, c in enumerate("abcdef")]
+    texts = [TEXTS[0], TEXTS[4], None, "", "ownaera"]
+    for _ in range(260):
+        parts = [noise(int(rng.integers(2, 9)))]
+        for _ in range(int(rng.choice([0, 0, 0, 0, 0, 0, 0, 1, 2]))):
+            o = owners[int(rng.integers(0, 6))]
+            parts += [o[1], *o[2 : int(rng.integers(2, 5))], noise(4), *[o[0].capitalize()] * int(rng.integers(0, 2)), noise(3)]
+        texts.append(" ".join(parts))
+    texts += texts[10:20]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = told_spans(texts)
+    got = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    assert sum("term" in x for x in want) > 10
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_text_counts(spark):
-    texts = ["One two two", "one three", "one three", "one three", None, "", "two 5", "ÉTÉ one"]
-    df = spark.createDataFrame([(k if k != 3 else 2, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["term"]: r["n_t"] for r in pii._text_counts(df).collect() if r["term"] is not None}
-    assert got == {"one": 3, "two": 2, "three": 1, "été": 1}
-    assert pii._text_counts(df.limit(0)).count() == 0
+    texts = ["One two two", "one three", "one three", "one three", None, "", "two 5", "ÉTÉ one", "x@one.org two@"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(text_of().alias("t"))
+    got = {r["term"]: r["n_t"] for r in pii._text_counts(pii._once(pii._base(df))).collect()}
+    assert got == {"one": 3, "two": 3, "three": 1, "été": 1}
+    assert pii._text_counts(pii._once(pii._base(df.limit(0)))).count() == 0
 
 
 def test_redact_keeps_columns_and_nulls(spark):
-    df = spark.createDataFrame([(1, None, "x"), (2, "a@b.co +1 (415) 555-2671!", "y"), (None, "", "z")], "doc_id long, text string, __pi_t string")
-    got = pii.redact(df.drop("__pi_t"))
-    assert got.columns == ["doc_id", "text"] and sorted(map(str, (r["text"] for r in got.collect()))) == ["", "<EMAIL> <PHONE>!", "None"]
+    rows = [(1, None, "x", "n"), (2, "a@b.co +1 (415) 555-2671!", "y", "e"), (None, "", "z", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t string, words string")
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} == {(1, None, "x", "n"), (2, "<EMAIL> <PHONE>!", "y", "e"), (None, "", "z", "w")}
     assert pii.find(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
 
 
