@@ -2,42 +2,48 @@
 
 A document is its set of 5-word shingles; two are linked at similarity 0.8 or more.
 
-1. Equal sets form a class, and only one set of each goes on: copies cost one.
-2. In each of RUNS runs, sets are split on sampled tokens: a node of the recursion samples
-   the token that is least under its own hash function, so two sets go down the same branch
-   with probability equal to their similarity. Nodes of more than SPLIT sets are split two
-   tokens deeper. A pair at 0.8 misses one run with probability 0.36 (0.59 in the deeper
-   nodes), all of 24 with 2e-11 (3e-6): the target recall that sets the number of runs.
-3. Small nodes are searched by brute force on the sampled tokens, which estimate the
-   similarity; what is more than five standard deviations below 0.8 is left out. Nodes of more
-   than BLOCK sets are dealt out as pairs of blocks. A task returns no pairs, only which sets
-   hang together; connected components of that are the candidate clusters.
-4. Every pair of sets in a cluster is decided exactly, in blocks again. Returned are each
-   set's number of links and a spanning forest of them, whose components are the groups.
+1. Equal sets form a class, and only one set of each goes on: copies cost one. A set is sampled
+   once: of its shingles in each of BINS bins the one of least hash, so two sets agree in a
+   bin with probability equal to their similarity.
+2. A run splits all sets by recursion: a node chooses one bin, and its sets go down by their
+   sampled token there. A node of LEAF sets or fewer is searched; so is one that kept more than
+   SIMILARITY of its parent's sets, since splitting would lose pairs there and gain nothing.
+3. A pair at 0.8 stays together down to a leaf of depth d with probability 0.8 ** d. Runs are
+   repeated, RUNS at a time, until that leaves each set a chance of 1 - RECALL or less to
+   miss a partner.
+4. Leaves are searched by brute force on the sampled tokens, which estimate the similarity; what is
+   more than five standard deviations below 0.8 is left out. Leaves of more than BLOCK sets
+   are dealt out as pairs of blocks. A pair counts only in the first run that holds it
+   together. A task returns no pairs, only which sets have partners to verify.
+5. Those alone meet their texts again, and their pairs are decided by whole shingle sets.
+   Returned are each set's number of links and a spanning forest of them, whose components are
+   the groups.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetward.llm.common import small_side, stage, text_of
+from fleetward.llm.common import packed, small_side, stage, text_of
 from fleetward.llm.graph import components
 from fleetward.llm.tokens import mix, slices, window_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RUNS = 24
-DEPTH = 2
-BINS = RUNS * 2 * DEPTH
-SPLIT = 1000
-BLOCK = 1024
-EXACT_BLOCK = 256
-_P = "__cp_"
+#: Runs that are added at a time, the recall to be reached, and the bins of a set's sample.
+RUNS = 10
+RECALL = 1 - 1e-6
+BINS = 96
+#: Sets of a node that is searched, sets of a block, and levels after which any node is searched.
+LEAF = 256
+BLOCK = 256
+DEEPEST = 12
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -67,7 +73,7 @@ def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
         s2 = np.array([mix(s ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
         marks = [sketch(s).view(np.int32) if len(s) else np.empty(0, dtype=np.int32) for s in sets]
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h1": b["h1"], "h2": b["h2"], "s1": s1, "s2": s2, "n": [len(s) for s in sets], "sk": marks})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "s1": s1, "s2": s2, "n": [len(s) for s in sets], "sk": marks})
 
 
 class Forest:
@@ -119,33 +125,55 @@ def _borders(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(rows)]
 
 
-def _candidate_rows(similarity: float):
-    keys = ["id", "i", "j"]
+def _own_pairs(sk: np.ndarray, n: np.ndarray, leaves: np.ndarray, side: np.ndarray | None, leaf: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ys): pairs of rows that may be similar and that this leaf, and no earlier run's, holds together.
+
+    side: rows of two blocks, of which only pairs across are wanted.
+    """
+    m = len(sk)
+    for x in range(m - 1):
+        y = np.arange(x + 1, m)
+        if side is not None:
+            y = y[side[y] != side[x]]
+        y = y[_near(sk, n, np.full(len(y), x), y, (sk[y] == sk[x]).mean(axis=1), similarity)]
+        if len(y):
+            both = (leaves[y] == leaves[x]) & (leaves[x] != 0)
+            y = y[leaves[y, np.argmax(both, axis=1)] == leaf]
+            if len(y):
+                yield x, y
+
+
+KEYS = ["id", "i", "j"]
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, int]]:
+    """Rows of one pair of blocks each, with their samples, sizes, leaves, sides and leaf."""
+    for rows in _groups(batches, KEYS, 4096):
+        at = _borders(rows, KEYS)
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = rows.iloc[s:e]
+            # A repeated row comes twice.
+            own = own.drop_duplicates("c") if own["c"].duplicated().any() else own
+            sk, leaves = (np.array(own[c].tolist()).reshape(len(own), -1) for c in ("sk", "leaves"))
+            yield own, sk, own["n"].to_numpy(), leaves, own["block"].to_numpy() if own["i"].iat[0] != own["j"].iat[0] else None, int(own["id"].iat[0])
 
+
+def _candidate_rows(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _groups(batches, keys, 4096):
-            sk = np.array(rows["sk"].tolist(), dtype=np.int32).reshape(len(rows), -1)
-            n, c, side = rows["n"].to_numpy(), rows["c"].to_numpy(), rows["block"].to_numpy()
-            at = _borders(rows, keys)
-            size = np.diff(at)
-            # Nodes of two all at once, larger ones row by row.
-            i = at[:-1][size == 2]
-            ok = _near(sk, n, i, i + 1, (sk[i] == sk[i + 1]).mean(axis=1), similarity)
-            out_a, out_b = [np.minimum(c[i], c[i + 1])[ok]], [np.maximum(c[i], c[i + 1])[ok]]
-            for s, m in zip(at[:-1][size > 2], size[size > 2], strict=True):
-                own = sk[s : s + m]
-                cross = rows["i"].iat[s] != rows["j"].iat[s]
-                found = Forest(m)
-                for x in range(m - 1):
-                    y = np.arange(x + 1, m)
-                    if cross:
-                        y = y[side[s + y] != side[s + x]]
-                    y = y[_near(sk, n, s + np.full(len(y), x), s + y, (own[y] == own[x]).mean(axis=1), similarity)]
-                    found.add(x, y)
-                node, root = found.edges()
-                out_a.append(c[s + root])
-                out_b.append(c[s + node])
-            yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+        out, n = [], 0
+        for rows, sk, size, leaves, side, leaf in _parts(batches):
+            hit = np.zeros(len(rows), dtype=bool)
+            for x, y in _own_pairs(sk, size, leaves, side, leaf, similarity):
+                hit[x] = True
+                hit[y] = True
+            if hit.any():
+                out.append(rows.loc[hit, [*KEYS, "block", "c"]])
+                n += len(out[-1])
+            if n >= 4096:
+                yield pd.concat(out, ignore_index=True)
+                out, n = [], 0
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
     return run
 
@@ -172,31 +200,22 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _exact_rows(similarity: float):
-    keys = ["component", "i", "j"]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _groups(batches, keys, 512):
-            at = _borders(rows, keys)
-            out = []
-            for s, e in zip(at[:-1], at[1:], strict=True):
-                # A repeated row of a document comes twice.
-                c, once = np.unique(rows["c"].to_numpy()[s:e], return_index=True)
-                sets = [np.frombuffer(rows["tokens"].iat[s + x], dtype=np.uint64) for x in once]
-                n = np.array([len(x) for x in sets])
-                both = _overlaps(sets)
-                linked = both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9
-                if rows["i"].iat[s] != rows["j"].iat[s]:
-                    side = rows["block"].to_numpy()[s + once]
-                    linked &= side[:, None] != side[None, :]
-                np.fill_diagonal(linked, False)
-                found = Forest(len(c))
-                for x in np.flatnonzero(linked.any(axis=1)):
-                    found.add(x, np.flatnonzero(linked[x]))
-                node, root = found.edges()
-                if len(node):
-                    out.append(pd.DataFrame({"c": c[node], "root": c[root], "links": linked.sum(axis=1)[node]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+        for rows, sk, size, leaves, side, leaf in _parts(batches):
+            pairs = list(_own_pairs(sk, size, leaves, side, leaf, similarity))
+            if not pairs:
+                continue
+            both = _overlaps([np.frombuffer(x, dtype=np.uint64) for x in rows["tokens"]])
+            links, found = np.zeros(len(rows), dtype=np.int64), Forest(len(rows))
+            for x, y in pairs:
+                y = y[both[x, y] >= similarity * (size[x] + size[y] - both[x, y]) - 1e-9]
+                links[x] += len(y)
+                links[y] += 1
+                found.add(x, y)
+            node, root = found.edges()
+            if len(node):
+                c = rows["c"].to_numpy()
+                yield pd.DataFrame({"c": c[node], "root": c[root], "links": links[node]})
 
     return run
 
@@ -206,50 +225,82 @@ def _token_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.drop(columns="text").assign(tokens=[shingle_set(t).tobytes() for t in b["text"]])
 
 
-def _block_pairs(rows: DataFrame, of: str, key: str, size: str, block: int) -> DataFrame:
-    """Adds block, i, j: each row once for each pair of blocks that its own is part of; one pair if the group is small."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    mine = F.pmod(F.xxhash64(of, key), blocks).cast("int")
+def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """Adds block, i, j: each row once for each pair of blocks that its own is part of; one pair if the leaf is small."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    mine = F.pmod(F.xxhash64("c", "id"), blocks).cast("int")
     out = rows.withColumn("blocks", blocks).withColumn("block", mine)
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return out.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
 
 
-def _candidates(classes: DataFrame, similarity: float, split: int, block: int) -> DataFrame:
-    """(a, b): edges that join sets which may be similar."""
+def _split(classes: DataFrame, first: int, runs: int, similarity: float, leaf: int) -> DataFrame:
+    """(c, run, id, size, depth): the leaf that each set comes to in each of some runs, by recursion of all at once."""
     col = F.col
-    token = lambda r, j: F.get("sk", r * (2 * DEPTH) + j)
-
-    def path(depth: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.xxhash64(r, *(token(r, j) for j in range(depth))))
-
-    rows = classes.where(col("n") > 0).select("c", F.inline(F.arrays_zip(path(DEPTH).alias("path"), path(2 * DEPTH).alias("deep"))))
-    big = rows.groupBy("path").count().where(col("count") > split).select("path", F.lit(True).alias("big"))
-    big = small_side(stage(big, "jaccard-big", few=True), 24)
-    placed = rows.join(big, "path", "left").select("c", F.when(col("big"), col("deep")).otherwise(col("path")).alias("id"))
+    sets = classes.where(col("n") > 0).select("c", "sk")
+    # Runs start at different bins.
+    down = F.inline(F.array(*(F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.get("sk", F.lit(r % BINS))).alias("id")) for r in range(first, first + runs))))
+    placed = sets.select("c", down).withColumn("parent", F.lit(sets.count()).cast("long"))
+    out = []
+    for depth in range(1, DEEPEST + 1):
+        placed = stage(placed, "jaccard-placed")
+        big = placed.groupBy("id").agg(F.count("*").alias("size"), F.any_value("parent").alias("parent")).where((col("size") > leaf) & (col("size") <= similarity * col("parent")))
+        big = stage(big.select("id", "size"), "jaccard-big", few=True)
+        if depth == DEEPEST or big.isEmpty():
+            out.append(placed.withColumn("depth", F.lit(depth)))
+            break
+        side = small_side(big, 32)
+        out.append(placed.join(side.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        bin_ = F.pmod(F.xxhash64(F.lit("bin"), "id"), F.lit(BINS)).cast("int")
+        placed = placed.select("c", "run", "id").join(side, "id").join(sets, "c").select("c", "run", F.xxhash64("id", F.get("sk", bin_)).alias("id"), col("size").alias("parent"))
+    every = out[0].select("c", "run", "id", "depth")
+    for x in out[1:]:
+        every = every.unionByName(x.select("c", "run", "id", "depth"))
+    return stage(every, "jaccard-leaves")
+
+
+def _leaves(classes: DataFrame, similarity: float, leaf: int) -> tuple[DataFrame, int]:
+    """(c, run, id, depth) of as many runs as the recall needs, and their number."""
+    out, runs = None, 0
+    miss = F.sum(F.log1p(-F.pow(F.lit(similarity), "depth")))
+    while True:
+        new = _split(classes, runs, RUNS, similarity, leaf)
+        out, runs = new if out is None else out.unionByName(new), runs + RUNS
+        worst = out.groupBy("c").agg(miss.alias("miss")).agg(F.max("miss")).first()[0]
+        if worst is None or worst <= math.log(1 - RECALL):
+            return out, runs
+
+
+def _links(docs: DataFrame, classes: DataFrame, similarity: float, leaf: int, block: int) -> DataFrame:
+    """(c, root, links): a row for each set and pair of blocks that holds links of its own."""
+    col = F.col
+    leaves, runs = _leaves(classes, similarity, leaf)
     member = F.xxhash64("c")
-    nodes = placed.groupBy("id").agg(F.count("*").alias("size"), F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(20,0)")).alias("s")).where(col("size") > 1)
-    # Nodes of different runs that hold the same sets are searched once.
-    nodes = nodes.groupBy("size", "x", "s").agg(F.min("id").alias("id")).select("id", "size")
-    members = stage(placed.join(small_side(stage(nodes, "jaccard-nodes", few=True), 32), "id"), "jaccard-members", few=True)
-    held = classes.select("c", "n", "sk").join(small_side(members, 40), "c")
-    held = _block_pairs(held, "c", "id", "size", block).select("id", "i", "j", "block", "c", "n", "sk")
-    held = held.repartition("id", "i", "j").sortWithinPartitions("id", "i", "j")
-    return held.mapInPandas(_candidate_rows(similarity), "a long, b long")
-
-
-def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(c, root, links) from exact comparison of all pairs in a cluster; a row for each block pair that has links."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = clusters.join(small_side(stage(sizes, "jaccard-sizes", few=True), 32), "component").join(classes.select(F.col("c").alias("node"), "h1", "h2", "rep"), "node")
-    wanted = small_side(stage(wanted.withColumnRenamed("node", "c"), "jaccard-wanted", few=True), 64)
-    texts = docs.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "component", "size", "text")
-    sets = texts.mapInPandas(_token_rows, "c long, component long, size long, tokens binary")
-    sets = _block_pairs(sets, "c", "component", "size", block).select("component", "i", "j", "block", "c", "tokens")
-    return sets.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "c").mapInPandas(_exact_rows(similarity), "c long, root long, links long")
-
-
-def join(docs: DataFrame, similarity: float = SIMILARITY, split: int = SPLIT, block: int = BLOCK, exact_block: int = EXACT_BLOCK) -> DataFrame:
+    nodes = leaves.groupBy("id").agg(F.count("*").alias("size"), F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(20,0)")).alias("s")).where(col("size") > 1)
+    nodes = stage(nodes, "jaccard-nodes", few=True)
+    # Leaves of different runs that hold the same sets are one, and searched once.
+    one = nodes.groupBy("size", "x", "s").agg(F.min("id").alias("leaf"))
+    nodes = stage(nodes.join(one, ["size", "x", "s"]).select("id", "leaf", "size"), "jaccard-one", few=True)
+    placed = leaves.select("c", "run", "id").join(small_side(nodes, 40), "id")
+    # Each set's leaf in each run; 0 where it is alone.
+    each = placed.groupBy("c").agg(*(F.coalesce(F.max(F.when(col("run") == r, col("leaf"))), F.lit(0).cast("long")).alias(f"r{r}") for r in range(runs)))
+    each = stage(each.select("c", F.array(*(f"r{r}" for r in range(runs))).alias("leaves")), "jaccard-paths", few=True)
+    sizes = small_side(stage(nodes.select(col("leaf").alias("id"), "size").distinct(), "jaccard-sizes", few=True), 32)
+    held = each.join(classes.select("c", "n", "sk"), "c").select("c", "n", "sk", "leaves", F.explode(F.array_distinct(F.filter("leaves", lambda x: x != 0))).alias("id"))
+    held = _block_pairs(held.join(sizes, "id"), block).select(*KEYS, "block", "c", "n", "sk", "leaves")
+    together = lambda rows: rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    hits = together(held).mapInPandas(_candidate_rows(similarity), "id long, i int, j int, block int, c long")
+    hits = stage(hits, "jaccard-hits", few=True)
+    wanted = hits.select("c").distinct().join(classes.select("c", "h1", "h2", "rep"), "c")
+    wanted = small_side(stage(wanted, "jaccard-wanted", few=True), 64)
+    texts = docs.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "text")
+    # A repeated row of a document comes twice; one of them goes on.
+    sets = stage(texts.mapInPandas(_token_rows, "c long, tokens binary").dropDuplicates(["c"]), "jaccard-sets")
+    pairs = hits.join(sets, "c").join(each, "c").join(classes.select("c", "n", "sk"), "c")
+    return together(pairs).mapInPandas(_exact_rows(similarity), "c long, root long, links long")
+
+
+def join(docs: DataFrame, similarity: float = SIMILARITY, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs: doc_id, h1, h2 (the text's hash), class_id, n_copies, n_links, group_id, grouped.
 
     class_id: least doc_id of the documents with the same shingle set. n_links: other classes at the similarity or
@@ -260,14 +311,15 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, split: int = SPLIT, bl
     """
     col = F.col
     hashed = docs.select("doc_id", text_of().alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), F.col("text"))})
-    schema = "doc_id long, h1 long, h2 long, s1 long, s2 long, n long, sk array<int>"
-    sketches = stage(hashed.select("doc_id", "text", "h1", "h2").mapInPandas(_sketch_rows, schema), "jaccard-sketches")
+    # Ids pass as text: pandas would make floating-point numbers of them beside a null.
+    schema = "doc_id string, h1 long, h2 long, s1 long, s2 long, n long, sk array<int>"
+    sketches = hashed.select(F.col("doc_id").cast("string"), "text", "h1", "h2").mapInPandas(_sketch_rows, schema)
+    sketches = stage(sketches.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "jaccard-sketches")
     # The representative is a whole row, so that its text and its id belong together.
     first = F.min(F.struct("doc_id", "h1", "h2")).alias("first")
     classes = sketches.where(col("n") > 0).groupBy("s1", "s2").agg(F.count("*").alias("n_copies"), first, F.min("doc_id").alias("class_id"), F.any_value("n").alias("n"), F.any_value("sk").alias("sk"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n_copies", "class_id", "n", "sk", col("first.doc_id").alias("rep"), col("first.h1").alias("h1"), col("first.h2").alias("h2")), "jaccard-classes")
-    clusters = components(stage(_candidates(classes, similarity, split, block), "jaccard-candidates", few=True), "jaccard-clusters")
-    found = stage(_links(hashed, classes, clusters, similarity, exact_block), "jaccard-links", few=True)
+    found = stage(_links(hashed, classes, similarity, leaf, block), "jaccard-links", few=True)
     links = found.groupBy("c").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(col("root").alias("a"), col("c").alias("b")), "jaccard-groups").select(col("node").alias("c"), "component")
     known = classes.select("c", "s1", "s2", "n_copies", "class_id").join(links, "c", "left").join(groups, "c", "left")
@@ -285,22 +337,23 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, split: int = SPLIT, bl
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without all but one row of each group, the one of least doc_id; columns as they are.
+    """docs without all but one row of each group, the one of least doc_id; columns as they are, whatever their names.
 
-    Documents without any words are in no group and all stay.
+    Documents without any words are in no group and all stay; null ids sort before others; repeated rows are
+    copies; an empty table stays empty.
     """
-    p, col = _P, F.col
-    found = join(docs, similarity).where("grouped").groupBy("group_id", "doc_id", "h1", "h2").agg(F.count("*").alias("n"))
+    col = F.col
+    same = ["doc_id", "h1", "h2"]
+    found = join(docs, similarity).where("grouped").groupBy("group_id", *same).agg(F.count("*").alias("n"))
     found = stage(found, "jaccard-grouped", few=True)
-    first = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "h1", "h2", "n")).alias("first")).select("first.*")
-    first = first.select(col("doc_id").alias(p + "id"), col("h1").alias(p + "h1"), col("h2").alias(p + "h2"), (col("n") > 1).alias(p + "again"))
-    fate = found.select(col("doc_id").alias(p + "id"), col("h1").alias(p + "h1"), col("h2").alias(p + "h2"), F.lit(True).alias(p + "in"))
-    same = lambda a, b: (a[p + "h1"] == b[p + "h1"]) & (a[p + "h2"] == b[p + "h2"]) & a[p + "id"].eqNullSafe(b[p + "id"])
-    fate = fate.alias("f").join(first.alias("o"), same({c: col(f"f.{c}") for c in fate.columns}, {c: col(f"o.{c}") for c in first.columns}), "left").select("f.*", p + "again")
-    fate = small_side(stage(fate, "jaccard-fate", few=True), 64)
-    marked = docs.withColumns({p + "a": F.xxhash64(text_of()), p + "b": F.xxhash64(F.lit(7), text_of())})
-    kept = marked.join(fate, (marked[p + "a"] == fate[p + "h1"]) & (marked[p + "b"] == fate[p + "h2"]) & docs["doc_id"].eqNullSafe(fate[p + "id"]), "left")
-    kept = kept.where(col(p + "in").isNull() | col(p + "again").isNotNull())
-    columns = [col(f"`{c}`") for c in docs.columns]
-    once = kept.where(F.coalesce(p + "again", F.lit(False))).select(*columns).dropDuplicates(["doc_id", "text"])
-    return kept.where(~F.coalesce(p + "again", F.lit(False))).select(*columns).unionByName(once)
+    first = found.groupBy("group_id").agg(F.min(F.struct(*same, "n")).alias("first"))
+    # Each row of a group that is not its first goes; the first's copies of the same id are one.
+    fate = found.join(first, "group_id").select(*same, (F.struct(*same).eqNullSafe(F.struct(*(col(f"first.{c}") for c in same)))).alias("stays"), col("first.n").alias("n"))
+    # One document may be in one group only, but for texts that share their id.
+    fate = small_side(stage(fate.select(*(col(c).alias(f"f_{c}") for c in fate.columns)), "jaccard-fate", few=True), 64)
+    rows = packed(docs, "doc_id").withColumns({"h1": F.xxhash64(text_of("row.text")), "h2": F.xxhash64(F.lit(7), text_of("row.text"))})
+    on = (col("h1") == col("f_h1")) & (col("h2") == col("f_h2")) & col("doc_id").eqNullSafe(col("f_doc_id"))
+    kept = rows.join(fate, on, "left").where(F.coalesce("f_stays", F.lit(True)))
+    again = F.coalesce(col("f_n") > 1, F.lit(False))
+    kept = kept.where(~again).select("row").unionByName(kept.where(again).dropDuplicates(["doc_id", "h1", "h2"]).select("row"))
+    return kept.select(*(col(f"row.`{c}`") for c in docs.columns))

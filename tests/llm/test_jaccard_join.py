@@ -24,12 +24,12 @@ def corpus(seed):
     return [*texts, texts[0], texts[0], texts[5].replace(" ", "\n"), None, "", " ", "one two", "one  two", "same " * 50, "same " * 60]
 
 
-@pytest.mark.parametrize("seed,split,block,exact", [(0, 1000, 1024, 256), (1, 3, 4, 3), (2, 1000, 2, 2)])
-def test_links(spark, seed, split, block, exact):
+@pytest.mark.parametrize("seed,leaf,block", [(0, 256, 256), (1, 3, 4), (2, 1000, 2)])
+def test_links(spark, seed, leaf, block):
     texts = corpus(seed)
     rows = [(k, t) for k, t in enumerate(texts)]
     df = spark.createDataFrame([*rows, rows[1], (None, "lonely words of a null id here")], "doc_id long, text string").repartition(4)
-    got = jaccard_join.join(df, split=split, block=block, exact_block=exact).collect()
+    got = jaccard_join.join(df, leaf=leaf, block=block).collect()
     assert len(got) == len(rows) + 2
     sets = {k: frozenset(shingle_set(t).tolist()) for k, t in rows}
     classes = {}
@@ -56,10 +56,25 @@ def test_links(spark, seed, split, block, exact):
         assert (r["class_id"], r["n_copies"], r["n_links"], r["group_id"]) == (c, len(classes[sets[k]]) + again, len(linked[c]), group[c])
 
 
+def test_ids_beside_null(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b c d e f"), (None, "d e f"), (big + 2, "a b c d e f")], "doc_id long, text string").coalesce(1)
+    assert sorted(((r["doc_id"], r["class_id"]) for r in jaccard_join.join(df).collect()), key=str) == sorted([(big, big), (None, None), (big + 2, big)], key=str)
+    assert {r["doc_id"] for r in jaccard_join.keep_one(df).collect()} == {big, None}
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.integers(0, 1 << 30, 150_000)]
+    edited = [*words[:70_000], *words[70_100:]]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(edited)), (2, " ".join(words[:90_000]))], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_links"], r["group_id"]) for r in jaccard_join.join(df).collect()} == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
+
+
 def test_keep_one(spark):
     texts = corpus(3)
-    rows = [(k, t, k % 3) for k, t in enumerate(texts)]
-    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, sk int")
+    rows = [(k, t, k % 3, "x") for k, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, sk int, h1 string")
     kept = jaccard_join.keep_one(df)
     assert kept.columns == df.columns
     ids = sorted(r["doc_id"] for r in kept.collect())
