@@ -9,22 +9,24 @@ every node's marginal, and a text is kept if its node is content with probabilit
 more. The labelled pages are written by rule (training_pages) as long as no table of
 labelled ones is given.
 
-Each page is worked on alone, in one pass and with explicit stacks, so deep nesting and long
-pages cost time in proportion.
+Each page is worked on alone, in one pass and with explicit stacks, so deep nesting, long pages
+and broken markup cost time in proportion.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import math
 import operator
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Names of HTML's elements, and words that pages use in class, id and role.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr input".split())
@@ -44,13 +46,97 @@ NOTHING = [0.0] * STATES
 #: Facts that say much the same of an element count in part.
 WEIGHT = {"chars": 0.4, "direct": 0.4, "sentences": 0.4, "links": 0.7}
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
+_COMMENT_END = re.compile(r"--!?>")
+_SPECIAL = re.compile(r"""[>"']""")
+_ZEROS = re.compile(r"&#0+(?=[0-9])")
+_TOO_LARGE = re.compile(r"&#[0-9]{8,}")
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r'data-y="([01])"')
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SENTENCE = re.compile(r"[.!?](?:\s|$)")
 
 
+class Scanner:
+    """Tags and comments of a page, each found in time that grows with what it takes up."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.last = source.rfind(">")
+        self.specials: list[int] | None = None
+        self.ends: list[int] = []
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name, attributes) of the first tag from at on; a comment has no name."""
+        source = self.source
+        while (i := source.find("<", at)) >= 0:
+            if source.startswith(("<!", "<?"), i):
+                if source.startswith("<!--", i):
+                    m = _COMMENT_END.search(source, i + 4)
+                    end = m.end() if m else len(source)
+                else:
+                    end = source.find(">", i) + 1 or len(source)
+                return i, end, False, "", ""
+            if i < self.last and (m := _TAG.match(source, i)):
+                end = self._end(m.end())
+                return i, end, bool(m[1]), m[2].lower(), source[m.end() : end - 1]
+            at = i + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where a tag ends whose attributes start at: behind the first > that no quotes hold, or else the first at all."""
+        if self.specials is None:
+            if m := _ATTRIBUTES.match(self.source, at):
+                return m.end()
+            self._tabulate()
+        k = bisect.bisect_left(self.specials, at)
+        return self.ends[k] if self.ends[k] else self.source.find(">", at) + 1
+
+    def _tabulate(self) -> None:
+        """For the page with a quote left open: the end of a tag from each quote or > on (0: none), from the right."""
+        self.specials = [m.start() for m in _SPECIAL.finditer(self.source)]
+        self.ends = [0] * (len(self.specials) + 1)
+        following: dict[str, int] = {}
+        for k in range(len(self.specials) - 1, -1, -1):
+            c = self.source[self.specials[k]]
+            if c == ">":
+                self.ends[k] = self.specials[k] + 1
+            else:
+                if c in following:
+                    self.ends[k] = self.ends[following[c] + 1]
+                following[c] = k
+
+
+class Stack:
+    """Open elements, with the places of each name."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.hidden = self.links = 0
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append((name, node))
+        self.hidden += name in HIDDEN
+        self.links += name == "a"
+
+    def nearest(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of one of the names; 0 if none is."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, place: int) -> list[str]:
+        """Closes the element at a place and all within; their names."""
+        gone = [name for name, _ in self.open[place:]]
+        for name in gone:
+            self.places[name].pop()
+            self.hidden -= name in HIDDEN
+            self.links -= name == "a"
+        del self.open[place:]
+        return gone
+
+
 class Page:
     """The parsed page: nodes (parent, tag, names, label), and pieces of text with their node."""
 
@@ -61,31 +147,22 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]
-        at, hidden, links, end = 0, 0, 0, len(source)
+        stack, scan = Stack(), Scanner(source)
+        at, end = 0, len(source)
         while at < end:
-            m = _TOKEN.search(source, at)
-            stop = m.start() if m else end
-            if stop > at and not hidden:
-                self.pieces.append((stack[-1][1], source[at:stop], links > 0))
-            if not m:
+            found = scan.next(at)
+            start = found[0] if found else end
+            if start > at and not stack.hidden:
+                self.pieces.append((stack.open[-1][1], source[at:start], stack.links > 0))
+            if not found:
                 break
-            at = m.end()
-            name = m[2] or m[5]
+            _, at, closes, name, attrs = found
             if not name:
                 continue
-            name = name.lower()
-            attrs = m[3] or m[6] or ""
-            if m[1] or m[4]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        for gone, _ in stack[k:]:
-                            hidden -= gone in HIDDEN
-                            links -= gone == "a"
-                            if gone not in INLINE:
-                                self._border()
-                        del stack[k:]
-                        break
+            if closes:
+                if place := stack.nearest((name,)):
+                    if any(gone not in INLINE for gone in stack.close(place)):
+                        self._border()
                 continue
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
@@ -95,39 +172,31 @@ class Page:
                 self._border()
             if name in VOID or (attrs.endswith("/") and name not in INLINE and name not in TAGS):
                 continue
-            if name == "html" or (name == "body" and any(t == "body" for t, _ in stack)):
+            if name == "html" or (name == "body" and stack.nearest(("body",))):
                 continue
             shut, until = CLOSES.get(name, (None, None))
             if name in ENDS_P:
                 shut, until = {"p"}, {"div", "article", "section", "td", "li", "body", "main", "aside", "blockquote", "form"}
             if name == "body":
                 shut, until = {"head"}, set()
-            if shut:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in shut:
-                        for gone, _ in stack[k:]:
-                            hidden -= gone in HIDDEN
-                            links -= gone == "a"
-                        del stack[k:]
-                        self._border()
-                        if name not in ("tr", "tbody"):
-                            break
-                    elif stack[k][0] in until:
-                        break
-            node = stack[-1][1]
+            while shut and (place := stack.nearest(shut)) > stack.nearest(until):
+                stack.close(place)
+                self._border()
+                if name not in ("tr", "tbody"):
+                    break
+            above = stack.open[-1][1]
+            node = above
             words = _hints(attrs) if "=" in attrs else frozenset()
             if name not in INLINE or words & AGAINST:
                 node = len(self.parent)
                 label = _LABEL.search(attrs) if "data-y" in attrs else None
-                self.parent.append(stack[-1][1])
+                self.parent.append(above)
                 self.tag.append(name)
                 self.names.append(words)
                 self.label.append(int(label[1]) if label else None)
             if name not in INLINE:
                 self._border()
-            hidden += name in HIDDEN
-            links += name == "a"
-            stack.append((name, node))
+            stack.push(name, node)
 
     def _border(self) -> None:
         if self.pieces and self.pieces[-1] is not None:
@@ -223,10 +292,17 @@ def extract(source: str | None, model: dict) -> str:
                 blocks.append(text)
             held = []
         elif keep[piece[0]]:
-            held.append(_html.unescape(piece[1]))
+            held.append(_unescaped(piece[1]))
     return " ".join(blocks)
 
 
+def _unescaped(text: str) -> str:
+    """The text with its character references decoded; a number beyond all characters gives U+FFFD, however long."""
+    if "&#" in text:
+        text = _TOO_LARGE.sub("&#1114112", _ZEROS.sub("&#", text))
+    return _html.unescape(text)
+
+
 def fit(pages: list[str]) -> dict:
     """Potentials counted from pages whose elements carry data-y="1" (content) or "0" (not); others inherit.
 
@@ -329,4 +405,6 @@ def main_text(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
     empty table gives no rows. Other columns are left out.
     """
     model = fit(labelled if labelled is not None else training_pages())
-    return pages.select("page_id", "url", "html").mapInPandas(_text_rows(model), "page_id long, url string, text string, n_chars long")
+    # Ids pass as text: pandas would make floating-point numbers of them beside a null.
+    rows = pages.select(F.col("page_id").cast("string"), "url", "html").mapInPandas(_text_rows(model), "page_id string, url string, text string, n_chars long")
+    return rows.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
