@@ -13,9 +13,11 @@ with it (shingles weigh as often as they occur: sum of minima over sum of maxima
    hits. Eight blocks of eight bits, each looked up with all its one-bit neighbours, find
    every item fingerprint of that length within Hamming distance 15.
 4. Pairs found are decided by the exact weighted similarity.
+5. Items of fewer than five words have no shingle; a window holds one if its words are the item's.
 
-SimHash is a sketch: at similarity 0.8 a window and its item differ in about 7 bits of 64
-(standard deviation 2.5), so the radius of 15 loses about one in a thousand of the faintest.
+The blocks guarantee every fingerprint within the radius; SimHash itself is a sketch. At
+similarity 0.8 a window and its item differ in 7 to 10 bits of 64, and those of the
+faintest pairs that differ in more than 15 are lost: see the README for measured shares.
 """
 
 from __future__ import annotations
@@ -55,12 +57,29 @@ def _block(fingerprint: Column, b: int) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, g, fp): shingle count, hashes and fingerprint; items of fewer than five words have none and go."""
+    """(item_id, n, g, fp): shingle count, hashes and fingerprint of items of five words or more."""
     out = benchmark.select("item_id", _shingles(text_of()).alias("w")).select("item_id", _hashes(F.col("w")).alias("g"))
     out = out.where(F.size("g") > 0).select("item_id", F.size("g").alias("n"), "g")
     return out.withColumn("fp", _fingerprint(F.col("g")))
 
 
+def _short_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, similarity, start, n_words) of items of one to four words; None if there are none."""
+    items = benchmark.select("item_id", _shingles(text_of()).alias("w")).where(F.size("w").between(1, SHINGLE - 1)).select("item_id", F.size("w").alias("k"), F.array_join("w", " ").alias("x"))
+    items = stage(items.distinct(), "decontaminate-short", few=True)
+    sizes = [r["k"] for r in items.select("k").distinct().collect()]
+    if not sizes:
+        return None
+    words = docs.select("doc_id", _shingles(text_of()).alias("w"))
+    gram = lambda k: F.transform(F.slice("w", 1, F.greatest(F.size("w") - (k - 1), F.lit(0))), lambda x, i: F.array_join(F.slice("w", i + 1, k), " "))
+    grams = [words.select("doc_id", F.lit(k).alias("k"), F.posexplode_outer(gram(k)).alias("at", "x")).where(F.col("x").isNotNull()) for k in sizes]
+    every = grams[0]
+    for more in grams[1:]:
+        every = every.unionByName(more)
+    found = every.join(small_side(items, 96 + F.octet_length("x")), ["k", "x"]).groupBy("doc_id", "item_id", "k").agg(F.min("at").alias("at"))
+    return found.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), F.col("at").alias("start"), F.col("k").alias("n_words"))
+
+
 def _need(n: int, similarity: float) -> int:
     """Hits that a window of at most n shingles must have: |A and B| >= s |A or B| >= s n."""
     return max(1, -int(-similarity * n + 1e-9))
@@ -116,8 +135,8 @@ def _common(a: Column, b: Column) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): each item that a document contains, with its best window.
 
-    start and n_words count the normalised words (runs of letters and digits). Null and empty texts hold nothing;
-    items of fewer than five words match nothing; repeated rows of a document give one row for each item; copies
+    start and n_words count the normalised words (runs of letters and digits). Null and empty texts hold nothing, and
+    nothing holds an item without words; items of fewer than five words are held whole or not at all; repeated rows of a document give one row for each item; copies
     under other ids give rows of their own; a null doc_id is a value like others; empty tables give no rows. Other
     columns are left out.
     """
@@ -145,10 +164,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     out = stretches.select("doc_id", "first", "ck").join(best, "ck")
     out = out.select("doc_id", "item_id", F.struct(col("best.similarity").alias("similarity"), (col("best.o") - col("first")).alias("o"), col("best.n").alias("n")).alias("best"))
     out = out.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
-    return out.select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-col("best.o")).alias("start"), (col("best.n") + SHINGLE - 1).alias("n_words"))
+    out = out.select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-col("best.o")).alias("start"), (col("best.n") + SHINGLE - 1).alias("n_words"))
+    short = _short_matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+    return out if short is None else out.unionByName(short)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose document holds no benchmark item, with the columns of docs; null ids go together."""
+    """The rows of docs whose document holds no benchmark item, with the columns of docs, whatever their names.
+
+    Null and empty texts stay; null ids go together, and so do repeated rows; empty tables leave docs as they are.
+    """
     bad = small_side(stage(matches(docs, benchmark, similarity).select(F.col("doc_id").alias(_P + "id")).distinct(), "decontaminate-ids", few=True), 24)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad[_P + "id"]), "left_anti")

@@ -6,7 +6,8 @@ hash, the first among equals. Equal windows have equal selectors at equal offset
 windows whose selectors are equal need be held against each other, and about one position
 in (W - k) / 2 is a selector ("anchor").
 
-1. anchors: every text's anchors; grams that occur in two different texts, or twice in one.
+1. anchors: every text's anchors; grams that occur in two different texts, or twice in one. Anchors
+   are found twice, once for their grams and once for their places, rather than stored.
 2. occurrences: for those alone, the symbols around them, one row each.
 3. one task gets all occurrences of a gram and decides their windows by the operator's own
    method, whatever the number of different surroundings. Both methods compare symbols.
@@ -17,8 +18,8 @@ in (W - k) / 2 is a selector ("anchor").
 5. removal: repeated windows' starts meet their text again, which is read a second time.
 
 Whole copies of a text are known by its 128-bit hash: every window of theirs is repeated, and
-one of them stands for all in steps 1 to 4. Tables that join texts are broadcast if their
-counted size allows it, else both sides are shuffled.
+one of them stands for all in steps 1 to 4. Places and starts grow with the texts, so they
+meet them by a shuffle at every size.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ from fleetward.llm.tokens import slices, window_hashes
 #: Symbols of a text that are worked on at once; longer texts come in pieces that overlap by a window.
 PIECE = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
-#: Occurrences of one gram that one task takes; beyond, they are dealt out by more symbols than the gram's.
-GROUP_LIMIT = 1024
+#: Occurrences of one gram that one task takes (some 10 MB of contexts); beyond, they are dealt out by more symbols
+#: than the gram's, at the cost of three more shuffles of theirs.
+GROUP_LIMIT = 20_000
 #: Ranges of offsets that a too frequent gram's occurrences are cut into.
 PARTS = 4
 ROWS_AT_ONCE = 4096
@@ -155,8 +157,14 @@ class Group:
         flat, count = kind.decoded(around)
         self.have_right = count - n_left
         self.x = np.full((len(around), kind.width), -1, dtype=flat.dtype)
-        row = np.repeat(np.arange(len(around)), count)
-        self.x[row, np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(kind.left - n_left, count)] = flat
+        at = np.r_[0, np.cumsum(count)]
+        # Some rows at a time: an index of each symbol takes several times the symbol's room.
+        for a in range(0, len(around), ROWS_AT_ONCE // 8):
+            some = slice(a, a + ROWS_AT_ONCE // 8)
+            n = count[some]
+            part = flat[at[a] : at[a] + n.sum()]
+            column = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(kind.left - n_left[some], n)
+            self.x[np.repeat(np.arange(a, a + len(n)), n), column] = part
 
 
 def decide(kind: Kind, gram: np.ndarray, around: list[bytes], n_left: np.ndarray, t_min: np.ndarray, t_max: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -181,16 +189,26 @@ def decide(kind: Kind, gram: np.ndarray, around: list[bytes], n_left: np.ndarray
     return _runs(marks[code])
 
 
-def _anchor_rows(kind: Kind):
+def _gram_rows(kind: Kind):
+    """A row for each gram of each text's anchors, and whether the text has it twice."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches, TEXTS_AT_ONCE):
-            text, pos, _, _, gram = select_anchors(kind, [kind.numbers(t) for t in b["text"]])
+            text, _, _, _, gram = select_anchors(kind, [kind.numbers(t) for t in b["text"]])
             order = np.lexsort((gram, text))
-            same = np.zeros(len(order) + 1, dtype=bool)
-            same[1:-1] = (gram[order][1:] == gram[order][:-1]) & (text[order][1:] == text[order][:-1])
-            twice = np.empty(len(order), dtype=bool)
-            twice[order] = same[:-1] | same[1:]
-            yield pd.DataFrame({"h1": b["h1"].to_numpy()[text], "h2": b["h2"].to_numpy()[text], "gram": gram, "pos": pos, "twice": twice})
+            text, gram = text[order], gram[order]
+            new = np.r_[True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])] if len(gram) else np.empty(0, dtype=bool)
+            at = np.flatnonzero(new)
+            yield pd.DataFrame({"gram": gram[at], "n": np.diff(np.r_[at, len(gram)])})
+
+    return run
+
+
+def _place_rows(kind: Kind):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches, TEXTS_AT_ONCE):
+            text, pos, _, _, gram = select_anchors(kind, [kind.numbers(t) for t in b["text"]])
+            yield pd.DataFrame({"h1": b["h1"].to_numpy()[text], "h2": b["h2"].to_numpy()[text], "gram": gram, "pos": pos})
 
     return run
 
@@ -284,7 +302,7 @@ def _window_rows(kind: Kind):
 
 
 def _hot_marks(kind: Kind, rows: DataFrame, group_limit: int) -> DataFrame:
-    """(h1, h2, pos, t_first, t_last) for rows of grams that are too frequent for one task."""
+    """(h1, h2, pos, runs of t) for rows of grams that are too frequent for one task."""
     col = F.col
     key = ["gram", "around", "n_left", "t_min", "t_max"]
     apart = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("sid", F.monotonically_increasing_id())
@@ -300,47 +318,43 @@ def _hot_marks(kind: Kind, rows: DataFrame, group_limit: int) -> DataFrame:
     again = windows.join(small_side(twice, 64 + F.octet_length("window")), ["t", "window"]).select("sid", col("t").alias("t_first"), col("t").alias("t_last"))
     same = apart.where(col("n") > 1).select("sid", col("t_min").alias("t_first"), col("t_max").alias("t_last"))
     marks = stage(marks.unionByName(again).unionByName(same), f"{kind.name}-hot-marks", few=True)
-    told = marks.join(apart.select("sid", *key), "sid").drop("sid")
-    return rows.join(small_side(stage(told, f"{kind.name}-told", few=True), 96 + F.octet_length("around")), key).select("h1", "h2", "pos", "t_first", "t_last")
+    marks = marks.groupBy("sid").agg(F.collect_list(F.struct("t_first", "t_last")).alias("runs"))
+    told = stage(marks.join(apart.select("sid", *key), "sid").drop("sid"), f"{kind.name}-told", few=True)
+    return rows.join(small_side(told, 96 + F.octet_length("around") + 16 * F.size("runs")), key).select("h1", "h2", "pos", "runs")
 
 
-def repeated_starts(docs: DataFrame, kind: Kind, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(copied, starts) of docs(doc_id, text, h1, h2).
+def repeated_starts(docs: DataFrame, copies: DataFrame, kind: Kind, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """h1, h2, runs: starts of repeated windows of each text, as array<struct<first, last>>.
 
-    copied: h1, h2 of texts that occur more than once. starts: h1, h2, runs: starts of repeated windows of each
-    text, as array<struct<first, last>>; for a copied text it may have fewer.
+    docs(doc_id, text, h1, h2); copies(h1, h2, rep): texts that occur more than once, and an id of theirs. For a
+    copied text there may be fewer than all. A row of the same id and text comes twice, which marks a copied text.
     """
     col = F.col
-    anchors = stage(docs.select("h1", "h2", "text").mapInPandas(_anchor_rows(kind), "h1 long, h2 long, gram long, pos long, twice boolean"), f"{kind.name}-anchors")
-    ends = [f(h).alias(f"{f.__name__}_{h}") for h in ("h1", "h2") for f in (F.min, F.max)]
-    grams = anchors.groupBy("gram").agg(*ends, F.max("twice").alias("twice"))
-    shared = grams.where((col("min_h1") != col("max_h1")) | (col("min_h2") != col("max_h2")) | col("twice")).select("gram")
-    shared = small_side(stage(shared, f"{kind.name}-grams", few=True), 24)
-    reps = docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    reps = stage(reps, f"{kind.name}-texts")
-    copied = stage(reps.where(col("n") > 1).select("h1", "h2"), f"{kind.name}-copied", few=True)
+    once = docs.join(copies, ["h1", "h2"], "left").where(col("rep").isNull() | col("doc_id").eqNullSafe(col("rep.doc_id")))
+    once = once.select("h1", "h2", "text")
+    grams = once.select("text").mapInPandas(_gram_rows(kind), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    shared = stage(grams.where(col("n") > 1).select("gram"), f"{kind.name}-grams", few=True)
+    anchors = once.mapInPandas(_place_rows(kind), "h1 long, h2 long, gram long, pos long")
     places = anchors.join(shared, "gram").groupBy("h1", "h2").agg(F.collect_set("pos").alias("at"))
-    places = stage(places.join(reps, ["h1", "h2"]), f"{kind.name}-places", few=True)
-    single, several = (docs.join(small_side(x, 96 + 8 * F.size("at")), ["h1", "h2"]) for x in (places.where(col("n") == 1), places.where(col("n") > 1)))
-    # A copied text's row may itself be repeated; one of them goes on.
-    several = several.where(col("doc_id").eqNullSafe(col("rep"))).dropDuplicates(["h1", "h2"])
-    texts = single.unionByName(several).select("h1", "h2", "text", "at")
-    found = stage(texts.mapInPandas(_occurrence_rows(kind), OCCURRENCE), f"{kind.name}-occurrences")
+    found = stage(once.join(places, ["h1", "h2"]).select("h1", "h2", "text", "at").mapInPandas(_occurrence_rows(kind), OCCURRENCE), f"{kind.name}-occurrences")
     hot = stage(found.groupBy("gram").count().where(col("count") > group_limit).select("gram"), f"{kind.name}-hot", few=True)
     marks = _decided(kind, found.join(small_side(hot, 24), "gram", "left_anti"), ["h1", "h2", "pos"])
+    marks = marks.select("h1", "h2", "pos", F.array(F.struct("t_first", "t_last")).alias("runs"))
     if not hot.isEmpty():
         marks = marks.unionByName(_hot_marks(kind, found.join(small_side(hot, 24), "gram", "left_semi"), group_limit))
-    runs = marks.select("h1", "h2", F.struct((col("pos") - col("t_last")).alias("first"), (col("pos") - col("t_first")).alias("last")).alias("run"))
-    starts = runs.groupBy("h1", "h2").agg(F.collect_set("run").alias("runs"))
-    return copied, stage(starts, f"{kind.name}-starts", few=True)
+    runs = F.transform("runs", lambda r: F.struct((col("pos") - r["t_last"]).alias("first"), (col("pos") - r["t_first"]).alias("last")))
+    return marks.select("h1", "h2", runs.alias("runs")).groupBy("h1", "h2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def with_repeats(docs: DataFrame, kind: Kind, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """docs(doc_id, text) with h1, h2, copied (true, or null) and runs (or null)."""
     hashed = docs.select("doc_id", text_of().alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), F.col("text"))})
-    copied, starts = repeated_starts(hashed, kind, group_limit)
-    out = hashed.join(small_side(copied.withColumn("copied", F.lit(True)), 40), ["h1", "h2"], "left")
-    return out.join(small_side(starts, 64 + 16 * F.size("runs")), ["h1", "h2"], "left")
+    copies = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") > 1)
+    copies = stage(copies.select("h1", "h2", F.struct("doc_id").alias("rep")), f"{kind.name}-copies", few=True)
+    side = small_side(copies, 64)
+    starts = stage(repeated_starts(hashed, side, kind, group_limit), f"{kind.name}-starts", few=True)
+    copied = side.select("h1", "h2", F.lit(True).alias("copied"))
+    return hashed.join(copied, ["h1", "h2"], "left").join(starts, ["h1", "h2"], "left")
 
 
 def repeated_mask(n: int, window: int, copied: bool, runs) -> np.ndarray:

@@ -13,29 +13,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetward.llm.common import text_of, words_of
+from fleetward.llm.common import packed, stage, text_of, words_of
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-LANES = 64
 SEED = "mix-1"
-_P = "__mx_"
 
 
-def _cells(docs: DataFrame) -> DataFrame:
-    """Adds the size, the source's key and the cell of each row."""
-    p = _P
-    out = docs.withColumn(p + "size", F.size(words_of(text_of())).cast("long"))
-    bits = F.bin(p + "size")
+def _cells(rows: DataFrame) -> DataFrame:
+    """Adds to rows of doc_id, text and source: size, the source's key and the cell of each row (class, lane).
+
+    The lane, one of 256, comes from a hash of the id, or of the text where the id is null, so neither ids with a
+    step nor many null ids meet in one.
+    """
+    out = rows.withColumn("size", F.size(words_of(text_of())).cast("long"))
+    bits = F.bin("size")
     # The length in bits and the three bits after the first: classes an eighth of an octave wide.
     cls = (F.length(bits) * 8 + F.when(F.length(bits) > 3, F.conv(F.substring(bits, 2, 3), 2, 10).cast("int")).otherwise(0)).cast("int")
-    return out.withColumns(
-        {
-            p + "key": F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))),
-            p + "class": cls,
-            p + "lane": F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(LANES)).cast("int"),
-        }
-    )
+    lane = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), text_of()).cast("binary")), 1, 2)
+    key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
+    return out.withColumns({"key": key, "class": cls, "lane": lane}).drop("text", "source")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
@@ -44,6 +41,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
     Keys by code point ('-', the null source, sorts behind '+...') take the weights in turn. Each source gets
     its weight's share of all sizes, at most cap x its own size; what is above goes to the others by weight.
     Sources in the order of cap x size / weight: one is full if what the fuller ones leave gives it that much.
+    Sources take their turns in one order, so one task sorts the table of one row a source.
     """
     turn = (F.row_number().over(Window.orderBy("key")) - 1) % len(weights)
     out = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long"))
@@ -63,23 +61,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
     )
 
 
-def _sampled(docs: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """docs with __mx_size, __mx_source_size, __mx_target and __mx_copies."""
-    p = _P
+def _sampled(rows: DataFrame, cells: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """rows (with their cells) with source_size, target and copies; cells: the same rows, to be counted."""
     col = F.col
-    rows = _cells(docs)
-    cells = _cells(docs.select("doc_id", "text", "source")).groupBy(p + "key", p + "class", p + "lane").agg(F.count("*").alias(p + "n"), F.sum(p + "size").alias(p + "sum"))
-    sizes = cells.groupBy(col(p + "key").alias("key")).agg(F.sum(p + "sum").alias("source_size"))
-    goal = targets(sizes, weights, cap).select(*(col(c).alias(p + c) for c in ("key", "source_size", "target", "offset")))
-    upto = Window.partitionBy(p + "key").orderBy(p + "class", p + "lane").rowsBetween(Window.unboundedPreceding, -1)
-    first = cells.select(p + "key", p + "class", p + "lane", F.coalesce(F.sum(p + "n").over(upto), F.lit(0)).alias(p + "before"))
-    first = first.join(goal, p + "key")
-    inside = Window.partitionBy(p + "key", p + "class", p + "lane").orderBy(p + "size", F.col("doc_id").asc_nulls_first())
-    out = rows.join(first, [p + "key", p + "class", p + "lane"]).withColumn(p + "rank", col(p + "before") + F.row_number().over(inside))
-    rate = F.when(col(p + "source_size") > 0, col(p + "target") / col(p + "source_size")).otherwise(0.0)
-    crossed = lambda r: F.floor(col(p + "offset") + rate * r)
-    copies: Column = F.least(crossed(col(p + "rank")) - crossed(col(p + "rank") - 1), F.lit(cap)).cast("long")
-    return out.withColumn(p + "copies", copies)
+    counts = cells.groupBy("key", "class", "lane").agg(F.count("*").alias("n"), F.sum("size").alias("sum"))
+    sizes = counts.groupBy("key").agg(F.sum("sum").alias("source_size"))
+    goal = targets(sizes, weights, cap)
+    upto = Window.partitionBy("key").orderBy("class", "lane").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("key", "class", "lane", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")).join(goal, "key")
+    inside = Window.partitionBy("key", "class", "lane").orderBy("size", F.col("doc_id").asc_nulls_first())
+    out = rows.join(first, ["key", "class", "lane"]).withColumn("rank", col("before") + F.row_number().over(inside))
+    rate = F.when(col("source_size") > 0, col("target") / col("source_size")).otherwise(0.0)
+    crossed = lambda r: F.floor(col("offset") + rate * r)
+    copies: Column = F.least(crossed(col("rank")) - crossed(col("rank") - 1), F.lit(cap)).cast("long")
+    return out.withColumn("copies", copies)
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
@@ -89,31 +84,32 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
     within a source is by size class, lane of the id, size and id, so reruns agree; rows equal in all of these
     may exchange their copies. An empty table gives no rows. Other columns of docs are left out.
     """
-    p = _P
-    out = _sampled(docs.select("doc_id", "text", "source"), weights, cap)
-    return out.select("doc_id", *(F.col(p + c).alias(c) for c in ("size", "source_size", "target")), (F.col(p + "copies") * F.col(p + "size")).alias("taken"), F.col(p + "copies").alias("copies"))
+    rows = stage(_cells(docs.select("doc_id", "text", "source")), "mix-sizes")
+    out = _sampled(rows, rows, weights, cap)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def emit_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs and copy (1, 2, ...).
 
-    A column of docs named copy gives way to the copy's number.
+    A column of docs named copy gives way to the copy's number; other columns stay, whatever their names. Null
+    texts, null ids, null sources and repeated rows are as in plan_mix; an empty table stays empty.
     """
-    p = _P
-    out = _sampled(docs, weights, cap).where(F.col(p + "copies") > 0)
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy"), F.explode(F.sequence(F.lit(1), F.col(p + "copies").cast("int"))).alias("copy"))
+    rows = _cells(packed(docs, "doc_id", "text", "source"))
+    out = _sampled(rows, _cells(docs.select("doc_id", "text", "source")), weights, cap).where(F.col("copies") > 0)
+    return out.select(*(F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "copy"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
 
 #: The same mix in DuckDB's SQL.
 ORACLE_SQL = f"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS key,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 2) AS lane,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS size
   FROM documents),
 c AS (
   SELECT *, length(bin(size)) * 8 + CASE WHEN length(bin(size)) > 3
-    THEN CAST((size >> CAST(length(bin(size)) - 4 AS BIGINT)) & 7 AS BIGINT) ELSE 0 END AS cls,
-    ((coalesce(doc_id, 0) % {LANES}) + {LANES}) % {LANES} AS lane
+    THEN CAST((size >> CAST(length(bin(size)) - 4 AS BIGINT)) & 7 AS BIGINT) ELSE 0 END AS cls
   FROM d),
 s AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size FROM c GROUP BY key),
 w AS (

@@ -149,8 +149,9 @@ def score(docs: DataFrame, labels: DataFrame, drop_share: float | None = None, p
     repeated rows score alike; null ids are not held out; empty docs give no rows, empty labels the score 0.5.
     """
     fitted = fit(docs, labels, per_class)
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = stage(rows.mapInPandas(_scored_rows(fitted["model"]), "doc_id long, held_out boolean, score double"), "quality-scores")
+    # Ids pass as text: pandas would make floating-point numbers of them beside a null.
+    rows = docs.select(F.col("doc_id").cast("string"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(_scored_rows(fitted["model"]), "doc_id string, held_out boolean, score double")
+    scored = stage(rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "quality-scores")
     share = fitted["low_share"] if drop_share is None else drop_share
     cut = scored.agg(F.percentile_approx("score", F.lit(float(share)), F.lit(100_000))).first()[0]
     return scored.withColumns({"predicted": (F.col("score") >= THRESHOLD).cast("int"), "kept": F.col("score") >= (cut if cut is not None else 0.0)})

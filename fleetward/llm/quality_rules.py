@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetward.llm.common import BLANKS, stage, text_of, words_of
+from fleetward.llm.common import BLANKS, packed, stage, text_of, words_of
 
 # The commonest words of four languages.
 COMMON_WORDS = {
@@ -182,13 +182,17 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs. References come from all rows of docs."""
+    """The rows of docs that the rules keep, with the columns of docs. References come from all rows of docs.
+
+    Null and empty texts fail the base rule and go; repeated rows stay or go together; null ids are like others;
+    columns stay, whatever their names; an empty table stays empty. Texts are measured once: rows are staged with
+    their measures.
+    """
     p = _P
-    refs = references(measured(docs.select("doc_id", "text")).select(p + "k", p + "classes", p + "common", *(p + x for x in MEASURES)))
-    judged = with_verdict(measured(docs), refs)
-    # The verdict passes a generator, below which Spark doesn't push the filter: its arrays are computed once.
-    held = judged.select(*(F.col(f"`{c}`") for c in docs.columns), F.inline_outer(F.array(F.struct(F.col(p + "kept").alias(p + "keep")))))
-    return held.where(F.col(p + "keep")).drop(p + "keep")
+    measures = measured(packed(docs, "text")).select("row", *(F.col(p + x) for x in [*MEASURES, "k", "classes", "common"]))
+    measures = stage(measures, "quality-rows")
+    judged = with_verdict(measures, references(measures))
+    return judged.where(p + "kept").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def oracle_sql() -> str:

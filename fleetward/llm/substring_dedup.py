@@ -42,21 +42,26 @@ def _part(around: bytes, first: int, end: int) -> bytes:
     return b" ".join(around.split(b" ")[first:end])
 
 
-def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
     """A number for each word, equal if and only if the words are: by hash, held against the bytes."""
     if not len(starts):
         return np.empty(0, dtype=np.int32)
-    _, first, code = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    size = ends - starts
-    like = first[code]
-    if (size == size[like]).all():
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        if (data[np.repeat(starts, size) + inside] == data[np.repeat(starts[like], size) + inside]).all():
-            return code.astype(np.int32)
+    slices_ = [slice(a, a + at_once) for a in range(0, len(starts), at_once)]
+    hashes = np.concatenate([word_hashes(data[starts[s][0] : ends[s][-1]], starts[s] - starts[s][0], ends[s] - starts[s][0]) for s in slices_])
+    _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+    size, like = ends - starts, first[code]
+    if (size == size[like]).all() and all(_alike(data, starts[s], starts[like[s]], size[s]) for s in slices_):
+        return code.astype(np.int32)
     known: dict[bytes, int] = {}
     return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts, ends, strict=True)], dtype=np.int32)
 
 
+def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether all pieces of data from a equal those from b."""
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return bool((data[np.repeat(a, size) + inside] == data[np.repeat(b, size) + inside]).all())
+
+
 def _decoded(around: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(around), dtype=np.uint8)
     starts, ends = word_bounds(data)

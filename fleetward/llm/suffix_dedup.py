@@ -48,7 +48,9 @@ class Suffixes:
     def __init__(self, x: np.ndarray, have: np.ndarray) -> None:
         self.x, self.have = x, have
         self.sums = np.zeros((len(x), x.shape[1] + 1), dtype=np.uint64)
-        np.cumsum(byte_symbols(x & 255) * powers(0x2545F4914F6CDD1D, x.shape[1]), axis=1, out=self.sums[:, 1:])
+        up = powers(0x2545F4914F6CDD1D, x.shape[1])
+        for a in range(0, len(x), 1024):
+            np.cumsum(byte_symbols(x[a : a + 1024] & 255) * up, axis=1, out=self.sums[a : a + 1024, 1:])
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Binary search for the longest extension with equal hashes."""
@@ -100,7 +102,10 @@ class Suffixes:
     def common(self, order: np.ndarray) -> np.ndarray:
         """Symbols that neighbours in the order have in common, counted one by one."""
         a, b = order[:-1], order[1:]
-        n = np.argmin(np.pad(self.x[a] == self.x[b], ((0, 0), (0, 1))), axis=1)
+        n = np.empty(len(a), dtype=np.int64)
+        for k in range(0, len(a), 1024):
+            s = slice(k, k + 1024)
+            n[s] = np.argmin(np.pad(self.x[a[s]] == self.x[b[s]], ((0, 0), (0, 1))), axis=1)
         return np.minimum(n, np.minimum(self.have[a], self.have[b]))
 
     def neighbours(self, cut: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

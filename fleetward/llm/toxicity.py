@@ -147,16 +147,11 @@ def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"level": np.full(len(key), level), "cell": key >> 1, "y": key & 1, "n": n})
 
 
-def _tokens_of(model: dict, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Scores and word positions of each text; a word that is only said again at once adds nothing and is left out."""
+def _scores_of(model: dict, texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Scores of all words of each text."""
     cells, size = token_cells(texts)
     scores = log_odds(cells, model["toxic"], model["every"], model["rate"]) - DRIFT
-    border = np.cumsum(size) - size
-    new = np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)] if len(cells) else np.empty(0, dtype=bool)
-    new[border[size > 0]] = True
-    for a, n in zip(border, size, strict=True):
-        at = np.flatnonzero(new[a : a + n])
-        yield scores[a + at], at
+    yield from np.split(scores, np.cumsum(size)[:-1]) if len(size) else ()
 
 
 def _calibration_rows(shared):
@@ -164,7 +159,7 @@ def _calibration_rows(shared):
         model = shared.value
         for b in slices(batches, AT_ONCE):
             out = []
-            for y, (s, _) in zip(b["y"], _tokens_of(model, b["text"].tolist()), strict=True):
+            for y, s in zip(b["y"], _scores_of(model, b["text"].tolist()), strict=True):
                 found = segments(s)
                 # A histogram of the tokens' scores is enough for lambda.
                 out.append((y, len(s), [x[2] for x in found], np.bincount(np.clip((s * 8).round().astype(int) + 160, 0, 320), minlength=321)))
@@ -180,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", per_class, 2)
     later = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0
     counts = sample.where(~later).select("text", "y").mapInPandas(_count_rows, "level int, cell long, y int, n long").groupBy("level", "cell", "y").agg(F.sum("n").alias("n"))
-    # A cell seen once, in a clean document, says less than its prior: most of a corpus's rare words stay out.
-    counts = counts.where((F.col("y") == 1) | (F.col("n") > 1)).toPandas()
+    # At most a row for each cell and label of tables of fixed size, whatever the sample says.
+    counts = counts.toPandas()
     toxic, every = ([np.zeros(size) for size in TABLES] for _ in range(2))
     for level in range(3):
         own = counts[counts["level"] == level]
@@ -218,10 +213,10 @@ def _scored_rows(shared, with_passages: bool):
                 yield b.drop(columns="text").assign(score=0.5, n_passages=0, **({"passages": [[] for _ in range(len(b))]} if with_passages else {}))
                 continue
             x, passages = [], []
-            for s, at in _tokens_of(model, b["text"].tolist()):
+            for s in _scores_of(model, b["text"].tolist()):
                 f, own = evidence(segments(s), len(s), model["lam"], model["log_k"])
                 x.append(f)
-                passages.append([(int(at[a]), int(at[e - 1]) + 1, v) for a, e, v in own])
+                passages.append(own)
             curve = model["curve"]
             z = np.hstack([(np.array(x).reshape(len(b), -1) - curve["mean"]) / curve["sd"], np.ones((len(b), 1))]) if len(b) else np.empty((0, 5))
             out = b.drop(columns="text").assign(score=1 / (1 + np.exp(-np.clip(z @ curve["c"], -30, 30))), n_passages=[len(p) for p in passages])
@@ -240,6 +235,8 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, with_p
     are not held out; empty docs give no rows; labels of one class only, or none, give the score 0.5.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class))
-    schema = "doc_id long, held_out boolean, score double, n_passages long" + ", passages array<struct<first:long,end:long,normal:double>>" * with_passages
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(_scored_rows(shared, with_passages), schema)
-    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    extra = ["n_passages", *["passages"] * with_passages]
+    schema = "doc_id string, held_out boolean, score double, n_passages long" + ", passages array<struct<first:long,end:long,normal:double>>" * with_passages
+    # Ids pass as text: pandas would make floating-point numbers of them beside a null.
+    rows = docs.select(F.col("doc_id").cast("string"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(_scored_rows(shared, with_passages), schema)
+    return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *extra)

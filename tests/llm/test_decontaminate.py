@@ -26,6 +26,9 @@ def brute(docs, items):
             c = Counter(grams(it))
             n = sum(c.values())
             if not n:
+                whole, own = words(it), words(t)
+                if whole and any(own[s : s + len(whole)] == whole for s in range(len(own))):
+                    out[d, i] = 1.0
                 continue
             best = 0.0
             for s in range(len(g)):
@@ -49,7 +52,7 @@ def corpus(seed):
             body = body[:at] + ["edit"] * int(rng.integers(0, 2)) + body[at + 1 :]
         cut = int(rng.integers(0, 3)) * (k % 3 == 0)
         docs.append(f"{text(int(rng.integers(0, 30)))} {' '.join(body[cut:]).title()}, {text(int(rng.integers(0, 30)))}" if k % 4 else text(50))
-    docs += [None, "", "  ", items[15].upper() + "!", items[0], items[0] + "\n" + items[1] + " " + items[0], docs[1], "v1 " * 4000 + items[2]]
+    docs += [None, "", "  ", items[15].upper() + "!", items[0], items[0] + "\n" + items[1] + " " + items[0], docs[1], "v1 " * 4000 + items[2], "This is: Too SHORT, so.", "too, but not short"]
     return list(enumerate(docs)), list(enumerate(items))
 
 

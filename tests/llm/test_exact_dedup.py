@@ -46,7 +46,7 @@ def words(t):
     return [x for x in (t or "").replace("\x0b", " ").split() if x]
 
 
-@pytest.mark.parametrize("seed,limit", [(0, 1024), (1, 2), (2, 6), (3, 20)])
+@pytest.mark.parametrize("seed,limit", [(0, 20000), (1, 2), (2, 6), (3, 20)])
 def test_words(spark, seed, limit):
     df = frame(spark, corpus(seed))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
@@ -57,7 +57,7 @@ def test_words(spark, seed, limit):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
 
 
-@pytest.mark.parametrize("seed,limit", [(4, 1024), (5, 2), (6, 6), (7, 20)])
+@pytest.mark.parametrize("seed,limit", [(4, 20000), (5, 2), (6, 6), (7, 20)])
 def test_bytes(spark, seed, limit):
     df = frame(spark, corpus(seed))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]

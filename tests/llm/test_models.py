@@ -100,6 +100,126 @@ def test_toxic_passages(spark):
     assert all([(p["first"], p["end"]) for p in got[k]["passages"]] == [(20, 23)] for k in range(100, 200))
 
 
+def test_toxicity_score_by_brute_force(spark):
+    """Log-odds, lambda, K and evidence from plain counts of words, with no tables and no linear scan."""
+    import zlib
+    from math import exp, log, log1p
+
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    foul = ["vilest", "vile", "scummy", "scum"]
+    texts = [" ".join(rng.choice(vocab + foul * (1 + 4 * (k >= 60))) for _ in range(rng.randint(5, 40))) for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 60)) for k in range(120)], "doc_id long, toxic int")
+    later = {r["doc_id"]: r["m"] == 0 for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)).alias("m")).collect()}
+    learnt = [k for k in range(120) if zlib.crc32(str(k).encode()) % 5]
+    levels = [lambda w: w, lambda w: w[:6], lambda w: w[:4]]
+    count = [{}, {}, {}]
+    for k in learnt:
+        if not later[k]:
+            for w in texts[k].split():
+                for own, level in zip(count, levels, strict=True):
+                    n = own.setdefault(level(w), [0, 0])
+                    n[0] += 1
+                    n[1] += k >= 60
+    rate = sum(n[1] for n in count[0].values()) / sum(n[0] for n in count[0].values())
+
+    def scores(text):
+        out = []
+        for w in text.split():
+            p = rate
+            for own, level in zip(count[::-1], levels[::-1], strict=True):
+                n = own.get(level(w), [0, 0])
+                p = (n[1] + toxicity.PRIOR * p) / (n[0] + toxicity.PRIOR)
+            p = min(max(p, 1e-6), 1 - 1e-6)
+            out.append(log(p / (1 - p)) - log(rate / (1 - rate)) - toxicity.DRIFT)
+        return out
+
+    sample = [k for k in learnt if later[k]]
+    model = toxicity.fit(df, labels)
+    clean = [x for k in sample if k < 60 for x in scores(texts[k])]
+    assert abs(np.mean(np.exp(model["lam"] * np.round(np.array(clean) * 8) / 8)) - 1) < 1e-3
+    best = lambda s: max((x[2] for x in maximal_segments(s)), default=0.0)
+    tail = [model["lam"] * best(scores(texts[k])) - log(len(texts[k].split())) for k in sample if k < 60 and len(texts[k].split()) > 20]
+    assert abs(model["log_k"] - (np.mean(tail) - 0.5772)) < 1e-6
+    curve, got = model["curve"], {r["doc_id"]: r for r in toxicity.score(df, labels, with_passages=True).collect()}
+    for k, text in enumerate(texts):
+        s = scores(text)
+        found = maximal_segments(s)
+        base = model["log_k"] + log(len(s))
+        normal = [model["lam"] * x[2] - base for x in found]
+        passages = [(a, b) for (a, b, _), v in zip(found, normal, strict=True) if v >= -log(toxicity.EXPECTED)]
+        x = [max(normal, default=-base), log1p(sum(max(0.0, model["lam"] * v - 2.0) for *_, v in found)), log1p(sum(v for v in normal if v >= -log(toxicity.EXPECTED))), log1p(len(s))]
+        z = sum((v - m) / d * c for v, m, d, c in zip(x, curve["mean"], curve["sd"], curve["c"], strict=False)) + curve["c"][-1]
+        assert abs(got[k]["score"] - 1 / (1 + exp(-min(max(z, -30), 30)))) < 1e-5
+        assert [(p["first"], p["end"]) for p in got[k]["passages"]] == passages
+    assert list(next(iter(got.values())).asDict())[:4] == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_strengths_minimise_the_pairs_loss():
+    """No step in any direction lowers the logistic loss of the pairs' feature differences by much."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    y = (x @ np.array([1.0, -2.0, 0.5]) + rng.normal(size=300) > 0).astype(float)
+    model = pairwise_quality.fit_strengths(x, y, pairs=4000)
+    z = pairwise_quality.expand(x, model["mean"], model["sd"])
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    draw = np.random.Generator(np.random.PCG64(11))
+    diff = z[draw.choice(good, 4000)] - z[draw.choice(bad, 4000)]
+    scale = np.sqrt((diff**2).mean(axis=0)) + 1e-6
+    loss = lambda w: np.mean(np.log1p(np.exp(-(diff @ w)))) + pairwise_quality.PENALTY / 2 * np.sum((w * scale) ** 2)
+    here = loss(model["w"])
+    for i in range(z.shape[1]):
+        for step in (0.01, -0.01, 0.1, -0.1, 1.0, -1.0):
+            w = model["w"].copy()
+            w[i] += step
+            assert loss(w) > here - 1e-3
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 1.0])
+def test_kept_is_a_quantile_of_all_scores(spark, share):
+    """Scores by hand from the fitted curve; kept are those not below the quantile, ties included."""
+    rng = random.Random(0)
+    texts = [" ".join(rng.choice(["abc", "De.", "#", "fghij"]) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["same words"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = pairwise_quality.fit(df, labels)["model"]
+    mid, wide, a, c = model["curve"]
+    want = []
+    for t in texts:
+        z = pairwise_quality.expand(np.array(pairwise_quality.features(t)), model["mean"], model["sd"])
+        want.append(1 / (1 + np.exp(-np.clip(a * (float(z @ model["w"]) - mid) / wide + c, -30, 30))))
+    got = {r["doc_id"]: r for r in pairwise_quality.score(df, labels, share).collect()}
+    assert np.allclose([got[k]["score"] for k in range(80)], want, atol=1e-9)
+    cut = sorted(got[k]["score"] for k in range(80))[max(0, int(np.ceil(share * 80)) - 1)]
+    assert all(got[k]["kept"] == (got[k]["score"] >= cut) and got[k]["predicted"] == int(got[k]["score"] >= 0.3) for k in got)
+
+
+def test_ids_beside_null(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b c"), (None, "d e f")], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(9)], "doc_id long, quality int, toxic int")
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    for out in (pairwise_quality.score(df, labels), toxicity.score(df, labels), html_text.main_text(pages)):
+        assert {r[0] for r in out.collect()} == {big, None}
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<p "' + "<a b" * 250_000, '<p "' + "<a b>" * 200_000, "<div>" * 8000 + "</x>" * 240_000, "<" * 1_000_000, "<a \"'>" * 160_000, "&#" + "9" * 1_000_000 + ";"])
+def test_broken_pages_of_a_megabyte(model, page):
+    import time
+
+    began = time.process_time()
+    html_text.extract(page, model)
+    assert time.process_time() - began < 5
+
+
+def test_tags_with_and_without_closed_quotes():
+    tags = lambda x: [(t, p.strip()) for _, p, _ in [q for q in html_text.Page(x).pieces if q] for t in [0]]
+    assert [p for _, p in tags("<p class=\"a>b\">one<p title='x>y'>two")] == ["one", "two"]
+    assert [p for _, p in tags("<p class=\"open>one</p><b>two")] == ["one", "two"]
+    assert html_text._unescaped("&#0000065;&#x41;&amp;&#99999999999;&lt") == "AA&\ufffd<"
+
+
 @pytest.fixture(scope="module")
 def model():
     return html_text.fit(html_text.training_pages())
