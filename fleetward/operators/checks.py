@@ -40,6 +40,46 @@ def progress(cells: DataFrame) -> DataFrame:
     return out.withColumn("state", state)
 
 
+def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, or an error that names a key that more than one row has."""
+    found = repeated(df, keys).first()
+    if found:
+        raise ValueError(f"{found['n']} rows have the key {[found[k] for k in keys]} of {keys}")
+    return df
+
+
+def require_same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
+    """An error that names a key that only one side has."""
+    found = unmatched(a, b, keys).first()
+    if found:
+        raise ValueError(f"only the {found['side']} side has {[found[k] for k in keys]} of {keys}")
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    if df.isEmpty():
+        raise ValueError(f"no rows: {what}")
+    return df
+
+
+def ladder(cells: DataFrame) -> DataFrame:
+    """One row: the state of an experiment of cells in the states VALID, MISSING, MALFORMED, INCOMPLETE and STALE.
+
+    NOT_STARTED if all are missing; else, the first that applies of EXECUTION_INCOMPLETE (missing ones), FAILED
+    (malformed ones), EVIDENCE_INCOMPLETE (incomplete ones), STALE; PASSED if all are valid.
+    """
+    n = lambda s: F.count_if(F.col("state") == s)
+    names = ["VALID", "MISSING", "MALFORMED", "INCOMPLETE", "STALE"]
+    out = cells.agg(F.count("*").alias("cells"), *(n(s).alias(s.lower()) for s in names))
+    state = F.when(F.col("missing") == F.col("cells"), "NOT_STARTED").when(F.col("missing") > 0, "EXECUTION_INCOMPLETE").when(F.col("malformed") > 0, "FAILED")
+    return out.withColumn("state", state.when(F.col("incomplete") > 0, "EVIDENCE_INCOMPLETE").when(F.col("stale") > 0, "STALE").otherwise("PASSED"))
+
+
 def digest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Order-free digest of rows within keys: count and exclusive or of row hashes."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("digest"))
+    """Order-free digest of rows within keys: their count, and the sum of 60 bits of each row's MD5.
+
+    Repeated rows add up, where an exclusive or would cancel them. Cells are joined by their lengths and texts, so no
+    two rows read alike; null differs from the empty text.
+    """
+    cell = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *map(cell, columns)).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(bits).cast("string").alias("digest"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetward.operators.calibrate import TIGHT, thresholds
@@ -72,10 +72,15 @@ def dispersion(clients: DataFrame) -> DataFrame:
 
 def gini(values: DataFrame, column: str) -> DataFrame:
     """One row: Gini coefficient, 0 if all values are 0, null without any; by ranks, from a table of one row a client."""
-    w = Window.partitionBy(F.lit(1))
-    ranked = values.select(F.col(column).cast("double").alias("x"), F.row_number().over(w.orderBy(column)).alias("i"), F.count("*").over(w).alias("n"))
-    out = ranked.agg(F.sum(F.col("i") * F.col("x")).alias("ix"), F.sum("x").alias("x"), F.max("n").alias("n"))
-    return out.select(F.when(F.col("x") > 0, 2 * F.col("ix") / (F.col("n") * F.col("x")) - (F.col("n") + 1) / F.col("n")).when(F.col("x").isNotNull(), 0.0).alias("gini"))
+    return gini_by(values, column, [])
+
+
+def gini_by(values: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """gini() for each of by."""
+    w = Window.partitionBy(*(by or [F.lit(1)]))
+    ranked = values.select(*by, F.col(column).cast("double").alias("x"), F.row_number().over(w.orderBy(column)).alias("i"), F.count("*").over(w).alias("n"))
+    out = ranked.groupBy(*by).agg(F.sum(F.col("i") * F.col("x")).alias("ix"), F.sum("x").alias("x"), F.max("n").alias("n"))
+    return out.select(*by, F.when(F.col("x") > 0, 2 * F.col("ix") / (F.col("n") * F.col("x")) - (F.col("n") + 1) / F.col("n")).when(F.col("x").isNotNull(), 0.0).alias("gini"))
 
 
 def score_counts(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,16 +96,46 @@ def auroc(scores: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, (F.col("wins") / (F.col("a") * F.col("b"))).alias("auroc"))
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: added up to 32 terms, by Euler and Maclaurin's series beyond."""
+    x = F.greatest(n, F.lit(32.0))
+    series = F.log(x) + 0.57721566490153286 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4))) - 1 / (252 * F.pow(x, F.lit(6)))
+    short = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0.0), lambda s, i: s + F.when(i <= n, 1.0 / i).otherwise(0.0))
+    return F.when(n <= 32, short).otherwise(series)
+
+
+def invariant_areas(areas: DataFrame, keys: list[str], value: str = "auroc", by: str = "policy") -> DataFrame:
+    """areas (keys, by, value) to (keys, spread): an error where the policies' areas differ, as thresholds can't move them."""
+    out = areas.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    spread = F.col("__hi") - F.col("__lo")
+    told = F.when(spread < TIGHT, spread).otherwise(F.raise_error(F.concat(F.lit(f"{value} differs between values of {by} by "), spread.cast("string"))))
+    return out.select(*keys, F.when(F.col("__lo").isNotNull(), told).alias("spread"))
+
+
+def operating_points(results: DataFrame, policy: str, budget_id: str) -> DataFrame:
+    """(client_id, target_rate, threshold, fpr, macro_recall): a policy's points at one budget, averaged over seeds.
+
+    results (seed, budget_id, policy, client_id, attack_subtype, ...): what is said of a client is the same in each
+    of its rows, so the first by subtype stands for all.
+    """
+    own = results.where((F.col("policy") == policy) & (F.col("budget_id") == budget_id))
+    one = own.groupBy("seed", "client_id").agg(F.avg("recall").alias("macro_recall"), *(F.min_by(c, "attack_subtype").alias(c) for c in ("target_rate", "threshold", "fpr")))
+    return one.groupBy("client_id").agg(*(F.avg(c).alias(c) for c in ("target_rate", "threshold", "fpr", "macro_recall")))
+
+
 def auprc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the precision-recall curve: trapezoids row by row, score descending, benign rows first among equals.
 
     Within equal scores the b benign rows leave recall where it is; the a attack rows then step through precision
-    (tp + i) / (tp + fp + i), i = 1..a, each step a trapezoid with the point before. The steps are summed in place.
+    (tp + i) / (tp + fp + i), i = 1..a, each step a trapezoid with the point before; their sum has a closed form.
     """
     counts = running_sums(score_counts(scores, keys), keys, "score", {"tp": "a", "fp": "b"}, descending=True)
     out = counts.withColumns({"tp": F.col("tp").cast("double"), "fp": (F.col("fp") + F.col("b")).cast("double")}).where(F.col("a") > 0)
+    n, a = F.col("tp") + F.col("fp"), F.col("a").cast("double")
     # The point before the first step: (recall 0, precision 1) at the very start, else the precision after the benign rows.
-    at = lambda i: F.when(F.col("tp") + F.col("fp") + i > 0, (F.col("tp") + i) / (F.col("tp") + F.col("fp") + i)).otherwise(1.0)
-    steps = F.aggregate(F.sequence(F.lit(1), F.col("a").cast("int")), F.lit(0.0), lambda s, i: s + (at(i - 1) + at(i)) / 2)
+    first = F.when(n > 0, F.col("tp") / n).otherwise(1.0)
+    last = (F.col("tp") + a) / (n + a)
+    # Sum of (tp + i) / (n + i) for i = 1..a: a - fp (H(n + a) - H(n)).
+    steps = a - F.col("fp") * (harmonic(n + a) - harmonic(n)) + (first - last) / 2
     out = out.withColumn("area", steps).groupBy(*keys).agg(F.sum("area").alias("area"), F.sum("a").alias("a"))
     return out.select(*keys, (F.col("area") / F.col("a")).alias("auprc"))

@@ -50,18 +50,28 @@ def event_metrics(obs: DataFrame, keys: tuple[str, ...] = ("client_id",), parame
 
     obs: keys, label, t, score, threshold. parameters: numbers, or columns that are among the keys.
     """
-    keys = list(keys)
+    alerts, span = _alerts_and_span(obs, list(keys))
+    return _metrics(alerts, span, list(keys), list(keys), parameters)
+
+
+def _alerts_and_span(obs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Alerts (keys, t, benign), and each device's duration, attack interval and delay."""
     attack = F.col("label") == "attack"
-    alerts = obs.where(F.col("score") > F.col("threshold"))
-    both = alerts.select(*keys, "t", F.explode(F.when(attack, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("benign")))).alias("stream"))
-    ev = eventize(both, [*keys, "stream"], *parameters)
+    alerts = obs.where(F.col("score") > F.col("threshold")).select(*keys, "t", (~attack).alias("benign"))
     span = obs.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("duration"), F.min(F.when(attack, F.col("t"))).alias("a0"), F.max(F.when(attack, F.col("t"))).alias("a1"))
-    per = ev.join(span.select(*keys, "duration"), keys).groupBy(*keys).agg(
+    inside = alerts.join(span, keys).where(F.col("t").between(F.col("a0"), F.col("a1"))).groupBy(*keys).agg((F.min("t") - F.min("a0")).alias("delay"))
+    return alerts, span.join(inside, keys, "left")
+
+
+def _metrics(alerts: DataFrame, span: DataFrame, own: list[str], keys: list[str], parameters: tuple) -> DataFrame:
+    """Metrics by keys, of which own are those of span."""
+    both = alerts.select(*keys, "t", F.explode(F.when(F.col("benign"), F.array(F.lit("all"), F.lit("benign"))).otherwise(F.array(F.lit("all")))).alias("stream"))
+    ev = eventize(both, [*keys, "stream"], *parameters)
+    per = ev.join(span.select(*own, "duration"), own).groupBy(*keys).agg(
         F.count_if(F.col("stream") == "benign").alias("benign_events"), F.count_if(F.col("stream") == "all").alias("all_events"),
         F.coalesce(F.avg(F.when(F.col("stream") == "benign", (F.col("end") - F.col("start")) / F.col("duration"))), F.lit(0.0)).alias("duty"),
     )
-    inside = alerts.join(span, keys).where(F.col("t").between(F.col("a0"), F.col("a1"))).groupBy(*keys).agg((F.min("t") - F.min("a0")).alias("delay"))
-    out = span.join(per, keys).join(inside, keys, "left")
+    out = per.join(span, own)
     rate = lambda n: F.when(F.col("duration") > 0, F.col(n) / (F.col("duration") / 3600.0)).otherwise(0.0)
     recall = F.when(F.col("a0").isNotNull() & F.col("delay").isNotNull(), 1.0).otherwise(0.0)
     return out.select(*keys, "benign_events", "all_events", rate("benign_events").alias("false_events_per_hour"), rate("all_events").alias("events_per_hour"), recall.alias("recall"), (1 - recall).alias("miss"), F.coalesce("delay", F.lit(0.0)).alias("delay"), "duty")
@@ -75,14 +85,76 @@ def grid(steps: dict[str, tuple[float, ...]], spark) -> DataFrame:
     return out
 
 
-def robustness(obs: DataFrame, steps: dict[str, tuple[float, ...]]) -> DataFrame:
-    """event_metrics for every combination of dilation, merge, least and cooldown; alerts alone meet the grid."""
-    names = ["dilation", "merge", "least", "cooldown"]
-    arrays = [F.explode(F.array(*(F.lit(float(v)) for v in steps[n]))).alias(n) for n in names]
-    out = obs
-    for n, a in zip(names, arrays, strict=True):
-        out = out.select("*", a)
-    return event_metrics(out, ("client_id", *names), tuple(F.col(n) for n in names))
+def robustness(obs: DataFrame, steps: dict[str, tuple[float, ...]], keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
+    """event_metrics for every combination of dilation, merge, least and cooldown.
+
+    Alerts alone meet the grid; durations, intervals and delays don't depend on it and are worked out once.
+    """
+    names, own = ["dilation", "merge", "least", "cooldown"], list(keys)
+    alerts, span = _alerts_and_span(obs, own)
+    for n in names:
+        alerts = alerts.select("*", F.explode(F.array(*(F.lit(float(v)) for v in steps[n]))).alias(n))
+    return _metrics(alerts, span, own, [*own, *names], tuple(F.col(n) for n in names))
+
+
+def budget_rows(obs: DataFrame, budgets: tuple[float, ...], parameters: tuple[float, ...] = PARAMETERS) -> DataFrame:
+    """(client_id, budget_per_hour, threshold, false_events_per_hour, recall, delay) for each budget of events an hour.
+
+    Devices for which no threshold keeps the budget, or that have no event at theirs, have no row.
+    """
+    out = None
+    for budget in budgets:
+        cut = event_budget_thresholds(obs, budget, parameters).where(F.col("threshold").isNotNull())
+        own = obs.drop("threshold").join(F.broadcast(cut), "client_id")
+        one = event_metrics(own, parameters=parameters).join(cut, "client_id")
+        one = one.select("client_id", F.lit(float(budget)).alias("budget_per_hour"), "threshold", "false_events_per_hour", "recall", "delay")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def event_tables(obs: DataFrame, budgets: dict[str, float], steps: dict[str, tuple[float, ...]], per_hour: tuple[float, ...], parameters: tuple[float, ...] = PARAMETERS) -> dict[str, DataFrame]:
+    """metrics, robustness, gini and budgets of a set of observations (client_id, label, t, score).
+
+    budgets: rates by name; a device's threshold at a rate comes from its own benign scores, and devices without
+    any are left out.
+    """
+    from fleetward.operators.calibrate import thresholds
+    from fleetward.operators.evaluate import gini_by
+
+    benign = obs.where(F.col("label") == "benign").select("client_id", "score")
+    rates = F.inline(F.array(*(F.struct(F.lit(k).alias("budget_id"), F.lit(float(v)).alias("target_rate")) for k, v in budgets.items())))
+    cut = thresholds(benign, benign.select("client_id").distinct().select("client_id", rates)).select("client_id", "budget_id", "threshold")
+    own = obs.drop("threshold").join(F.broadcast(cut), "client_id")
+    keys = ("client_id", "budget_id")
+    metrics = event_metrics(own, keys, parameters)
+    return {"metrics": metrics, "robustness": robustness(own, steps, keys), "gini": gini_by(metrics, "benign_events", ["budget_id"]), "budgets": budget_rows(obs, per_hour, parameters)}
+
+
+def detected_intervals(intervals: DataFrame, alerts: DataFrame, keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
+    """intervals (keys, start, end, ...) that hold an alert (keys, t) of theirs, ends included."""
+    own = alerts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("t").alias("__t"))
+    same = F.col("__t").between(F.col("start"), F.col("end"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    return intervals.join(own, same, "left_semi")
+
+
+def steps_back(rows: DataFrame, keys: list[str], order: str, slices: int = 256) -> DataFrame:
+    """rows (keys, order, t) with d: t less that of the row before, in order within keys; null for the first.
+
+    A group's order is cut into slices at its quantiles. Rows look back within their slice, and a slice's first row
+    takes the last of the slice before, from a table of one row a slice.
+    """
+    from fleetward.operators.ranking import _celled, _same
+
+    held = _celled(rows, keys, order, slices)
+    own = [*keys, "__cell"]
+    ends = held.groupBy(*own).agg(F.max_by("t", order).alias("__last"))
+    before = ends.select(*own, F.lag("__last").over(Window.partitionBy(*keys).orderBy("__cell")).alias("__before"))
+    out = held.join(before, on=_same(held, before, own), how="inner").drop(*(before[k] for k in own))
+    w = Window.partitionBy(*own).orderBy(order)
+    first = F.row_number().over(w) == 1
+    return out.withColumn("d", F.col("t") - F.when(first, F.col("__before")).otherwise(F.lag("t").over(w))).drop("__cell", "__before")
 
 
 def _count_events(t: np.ndarray, dilation: float, merge: float, least: float, cooldown: float) -> int:
@@ -130,8 +202,7 @@ def capture_audit(rows: DataFrame, seam: float) -> DataFrame:
     less than the seam count as out of order; longer ones are seams between captures.
     """
     dev = F.col("client_id").isNotNull() & (F.trim("client_id") != "")
-    w = Window.partitionBy("file", "client_id").orderBy("ordinal")
-    step = rows.where(dev & F.col("t").isNotNull()).withColumn("d", F.col("t") - F.lag("t").over(w))
+    step = steps_back(rows.where(dev & F.col("t").isNotNull()), ["file", "client_id"], "ordinal")
     per = step.groupBy("file", "client_id").agg(F.count_if((F.col("d") < 0) & (F.col("d") > -seam)).alias("back"), F.count("d").alias("steps"))
     per = per.groupBy("file").agg(F.max(F.when(F.col("steps") > 0, F.col("back") / F.col("steps")).otherwise(0.0)).alias("out_of_order"))
     attack = F.col("label") != "benign"

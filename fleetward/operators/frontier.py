@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetward.operators.calibrate import TIGHT, thresholds
+from fleetward.operators.ranking import count_below
 
+# A short grid of rates, and the budgets that the long one contains beside its steps.
 GRID = (0.0, 0.001, 0.005, 0.01, 0.02, 0.05)
+BUDGETS = (0.001, 0.0025, 0.005, 0.01, 0.02)
+
+
+def long_grid(least: float = 1e-4, most: float = 0.05, steps: int = 201, budgets: tuple[float, ...] = BUDGETS) -> tuple[float, ...]:
+    """0, steps that rise by one factor from least to most, and the budgets: 207 rates as it stands."""
+    rise = (most / least) ** (1 / (steps - 1))
+    return tuple(sorted({0.0, most, *budgets, *(least * rise**k for k in range(steps - 1))}))
 
 
 def grid_frame(df: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
@@ -26,8 +35,9 @@ def confusions(scores: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
     benign = scores.where(F.col("split") == "benign_frontier").select("client_id", "score")
     cut = thresholds(benign, grid_frame(scores, grid))
     arrays = cut.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("grid_ix", "target_rate", "threshold"))).alias("cuts"))
+    arrays = arrays.withColumn("falling", F.reverse(F.transform("cuts", lambda c: c["threshold"])))
     attack = scores.where(F.col("split") == "attack_validation").select("client_id", "attack_subtype", "score")
-    seen = attack.join(F.broadcast(arrays), "client_id").withColumn("hits", F.size(F.filter("cuts", lambda c: F.col("score") > c["threshold"])))
+    seen = attack.join(F.broadcast(arrays), "client_id").withColumn("hits", F.when(F.isnan("score"), 0).otherwise(count_below(F.col("falling"), F.col("score"), len(grid))))
     counts = seen.groupBy("client_id", "attack_subtype", "hits").agg(F.count("*").alias("n"), F.any_value("cuts").alias("cuts"))
     total = F.sum("n").over(Window.partitionBy("client_id", "attack_subtype"))
     spread = counts.withColumn("total", total).select("client_id", "attack_subtype", "hits", "n", "total", F.inline("cuts"))
@@ -79,6 +89,23 @@ def count_weights(counts: DataFrame) -> DataFrame:
     return counts.select("client_id", (F.col("n") / F.sum("n").over(_everyone())).alias("weight"))
 
 
+def subset_weights(weights: DataFrame, population: DataFrame) -> DataFrame:
+    """The weights of a population's clients, as they are."""
+    return weights.join(population.select("client_id").distinct(), "client_id", "left_semi")
+
+
+def weighted_cost(decisions: DataFrame, weights: DataFrame, budget: float) -> DataFrame:
+    """One row: the decisions' weighted rate, and whether it is within the budget."""
+    out = decisions.join(weights, "client_id").agg(F.sum(F.col("weight") * F.col("target_rate")).alias("cost"))
+    return out.withColumn("feasible", F.col("cost") <= F.lit(float(budget)) + TIGHT)
+
+
+def payload(util: DataFrame, candidates: int, envelope: int = 68, value: int = 4) -> DataFrame:
+    """(client_id, payload, utility_bytes, complete): bytes of a client's curve; complete if it has every candidate."""
+    out = util.groupBy("client_id").agg(F.count("*").alias("n"))
+    return out.select("client_id", (F.lit(envelope) + value * F.col("n")).alias("payload"), (value * F.col("n")).alias("utility_bytes"), (F.col("n") == candidates).alias("complete"))
+
+
 def gamma_weights(weights: DataFrame, gamma: Column | float) -> DataFrame:
     g = F.pow("weight", F.lit(gamma) if isinstance(gamma, float) else gamma)
     return weights.select("client_id", (g / F.sum(g).over(_everyone())).alias("weight"))
