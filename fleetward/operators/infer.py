@@ -56,6 +56,38 @@ def bootstrap(diffs: DataFrame, resamples: int = 50_000, confidence: float = 0.9
     return diffs.where(F.col("diff").isNotNull()).groupBy("budget_id").applyInPandas(run, "budget_id string, mean double, median double, low double, high double")
 
 
+def contrast(evals: DataFrame, treatment: str, baseline: str, metric: str, name: str | None = None) -> DataFrame:
+    """(contrast, budget_id, n, excluded, mean, p) of a paired contrast, by budget; excluded: seeds without a pair."""
+    diffs = paired_differences(evals, treatment, baseline, metric)
+    out = diffs.groupBy("budget_id").agg(F.count_if(F.col("diff").isNull()).alias("excluded"))
+    return sign_flip(diffs).join(out, "budget_id").select(F.lit(name or f"{treatment} less {baseline}: {metric}").alias("contrast"), "budget_id", "n", "excluded", "mean", "p")
+
+
+def primary(evals: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The two primary contrasts by budget, Holm-adjusted within each: macro on macro recall, minimax on worst recall."""
+    one = contrast(evals, "macro", "equal_rate", "macro_recall", "macro_recall").unionByName(contrast(evals, "minimax", "equal_rate", "worst_recall", "worst_recall"))
+    return holm(one, alpha=alpha, family=["contrast"])
+
+
+def guardrail(evals: DataFrame) -> DataFrame:
+    """What minimax costs in macro recall, by budget; not adjusted."""
+    return contrast(evals, "minimax", "equal_rate", "macro_recall", "guardrail")
+
+
+def policy_means(evals: DataFrame, policy: str, metric: str) -> DataFrame:
+    """(budget_id, mean) of a policy; a seed and budget without the policy is an error."""
+    cells = evals.groupBy("seed", "budget_id").agg(F.count_if(F.col("policy") == policy).alias("n"))
+    lacking = cells.where(F.col("n") == 0).first()
+    if lacking:
+        raise ValueError(f"seed {lacking['seed']} has no {policy} at {lacking['budget_id']}")
+    return evals.where(F.col("policy") == policy).groupBy("budget_id").agg(F.avg(metric).alias("mean"))
+
+
+def worst_fallback(shares: DataFrame, limit: float) -> DataFrame:
+    """One row: the greatest fallback_share of all runs, and whether it is above the limit."""
+    return shares.agg(F.max("fallback_share").alias("worst")).withColumn("warning", F.col("worst") > F.lit(float(limit)))
+
+
 def count_gate(cells: DataFrame, ok: Column, least: int, budgets: int) -> DataFrame:
     """One row: (passed, n_ok, status): at least so many budgets pass; UNAVAILABLE if a budget is missing."""
     out = cells.agg(F.count_if(ok).alias("n_ok"), F.count("*").alias("n"))

@@ -104,7 +104,12 @@ def exhaustive(util: DataFrame, weights: DataFrame, budget: float, clients: list
 
 
 def pooled_shared(scores: DataFrame, weights: DataFrame, budget: float) -> DataFrame:
-    """One threshold for the whole fleet: (threshold, macro_recall, fleet_fpr).
+    """One threshold for the whole fleet at one budget: (threshold, macro_recall, fleet_fpr)."""
+    return pooled_thresholds(scores.withColumn("__one", F.lit(1)), weights, {"b": budget}, ["__one"]).select("threshold", "macro_recall", "fleet_fpr")
+
+
+def pooled_thresholds(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], keys: list[str]) -> DataFrame:
+    """(keys, budget_id, budget, threshold, macro_recall, fleet_fpr): for each of keys and budget one threshold for all.
 
     Candidates are the distinct frontier scores and +inf. Above a candidate, each benign score weighs
     weight / (benign rows of its client) in the fleet's rate, each attack score 1 / (rows of its subtype x subtypes
@@ -112,18 +117,83 @@ def pooled_shared(scores: DataFrame, weights: DataFrame, budget: float) -> DataF
     recall wins, the lowest threshold among equals.
     """
     front = scores.where(F.col("split").isin("benign_frontier", "attack_validation"))
-    n = front.groupBy("client_id", "attack_subtype").agg(F.count("*").alias("n"))
-    per = n.groupBy("client_id").agg(F.count("attack_subtype").alias("subtypes")).withColumn("clients", F.count("*").over(Window.partitionBy(F.lit(1))))
-    share = n.join(per, "client_id").join(weights, "client_id").select(
-        "client_id", F.coalesce("attack_subtype", F.lit("")).alias("kind"),
+    n = front.groupBy(*keys, "client_id", "attack_subtype").agg(F.count("*").alias("n"))
+    per = n.groupBy(*keys, "client_id").agg(F.count("attack_subtype").alias("subtypes")).withColumn("clients", F.count("*").over(Window.partitionBy(*keys)))
+    share = n.join(per, [*keys, "client_id"]).join(weights, "client_id").select(
+        *keys, "client_id", F.coalesce("attack_subtype", F.lit("")).alias("kind"),
         F.when(F.col("attack_subtype").isNull(), F.col("weight") / F.col("n")).otherwise(0.0).alias("fpr"),
         F.when(F.col("attack_subtype").isNotNull(), 1 / (F.col("n") * F.col("subtypes") * F.col("clients"))).otherwise(0.0).alias("tpr"),
     )
-    rows = front.select("client_id", F.coalesce("attack_subtype", F.lit("")).alias("kind"), "score").join(F.broadcast(share), ["client_id", "kind"])
-    at = rows.groupBy("score").agg(F.sum("fpr").alias("f"), F.sum("tpr").alias("r"), F.max((F.col("kind") == "").cast("int")).alias("candidate"))
-    above = running_sums(at.withColumn("all", F.lit(1)), ["all"], "score", {"fleet_fpr": "f", "macro_recall": "r"}, descending=True)
-    above = above.where(F.col("candidate") == 1).select(F.col("score").alias("threshold"), "macro_recall", "fleet_fpr")
-    never = scores.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("macro_recall"), F.lit(0.0).alias("fleet_fpr"))
-    ok = above.unionByName(never).where(F.col("fleet_fpr") <= budget + TIGHT)
+    rows = front.select(*keys, "client_id", F.coalesce("attack_subtype", F.lit("")).alias("kind"), "score").join(F.broadcast(share), [*keys, "client_id", "kind"])
+    at = rows.groupBy(*keys, "score").agg(F.sum("fpr").alias("f"), F.sum("tpr").alias("r"), F.max((F.col("kind") == "").cast("int")).alias("candidate"))
+    above = running_sums(at, keys, "score", {"fleet_fpr": "f", "macro_recall": "r"}, descending=True)
+    above = above.where(F.col("candidate") == 1).select(*keys, F.col("score").alias("threshold"), "macro_recall", "fleet_fpr")
+    never = front.select(*keys).distinct().select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("macro_recall"), F.lit(0.0).alias("fleet_fpr"))
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("budget_id"), F.lit(float(v)).alias("budget")) for k, v in budgets.items())))
+    ok = above.unionByName(never).select("*", each).where(F.col("fleet_fpr") <= F.col("budget") + TIGHT)
     # Sums of shares in another order differ in their last digits, which must not decide between equals.
-    return ok.orderBy(F.round("macro_recall", 12).desc(), "threshold").limit(1)
+    best = F.max(F.struct(F.round("macro_recall", 12).alias("m"), (-F.col("threshold")).alias("t"), "macro_recall", "fleet_fpr")).alias("best")
+    out = ok.groupBy(*keys, "budget_id", "budget").agg(best)
+    return out.select(*keys, "budget_id", "budget", (-F.col("best.t")).alias("threshold"), F.col("best.macro_recall").alias("macro_recall"), F.col("best.fleet_fpr").alias("fleet_fpr"))
+
+
+#: All policies, in the order of reports.
+POLICIES = ("equal_rate", "equal_alert", "greedy", "macro", "minimax", "test_oracle", "pooled_shared")
+
+
+def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, cap: float = CAP) -> DataFrame:
+    """(seed, budget_id, budget, policy, client_id, target_rate, status) of every policy but pooled_shared, for all seeds and budgets.
+
+    scores: seed, client_id, label, attack_subtype, score, split. Clients that are not eligible take the fallback
+    rate under the optimised policies, and what is left of the budget goes to the others. A problem that cannot be
+    solved is EXCLUDED, with null rates. Problems are tables of clients times rates.
+    """
+    from fleetward.operators import frontier
+    from fleetward.operators.splits import oracle_view
+
+    rates = grid or frontier.GRID
+    people = scores.select("seed", "client_id").distinct()
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("budget_id"), F.lit(float(v)).alias("budget")) for k, v in budgets.items())))
+    cells = people.select("*", each)
+    out = cells.select("seed", "budget_id", "budget", F.lit("equal_rate").alias("policy"), "client_id", F.least(F.col("budget"), F.lit(cap)).alias("target_rate"), F.lit("OPTIMAL").alias("status"))
+    for k, v in budgets.items():
+        alert = equal_alert(weights, v, cap)
+        out = out.unionByName(cells.where(F.col("budget_id") == k).join(F.broadcast(alert), "client_id").select("seed", "budget_id", "budget", F.lit("equal_alert").alias("policy"), "client_id", "target_rate", F.lit("OPTIMAL").alias("status")))
+    one = F.concat(F.col("seed").cast("string"), F.lit("/"), F.col("client_id"))
+    for view, names in ((scores, ("greedy", "macro", "minimax")), (oracle_view(scores), ("test_oracle",))):
+        conf = frontier.confusions(view.withColumn("client_id", one), rates)
+        parted = lambda df: df.withColumns({"seed": F.split("client_id", "/", 2)[0].cast(dict(scores.dtypes)["seed"]), "client_id": F.split("client_id", "/", 2)[1]})
+        able = parted(frontier.eligibility(conf, min_client)).select("seed", "client_id", "eligible")
+        util = parted(frontier.utilities(conf))
+        both = cells.join(able, ["seed", "client_id"], "left").join(F.broadcast(weights), "client_id").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+        fallback = F.least(F.col("budget"), F.lit(cap))
+        left = both.groupBy("seed", "budget_id").agg(F.sum(F.when(~F.col("eligible"), F.col("weight") * fallback).otherwise(0.0)).alias("reserved"))
+        points = util.join(both.where("eligible").drop("eligible"), ["seed", "client_id"]).join(left, ["seed", "budget_id"])
+        points = points.withColumn("budget", F.greatest(F.lit(0.0), F.col("budget") - F.col("reserved"))).withColumn("forbidden", F.lit(False))
+        for name in names:
+            solved = allocate(points, "macro" if name == "test_oracle" else name, ("seed", "budget_id")).select("seed", "budget_id", "client_id", "target_rate", "status")
+            got = both.join(solved.withColumnRenamed("target_rate", "own"), ["seed", "budget_id", "client_id"], "left")
+            out = out.unionByName(got.select("seed", "budget_id", "budget", F.lit(name).alias("policy"), "client_id", F.coalesce(F.when(~F.col("eligible"), fallback), "own").alias("target_rate"), F.when(F.col("eligible"), F.coalesce("status", F.lit("EXCLUDED"))).otherwise("FALLBACK").alias("status")))
+    return out
+
+
+def run_all(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
+    """(results, evaluations) of all policies at all seeds and budgets.
+
+    results: evaluate() rows by seed, budget and policy. evaluations: fleet() rows with status, COMPLETED, or EXCLUDED
+    (and nulls) where a policy's problem has no solution. The pooled threshold is absolute: it is calibrated on no
+    rows, and its n_cal is 0.
+    """
+    from fleetward.operators import evaluate
+
+    asked = decisions(scores, weights, budgets, grid, min_client, cap)
+    by, keys = ("budget_id", "budget", "policy"), ("seed", "client_id")
+    whole = asked.groupBy("seed", *by).agg(F.count_if(F.col("target_rate").isNull()).alias("__open"))
+    ready = asked.join(whole.where(F.col("__open") == 0).select("seed", "budget_id", "policy"), ["seed", "budget_id", "policy"]).drop("status")
+    cut = evaluate.final_thresholds(scores, ready, keys).select("seed", "client_id", *by, "target_rate", "n_cal", "threshold")
+    pooled = pooled_thresholds(scores, weights, budgets, ["seed"]).select("seed", "budget_id", "budget", F.lit("pooled_shared").alias("policy"), "threshold")
+    pooled = pooled.join(scores.select(*keys).distinct(), "seed").withColumns({"target_rate": F.lit(None).cast("double"), "n_cal": F.lit(0).cast("long")})
+    results = evaluate.evaluate(scores, cut.unionByName(pooled.select(*cut.columns)), keys, by)
+    done = evaluate.fleet(evaluate.per_client(results, ("seed", *by)), weights, None, ("seed", *by)).withColumn("status", F.lit("COMPLETED"))
+    shut = whole.where(F.col("__open") > 0).select("seed", *by, F.lit("EXCLUDED").alias("status"))
+    return results, done.unionByName(shut, allowMissingColumns=True)

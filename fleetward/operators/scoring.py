@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,19 +143,41 @@ def ensemble(scores: DataFrame, pool: Column, first: str, second: str) -> DataFr
     return own.drop("__id").withColumn("score", F.greatest(f"{first}_pct", f"{second}_pct"))
 
 
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction (Lentz), for a, b >= 1."""
+    x, a, b = np.broadcast_arrays(np.asarray(x, dtype=float), np.asarray(a, dtype=float), np.asarray(b, dtype=float))
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(gamma(p + q) - gamma(p) - gamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
+    tiny = 1e-300
+    c = np.ones_like(z)
+    d = 1 - (p + q) * z / (p + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    for m in range(1, 400):
+        for num in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + num * d
+            c = 1 + num / c
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
+            break
+    return np.where(flip, 1 - front * h, front * h)
+
+
 def binomial_lower_bound(tp: np.ndarray, fn: np.ndarray, confidence: float) -> np.ndarray:
-    """One-sided exact lower bound of a share: the p at which tp or more of n has probability 1 - confidence; 0 if tp = 0."""
-    tp, n = np.asarray(tp, dtype=np.int64), np.asarray(tp, dtype=np.int64) + np.asarray(fn, dtype=np.int64)
+    """One-sided exact lower bound of a share: the p at which tp or more of n has probability 1 - confidence; 0 if tp = 0.
+
+    That probability is I_p(tp, fn + 1), so the cost doesn't grow with the counts.
+    """
+    tp, fn = np.asarray(tp, dtype=float), np.asarray(fn, dtype=float)
     lo, hi = np.zeros(len(tp)), np.ones(len(tp))
-    top = int(n.max(initial=1))
-    log_fact = np.r_[0.0, np.cumsum(np.log(np.arange(1, top + 1)))]
     for _ in range(60):
         mid = (lo + hi) / 2
-        tail = np.zeros(len(tp))
-        for k in range(len(tp)):
-            i = np.arange(tp[k], n[k] + 1)
-            tail[k] = np.exp(log_fact[n[k]] - log_fact[i] - log_fact[n[k] - i] + i * np.log(mid[k]) + (n[k] - i) * np.log1p(-mid[k])).sum()
-        small = tail < 1 - confidence
+        small = beta_share(mid, np.maximum(tp, 1), fn + 1) < 1 - confidence
         lo, hi = np.where(small, mid, lo), np.where(small, hi, mid)
     return np.where(tp == 0, 0.0, (lo + hi) / 2)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetward.functions import text
-from fleetward.operators import calibrate, evaluate, events, frontier, infer, policies, scoring, splits
+from fleetward.operators import calibrate, checks, evaluate, events, frontier, infer, lookups, policies, scoring, splits
 from fleetward.sources.adapters import features, large_observations, observations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,7 +295,7 @@ def utility_heterogeneity(spark, sf_dir):
 
 @query("a42_payload_bytes", f"WITH {CURVE} SELECT client_id, 68 + 4 * count(*) AS payload FROM ut GROUP BY 1")
 def payload_bytes(spark, sf_dir):
-    return frontier.utilities(curve(spark, sf_dir)).groupBy("client_id").agg((68 + 4 * F.count("*")).alias("payload"))
+    return frontier.payload(frontier.utilities(curve(spark, sf_dir)), len(GRID)).select("client_id", "payload")
 
 
 # --- policies ----------------------------------------------------------------------------------------------------
@@ -394,8 +394,8 @@ def subtype_fold(spark, sf_dir):
 # --- several seeds: inference and gates --------------------------------------------------------------------------
 
 
-def seed_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seed, budget_id, policy, FLEET...): equal rate and equal alert, at three budgets, on three interleaved thirds."""
+def seed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of equal rate and equal alert, at three budgets, on three interleaved thirds."""
     s = splits.split_rows(observations(spark, sf_dir), keys=("seed", "client_id"))
     seeds = s.select("seed", "client_id").distinct()
     w = benign_weights(s)
@@ -405,7 +405,13 @@ def seed_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
             own = seeds.join(F.broadcast(rates), "client_id").withColumns({"budget_id": F.lit(b), "budget": F.lit(budget), "policy": F.lit(policy)})
             asked = own if asked is None else asked.unionByName(own)
     by = ("budget_id", "budget", "policy")
-    res = evaluate.evaluate(s, evaluate.final_thresholds(s, asked, ("seed", "client_id")), ("seed", "client_id"), by)
+    return evaluate.evaluate(s, evaluate.final_thresholds(s, asked, ("seed", "client_id")), ("seed", "client_id"), by)
+
+
+def seed_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seed, budget_id, policy, FLEET...) of seed_results()."""
+    s = splits.split_rows(observations(spark, sf_dir), keys=("seed", "client_id"))
+    w, by, res = benign_weights(s), ("budget_id", "budget", "policy"), seed_results(spark, sf_dir)
     return evaluate.fleet(evaluate.per_client(res, ("seed", *by)), w, None, ("seed", *by))
 
 
@@ -448,7 +454,7 @@ def holm(spark, sf_dir):
 
 @query("o12_bootstrap")
 def bootstrap(spark, sf_dir):
-    return rounded(infer.bootstrap(infer.paired_differences(seed_evaluations(spark, sf_dir), "equal_alert", "equal_rate", "macro_recall"), 5000))
+    return rounded(infer.bootstrap(infer.paired_differences(seed_evaluations(spark, sf_dir), "equal_alert", "equal_rate", "macro_recall")))
 
 
 @query("o16_macro_gate", SEEDS + ", g AS (SELECT budget_id, avg(macro_recall) AS m FROM fu WHERE policy = 'equal_rate' GROUP BY 1) SELECT count(*) FILTER (WHERE m >= 0.5) AS n_ok, CASE WHEN count(*) < 3 THEN 'UNAVAILABLE' WHEN count(*) FILTER (WHERE m >= 0.5) >= 2 THEN 'PASS' ELSE 'FAIL' END AS status FROM g")
@@ -472,14 +478,20 @@ def stability_mode(spark, sf_dir):
     return rounded(infer.stability(e.select(F.concat(F.lit("c"), F.pmod("user_id", F.lit(5)).cast("string")).alias("client_id"), F.round(F.col("value") / 50).alias("target_rate"))))
 
 
+#: Replicates of the stability study.
+REPLICATES = 500
+
+
 @query("o19_allocation_stability")
 def allocation_stability(spark, sf_dir):
-    drawn = scoring.resample(split_scores(spark, sf_dir), 8, 7)
+    s = split_scores(spark, sf_dir)
+    drawn = scoring.resample(s, REPLICATES, 7)
     # A replicate's clients are devices of their own.
     own = drawn.withColumn("client_id", F.concat(F.col("replicate").cast("string"), F.lit("/"), "client_id"))
     util = frontier.utilities(frontier.confusions(own))
     util = util.withColumns({"problem": F.split("client_id", "/")[0], "client_id": F.split("client_id", "/")[1]})
-    points = util.withColumns({"weight": F.lit(0.2), "budget": F.lit(BUDGET), "forbidden": F.lit(False)})
+    weights = frontier.equal_weights(s.select("client_id").distinct())
+    points = util.join(F.broadcast(weights), "client_id").withColumns({"budget": F.lit(BUDGET), "forbidden": F.lit(False)})
     rates = policies.allocate(points, "macro").select("client_id", F.col("problem").alias("replicate"), "target_rate")
     return rounded(infer.stability(rates))
 
@@ -624,7 +636,7 @@ def ensemble(spark, sf_dir):
 def federated_scores(spark, sf_dir):
     f = features(spark, sf_dir)
     z = scoring.standardise(f, scoring.column_statistics(f))
-    net = scoring.federated_training(z.select("client_id", "row", "z"), [64, 16, 4], rounds=2, epochs=1)
+    net = scoring.federated_training(z.select("client_id", "row", "z"), [64, 16, 4], rounds=10, epochs=3)
     return scoring.reconstruction_scores(z, net).select("client_id", "row", F.round("score", 4).alias("score"))
 
 
@@ -652,19 +664,30 @@ def numeric_projection(spark, sf_dir):
     return o.select("o_orderkey", text.number(cell).alias("x"))
 
 
-@query("j01_score_lookup", "SELECT o_orderkey, l_linenumber, round(sum(l_extendedprice), 2) AS score FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1, 2")
+@query("j01_score_lookup", "SELECT o_orderkey AS source_file, o_custkey, round(score, 2) AS score FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS score FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
 def score_lookup(spark, sf_dir):
-    """Rows meet scores on (file, row): orders as files, line numbers as rows."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderstatus") == "F").select("o_orderkey")
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return o.join(x, o["o_orderkey"] == x["l_orderkey"]).groupBy("o_orderkey", "l_linenumber").agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
+    """Rows meet the one score of their place: orders, and what their lines cost."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("source_file"), "o_custkey")
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("source_file")).agg(F.sum("l_extendedprice").alias("score"))
+    return lookups.score_lookup(rows, x, ["source_file"]).withColumn("score", F.round("score", 2))
+
+
+@query("j02_timed_scores", "SELECT event_id AS source_row, 'c' || (user_id % 5) AS client_id, epoch_us(ts) / 1e6 AS t, value AS score FROM events WHERE user_id % 7 <> 0 AND event_id % 5 <> 0 AND event_id % 3 <> 0")
+def timed_scores(spark, sf_dir):
+    """Timed rows, some without a device or a time, meet a score table that lacks every third row."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("source_file", F.lit("events"))
+    timed = e.select(
+        "source_file", F.col("event_id").alias("source_row"), F.when(F.pmod("user_id", F.lit(7)) != 0, F.concat(F.lit("c"), F.pmod("user_id", F.lit(5)).cast("string"))).otherwise(" ").alias("client_id"),
+        F.when(F.pmod("event_id", F.lit(5)) != 0, F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), F.lit("benign").alias("label"), F.lit(None).cast("string").alias("attack_subtype"),
+    )
+    scores = e.where(F.pmod("event_id", F.lit(3)) != 0).select("source_file", F.col("event_id").alias("source_row"), F.col("value").alias("score"))
+    return lookups.timed_scores(timed, scores).select("source_row", "client_id", "t", "score")
 
 
 @query("w03_out_of_order_steps", "SELECT client_id, count(*) FILTER (WHERE d < 0) AS back, count(d) AS steps FROM (SELECT client_id, t - lag(t) OVER (PARTITION BY client_id ORDER BY ordinal) AS d FROM (SELECT 'c' || (user_id % 5) AS client_id, event_id AS ordinal, epoch_us(ts) / 1e6 - 900 * (event_id % 3) AS t FROM events)) GROUP BY 1")
 def out_of_order_steps(spark, sf_dir):
     obs = observations(spark, sf_dir).withColumn("t", F.col("t") - 900 * F.pmod("ordinal", F.lit(3)))
-    w = Window.partitionBy("client_id").orderBy("ordinal")
-    d = obs.withColumn("d", F.col("t") - F.lag("t").over(w))
+    d = events.steps_back(obs.select("client_id", "ordinal", "t"), ["client_id"], "ordinal")
     return d.groupBy("client_id").agg(F.count_if(F.col("d") < 0).alias("back"), F.count("d").alias("steps"))
 
 
@@ -676,21 +699,107 @@ def split_manifest(spark, sf_dir):
     return split_scores(spark, sf_dir).groupBy("client_id", "split", "attack_subtype").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count("*").alias("n"))
 
 
-@query("j09_detected_intervals", TH + ", i AS (SELECT client_id, attack_subtype, min(t) AS a, max(t) AS b FROM obs WHERE label = 'attack' AND ordinal % 50 = 1 GROUP BY client_id, attack_subtype) SELECT client_id, attack_subtype FROM i WHERE EXISTS (SELECT 1 FROM obs o JOIN th USING (client_id) WHERE o.client_id = i.client_id AND o.score > th.threshold AND o.t BETWEEN i.a AND i.b)")
+@query("j09_detected_intervals", TH + ", i AS (SELECT client_id, attack_subtype, min(t) AS a, max(t) AS b FROM obs WHERE label = 'attack' GROUP BY client_id, attack_subtype) SELECT client_id, attack_subtype FROM i WHERE EXISTS (SELECT 1 FROM obs o JOIN th USING (client_id) WHERE o.client_id = i.client_id AND o.score > th.threshold AND o.t BETWEEN i.a AND i.b)")
 def detected_intervals(spark, sf_dir):
     z = timed_alerts(spark, sf_dir)
-    spans = z.where((F.col("label") == "attack") & (F.pmod("ordinal", F.lit(50)) == 1)).groupBy("client_id", "attack_subtype").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    alerts = z.where(F.col("score") > F.col("threshold")).select(F.col("client_id").alias("c"), F.col("t").alias("at"))
-    return spans.join(alerts, (F.col("client_id") == F.col("c")) & F.col("at").between(F.col("a"), F.col("b")), "left_semi").select("client_id", "attack_subtype")
+    spans = z.where(F.col("label") == "attack").groupBy("client_id", "attack_subtype").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    return events.detected_intervals(spans, z.where(F.col("score") > F.col("threshold"))).select("client_id", "attack_subtype")
 
 
-@query("a33_auroc_invariance", f"WITH {OBS} SELECT client_id, true AS same FROM obs GROUP BY 1")
+@query("a33_auroc_invariance", f"WITH {OBS}, d AS (SELECT client_id, score, count(*) FILTER (WHERE label = 'benign') AS b, count(*) FILTER (WHERE label = 'attack') AS a FROM obs GROUP BY 1, 2), c AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY client_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d) SELECT client_id, round(sum(a * (below + b / 2.0::DOUBLE)) / (sum(a) * sum(b))::DOUBLE, 9) AS auroc, 0.0::DOUBLE AS spread FROM c GROUP BY 1")
 def auroc_invariance(spark, sf_dir):
-    """Ranking metrics don't depend on thresholds: the area is the same for scores on any rising scale."""
+    """The areas under two policies' evaluations, which their thresholds cannot move; an error if they did."""
     obs = observations(spark, sf_dir)
-    a = evaluate.auroc(obs, ["client_id"])
-    b = evaluate.auroc(obs.withColumn("score", F.col("score") * 2 + 1), ["client_id"]).withColumnRenamed("auroc", "other")
-    return a.join(b, "client_id").select("client_id", (F.abs(F.col("auroc") - F.col("other")) < 1e-12).alias("same"))
+    each = obs.select("*", F.explode(F.array(F.lit("equal_rate"), F.lit("equal_alert"))).alias("policy"))
+    areas = evaluate.auroc(each, ["client_id", "policy"])
+    spread = evaluate.invariant_areas(areas, ["client_id"])
+    return rounded(areas.where(F.col("policy") == "equal_rate").select("client_id", "auroc").join(spread, "client_id"))
+
+
+@query("j05_merge_decisions", f"WITH {CURVE}, {ELIGIBLE} SELECT client_id, CASE WHEN eligible THEN 0.03::DOUBLE ELSE {BUDGET}::DOUBLE END AS target_rate, NOT eligible AS fallback FROM el")
+def merge_decisions(spark, sf_dir):
+    """Fallback clients take the budget's rate, the others what was optimised for them (here a fixed rate)."""
+    el = frontier.eligibility(curve(spark, sf_dir), min_client=165)
+    fallback = el.where(~F.col("eligible")).select("client_id", F.lit(BUDGET).alias("target_rate"))
+    optimised = el.where("eligible").select("client_id", F.lit(0.03).alias("target_rate"))
+    return lookups.merge_decisions(el, fallback, optimised)
+
+
+@query("a16_weighted_cost", f"WITH {OBS}, {SPLIT}, {CLIENTS}, {WEIGHT} SELECT round(sum(weight * 0.02::DOUBLE), 9) AS cost, sum(weight * 0.02::DOUBLE) <= {BUDGET}::DOUBLE + 1e-12 AS feasible FROM w")
+def weighted_cost(spark, sf_dir):
+    s = split_scores(spark, sf_dir)
+    return rounded(frontier.weighted_cost(equal_decisions(s), benign_weights(s), BUDGET))
+
+
+LONG = frontier.long_grid()
+
+
+@query("a04_long_grid", "WITH " + CURVE.replace(GRID_SQL, "grid AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE)" for i, a in enumerate(LONG)) + ") g(grid_ix, target_rate))") + f" SELECT client_id, grid_ix, {r9('target_rate', 'target_rate')}, {r9('threshold', 'threshold')}, attack_subtype, tp, fn FROM cf")
+def long_frontier(spark, sf_dir):
+    """The frontier over all 207 rates."""
+    return rounded(frontier.confusions(split_scores(spark, sf_dir), LONG))
+
+
+@query("a48_worst_fallback", f"WITH {CURVE}, {ELIGIBLE} SELECT round(avg((NOT eligible)::INT), 9) AS worst, avg((NOT eligible)::INT) > 0.1 AS warning FROM el")
+def worst_fallback(spark, sf_dir):
+    s = split_scores(spark, sf_dir)
+    one = frontier.fallback_budget(frontier.eligibility(frontier.confusions(s), min_client=165), benign_weights(s), BUDGET)
+    return rounded(infer.worst_fallback(one, 0.1))
+
+
+@query("a37_policy_means", SEEDS + " SELECT budget_id, round(avg(macro_recall), 9) AS mean FROM fu WHERE policy = 'equal_alert' GROUP BY 1")
+def policy_means(spark, sf_dir):
+    return rounded(infer.policy_means(seed_evaluations(spark, sf_dir), "equal_alert", "macro_recall"))
+
+
+@query("a38_operating_points", SEEDS + ", p AS (SELECT seed, client_id, avg(recall) AS macro_recall, any_value(target_rate) AS target_rate, any_value(threshold) AS threshold, any_value(fpr) AS fpr FROM res WHERE policy = 'equal_alert' AND budget_id = 'b2' GROUP BY 1, 2) SELECT client_id, round(avg(target_rate), 9) AS target_rate, " + r9("avg(threshold)", "threshold") + ", round(avg(fpr), 9) AS fpr, round(avg(macro_recall), 9) AS macro_recall FROM p GROUP BY 1")
+def operating_points(spark, sf_dir):
+    return rounded(evaluate.operating_points(seed_results(spark, sf_dir), "equal_alert", "b2"))
+
+
+def all_policies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = splits.split_rows(observations(spark, sf_dir), keys=("seed", "client_id"))
+    return policies.run_all(s, benign_weights(s), SEED_BUDGETS)
+
+
+@query("o10_all_policies")
+def run_of_all_policies(spark, sf_dir):
+    """Every policy at every seed and budget. The optimised ones are found by a solver, so SQL has no say."""
+    return rounded(all_policies(spark, sf_dir)[1].select("seed", "budget_id", "policy", "status", *FLEET))
+
+
+@query("o14_primary_policies")
+def primary_policies(spark, sf_dir):
+    return rounded(infer.primary(all_policies(spark, sf_dir)[1].where(F.col("status") == "COMPLETED")))
+
+
+@query("o15_guardrail")
+def guardrail(spark, sf_dir):
+    return rounded(infer.guardrail(all_policies(spark, sf_dir)[1].where(F.col("status") == "COMPLETED")))
+
+
+@query("e10_event_budget_rows")
+def event_budget_rows(spark, sf_dir):
+    """Thresholds by bisection, device by device, and what their events come to."""
+    return rounded(events.budget_rows(observations(spark, sf_dir), (0.05, 0.2)), 6)
+
+
+E20 = f"WITH {OBS}, {CLIENTS}, bu AS (SELECT * FROM (VALUES ('b1', 0.05::DOUBLE), ('b2', 0.02::DOUBLE)) b(budget_id, target_rate)),\n" + theta_sql("th", "SELECT client_id, score FROM obs WHERE label = 'benign'", "SELECT client_id, budget_id, target_rate FROM cl, bu")
+
+
+@query("e20_event_tables", E20 + f", {event_sql('client_id, budget_id', 'SELECT o.client_id, th.budget_id, o.t FROM obs o JOIN th USING (client_id) WHERE o.score > th.threshold')} SELECT client_id, budget_id, count(*) AS all_events FROM ev GROUP BY 1, 2")
+def event_run(spark, sf_dir):
+    tables = events.event_tables(observations(spark, sf_dir), {"b1": 0.05, "b2": 0.02}, {k: v[:1] for k, v in STEPS.items()}, (0.05,))
+    return tables["metrics"].where(F.col("all_events") > 0).select("client_id", "budget_id", "all_events")
+
+
+@query("j08_gain_heterogeneity", SEEDS + ", g AS (SELECT a.seed, avg(a.macro_recall - b.macro_recall) AS gain FROM fu a JOIN fu b ON a.seed = b.seed AND a.budget_id = b.budget_id AND a.policy = 'equal_alert' AND b.policy = 'equal_rate' GROUP BY 1), h AS (SELECT seed, stddev_pop(macro_recall) AS heterogeneity FROM pc WHERE policy = 'equal_rate' AND budget_id = 'b2' AND seed < 2 GROUP BY 1) SELECT seed, round(gain, 9) AS gain, round(heterogeneity, 9) AS heterogeneity FROM g JOIN h USING (seed)")
+def gain_heterogeneity(spark, sf_dir):
+    """Each seed's gain beside the spread of its clients' recalls; one seed has no spread on record."""
+    d = infer.paired_differences(seed_evaluations(spark, sf_dir), "equal_alert", "equal_rate", "macro_recall").groupBy("seed").agg(F.avg("diff").alias("gain"))
+    clients = evaluate.per_client(seed_results(spark, sf_dir).where((F.col("policy") == "equal_rate") & (F.col("budget_id") == "b2")), ("seed",))
+    spread = clients.where(F.col("seed") < 2).groupBy("seed").agg(F.stddev_pop("macro_recall").alias("aggregate"))
+    return rounded(lookups.gain_and_heterogeneity(d, spread))
 
 
 @query("a39_seed_gain", SEEDS + ", g AS (SELECT a.seed, avg(a.macro_recall - b.macro_recall) AS gain FROM fu a JOIN fu b ON a.seed = b.seed AND a.budget_id = b.budget_id AND a.policy = 'equal_alert' AND b.policy = 'equal_rate' GROUP BY 1) SELECT seed, round(gain, 9) AS gain FROM g")
@@ -739,32 +848,27 @@ def conservative_allocation(spark, sf_dir):
 @query("d10_completion", SEEDS + ", e AS (SELECT seed, budget_id, policy FROM (SELECT DISTINCT seed FROM obs), (VALUES ('b1'), ('b2'), ('b3'), ('b4')) b(budget_id), (VALUES ('equal_rate'), ('equal_alert')) p(policy)), s AS (SELECT CASE WHEN f.seed IS NULL THEN 'MISSING' WHEN usage <= 1.1 THEN 'VALID' ELSE 'MALFORMED' END AS state FROM e LEFT JOIN fu f USING (seed, budget_id, policy)) SELECT count(*) AS cells, count(*) FILTER (WHERE state = 'VALID') AS valid, count(*) FILTER (WHERE state = 'MISSING') AS missing, count(*) FILTER (WHERE state = 'MALFORMED') AS malformed, CASE WHEN count(*) FILTER (WHERE state = 'MISSING') = count(*) THEN 'NOT_STARTED' WHEN count(*) FILTER (WHERE state = 'MALFORMED') > 0 THEN 'FAILED' WHEN count(*) FILTER (WHERE state = 'MISSING') > 0 THEN 'EXECUTION_INCOMPLETE' ELSE 'PASSED' END AS state FROM s")
 def completion(spark, sf_dir):
     """Expected cells of seeds, budgets and policies against what has been evaluated; one budget is never run."""
-    from fleetward.operators import checks
-
     evals = seed_evaluations(spark, sf_dir)
     cells = F.explode(F.array(*map(F.lit, [*SEED_BUDGETS, "b4"]))).alias("budget_id")
     expected = observations(spark, sf_dir).select("seed").distinct().select("seed", cells).select("seed", "budget_id", F.explode(F.array(F.lit("equal_rate"), F.lit("equal_alert"))).alias("policy"))
     return checks.progress(checks.completion(expected, evals, ["seed", "budget_id", "policy"], F.col("usage") <= 1.1))
 
 
-@query("d04_partition_digest")
-def partition_digest(spark, sf_dir):
-    from fleetward.operators import checks
+DIGEST_CELLS = " || '|' || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("ordinal", "label", "attack_subtype"))
+
 
-    return checks.digest(split_scores(spark, sf_dir), ["client_id", "split"], ["ordinal", "score", "label", "attack_subtype"])
+@query("d04_partition_digest", f"WITH {OBS}, {SPLIT} SELECT client_id, split, count(*) AS n, CAST(sum(CAST('0x' || substr(md5({DIGEST_CELLS}), 1, 15) AS UBIGINT)) AS VARCHAR) AS digest FROM sp GROUP BY 1, 2")
+def partition_digest(spark, sf_dir):
+    return checks.digest(split_scores(spark, sf_dir), ["client_id", "split"], ["ordinal", "label", "attack_subtype"])
 
 
 @query("u06_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_keys(spark, sf_dir):
-    from fleetward.operators import checks
-
     return checks.repeated(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 
 
 @query("u04_unmatched_keys", "SELECT k AS c_custkey, side FROM (SELECT c_custkey AS k, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
 def unmatched_keys(spark, sf_dir):
-    from fleetward.operators import checks
-
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("c_custkey"))
     return checks.unmatched(c, o, ["c_custkey"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetward.functions.text import attack_name, capture_time, device_name, epoch_seconds, is_device, label_subtype, number
@@ -13,20 +13,159 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def typed_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def capture_files(spark: SparkSession, path: str | list[str], limit: int | None = None) -> list[str]:
+    """Paths of the CSV captures below path, sorted; the first so many. No content is read."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").format("binaryFile").load(path).select("path").orderBy("path")
+    return [r["path"] for r in (files.limit(limit) if limit is not None else files).collect()]
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, at, line): each line of the CSV captures below path and its place in its file, from 0.
+
+    Spark deals a file out in blocks. Lines are numbered within their block, and the blocks' counts, one row each,
+    give every block its first place; so a file of any size is spread over its blocks.
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("__id"))
+    inside = Window.partitionBy("file", "__block").orderBy("__id")
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("file", "__block").agg(F.count("*").alias("__n"))
+    counts = counts.select("file", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    out = lines.withColumn("__k", F.row_number().over(inside)).join(counts, ["file", "__block"])
+    return out.select("file", (F.col("__before") + F.col("__k") - 1).cast("long").alias("at"), "line")
+
+
+def _fields(line: Column) -> Column:
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("[^"]*"|[^,]*)'))
+    return F.transform(found, lambda x: F.regexp_replace(x, '^"|"$', ""))
+
+
+def typed_rows(spark: SparkSession, path: str | list[str], row_limit: int | None = None) -> DataFrame:
     """file, source_row (from 0, without the header) and values, a map of column name to text.
 
-    Headers may differ between captures. Files are read whole, so that a row's place is its line's however Spark
-    deals files out; captures are files of bounded size, one task each.
+    Headers may differ between captures; a header is one row a file and meets its file's lines in a join. A blank
+    cell is null. row_limit: rows of each file. Quoted cells may hold commas, but no line breaks.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").format("binaryFile").load(path)
-    body = files.select(F.col("path").alias("file"), F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\\r\\n", "\n"), "\n").alias("lines"))
-    fields = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("[^"]*"|[^,]*)')), lambda x: F.regexp_replace(x, '^"|"$', ""))
-    rows = body.select("file", fields(F.get("lines", F.lit(0))).alias("names"), F.posexplode("lines").alias("at", "line")).where((F.col("at") > 0) & (F.trim("line") != ""))
-    cells = F.transform(fields(F.col("line")), lambda x: F.when(F.trim(x) == "", None).otherwise(x))
+    lines = numbered_lines(spark, path)
+    names = lines.where(F.col("at") == 0).select("file", _fields(F.col("line")).alias("names"))
+    rows = lines.where((F.col("at") > 0) & (F.trim("line") != ""))
+    if row_limit is not None:
+        rows = rows.where(F.col("at") <= row_limit)
+    cells = F.transform(_fields(F.col("line")), lambda x: F.when(F.trim(x) == "", None).otherwise(x))
     n = F.size("names")
     padded = F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
-    return rows.select("file", (F.col("at") - 1).cast("long").alias("source_row"), F.map_from_arrays("names", padded).alias("values"))
+    return rows.join(names, "file").select("file", (F.col("at") - 1).cast("long").alias("source_row"), F.map_from_arrays("names", padded).alias("values"))
+
+
+def feature_columns(columns: list[str], layout: list[str], excluded: list[str] = ()) -> list[str]:
+    """The columns that are features, in their order."""
+    gone = {*layout, *excluded}
+    return [c for c in columns if c not in gone]
+
+
+def same_features(spark: SparkSession, files: list[str], layout: list[str], excluded: list[str] = ()) -> list[str]:
+    """The feature columns that all captures have, by their headers; an error if one lacks a layout column or differs."""
+    first: list[str] | None = None
+    for path in files:
+        columns = header(spark, path)
+        missing = [c for c in layout if c not in columns]
+        if missing:
+            raise ValueError(f"{path} lacks the columns {missing}")
+        own = feature_columns(columns, layout, excluded)
+        if not own:
+            raise ValueError(f"{path} has no feature columns")
+        if first is not None and own != first:
+            raise ValueError(f"{path} has the feature columns {own}, others {first}")
+        first = own
+    if first is None:
+        raise ValueError("no captures")
+    return first
+
+
+def _finite(x: Column) -> Column:
+    return F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+
+def timed_features(rows: DataFrame, features: list[str], device: str = "eth.src", label: str = "label") -> DataFrame:
+    """(client_id, source_file, source_row, label, attack_subtype, x) of timed captures with all features finite.
+
+    A blank cell is 0; a row with a cell that is no finite number, or without a device, goes; others keep their row
+    numbers.
+    """
+    get = lambda c: F.col("values")[c]
+    attack = F.lower(F.trim(get(label))) != "benign"
+    x = F.array(*(number(F.coalesce(get(f), F.lit("0"))) for f in features))
+    out = rows.select(
+        F.trim(get(device)).alias("client_id"), F.element_at(F.split("file", "/"), -1).alias("source_file"), "source_row", F.when(attack, "attack").otherwise("benign").alias("label"),
+        F.when(attack, label_subtype(get(label))).alias("attack_subtype"), x.alias("x"),
+    )
+    return out.where(F.col("client_id").isNotNull() & (F.col("client_id") != "") & _finite(F.col("x")))
+
+
+def trainable(rows: DataFrame, train: float = 0.5) -> DataFrame:
+    """(client_id, n_train): clients whose benign rows leave some to train on, floor(train x benign) > 0."""
+    n = F.floor(F.lit(float(train)) * F.count_if(F.col("label") == "benign").cast("double"))
+    return rows.groupBy("client_id").agg(n.alias("n_train")).where(F.col("n_train") > 0)
+
+
+#: The file of benign rows, and the folders and files of attacks with their subtypes.
+BENIGN_FILE = "benign_traffic.csv"
+FAMILIES = {
+    "gafgyt_attacks": {f"{k}.csv": f"bashlite_{k}" for k in ("combo", "junk", "scan", "tcp", "udp")},
+    "mirai_attacks": {f"{k}.csv": f"mirai_{k}" for k in ("ack", "scan", "syn", "udp", "udpplain")},
+}
+
+
+def device_tree(spark: SparkSession, root: str, benign_file: str = BENIGN_FILE, families: dict[str, dict[str, str]] = FAMILIES, clients: dict[str, str] | None = None) -> DataFrame:
+    """(client_id, label, attack_subtype, source_file, source_row, x) from <root>/<device>/... of numeric captures.
+
+    <device>/<benign_file> is benign, <device>/<family>/<file> an attack of the family's table; other files are left
+    out, missing families and files are no error, a device without its benign file is one. clients: folders to read
+    and their ids (unset: all, by their own names). x: the row's numbers in the order of the header; a cell that is
+    no finite number is an error.
+    """
+    rows = typed_rows(spark, root)
+    depth = len([p for p in root.split("://")[-1].split("/") if p])
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace("file", "^[a-z]+:/+", ""), "%20", " "), "/"), lambda p: p != "")
+    inner = F.slice(parts, depth + 1, 10)
+    device, one, two = (F.get(inner, F.lit(k)) for k in range(3))
+    name = F.concat_ws("/", F.slice(inner, 2, 10))
+    kinds = F.create_map(*(F.lit(x) for folder, files in families.items() for file, subtype in files.items() for x in (f"{folder}/{file}", subtype)))
+    subtype = F.when(F.size(inner) == 3, F.try_element_at(kinds, F.concat_ws("/", one, two)))
+    benign = (F.size(inner) == 2) & (one == benign_file)
+    out = rows.select(device.alias("client_id"), F.when(benign, "benign").when(subtype.isNotNull(), "attack").alias("label"), subtype.alias("attack_subtype"), name.alias("source_file"), "source_row", "values")
+    out = out.where(F.col("label").isNotNull())
+    if clients is not None:
+        ids = F.create_map(*(F.lit(x) for pair in clients.items() for x in pair))
+        out = out.withColumn("client_id", F.try_element_at(ids, F.col("client_id"))).where(F.col("client_id").isNotNull())
+    lacking = out.groupBy("client_id").agg(F.count_if(F.col("label") == "benign").alias("n")).where(F.col("n") == 0).first()
+    have = {r["client_id"] for r in out.select("client_id").distinct().collect()}
+    missing = sorted(({*clients.values()} if clients else set()) - have) + ([lacking["client_id"]] if lacking else [])
+    if missing:
+        raise ValueError(f"no {benign_file} for {missing}")
+    x = F.transform(F.map_values("values"), number)
+    told = F.when(_finite(x), x).otherwise(F.raise_error(F.concat(F.lit("no finite number in row "), F.col("source_row").cast("string"), F.lit(" of "), F.col("source_file"))).cast("array<double>"))
+    return out.select("client_id", "label", "attack_subtype", "source_file", "source_row", told.alias("x"))
+
+
+def dropped_rows(packets: DataFrame) -> DataFrame:
+    """(client_id, kept, dropped) of packet_rows(): rows that are complete, and rows that are not."""
+    return packets.groupBy("client_id").agg(F.count_if("complete").alias("kept"), F.count_if(~F.col("complete")).alias("dropped"))
+
+
+def eligible_rows(packets: DataFrame, eligible: DataFrame) -> DataFrame:
+    """The complete rows of eligible clients; an error if there are none of either."""
+    from fleetward.operators.checks import require_rows
+
+    require_rows(eligible, "eligible clients")
+    return require_rows(packets.where("complete").join(eligible.select("client_id").distinct(), "client_id", "left_semi"), "rows of eligible clients")
+
+
+def flow_gate(columns: list[str], identity: list[str] = ("src_mac", "dst_mac", "src_ip", "dst_ip"), time: list[str] = ("timestamp", "ts", "frame.time", "time")) -> dict[str, bool]:
+    """What the header of a flow capture lets one tell: devices, times, and so order, attack intervals and durations."""
+    low = {c.strip().lower() for c in columns}
+    known, timed = bool(low & {*identity}), bool(low & {*time})
+    return {"devices_known": known, "time_parsed": timed, "ordered": known and timed, "separable": timed, "lasting": timed, "passed": known and timed}
 
 
 def classify(df: DataFrame, root: str, benign: str) -> DataFrame:

@@ -33,3 +33,64 @@ def read_scores(spark: SparkSession, path: str, columns: list[str] | None = None
 def sample_id(client: str = "client_id", split: str = "split", subtype: str = "attack_subtype", row: str = "source_row"):
     """client|split[|subtype]|row"""
     return F.concat_ws("|", client, split, subtype, F.col(row).cast("string"))
+
+
+def write_rows(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Writes a table that has rows; an empty one is an error."""
+    from fleetward.operators.checks import require_rows
+
+    out = require_rows(df, path).write.mode("overwrite")
+    (out.partitionBy(*by) if by else out).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A report table as one CSV file with a header, in the order of its rows; report tables are small."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_scaler(stats: DataFrame, path: str) -> None:
+    """(client_id, feature, mean, sd) of each device."""
+    write_rows(stats.select("client_id", "feature", "mean", "sd"), path)
+
+
+def read_scaler(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("client_id string, feature int, mean double, sd double").parquet(path)
+
+
+def seed_bundle(spark: SparkSession, path: str, dataset: str, seed: int, population: DataFrame, train: bool = False) -> DataFrame:
+    """All splits of one seed's scores (without training rows, or with them) for exactly the population's clients.
+
+    A sample id of two rows, a client of the population without rows, or one outside it, is an error.
+    """
+    from fleetward.operators.checks import require_same_keys, require_unique
+
+    splits = ["benign_frontier", "benign_final_cal", "benign_test", "attack_validation", "attack_test", *["benign_train"] * train]
+    out = read_scores(spark, path, dataset_id=dataset, seed=seed, split=splits)
+    require_same_keys(out, population, ["client_id"])
+    return require_unique(out, ["sample_id"])
+
+
+def persist_run(results: DataFrame, evaluations: DataFrame, allocations: DataFrame, path: str) -> None:
+    """A run's tables below path, partitioned by seed and budget; only what has rows is written."""
+    for name, df in (("results", results), ("evaluations", evaluations), ("allocations", allocations)):
+        if not df.isEmpty():
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seed", "budget_id").parquet(f"{path}/{name}")
+
+
+def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluations in the order of seed, budget and policy; cells that were never written are not there."""
+    return spark.read.parquet(f"{path}/evaluations").orderBy("seed", "budget_id", "policy")
+
+
+def score_records(scores: DataFrame, dataset: str, seed: int) -> DataFrame:
+    """Records of scored rows (client_id, split, label, attack_subtype, ordinal, score, timestamp): SCORES.
+
+    source_row counts from 0 within client, split and subtype, in the order of the rows' ordinals.
+    """
+    from fleetward.operators.ranking import positions
+
+    out = positions(scores, ["client_id", "split", "attack_subtype"], "ordinal").withColumn("source_row", F.col("position") - 1)
+    out = out.withColumns({"dataset_id": F.lit(dataset), "seed": F.lit(seed).cast("long"), "source_file": F.concat_ws("/", "client_id", "split")})
+    if "timestamp" not in out.columns:
+        out = out.withColumn("timestamp", F.lit(None).cast("double"))
+    return out.withColumn("sample_id", sample_id()).select(*(F.col(f.name).cast(f.dataType) for f in SCORES))
