@@ -102,9 +102,11 @@ def budget_rows(obs: DataFrame, budgets: tuple[float, ...], parameters: tuple[fl
 
     Devices for which no threshold keeps the budget, or that have no event at theirs, have no row.
     """
+    from fleetward.staging import staged
+
     out = None
     for budget in budgets:
-        cut = event_budget_thresholds(obs, budget, parameters).where(F.col("threshold").isNotNull())
+        cut = staged(event_budget_thresholds(obs, budget, parameters).where(F.col("threshold").isNotNull()), "event-thresholds")
         own = obs.drop("threshold").join(F.broadcast(cut), "client_id")
         one = event_metrics(own, parameters=parameters).join(cut, "client_id")
         one = one.select("client_id", F.lit(float(budget)).alias("budget_per_hour"), "threshold", "false_events_per_hour", "recall", "delay")
@@ -120,10 +122,11 @@ def event_tables(obs: DataFrame, budgets: dict[str, float], steps: dict[str, tup
     """
     from fleetward.operators.calibrate import thresholds
     from fleetward.operators.evaluate import gini_by
+    from fleetward.staging import staged
 
     benign = obs.where(F.col("label") == "benign").select("client_id", "score")
     rates = F.inline(F.array(*(F.struct(F.lit(k).alias("budget_id"), F.lit(float(v)).alias("target_rate")) for k, v in budgets.items())))
-    cut = thresholds(benign, benign.select("client_id").distinct().select("client_id", rates)).select("client_id", "budget_id", "threshold")
+    cut = staged(thresholds(benign, benign.select("client_id").distinct().select("client_id", rates)).select("client_id", "budget_id", "threshold"), "thresholds")
     own = obs.drop("threshold").join(F.broadcast(cut), "client_id")
     keys = ("client_id", "budget_id")
     metrics = event_metrics(own, keys, parameters)

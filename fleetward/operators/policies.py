@@ -141,7 +141,7 @@ def pooled_thresholds(scores: DataFrame, weights: DataFrame, budgets: dict[str,
 POLICIES = ("equal_rate", "equal_alert", "greedy", "macro", "minimax", "test_oracle", "pooled_shared")
 
 
-def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, cap: float = CAP) -> DataFrame:
+def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, min_rows: int = 50, cap: float = CAP) -> DataFrame:
     """(seed, budget_id, budget, policy, client_id, target_rate, status) of every policy but pooled_shared, for all seeds and budgets.
 
     scores: seed, client_id, label, attack_subtype, score, split. Clients that are not eligible take the fallback
@@ -150,9 +150,12 @@ def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float],
     """
     from fleetward.operators import frontier
     from fleetward.operators.splits import oracle_view
+    from fleetward.staging import staged
 
     rates = grid or frontier.GRID
-    people = scores.select("seed", "client_id").distinct()
+    # Tables of clients, budgets and rates: each is read by many of the plans below.
+    people = staged(scores.select("seed", "client_id").distinct(), "people")
+    weights = staged(weights, "weights")
     each = F.inline(F.array(*(F.struct(F.lit(k).alias("budget_id"), F.lit(float(v)).alias("budget")) for k, v in budgets.items())))
     cells = people.select("*", each)
     out = cells.select("seed", "budget_id", "budget", F.lit("equal_rate").alias("policy"), "client_id", F.least(F.col("budget"), F.lit(cap)).alias("target_rate"), F.lit("OPTIMAL").alias("status"))
@@ -163,9 +166,10 @@ def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float],
     for view, names in ((scores, ("greedy", "macro", "minimax")), (oracle_view(scores), ("test_oracle",))):
         conf = frontier.confusions(view.withColumn("client_id", one), rates)
         parted = lambda df: df.withColumns({"seed": F.split("client_id", "/", 2)[0].cast(dict(scores.dtypes)["seed"]), "client_id": F.split("client_id", "/", 2)[1]})
-        able = parted(frontier.eligibility(conf, min_client)).select("seed", "client_id", "eligible")
-        util = parted(frontier.utilities(conf))
-        both = cells.join(able, ["seed", "client_id"], "left").join(F.broadcast(weights), "client_id").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+        conf = staged(conf, "confusions")
+        able = parted(frontier.eligibility(conf, min_client, min_rows=min_rows)).select("seed", "client_id", "eligible")
+        util = parted(frontier.utilities(conf, min_rows))
+        both = staged(cells.join(able, ["seed", "client_id"], "left").join(F.broadcast(weights), "client_id").withColumn("eligible", F.coalesce("eligible", F.lit(False))), "eligible")
         fallback = F.least(F.col("budget"), F.lit(cap))
         left = both.groupBy("seed", "budget_id").agg(F.sum(F.when(~F.col("eligible"), F.col("weight") * fallback).otherwise(0.0)).alias("reserved"))
         points = util.join(both.where("eligible").drop("eligible"), ["seed", "client_id"]).join(left, ["seed", "budget_id"])
@@ -177,7 +181,7 @@ def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float],
     return out
 
 
-def run_all(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
+def run_all(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, min_rows: int = 50, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
     """(results, evaluations) of all policies at all seeds and budgets.
 
     results: evaluate() rows by seed, budget and policy. evaluations: fleet() rows with status, COMPLETED, or EXCLUDED
@@ -185,15 +189,18 @@ def run_all(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], gr
     rows, and its n_cal is 0.
     """
     from fleetward.operators import evaluate
+    from fleetward.staging import staged
 
-    asked = decisions(scores, weights, budgets, grid, min_client, cap)
+    scores, weights = staged(scores.select("seed", "client_id", "label", "attack_subtype", "score", "split"), "scores"), staged(weights, "weights")
+    asked = staged(decisions(scores, weights, budgets, grid, min_client, min_rows, cap), "decisions")
     by, keys = ("budget_id", "budget", "policy"), ("seed", "client_id")
     whole = asked.groupBy("seed", *by).agg(F.count_if(F.col("target_rate").isNull()).alias("__open"))
     ready = asked.join(whole.where(F.col("__open") == 0).select("seed", "budget_id", "policy"), ["seed", "budget_id", "policy"]).drop("status")
     cut = evaluate.final_thresholds(scores, ready, keys).select("seed", "client_id", *by, "target_rate", "n_cal", "threshold")
     pooled = pooled_thresholds(scores, weights, budgets, ["seed"]).select("seed", "budget_id", "budget", F.lit("pooled_shared").alias("policy"), "threshold")
     pooled = pooled.join(scores.select(*keys).distinct(), "seed").withColumns({"target_rate": F.lit(None).cast("double"), "n_cal": F.lit(0).cast("long")})
-    results = evaluate.evaluate(scores, cut.unionByName(pooled.select(*cut.columns)), keys, by)
+    results = evaluate.evaluate(scores, staged(cut.unionByName(pooled.select(*cut.columns)), "thresholds"), keys, by)
+    results = staged(results, "results")
     done = evaluate.fleet(evaluate.per_client(results, ("seed", *by)), weights, None, ("seed", *by)).withColumn("status", F.lit("COMPLETED"))
     shut = whole.where(F.col("__open") > 0).select("seed", *by, F.lit("EXCLUDED").alias("status"))
     return results, done.unionByName(shut, allowMissingColumns=True)

@@ -759,7 +759,7 @@ def operating_points(spark, sf_dir):
 
 def all_policies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = splits.split_rows(observations(spark, sf_dir), keys=("seed", "client_id"))
-    return policies.run_all(s, benign_weights(s), SEED_BUDGETS)
+    return policies.run_all(s, benign_weights(s), SEED_BUDGETS, min_client=30, min_rows=10)
 
 
 @query("o10_all_policies")

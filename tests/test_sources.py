@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetward.operators import events
@@ -79,3 +80,111 @@ def test_score_tables(spark, tmp_path):
     assert checks.not_finite(df.withColumn("score", F.lit(float("inf"))), ["score"]).count() == 20
     again = tables.read_scores(spark, path)
     assert checks.digest(df, ["client_id"], ["sample_id", "score"]).exceptAll(checks.digest(again, ["client_id"], ["sample_id", "score"])).count() == 0
+
+
+def test_lines_of_many_blocks(spark, tmp_path):
+    """A file that Spark deals out in many blocks keeps its lines' places."""
+    root = str(tmp_path)
+    _write(f"{root}/a.csv", ["f1,f2", *(f"{k},{k * 7}" for k in range(5000))])
+    _write(f"{root}/b.csv", ["f2,f1", "1,2", "", "3,4"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = captures.typed_rows(spark, root)
+        assert rows.rdd.getNumPartitions() > 0
+        got = {(r["file"][-5:], r["source_row"]): r["values"] for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(got["a.csv", k] == {"f1": str(k), "f2": str(k * 7)} for k in range(5000))
+    assert got["b.csv", 0] == {"f2": "1", "f1": "2"} and got["b.csv", 2] == {"f2": "3", "f1": "4"} and len(got) == 5002
+    assert captures.typed_rows(spark, root, row_limit=2).count() == 3
+    assert [f[-5:] for f in captures.capture_files(spark, root)] == ["a.csv", "b.csv"] and len(captures.capture_files(spark, root, 1)) == 1
+
+
+def test_device_tree(spark, tmp_path):
+    root = str(tmp_path / "data")
+    for d in ("door bell", "cam"):
+        _write(f"{root}/{d}/benign_traffic.csv", ["f1,f2,f3", *(f"{k},0.5,-{k}" for k in range(20))])
+        _write(f"{root}/{d}/gafgyt_attacks/scan.csv", ["f1,f2,f3", *["7,7,7"] * 5])
+    _write(f"{root}/cam/mirai_attacks/udpplain.csv", ["f1,f2,f3", *["8,8,8"] * 5])
+    _write(f"{root}/cam/mirai_attacks/other.csv", ["f1,f2,f3", "1,1,1"])
+    rows = captures.device_tree(spark, root).collect()
+    count = {}
+    for r in rows:
+        key = (r["client_id"], r["label"], r["attack_subtype"], r["source_file"])
+        count[key] = count.get(key, 0) + 1
+    assert count == {
+        ("door bell", "benign", None, "benign_traffic.csv"): 20, ("door bell", "attack", "bashlite_scan", "gafgyt_attacks/scan.csv"): 5,
+        ("cam", "benign", None, "benign_traffic.csv"): 20, ("cam", "attack", "bashlite_scan", "gafgyt_attacks/scan.csv"): 5, ("cam", "attack", "mirai_udpplain", "mirai_attacks/udpplain.csv"): 5,
+    }
+    assert all(r["x"] == [float(r["source_row"]), 0.5, -float(r["source_row"])] for r in rows if r["label"] == "benign")
+    assert {r["client_id"] for r in captures.device_tree(spark, root, clients={"cam": "d1"}).collect()} == {"d1"}
+    with pytest.raises(ValueError, match="benign_traffic"):
+        captures.device_tree(spark, root, clients={"cam": "d1", "none": "d2"})
+    _write(f"{root}/fridge/mirai_attacks/ack.csv", ["f1,f2,f3", "1,1,1"])
+    with pytest.raises(ValueError, match="fridge"):
+        captures.device_tree(spark, root)
+    _write(f"{root}/fridge/benign_traffic.csv", ["f1,f2,f3", "1,oops,1"])
+    with pytest.raises(Exception, match="no finite number in row 0"):
+        captures.device_tree(spark, root).collect()
+
+
+def test_timed_features(spark, tmp_path):
+    root = str(tmp_path)
+    head = "eth.src,label,frame.time,f1,note,f2"
+    _write(f"{root}/x.csv", [head, "d1,Benign,t,1,n,2", "d1,Benign,t,oops,n,2", " d2 ,Port Scan,t,,n,4", ",Benign,t,1,n,1", "d1,Benign,t,inf,n,1"])
+    _write(f"{root}/y.csv", [head, "d1,Benign,t,5,n,6"])
+    layout = ["eth.src", "label", "frame.time"]
+    names = captures.same_features(spark, captures.capture_files(spark, root), layout, ["note"])
+    assert names == ["f1", "f2"]
+    got = captures.timed_features(captures.typed_rows(spark, root), names)
+    assert sorted((r["client_id"], r["source_file"], r["source_row"], r["label"], r["attack_subtype"], tuple(r["x"])) for r in got.collect()) == [
+        ("d1", "x.csv", 0, "benign", None, (1.0, 2.0)), ("d1", "y.csv", 0, "benign", None, (5.0, 6.0)), ("d2", "x.csv", 2, "attack", "port-scan", (0.0, 4.0)),
+    ]
+    assert {r["client_id"]: r["n_train"] for r in captures.trainable(got).collect()} == {"d1": 1}
+    _write(f"{root}/z.csv", ["eth.src,label,frame.time,f1,note", "d1,Benign,t,5,n"])
+    with pytest.raises(ValueError, match="z.csv"):
+        captures.same_features(spark, captures.capture_files(spark, root), layout, ["note"])
+    with pytest.raises(ValueError, match="lacks"):
+        captures.same_features(spark, captures.capture_files(spark, root), ["when"])
+    assert captures.flow_gate(["f1", "f2"])["passed"] is False and captures.flow_gate(["ts", "src_mac"])["passed"] is True
+
+
+def test_dropped_and_eligible_rows(spark):
+    df = spark.createDataFrame([("a", True), ("a", False), ("b", True)], "client_id string, complete boolean")
+    assert {r["client_id"]: (r["kept"], r["dropped"]) for r in captures.dropped_rows(df).collect()} == {"a": (1, 1), "b": (1, 0)}
+    assert [r["client_id"] for r in captures.eligible_rows(df, df.select("client_id").where("client_id = 'b'")).collect()] == ["b"]
+    with pytest.raises(ValueError, match="eligible clients"):
+        captures.eligible_rows(df, df.limit(0))
+    with pytest.raises(ValueError, match="rows of eligible"):
+        captures.eligible_rows(df, spark.createDataFrame([("z",)], "client_id string"))
+
+
+def test_run_tables(spark, tmp_path):
+    from fleetward.sources import tables
+
+    rows = [("ab"[k % 2], ["benign_frontier", "benign_test", "benign_train"][k % 3], "benign", None, k, float(k)) for k in range(18)]
+    df = spark.createDataFrame(rows, "client_id string, split string, label string, attack_subtype string, ordinal long, score double")
+    records = tables.score_records(df, "d", 3)
+    path = str(tmp_path / "scores")
+    tables.write_scores(records, path)
+    people = df.select("client_id").distinct()
+    bundle = tables.seed_bundle(spark, path, "d", 3, people)
+    assert bundle.count() == 12 and tables.seed_bundle(spark, path, "d", 3, people, train=True).count() == 18
+    assert {(r["client_id"], r["split"], r["source_row"]) for r in bundle.collect()} == {(c, s, k) for c in "ab" for s in ("benign_frontier", "benign_test") for k in range(3)}
+    with pytest.raises(ValueError, match="only the left"):
+        tables.seed_bundle(spark, path, "d", 3, people.where("client_id = 'a'"))
+    tables.write_scores(records, str(tmp_path / "twice"))
+    records.where("split = 'benign_test'").write.mode("append").partitionBy(*tables.PARTITIONS).parquet(str(tmp_path / "twice"))
+    with pytest.raises(ValueError, match="2 rows have the key"):
+        tables.seed_bundle(spark, str(tmp_path / "twice"), "d", 3, people)
+    evals = spark.createDataFrame([(2, "b1", "p", 0.5), (1, "b2", "p", 0.25)], "seed long, budget_id string, policy string, macro_recall double")
+    tables.persist_run(evals, evals, evals.limit(0), str(tmp_path / "run"))
+    assert [(r["seed"], r["budget_id"], r["macro_recall"]) for r in tables.read_evaluations(spark, str(tmp_path / "run")).collect()] == [(1, "b2", 0.25), (2, "b1", 0.5)]
+    assert not os.path.exists(str(tmp_path / "run/allocations"))
+    with pytest.raises(ValueError, match="no rows"):
+        tables.write_rows(evals.limit(0), str(tmp_path / "none"))
+    tables.write_csv(evals.orderBy("seed"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    stats = spark.createDataFrame([("a", 0, 1.0, 2.0)], "client_id string, feature int, mean double, sd double")
+    tables.write_scaler(stats, str(tmp_path / "scaler"))
+    assert tables.read_scaler(spark, str(tmp_path / "scaler")).collect() == stats.collect()
