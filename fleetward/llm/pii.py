@@ -188,14 +188,12 @@ def _flagged(based: DataFrame) -> DataFrame:
     shared = stage(shared.withColumns({"share": share, "most": (col("n_e") + share) / BELIEF - 1}), "pii-shared", few=True)
     bound = shared.agg(F.max("most").alias("most"), F.max("share").alias("share")).first()
     holders = stage(held.join(small_side(shared, 64 + F.octet_length("entity")), "entity"), "pii-holders", few=True)
-    of = small_side(stage(holders.select("h1", "h2").distinct(), "pii-texts", few=True), 32)
+    # Counts and words grow with the corpus, so they meet by a shuffle at every size.
     counts = _text_counts(texts).where((col("n_t") <= (bound["most"] or 0.0) + 1e-6) & (_belief(col("n_t"), col("n_t"), F.lit(bound["share"] or 0.0)) >= BELIEF - 1e-9))
-    counts = stage(counts, "pii-counts", few=True)
-    terms = [x.join(of, ["h1", "h2"]).select("h1", "h2", F.explode(_words(_masked())).alias("term")) for x in texts]
-    terms = stage(terms[0].unionByName(terms[1]).join(small_side(counts, 40 + F.octet_length("term")), "term"), "pii-terms", few=True)
+    terms = [x.where(F.size("base") > 0).select("h1", "h2", F.explode(_words(_masked())).alias("term")) for x in texts]
+    terms = stage(terms[0].unionByName(terms[1]).join(counts, "term"), "pii-terms", few=True)
     pairs = holders.join(terms, ["h1", "h2"]).where(col("n_t") <= col("most") + 1e-6).groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("share").alias("share"))
     secret = stage(pairs.where(_told(col("n_te"), col("n_t"), col("share"))).select("entity", "term"), "pii-disclosing", few=True)
-    secret = small_side(secret, 48 + F.octet_length("entity") + F.octet_length("term"))
     marked = holders.select("h1", "h2", "entity").join(terms.select("h1", "h2", "term"), ["h1", "h2"]).join(secret, ["entity", "term"])
     return marked.groupBy("h1", "h2").agg(F.collect_set("term").alias("words"))
 
@@ -205,12 +203,12 @@ def _joined(spans: Column) -> Column:
 
 
 def _with_terms(based: DataFrame) -> DataFrame:
-    """Adds all: base and term spans in order."""
+    """Adds all: base and term spans in order. Only texts that hold an entity are shuffled to meet their words."""
     flagged = stage(_flagged(based), "pii-flagged", few=True)
-    words = F.aggregate("words", F.lit(64), lambda n, x: n + 32 + F.octet_length(x))
-    out = based.join(small_side(flagged, words), ["h1", "h2"], "left")
+    held = based.where(F.size("base") > 0).join(flagged, ["h1", "h2"], "left")
     every = F.array_sort(F.concat("base", _placed(_masked(), F.col("words"))))
-    return out.withColumn("all", F.when(F.col("words").isNull(), F.col("base")).otherwise(every))
+    held = held.withColumn("all", F.when(F.col("words").isNull(), F.col("base")).otherwise(every)).drop("words")
+    return held.unionByName(based.where(F.size("base") == 0).withColumn("all", F.col("base")))
 
 
 def find(docs: DataFrame) -> DataFrame:
