@@ -67,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op4_substring_rlz": substring_dedup.ORACLE_SQL,
+    "op7_suffix_hash_sort": suffix_dedup.ORACLE_SQL,
     "op9_mix_systematic": mixing.ORACLE_SQL,
     "op10_quality_divergence": quality_rules.oracle_sql(),
 }

@@ -178,3 +178,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     # Ids pass as text: pandas would make floating-point numbers of them beside a null.
     kept = out.select(F.col("doc_id").cast("string"), "text", "copied", "runs").mapInPandas(_kept_rows(window, with_kept), schema)
     return kept.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
+#: The same in DuckDB's SQL, by whole strings, as hexadecimal digits.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT k, x, unnest(range(1, greatest(length(x) // 2 - {WINDOW} + 2, 1))) AS i FROM d),
+h AS (SELECT k, i, md5(substr(x, 2 * i - 1, {2 * WINDOW})) AS h FROM s),
+r AS (SELECT k, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= {WINDOW} THEN 0 ELSE 1 END AS new FROM r)),
+n AS (SELECT k, min(i) AS a, max(i) + {WINDOW - 1} AS b FROM g GROUP BY k, g),
+p AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM n),
+o AS (SELECT k, sum(b - a + 1) AS gone, count(*) AS spans, string_agg(substr(x, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM p JOIN d USING (k) GROUP BY k)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN o USING (k)
+"""

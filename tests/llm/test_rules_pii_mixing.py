@@ -280,7 +280,7 @@ def test_mix_by_hand(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["op4_substring_rlz", "op9_mix_systematic", "op10_quality_divergence"])
+@pytest.mark.parametrize("name", ["op4_substring_rlz", "op7_suffix_hash_sort", "op9_mix_systematic", "op10_quality_divergence"])
 def test_queries_equal_sql(spark, name):
     from fleetward.llm import queries
 
