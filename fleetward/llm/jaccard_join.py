@@ -11,8 +11,8 @@ A document is its set of 5-word shingles; two are linked at similarity 0.8 or mo
 3. A pair at 0.8 stays together down to a leaf of depth d with probability 0.8 ** d. Runs are
    repeated, RUNS at a time, until that leaves each set a chance of 1 - RECALL or less to
    miss a partner.
-4. Leaves are searched by brute force on the sampled tokens, which estimate the similarity; what is
-   more than five standard deviations below 0.8 is left out. Leaves of more than BLOCK sets
+4. Leaves are searched by brute force on a byte of each sampled token, which estimate the similarity;
+   what is more than five standard deviations below 0.8 is left out. Leaves of more than BLOCK sets
    are dealt out as pairs of blocks. A pair counts only in the first run that holds it
    together. A task returns no pairs, only which sets have partners to verify.
 5. Those alone meet their texts again, and their pairs are decided by whole shingle sets.
@@ -37,12 +37,12 @@ from fleetward.llm.tokens import mix, slices, window_hashes, word_bounds, word_h
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Runs that are added at a time, the recall to be reached, and the bins of a set's sample.
-RUNS = 10
+RUNS = 20
 RECALL = 1 - 1e-6
 BINS = 96
 #: Sets of a node that is searched, sets of a block, and levels after which any node is searched.
 LEAF = 256
-BLOCK = 256
+BLOCK = 1024
 DEEPEST = 12
 
 
@@ -73,7 +73,7 @@ def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
         s2 = np.array([mix(s ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
         marks = [sketch(s).view(np.int32) if len(s) else np.empty(0, dtype=np.int32) for s in sets]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "s1": s1, "s2": s2, "n": [len(s) for s in sets], "sk": marks})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "s1": s1, "s2": s2, "n": [len(s) for s in sets], "sk": marks, "bytes": [m.astype(np.uint8).tobytes() for m in marks]})
 
 
 class Forest:
@@ -154,7 +154,8 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.n
             own = rows.iloc[s:e]
             # A repeated row comes twice.
             own = own.drop_duplicates("c") if own["c"].duplicated().any() else own
-            sk, leaves = (np.array(own[c].tolist()).reshape(len(own), -1) for c in ("sk", "leaves"))
+            sk = np.frombuffer(b"".join(own["bytes"]), dtype=np.uint8).reshape(len(own), -1)
+            leaves = np.array(own["leaves"].tolist()).reshape(len(own), -1)
             yield own, sk, own["n"].to_numpy(), leaves, own["block"].to_numpy() if own["i"].iat[0] != own["j"].iat[0] else None, int(own["id"].iat[0])
 
 
@@ -286,8 +287,9 @@ def _links(docs: DataFrame, classes: DataFrame, similarity: float, leaf: int, bl
     each = placed.groupBy("c").agg(*(F.coalesce(F.max(F.when(col("run") == r, col("leaf"))), F.lit(0).cast("long")).alias(f"r{r}") for r in range(runs)))
     each = stage(each.select("c", F.array(*(f"r{r}" for r in range(runs))).alias("leaves")), "jaccard-paths", few=True)
     sizes = small_side(stage(nodes.select(col("leaf").alias("id"), "size").distinct(), "jaccard-sizes", few=True), 32)
-    held = each.join(classes.select("c", "n", "sk"), "c").select("c", "n", "sk", "leaves", F.explode(F.array_distinct(F.filter("leaves", lambda x: x != 0))).alias("id"))
-    held = _block_pairs(held.join(sizes, "id"), block).select(*KEYS, "block", "c", "n", "sk", "leaves")
+    sample = classes.select("c", "n", "bytes")
+    held = each.join(sample, "c").select("c", "n", "bytes", "leaves", F.explode(F.array_distinct(F.filter("leaves", lambda x: x != 0))).alias("id"))
+    held = _block_pairs(held.join(sizes, "id"), block).select(*KEYS, "block", "c", "n", "bytes", "leaves")
     together = lambda rows: rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
     hits = together(held).mapInPandas(_candidate_rows(similarity), "id long, i int, j int, block int, c long")
     hits = stage(hits, "jaccard-hits", few=True)
@@ -296,7 +298,7 @@ def _links(docs: DataFrame, classes: DataFrame, similarity: float, leaf: int, bl
     texts = docs.join(wanted, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "text")
     # A repeated row of a document comes twice; one of them goes on.
     sets = stage(texts.mapInPandas(_token_rows, "c long, tokens binary").dropDuplicates(["c"]), "jaccard-sets")
-    pairs = hits.join(sets, "c").join(each, "c").join(classes.select("c", "n", "sk"), "c")
+    pairs = hits.join(sets.join(each, "c").join(sample, "c"), "c")
     return together(pairs).mapInPandas(_exact_rows(similarity), "c long, root long, links long")
 
 
@@ -312,13 +314,13 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, leaf: int = LEAF, bloc
     col = F.col
     hashed = docs.select("doc_id", text_of().alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), F.col("text"))})
     # Ids pass as text: pandas would make floating-point numbers of them beside a null.
-    schema = "doc_id string, h1 long, h2 long, s1 long, s2 long, n long, sk array<int>"
+    schema = "doc_id string, h1 long, h2 long, s1 long, s2 long, n long, sk array<int>, bytes binary"
     sketches = hashed.select(F.col("doc_id").cast("string"), "text", "h1", "h2").mapInPandas(_sketch_rows, schema)
     sketches = stage(sketches.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "jaccard-sketches")
     # The representative is a whole row, so that its text and its id belong together.
     first = F.min(F.struct("doc_id", "h1", "h2")).alias("first")
-    classes = sketches.where(col("n") > 0).groupBy("s1", "s2").agg(F.count("*").alias("n_copies"), first, F.min("doc_id").alias("class_id"), F.any_value("n").alias("n"), F.any_value("sk").alias("sk"))
-    classes = stage(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n_copies", "class_id", "n", "sk", col("first.doc_id").alias("rep"), col("first.h1").alias("h1"), col("first.h2").alias("h2")), "jaccard-classes")
+    classes = sketches.where(col("n") > 0).groupBy("s1", "s2").agg(F.count("*").alias("n_copies"), first, F.min("doc_id").alias("class_id"), F.any_value("n").alias("n"), F.any_value("sk").alias("sk"), F.any_value("bytes").alias("bytes"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n_copies", "class_id", "n", "sk", "bytes", col("first.doc_id").alias("rep"), col("first.h1").alias("h1"), col("first.h2").alias("h2")), "jaccard-classes")
     found = stage(_links(hashed, classes, similarity, leaf, block), "jaccard-links", few=True)
     links = found.groupBy("c").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(col("root").alias("a"), col("c").alias("b")), "jaccard-groups").select(col("node").alias("c"), "component")
