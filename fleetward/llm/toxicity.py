@@ -2,7 +2,8 @@
 
 Tokens get log-odds of standing in a toxic document, with Dirichlet priors: a word's prior is
 what is known of its first six bytes, theirs what is known of its first four, theirs the
-overall rate; so inflected and compounded words share evidence. Counts are kept in tables of
+overall rate; so inflected and compounded words share evidence. A word said again at once tells
+nothing that the first did not, so its log-odds are 0. Counts are kept in tables of
 fixed size by hash, so a model has a fixed size whatever the vocabulary.
 
 A drift is taken from each score so that clean text scores below zero on the whole. One linear
@@ -148,10 +149,14 @@ def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _scores_of(model: dict, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Scores of all words of each text."""
+    """Scores of all words of each text; a word that repeats the one before it has log-odds of 0."""
     cells, size = token_cells(texts)
-    scores = log_odds(cells, model["toxic"], model["every"], model["rate"]) - DRIFT
-    yield from np.split(scores, np.cumsum(size)[:-1]) if len(size) else ()
+    odds = log_odds(cells, model["toxic"], model["every"], model["rate"])
+    border = np.cumsum(size) - size
+    again = np.r_[False, (cells[1:] == cells[:-1]).all(axis=1)] if len(cells) else np.empty(0, dtype=bool)
+    again[border[size > 0]] = False
+    scores = np.where(again, 0.0, odds) - DRIFT
+    yield from np.split(scores, border[1:]) if len(size) else ()
 
 
 def _calibration_rows(shared):

@@ -125,9 +125,12 @@ def test_toxicity_score_by_brute_force(spark):
     rate = sum(n[1] for n in count[0].values()) / sum(n[0] for n in count[0].values())
 
     def scores(text):
-        out = []
+        out, before = [], None
         for w in text.split():
-            p = rate
+            if w == before:
+                out.append(-toxicity.DRIFT)
+                continue
+            p, before = rate, w
             for own, level in zip(count[::-1], levels[::-1], strict=True):
                 n = own.get(level(w), [0, 0])
                 p = (n[1] + toxicity.PRIOR * p) / (n[0] + toxicity.PRIOR)
