@@ -310,7 +310,8 @@ def _hot_marks(kind: Kind, rows: DataFrame, group_limit: int) -> DataFrame:
     parts = apart.select("sid", *key).mapInPandas(_part_rows(kind), "sid long, gram long, around binary, n_left long, t_min long, t_max long, core binary, part int")
     parts = parts.withColumn("gram", F.xxhash64("gram", "part", "core")).drop("core", "part")
     parts = stage(parts, f"{kind.name}-parts")
-    hot = small_side(stage(parts.groupBy("gram").count().where(col("count") > group_limit).select("gram"), f"{kind.name}-hot-parts", few=True), 24)
+    # What these have in common is long, so more of them are alike: smaller groups go to one task.
+    hot = small_side(stage(parts.groupBy("gram").count().where(col("count") > group_limit // PARTS**2).select("gram"), f"{kind.name}-hot-parts", few=True), 24)
     marks = _decided(kind, parts.join(hot, "gram", "left_anti"), ["sid"])
     windows = parts.join(hot, "gram", "left_semi").select("sid", "around", "n_left", "t_min", "t_max").mapInPandas(_window_rows(kind), "sid long, t long, window binary")
     windows = stage(windows, f"{kind.name}-windows")
