@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths of staged tables that have not been released, in the order of writing.
-_STAGED: list[str] = []
+#: Paths of what was staged within the innermost released() of this thread or task; None outside of any.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("fleetward_staged", default=None)
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, which the innermost released() removes."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
+    return path
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, what: str, few: bool = False) -> DataFrame:
@@ -45,24 +64,25 @@ def stage(df: DataFrame, what: str, few: bool = False) -> DataFrame:
     few: df may have far fewer rows than what it was made of, so Spark is asked for partitions, and files, of its
     advisory size; it is computed at full width before that. The table stays until released().
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if few else df).write.parquet(path)
-    _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(df.sparkSession, what)
+    written(df.hint("rebalance") if few else df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, what was staged within: for code that has written its own result by then."""
-    before = len(_STAGED)
+    """Removes, at its end, what was staged within: for code that has written its own result by then.
+
+    Each block has a list of its own, and threads do not see each other's.
+    """
+    own: list[str] = []
+    outer = _SCOPE.set(own)
     try:
         yield
     finally:
-        for path in _STAGED[before:]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        del _STAGED[before:]
+        _SCOPE.reset(outer)
+        for path in own:
+            remove(spark, path)
 
 
 def small_side(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:

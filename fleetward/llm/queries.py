@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetward.llm import decontaminate, html_text, jaccard_join, mixing, pairwise_quality, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
-from fleetward.llm.common import table
+from fleetward.llm import decontaminate, html_text, jaccard_join, mixing, pairwise_quality, pii, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity, yinyang
+from fleetward.llm.common import new_path, table
 
 
 def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,19 @@ def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
+def op11_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files stay in the shared folder, as the rows are read from them."""
+    import public_tokenizers
+
+    folder = new_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    return token_files.digests(spark, folder)
+
+
+def op13_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
     "op2_toxicity_segments": op2_toxicity_segments,
@@ -64,10 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_tree_model": op8_html_tree_model,
     "op9_mix_systematic": op9_mix_systematic,
     "op10_quality_divergence": op10_quality_divergence,
+    "op11_token_bit_packing": op11_token_bit_packing,
+    "op13_yinyang_clusters": op13_yinyang_clusters,
 }
 ORACLES: dict[str, str] = {
     "op4_substring_rlz": substring_dedup.ORACLE_SQL,
     "op7_suffix_hash_sort": suffix_dedup.ORACLE_SQL,
     "op9_mix_systematic": mixing.ORACLE_SQL,
     "op10_quality_divergence": quality_rules.oracle_sql(),
+    "op13_yinyang_clusters": yinyang.oracle_sql(),
 }
