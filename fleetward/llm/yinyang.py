@@ -50,7 +50,7 @@ def seeds(rows: DataFrame, k: int, run: int = 1) -> np.ndarray:
     """The k vectors whose ids have the least hashes, in their order (fewer if there are fewer): a bounded top list."""
     order = F.sha2(F.concat(F.lit(f"{run}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     first = rows.orderBy(order, "v").limit(k).collect()
-    return np.array([r["v"] for r in first], dtype=np.int64).reshape(len(first), -1)
+    return np.array([r["v"] for r in first], dtype=np.int64)
 
 
 def grouped(centroids: np.ndarray, groups: int, rounds: int = 5) -> np.ndarray:
