@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetward.llm import decontaminate, html_text, jaccard_join, mixing, pairwise_quality, pii, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity, yinyang
+from fleetward.llm import decontaminate, html_text, jaccard_join, mixing, pairwise_quality, pii, prefix_trie, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity, yinyang
 from fleetward.llm.common import new_path, table
 
 
@@ -62,6 +62,10 @@ def op11_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, folder)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_systematic": op9_mix_systematic,
     "op10_quality_divergence": op10_quality_divergence,
     "op11_token_bit_packing": op11_token_bit_packing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_yinyang_clusters": op13_yinyang_clusters,
 }
 ORACLES: dict[str, str] = {
@@ -85,5 +90,6 @@ ORACLES: dict[str, str] = {
     "op7_suffix_hash_sort": suffix_dedup.ORACLE_SQL,
     "op9_mix_systematic": mixing.ORACLE_SQL,
     "op10_quality_divergence": quality_rules.oracle_sql(),
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     "op13_yinyang_clusters": yinyang.oracle_sql(),
 }
