@@ -54,11 +54,11 @@ def eligibility(conf: DataFrame, min_client: int = 100, min_subtypes: int = 2, m
     return out.withColumn("eligible", (F.col("n_rows") >= min_client) & (F.col("n_subtypes") >= min_subtypes))
 
 
-def utilities(conf: DataFrame, min_rows: int = 50) -> DataFrame:
-    """(client_id, grid_ix, target_rate, utility, utility_variance) over subtypes with enough rows."""
+def utilities(conf: DataFrame, min_rows: int = 50, keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
+    """(keys, grid_ix, target_rate, utility, utility_variance) over subtypes with enough rows."""
     n = (F.col("tp") + F.col("fn")).cast("double")
     p = F.col("tp") / n
-    out = conf.where(F.col("tp") + F.col("fn") >= min_rows).groupBy("client_id", "grid_ix", "target_rate")
+    out = conf.where(F.col("tp") + F.col("fn") >= min_rows).groupBy(*keys, "grid_ix", "target_rate")
     return out.agg(F.avg(p).alias("utility"), (F.sum(p * (1 - p) / n) / F.pow(F.count("*"), F.lit(2))).alias("utility_variance"))
 
 

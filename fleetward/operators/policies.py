@@ -21,22 +21,29 @@ def equal_rate(clients: DataFrame, budget: float, cap: float = CAP) -> DataFrame
 
 
 def equal_alert(weights: DataFrame, budget: float, cap: float = CAP) -> DataFrame:
-    """Equal weighted alerts: the largest c with sum(min(c, cap w)) <= budget; rate min(c / w, cap).
+    """equal_alerts() at one budget: (client_id, target_rate)."""
+    return equal_alerts(weights, {"b": budget}, cap).select("client_id", "target_rate")
+
+
+def equal_alerts(weights: DataFrame, budgets: dict[str, float], cap: float = CAP) -> DataFrame:
+    """(budget_id, budget, client_id, target_rate) of equal weighted alerts: the largest c with sum(min(c, cap w)) <= budget;
+    rate min(c / w, cap).
 
     The sum is piecewise linear in c: with devices by rising weight, the first that c does not fill settles it. One
-    row a device, so its windows hold the fleet's table only.
+    row a device and budget, so its windows hold the fleet's table only.
     """
     full = F.lit(float(cap)) * F.col("weight")
-    before = Window.partitionBy(F.lit(1)).orderBy("weight", "client_id").rowsBetween(Window.unboundedPreceding, -1)
-    w = Window.partitionBy(F.lit(1))
+    each = weights.select("client_id", "weight", F.inline(F.array(*(F.struct(F.lit(k).alias("budget_id"), F.lit(float(v)).alias("budget")) for k, v in budgets.items()))))
+    w = Window.partitionBy("budget_id")
+    before = w.orderBy("weight", "client_id").rowsBetween(Window.unboundedPreceding, -1)
     filled = F.coalesce(F.sum(full).over(before), F.lit(0.0))
     rest = F.count("*").over(w) - F.coalesce(F.count("*").over(before), F.lit(0))
-    level = (F.lit(float(budget)) - filled) / rest
-    out = weights.withColumn("__c", F.when(level < full, level))
+    level = (F.col("budget") - filled) / rest
+    out = each.withColumn("__c", F.when(level < full, level))
     # Without any unfilled device everyone is at the cap.
-    top = F.least(F.lit(float(cap)), F.lit(float(budget)) / F.min("weight").over(w))
+    top = F.least(F.lit(float(cap)), F.col("budget") / F.min("weight").over(w))
     c = F.coalesce(F.first("__c", ignorenulls=True).over(w.orderBy("weight", "client_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), top)
-    return out.select("client_id", F.least(c / F.col("weight"), F.lit(float(cap))).alias("target_rate"))
+    return out.select("budget_id", "budget", "client_id", F.least(c / F.col("weight"), F.lit(float(cap))).alias("target_rate"))
 
 
 def _solved(points: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
@@ -141,27 +148,34 @@ def pooled_thresholds(scores: DataFrame, weights: DataFrame, budgets: dict[str,
 POLICIES = ("equal_rate", "equal_alert", "greedy", "macro", "minimax", "test_oracle", "pooled_shared")
 
 
-def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, min_rows: int = 50, cap: float = CAP) -> DataFrame:
+def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, min_rows: int = 50, cap: float = CAP, factor: float = 1.0) -> DataFrame:
     """(seed, budget_id, budget, policy, client_id, target_rate, status) of every policy but pooled_shared, for all seeds and budgets.
 
     scores: seed, client_id, label, attack_subtype, score, split. Clients that are not eligible take the fallback
     rate under the optimised policies, and what is left of the budget goes to the others. A problem that cannot be
-    solved is EXCLUDED, with null rates. Problems are tables of clients times rates.
+    solved is EXCLUDED, with null rates. Problems are tables of clients times rates. minimax may not choose rates
+    above 0 that a client's calibration rows (frontier and final) cannot tell from 0: those below factor / (n + 1).
+    A budget above the cap is an error.
     """
     from fleetward.operators import frontier
+    from fleetward.operators.evaluate import CALIBRATION
     from fleetward.operators.splits import oracle_view
     from fleetward.staging import staged
 
+    over = {k: v for k, v in budgets.items() if v > cap}
+    if over:
+        raise ValueError(f"budgets {over} are above the cap {cap} of a device")
     rates = grid or frontier.GRID
     # Tables of clients, budgets and rates: each is read by many of the plans below.
     people = staged(scores.select("seed", "client_id").distinct(), "people")
     weights = staged(weights, "weights")
     each = F.inline(F.array(*(F.struct(F.lit(k).alias("budget_id"), F.lit(float(v)).alias("budget")) for k, v in budgets.items())))
     cells = people.select("*", each)
-    out = cells.select("seed", "budget_id", "budget", F.lit("equal_rate").alias("policy"), "client_id", F.least(F.col("budget"), F.lit(cap)).alias("target_rate"), F.lit("OPTIMAL").alias("status"))
-    for k, v in budgets.items():
-        alert = equal_alert(weights, v, cap)
-        out = out.unionByName(cells.where(F.col("budget_id") == k).join(F.broadcast(alert), "client_id").select("seed", "budget_id", "budget", F.lit("equal_alert").alias("policy"), "client_id", "target_rate", F.lit("OPTIMAL").alias("status")))
+    named = lambda policy: ("seed", "budget_id", "budget", F.lit(policy).alias("policy"), "client_id", "target_rate", F.lit("OPTIMAL").alias("status"))
+    out = cells.withColumn("target_rate", F.col("budget")).select(*named("equal_rate"))
+    alert = equal_alerts(weights, budgets, cap).select("budget_id", "client_id", "target_rate")
+    out = out.unionByName(cells.join(alert, ["budget_id", "client_id"]).select(*named("equal_alert")))
+    n_cal = staged(scores.where(F.col("split").isin(*CALIBRATION)).groupBy("seed", "client_id").agg(F.count("score").alias("n_cal")), "calibration")
     one = F.concat(F.col("seed").cast("string"), F.lit("/"), F.col("client_id"))
     for view, names in ((scores, ("greedy", "macro", "minimax")), (oracle_view(scores), ("test_oracle",))):
         conf = frontier.confusions(view.withColumn("client_id", one), rates)
@@ -173,15 +187,18 @@ def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float],
         fallback = F.least(F.col("budget"), F.lit(cap))
         left = both.groupBy("seed", "budget_id").agg(F.sum(F.when(~F.col("eligible"), F.col("weight") * fallback).otherwise(0.0)).alias("reserved"))
         points = util.join(both.where("eligible").drop("eligible"), ["seed", "client_id"]).join(left, ["seed", "budget_id"])
-        points = points.withColumn("budget", F.greatest(F.lit(0.0), F.col("budget") - F.col("reserved"))).withColumn("forbidden", F.lit(False))
+        points = points.withColumn("budget", F.greatest(F.lit(0.0), F.col("budget") - F.col("reserved")))
+        unseen = (F.col("target_rate") > 0) & (F.col("target_rate") < F.lit(float(factor)) / (F.coalesce("n_cal", F.lit(0)) + 1))
         for name in names:
-            solved = allocate(points, "macro" if name == "test_oracle" else name, ("seed", "budget_id")).select("seed", "budget_id", "client_id", "target_rate", "status")
+            # The solver of the other policies has no such rule.
+            asked = points.join(n_cal, ["seed", "client_id"], "left").withColumn("forbidden", unseen).drop("n_cal") if name == "minimax" else points.withColumn("forbidden", F.lit(False))
+            solved = allocate(asked, "macro" if name == "test_oracle" else name, ("seed", "budget_id")).select("seed", "budget_id", "client_id", "target_rate", "status")
             got = both.join(solved.withColumnRenamed("target_rate", "own"), ["seed", "budget_id", "client_id"], "left")
             out = out.unionByName(got.select("seed", "budget_id", "budget", F.lit(name).alias("policy"), "client_id", F.coalesce(F.when(~F.col("eligible"), fallback), "own").alias("target_rate"), F.when(F.col("eligible"), F.coalesce("status", F.lit("EXCLUDED"))).otherwise("FALLBACK").alias("status")))
     return out
 
 
-def run_all(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, min_rows: int = 50, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
+def run_all(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, min_rows: int = 50, cap: float = CAP, factor: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(results, evaluations) of all policies at all seeds and budgets.
 
     results: evaluate() rows by seed, budget and policy. evaluations: fleet() rows with status, COMPLETED, or EXCLUDED
@@ -192,7 +209,7 @@ def run_all(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], gr
     from fleetward.staging import staged
 
     scores, weights = staged(scores.select("seed", "client_id", "label", "attack_subtype", "score", "split"), "scores"), staged(weights, "weights")
-    asked = staged(decisions(scores, weights, budgets, grid, min_client, min_rows, cap), "decisions")
+    asked = staged(decisions(scores, weights, budgets, grid, min_client, min_rows, cap, factor), "decisions")
     by, keys = ("budget_id", "budget", "policy"), ("seed", "client_id")
     whole = asked.groupBy("seed", *by).agg(F.count_if(F.col("target_rate").isNull()).alias("__open"))
     ready = asked.join(whole.where(F.col("__open") == 0).select("seed", "budget_id", "policy"), ["seed", "budget_id", "policy"]).drop("status")

@@ -195,17 +195,3 @@ def conservative_utilities(conf: DataFrame, confidence: float = 0.95, min_rows:
     out = kept.withColumn("low", bound).groupBy("client_id", "grid_ix", "target_rate")
     return out.agg(F.avg("low").alias("utility"), (F.sum(p * (1 - p) / n) / F.pow(F.count("*"), F.lit(2))).alias("utility_variance"))
 
-
-def resample(scores: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """scores with replicate: each frontier and validation partition drawn anew with replacement, to its own size.
-
-    Row i of a replicate is row hash(seed, replicate, partition, i) mod n of the partition: an equi-join on position.
-    """
-    from fleetward.operators.ranking import positions
-
-    part = ["client_id", "split", "attack_subtype"]
-    own = positions(scores.where(F.col("split").isin("benign_frontier", "attack_validation")).select(*part, "score", "ordinal"), part, "ordinal").drop("ordinal")
-    own = own.withColumn("part", F.concat_ws("|", *part))
-    drawn = own.select("part", F.col("position").alias("i"), "n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.select("part", "replicate", (F.pmod(F.xxhash64(F.lit(seed), "replicate", "part", "i"), F.col("n")) + 1).alias("position"))
-    return drawn.join(own.drop("n"), ["part", "position"]).select("replicate", *part, "score")

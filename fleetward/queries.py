@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetward.functions import text
-from fleetward.operators import calibrate, checks, evaluate, events, frontier, infer, lookups, policies, scoring, splits
+from fleetward.operators import calibrate, checks, evaluate, events, frontier, infer, lookups, policies, resampling, scoring, splits
 from fleetward.sources.adapters import features, large_observations, observations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -485,15 +485,8 @@ REPLICATES = 500
 @query("o19_allocation_stability")
 def allocation_stability(spark, sf_dir):
     s = split_scores(spark, sf_dir)
-    drawn = scoring.resample(s, REPLICATES, 7)
-    # A replicate's clients are devices of their own.
-    own = drawn.withColumn("client_id", F.concat(F.col("replicate").cast("string"), F.lit("/"), "client_id"))
-    util = frontier.utilities(frontier.confusions(own))
-    util = util.withColumns({"problem": F.split("client_id", "/")[0], "client_id": F.split("client_id", "/")[1]})
     weights = frontier.equal_weights(s.select("client_id").distinct())
-    points = util.join(F.broadcast(weights), "client_id").withColumns({"budget": F.lit(BUDGET), "forbidden": F.lit(False)})
-    rates = policies.allocate(points, "macro").select("client_id", F.col("problem").alias("replicate"), "target_rate")
-    return rounded(infer.stability(rates))
+    return rounded(infer.stability(resampling.replicate_rates(s, weights, resampling.Draws(7, BUDGET), REPLICATES)))
 
 
 @query("o21_conservative_curves")

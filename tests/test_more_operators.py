@@ -206,3 +206,50 @@ def test_excluded_policies_stay_in_the_table(spark):
     _, evals = policies.run_all(df.where("seed = 0"), weights, {"tiny": 0.001}, (0.02, 0.05), min_client=20, min_rows=10)
     got = {r["policy"]: (r["status"], r["macro_recall"] is None) for r in evals.collect()}
     assert got["equal_rate"] == ("COMPLETED", False) and got["macro"] == ("EXCLUDED", True) and got["pooled_shared"][0] == "COMPLETED"
+
+
+def test_minimax_leaves_rates_that_calibration_cannot_tell_from_zero(spark):
+    """Rates below factor / (n + 1) are open to macro and shut to minimax, whose choice is the best of those left."""
+    rows, df = fleet_scores(spark)
+    df = df.where("seed = 0")
+    weight, grid, budget = {"a": 0.5, "b": 0.3, "z": 0.2}, (0.0, 0.006, 0.02), 0.0085
+    weights = spark.createDataFrame(list(weight.items()), "client_id string, weight double")
+    rates = {}
+    for factor in (0.0, 3.0):
+        got = policies.decisions(df, weights, {"b": budget}, grid, min_client=20, min_rows=10, factor=factor).collect()
+        rates[factor] = {(r["policy"], r["client_id"]): r["target_rate"] for r in got}
+    assert rates[0.0]["minimax", "a"] == rates[0.0]["minimax", "b"] == 0.006
+    assert 0.006 not in (rates[3.0]["minimax", c] for c in "ab")
+    assert all(rates[0.0][p, c] == rates[3.0][p, c] for p in policies.POLICIES[:4] for c in weight)
+    pick = lambda c, *names: sorted(x for q, k, _, _, x, n in rows if q == 0 and k == c and n in names)
+    for factor in (0.0, 3.0):
+        utility = {}
+        for c in "ab":
+            front, n = pick(c, "benign_frontier"), len(pick(c, "benign_frontier", "benign_final_cal"))
+            for a in grid:
+                k = math.ceil((len(front) + 1) * (1 - a))
+                cut = math.inf if a == 0 or k > len(front) else front[k - 1]
+                if not 0 < a < factor / (n + 1):
+                    utility[c, a] = np.mean([np.mean([x > cut for q, d, _, t, x, s in rows if (q, d, t, s) == (0, c, sub, "attack_validation")]) for sub in "pq"])
+        left = budget - weight["z"] * budget
+        able = [(x, y) for (c, x) in utility for (d, y) in utility if (c, d) == ("a", "b") and weight["a"] * x + weight["b"] * y <= left + 1e-12]
+        best = max(min(utility["a", x], utility["b", y]) for x, y in able)
+        own = rates[factor]
+        assert min(utility["a", own["minimax", "a"]], utility["b", own["minimax", "b"]]) >= best - 2e-4
+    with pytest.raises(ValueError, match="above the cap"):
+        policies.decisions(df, weights, {"b": 0.06}, grid)
+
+
+def test_equal_alerts_by_budget(spark):
+    """All budgets in one plan, against a search for the level."""
+    weight = {f"c{k}": w for k, w in enumerate((0.05, 0.05, 0.1, 0.3, 0.5))}
+    weights = spark.createDataFrame(list(weight.items()), "client_id string, weight double")
+    budgets = {"x": 0.001, "y": 0.02, "z": 0.05}
+    got = {(r["budget_id"], r["client_id"]): r["target_rate"] for r in policies.equal_alerts(weights, budgets).collect()}
+    for k, b in budgets.items():
+        low, high = 0.0, 1.0
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(c, 0.05 * w) for w in weight.values()) <= b else (low, c)
+        for name, w in weight.items():
+            assert abs(got[k, name] - min(low / w, 0.05)) < 1e-9
