@@ -22,10 +22,12 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +37,11 @@ MAGIC = b"FWBITS1\n"
 BLOCK = 4096
 #: Ids read, packed or unpacked at a time.
 CHUNK = 1 << 20
-#: Characters that are tokenized at a time, and pieces that a worker remembers.
+#: Characters that are tokenized at a time, and pieces, and words, after which a worker starts to remember anew.
 SLICE_CHARS = 1 << 20
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Characters of the longest piece or word that is remembered.
+LONGEST = 64
 
 
 def width_of(vocab: int) -> int:
@@ -139,14 +143,42 @@ class Reader:
 
 
 _PIECES = re.compile(r" (?=\S)")
+# Fixed value: how a byte-level pre-tokenizer cuts text.
+_WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: Beyond these letters, libraries may disagree on what is a letter: the tokenizer's own cutting applies.
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign of each byte in a byte-level vocabulary: printable ones their own, the others from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)}
+
+
+_SIGNS = str.maketrans({chr(b): sign for b, sign in _byte_signs().items()})
+
+
+class _Words(dict):
+    """The ids of words by a tokenizer's model, remembered."""
+
+    def __init__(self, model) -> None:
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        out = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SIGNS))]).tobytes()
+        if len(word) <= LONGEST:
+            self[word] = out
+        return out
 
 
 class Encoder:
-    """Texts to ids, each piece of text once.
+    """Texts to ids, each piece of text and each word once.
 
     A byte-level pre-tokenizer without normalizer begins a token at every space that a character other than white
     space follows, whatever stands around; so a text may be cut there, and the pieces, most of which are words,
-    are remembered. Other tokenizers get whole texts.
+    are remembered. New pieces are cut into words as the pre-tokenizer does, and the tokenizer's model encodes the
+    words that are new. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -158,28 +190,39 @@ class Encoder:
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not t.special]
         self.cuts = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex and self.tokenizer.normalizer is None and not added
         self.vocab = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        self.chars = 0
+        self.pieces: dict[str, bytes] = {}
+        self.words = _Words(self.tokenizer.model)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
+        latin = [p for p in pieces if p.isascii() or not _BEYOND_LATIN.search(p)]
+        word = self.words.__getitem__
+        out = {p: b"".join(map(word, _WORDS.findall(" " + p))) for p in latin}
+        others = [p for p in pieces if p not in out]
+        for k in range(0, len(others), 10_000):
+            part = others[k : k + 10_000]
+            out.update(zip(part, self._raw([" " + p for p in part]), strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if not self.cuts:
             return self._raw(texts)
         cuts = [_PIECES.split(t) for t in texts]
-        new = set().union(*(c[1:] for c in cuts)).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED or self.chars > 64 * REMEMBERED:
-            self.known, self.chars = {}, 0
-            new = set().union(*(c[1:] for c in cuts))
-        new = list(new)
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            self.known.update(zip(part, self._raw([" " + p for p in part]), strict=True))
-        self.chars += sum(map(len, new))
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        here = self._fresh(set().union(*(c[1:] for c in cuts)).difference(self.pieces))
+        self.pieces.update(here)
         heads = self._raw([c[0] for c in cuts])
-        return [head + b"".join(map(self.known.__getitem__, c[1:])) for head, c in zip(heads, cuts, strict=True)]
+        out = [head + b"".join(map(self.pieces.__getitem__, c[1:])) for head, c in zip(heads, cuts, strict=True)]
+        for p in here:
+            if len(p) > LONGEST:
+                del self.pieces[p]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
