@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fleetward.functions import text
 from fleetward.operators import calibrate, checks, evaluate, events, frontier, infer, lookups, policies, resampling, scoring, splits
+from fleetward.sources import timed
 from fleetward.sources.adapters import features, large_observations, observations
+from fleetward.staging import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -633,6 +635,39 @@ def federated_scores(spark, sf_dir):
     return scoring.reconstruction_scores(z, net).select("client_id", "row", F.round("score", 4).alias("score"))
 
 
+TIMED = """tr AS (SELECT 'e' || label AS client_id, 'f' || (vec_id % 3) AS source_file, vec_id AS source_row, CASE WHEN vec_id % 4 = 0 THEN 'attack' ELSE 'benign' END AS label, CASE WHEN vec_id % 4 = 0 THEN 's' || (vec_id % 8) END AS attack_subtype, embedding::DOUBLE[] AS x FROM embeddings),
+ti AS (SELECT *, row_number() OVER (PARTITION BY client_id, label, attack_subtype ORDER BY source_file, source_row) - 1 AS i, count(*) OVER (PARTITION BY client_id, label, attack_subtype)::DOUBLE AS n FROM tr),
+ts AS (SELECT * EXCLUDE (i, n), CASE WHEN label = 'benign' THEN CASE WHEN i < floor(0.5::DOUBLE * n) THEN 'benign_train' WHEN i < floor(0.7::DOUBLE * n) THEN 'benign_frontier' WHEN i < floor(0.8::DOUBLE * n) THEN 'benign_final_cal' ELSE 'benign_test' END WHEN i < floor(0.2::DOUBLE * n) THEN 'attack_validation' ELSE 'attack_test' END AS split FROM ti),
+tl AS (SELECT client_id, source_file, source_row, split, unnest(range(len(x))) AS j, unnest(x) AS v FROM ts),
+tm AS (SELECT client_id, j, avg(v) AS mean, CASE WHEN stddev_pop(v) < 1e-12 THEN 1.0 ELSE stddev_pop(v) END AS sd FROM tl WHERE split = 'benign_train' GROUP BY 1, 2),
+tz AS (SELECT tl.*, (v - mean) / sd AS z FROM tl JOIN tm USING (client_id, j)),
+tg AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY client_id, source_file, source_row ORDER BY j), 0.0) * 0.5 AS guess FROM tz)"""
+
+
+def timed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as rows of timed captures: three files, a quarter of the rows attacks of two subtypes."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    attack = F.pmod("vec_id", F.lit(4)) == 0
+    return v.select(
+        F.concat(F.lit("e"), F.col("label").cast("string")).alias("client_id"), F.concat(F.lit("f"), F.pmod("vec_id", F.lit(3)).cast("string")).alias("source_file"), F.col("vec_id").alias("source_row"),
+        F.when(attack, "attack").otherwise("benign").alias("label"), F.when(attack, F.concat(F.lit("s"), F.pmod("vec_id", F.lit(8)).cast("string"))).alias("attack_subtype"), F.col("embedding").cast("array<double>").alias("x"),
+    )
+
+
+def neighbour_model(train: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """A fixed model that guesses each feature from the one before."""
+    return rows.withColumn("score", scoring.mean_square(F.col("z"), F.transform("z", lambda v, i: F.coalesce(F.get("z", i - 1), F.lit(0.0)) * 0.5)))
+
+
+@query("e21_timed_scores", f"WITH {TIMED} SELECT client_id, source_file, source_row, split, seed, round(avg((z - guess) * (z - guess)), 6) AS score FROM tg, (VALUES (0::BIGINT), (1::BIGINT)) q(seed) WHERE split <> 'benign_train' GROUP BY ALL")
+def materialised_scores(spark, sf_dir):
+    """Scaler and scores of two seeds, committed seed by seed and read back."""
+    path = new_path(spark, "timed-scores")
+    timed.materialise(spark, timed_rows(spark, sf_dir), path, "embeddings", [0, 1], neighbour_model)
+    both = timed.scores_of(spark, path, "embeddings", 0).unionByName(timed.scores_of(spark, path, "embeddings", 1))
+    return both.select("client_id", "source_file", "source_row", "split", "seed", F.round("score", 6).alias("score"))
+
+
 # --- text --------------------------------------------------------------------------------------------------------
 
 

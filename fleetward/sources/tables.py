@@ -71,15 +71,39 @@ def seed_bundle(spark: SparkSession, path: str, dataset: str, seed: int, populat
 
 
 def persist_run(results: DataFrame, evaluations: DataFrame, allocations: DataFrame, path: str) -> None:
-    """A run's tables below path, partitioned by seed and budget; only what has rows is written."""
-    for name, df in (("results", results), ("evaluations", evaluations), ("allocations", allocations)):
-        if not df.isEmpty():
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seed", "budget_id").parquet(f"{path}/{name}")
+    """A run's tables below path, one commit for each seed and budget: a cell has all of its tables or none.
+
+    Only what has rows is written; a cell that is there already is replaced.
+    """
+    from fleetward.sources.commits import commit
+
+    spark = results.sparkSession
+    whole = {"results": results, "evaluations": evaluations, "allocations": allocations}
+    rows = {n: df.groupBy("seed", "budget_id").count().collect() for n, df in whole.items()}
+    cells = sorted({(r["seed"], r["budget_id"]) for x in rows.values() for r in x})
+    for seed, budget in cells:
+        here = [n for n, x in rows.items() if any((r["seed"], r["budget_id"]) == (seed, budget) for r in x)]
+        commit(spark, f"{path}/seed={seed}/budget_id={budget}", {n: whole[n].where((F.col("seed") == seed) & (F.col("budget_id") == budget)) for n in here})
+
+
+def read_run(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of all committed cells of a run; an error if no cell has it."""
+    from fleetward.sources.commits import current
+
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/seed=*/budget_id=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    out = None
+    for x in found or []:
+        one = current(spark, x.getPath().toString()).get(name)
+        out = one if out is None else out if one is None else out.unionByName(one)
+    if out is None:
+        raise ValueError(f"no {name} below {path}")
+    return out
 
 
 def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
     """Evaluations in the order of seed, budget and policy; cells that were never written are not there."""
-    return spark.read.parquet(f"{path}/evaluations").orderBy("seed", "budget_id", "policy")
+    return read_run(spark, path, "evaluations").orderBy("seed", "budget_id", "policy")
 
 
 def score_records(scores: DataFrame, dataset: str, seed: int) -> DataFrame:

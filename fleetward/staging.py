@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; on one machine, where it is unset, a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
+
+    One of our own is a folder of this machine, so a session on more machines must name one.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("fleetward.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -19,8 +25,47 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """df from the shared folder: its lineage ends there, and it outlives the executors that made it."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+#: Paths of what was staged within the innermost released() of this thread or task; None outside of any.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("fleetward_staged", default=None)
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, which the innermost released() removes."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
+    return path
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def staged(df: DataFrame, what: str) -> DataFrame:
+    """df from the shared folder: its lineage ends there, and it outlives the executors that made it.
+
+    The table stays until released().
+    """
+    return written(df, new_path(df.sparkSession, what))
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, what was staged within: for code that has written its own result by then.
+
+    Each block has a list of its own, and threads do not see each other's.
+    """
+    own: list[str] = []
+    outer = _SCOPE.set(own)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(outer)
+        for path in own:
+            remove(spark, path)

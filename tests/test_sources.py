@@ -180,7 +180,10 @@ def test_run_tables(spark, tmp_path):
     evals = spark.createDataFrame([(2, "b1", "p", 0.5), (1, "b2", "p", 0.25)], "seed long, budget_id string, policy string, macro_recall double")
     tables.persist_run(evals, evals, evals.limit(0), str(tmp_path / "run"))
     assert [(r["seed"], r["budget_id"], r["macro_recall"]) for r in tables.read_evaluations(spark, str(tmp_path / "run")).collect()] == [(1, "b2", 0.25), (2, "b1", 0.5)]
-    assert not os.path.exists(str(tmp_path / "run/allocations"))
+    with pytest.raises(ValueError, match="no allocations"):
+        tables.read_run(spark, str(tmp_path / "run"), "allocations")
+    tables.persist_run(evals.limit(0), evals.where("seed = 1").withColumn("macro_recall", F.lit(0.75)), evals.limit(0), str(tmp_path / "run"))
+    assert [r["macro_recall"] for r in tables.read_evaluations(spark, str(tmp_path / "run")).collect()] == [0.75, 0.5]
     with pytest.raises(ValueError, match="no rows"):
         tables.write_rows(evals.limit(0), str(tmp_path / "none"))
     tables.write_csv(evals.orderBy("seed"), str(tmp_path / "csv"))
