@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,11 +99,12 @@ def budget_rows(obs: DataFrame, budgets: tuple[float, ...], parameters: tuple[fl
 
     Devices for which no threshold keeps the budget, or that have no event at theirs, have no row.
     """
+    from fleetward.operators.event_budget import thresholds
     from fleetward.staging import staged
 
     out = None
     for budget in budgets:
-        cut = staged(event_budget_thresholds(obs, budget, parameters).where(F.col("threshold").isNotNull()), "event-thresholds")
+        cut = staged(thresholds(obs, budget, parameters).where(F.col("threshold").isNotNull()), "event-thresholds")
         own = obs.drop("threshold").join(F.broadcast(cut), "client_id")
         one = event_metrics(own, parameters=parameters).join(cut, "client_id")
         one = one.select("client_id", F.lit(float(budget)).alias("budget_per_hour"), "threshold", "false_events_per_hour", "recall", "delay")
@@ -160,44 +158,6 @@ def steps_back(rows: DataFrame, keys: list[str], order: str, slices: int = 256)
     return out.withColumn("d", F.col("t") - F.when(first, F.col("__before")).otherwise(F.lag("t").over(w))).drop("__cell", "__before")
 
 
-def _count_events(t: np.ndarray, dilation: float, merge: float, least: float, cooldown: float) -> int:
-    if not len(t):
-        return 0
-    cut = np.flatnonzero(np.diff(t) > max(dilation, merge))
-    start, end = t[np.r_[0, cut + 1]], t[np.r_[cut, len(t) - 1]]
-    ok = end - start >= least
-    start, end = start[ok], end[ok]
-    return int(len(start) and 1 + (start[1:] - end[:-1] >= cooldown).sum())
-
-
-def event_budget_thresholds(obs: DataFrame, per_hour: float, parameters: tuple[float, ...] = PARAMETERS, steps: int = 24) -> DataFrame:
-    """(client_id, threshold): bisection on [least, greatest] benign score for at most per_hour events an hour.
-
-    The rate is not monotone in the threshold, so the result is that of the procedure: it is sequential by device.
-    A device's benign rows come in one group; null where even the greatest threshold has too many.
-    """
-    span = obs.groupBy("client_id").agg((F.max("t") - F.min("t")).alias("duration"))
-    benign = obs.where(F.col("label") == "benign").select("client_id", "t", "score").join(F.broadcast(span), "client_id")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        t, s, hours = rows["t"].to_numpy(), rows["score"].to_numpy(), rows["duration"].iat[0] / 3600.0
-        rate = lambda x: _count_events(t[s > x], *parameters) / hours
-        out = None
-        if hours > 0:
-            low, high = float(s.min()), float(s.max())
-            if low == high:
-                out = low
-            else:
-                for _ in range(steps):
-                    mid = (low + high) / 2.0
-                    low, high = (low, mid) if rate(mid) <= per_hour else (mid, high)
-                out = high if rate(high) <= per_hour else None
-        return pd.DataFrame({"client_id": [rows["client_id"].iat[0]], "threshold": [out]})
-
-    return benign.groupBy("client_id").applyInPandas(run, "client_id string, threshold double")
-
-
 def capture_audit(rows: DataFrame, seam: float) -> DataFrame:
     """(file, devices, parsed_share, associable, has_attack, out_of_order, separable, duration).
 

@@ -199,9 +199,15 @@ def decisions(scores: DataFrame, weights: DataFrame, budgets: dict[str, float],
 
 
 def run_all(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, min_rows: int = 50, cap: float = CAP, factor: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(results, evaluations) of all policies at all seeds and budgets.
+    """results and evaluations of run_tables()."""
+    out = run_tables(scores, weights, budgets, grid, min_client, min_rows, cap, factor)
+    return out["results"], out["evaluations"]
 
-    results: evaluate() rows by seed, budget and policy. evaluations: fleet() rows with status, COMPLETED, or EXCLUDED
+
+def run_tables(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], grid: tuple[float, ...] | None = None, min_client: int = 100, min_rows: int = 50, cap: float = CAP, factor: float = 1.0) -> dict[str, DataFrame]:
+    """results, evaluations and allocations of all policies at all seeds and budgets.
+
+    allocations: decisions(). results: evaluate() rows by seed, budget and policy. evaluations: fleet() rows with status, COMPLETED, or EXCLUDED
     (and nulls) where a policy's problem has no solution. The pooled threshold is absolute: it is calibrated on no
     rows, and its n_cal is 0.
     """
@@ -220,4 +226,4 @@ def run_all(scores: DataFrame, weights: DataFrame, budgets: dict[str, float], gr
     results = staged(results, "results")
     done = evaluate.fleet(evaluate.per_client(results, ("seed", *by)), weights, None, ("seed", *by)).withColumn("status", F.lit("COMPLETED"))
     shut = whole.where(F.col("__open") > 0).select("seed", *by, F.lit("EXCLUDED").alias("status"))
-    return results, done.unionByName(shut, allowMissingColumns=True)
+    return {"results": results, "evaluations": done.unionByName(shut, allowMissingColumns=True), "allocations": asked}

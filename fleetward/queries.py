@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetward.functions import text
+from fleetward.operators import event_budget as event_budget_
 from fleetward.operators import calibrate, checks, evaluate, events, frontier, infer, lookups, policies, resampling, scoring, splits
-from fleetward.sources import timed
+from fleetward.sources import external, timed
 from fleetward.sources.adapters import features, large_observations, observations
 from fleetward.staging import new_path
 
@@ -567,7 +568,7 @@ def event_gini(spark, sf_dir):
 
 @query("e09_event_budget")
 def event_budget(spark, sf_dir):
-    return rounded(events.event_budget_thresholds(observations(spark, sf_dir), 0.05), 6)
+    return rounded(event_budget_.thresholds(observations(spark, sf_dir), 0.05), 6)
 
 
 AUDIT = "a AS (SELECT event_type AS file, CASE WHEN user_id % 11 = 0 THEN NULL ELSE 'd' || (user_id % 4) END AS client_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE epoch_us(ts) / 1e6 - 700 * (event_id % 2) END AS t, CASE WHEN user_id % 7 = 0 THEN 'x' ELSE 'benign' END AS label, event_id AS ordinal FROM events)"
@@ -668,6 +669,28 @@ def materialised_scores(spark, sf_dir):
     return both.select("client_id", "source_file", "source_row", "split", "seed", F.round("score", 6).alias("score"))
 
 
+def packet_captures(spark: SparkSession, sf_dir: str) -> str:
+    """events as a tree of packet captures, written by Spark; its path."""
+    root, obs = new_path(spark, "captures"), observations(spark, sf_dir)
+    mac = lambda k: F.concat(F.lit("aa:00:00:00:00:0"), k)
+    cells = obs.select("label", "attack_subtype", F.substring("client_id", 2, 1).alias("k"), "score", "t", "ordinal").repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+    odd = F.when(F.pmod("ordinal", F.lit(50)) == 0, F.lit("n/a")).otherwise(F.col("t").cast("string")).alias("f2")
+    cells.where(F.col("label") == "benign").select(mac(F.col("k")).alias("src_mac"), mac(F.lit("9")).alias("dst_mac"), F.col("score").alias("f1"), odd, F.lit("text").alias("note")).write.option("header", True).csv(f"{root}/Benign")
+    for kind in ("error", "purchase"):
+        cells.where(F.col("attack_subtype") == kind).select(F.lit("text").alias("note"), mac(F.lit("9")).alias("src_mac"), mac(F.col("k")).alias("dst_mac"), odd, F.col("score").alias("f1")).write.option("header", True).csv(f"{root}/attacks/{kind}")
+    return root
+
+
+@query("o26_external_replication", f"WITH {OBS}, k AS (SELECT client_id, count(*) FILTER (WHERE label = 'benign') AS b, count(*) FILTER (WHERE label = 'attack') AS a FROM obs GROUP BY 1), e AS (SELECT 'aa:00:00:00:00:0' || substr(client_id, 2) AS client_id, label, attack_subtype, ordinal FROM obs JOIN k USING (client_id) WHERE b >= 20 AND a >= 20 AND ordinal % 50 <> 0), i AS (SELECT *, row_number() OVER (PARTITION BY client_id, label, attack_subtype ORDER BY ordinal) - 1 AS i, count(*) OVER (PARTITION BY client_id, label, attack_subtype)::DOUBLE AS n FROM e), s AS (SELECT client_id, attack_subtype, CASE WHEN label = 'benign' THEN CASE WHEN i < floor(0.5::DOUBLE * n) THEN 'benign_train' WHEN i < floor(0.7::DOUBLE * n) THEN 'benign_frontier' WHEN i < floor(0.8::DOUBLE * n) THEN 'benign_final_cal' ELSE 'benign_test' END WHEN i < floor(0.2::DOUBLE * n) THEN 'attack_validation' ELSE 'attack_test' END AS split FROM i) SELECT client_id, split, attack_subtype, count(*) AS n FROM s WHERE split <> 'benign_train' GROUP BY ALL")
+def external_replication(spark, sf_dir):
+    """The replication's scores by device, split and subtype, from captures to committed scores and runs."""
+    path = new_path(spark, "external")
+    first = lambda train, rows, seed: rows.withColumn("score", F.get("z", F.lit(0)))
+    out = external.replicate(spark, packet_captures(spark, sf_dir), path, first, {"b1": 0.01}, [0], parsed=0.9, min_benign=20, min_attack=20, min_devices=2, min_client=20, min_rows=10)
+    assert out["level"] == "CONFIRMATORY" and out["columns"] == ["f1", "f2"], out
+    return timed.scores_of(spark, path, "external", 0).groupBy("client_id", "split", "attack_subtype").agg(F.count("*").alias("n"))
+
+
 # --- text --------------------------------------------------------------------------------------------------------
 
 

@@ -40,21 +40,47 @@ def _fields(line: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, '^"|"$', ""))
 
 
-def typed_rows(spark: SparkSession, path: str | list[str], row_limit: int | None = None) -> DataFrame:
+def _blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, block, id, line) of the CSV captures below path; id rises within a block."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+
+
+def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, id, names): each capture's header, the first line of its first block; one row a file, by an aggregate."""
+    first = _blocks(spark, path).where(F.col("block") == 0).groupBy("file").agg(F.min(F.struct("id", "line")).alias("h"))
+    return first.select("file", F.col("h.id").alias("id"), _fields(F.col("h.line")).alias("names"))
+
+
+def _values(columns: list[str] | None) -> Column:
+    """The cells of a line by their names, the given columns or all; a blank cell is null, one that the line lacks too."""
+    cells = F.transform(_fields(F.col("line")), lambda x: F.when(F.trim(x) == "", None).otherwise(x))
+    n = F.size("names")
+    padded = F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
+    every = F.map_from_arrays("names", padded)
+    return every if columns is None else F.map_filter(every, lambda k, _: k.isin(columns))
+
+
+def loose_rows(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """file and values, as typed_rows() without the rows' numbers: lines meet their file's header and nothing is sorted."""
+    lines = _blocks(spark, path).where(F.trim("line") != "")
+    top = headers(spark, path).withColumnRenamed("id", "first")
+    return lines.join(top, "file").where((F.col("block") > 0) | (F.col("id") > F.col("first"))).select("file", _values(columns).alias("values"))
+
+
+def typed_rows(spark: SparkSession, path: str | list[str], row_limit: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """file, source_row (from 0, without the header) and values, a map of column name to text.
 
     Headers may differ between captures; a header is one row a file and meets its file's lines in a join. A blank
-    cell is null. row_limit: rows of each file. Quoted cells may hold commas, but no line breaks.
+    cell is null. row_limit: rows of each file. columns: those to keep (unset: all). Quoted cells may hold commas,
+    but no line breaks.
     """
     lines = numbered_lines(spark, path)
     names = lines.where(F.col("at") == 0).select("file", _fields(F.col("line")).alias("names"))
     rows = lines.where((F.col("at") > 0) & (F.trim("line") != ""))
     if row_limit is not None:
         rows = rows.where(F.col("at") <= row_limit)
-    cells = F.transform(_fields(F.col("line")), lambda x: F.when(F.trim(x) == "", None).otherwise(x))
-    n = F.size("names")
-    padded = F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
-    return rows.join(names, "file").select("file", (F.col("at") - 1).cast("long").alias("source_row"), F.map_from_arrays("names", padded).alias("values"))
+    return rows.join(names, "file").select("file", (F.col("at") - 1).cast("long").alias("source_row"), _values(columns).alias("values"))
 
 
 def feature_columns(columns: list[str], layout: list[str], excluded: list[str] = ()) -> list[str]:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetward.functions import text
-from fleetward.operators import calibrate, evaluate, events, frontier, infer, policies, ranking, scoring, splits
+from fleetward.operators import calibrate, evaluate, event_budget, events, frontier, infer, policies, ranking, scoring, splits
 from fleetward.plans import solver
 
 
@@ -94,13 +94,14 @@ def test_eventize_matches_stepwise(spark):
     for k, c in enumerate(cases):
         own = sorted((r["start"], r["end"], r["alarms"]) for r in got if r["client_id"] == str(k))
         assert own == _eventize([float(t) for t in c], 2, 5, 2, 10)
-        assert events._count_events(np.sort(np.array(c, dtype=float)), 2, 5, 2, 10) == len(own)
+        rule = event_budget.Rule(5, 2, 10)
+        assert event_budget.events_of(event_budget.summary(np.sort(np.array(c, dtype=float)), rule), rule) == len(own)
 
 
 def test_event_budget_is_the_bisection(spark):
     rng = np.random.default_rng(5)
     rows = [("a", float(t), float(s), "benign") for t, s in zip(np.sort(rng.uniform(0, 7200, 300)), rng.random(300), strict=True)] + [("b", 0.0, 1.0, "benign"), ("b", 50.0, 1.0, "benign")]
-    got = {r["client_id"]: r["threshold"] for r in events.event_budget_thresholds(spark.createDataFrame(rows, "client_id string, t double, score double, label string"), 1.0, (2.0, 30.0, 2.0, 60.0)).collect()}
+    got = {r["client_id"]: r["threshold"] for r in event_budget.thresholds(spark.createDataFrame(rows, "client_id string, t double, score double, label string"), 1.0, (2.0, 30.0, 2.0, 60.0)).collect()}
     assert got["b"] == 1.0 and 0 < got["a"] < 1
 
 
