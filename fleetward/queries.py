@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from fleetward.functions import text
 from fleetward.operators import event_budget as event_budget_
-from fleetward.operators import calibrate, checks, evaluate, events, frontier, infer, lookups, policies, resampling, scoring, splits
+from fleetward.operators import calibrate, checks, evaluate, events, frontier, incremental, infer, lookups, ordering, policies, resampling, scoring, splits
 from fleetward.sources import external, timed
 from fleetward.sources.adapters import features, large_observations, observations
-from fleetward.staging import new_path
+from fleetward.staging import new_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -913,6 +913,56 @@ def partition_digest(spark, sf_dir):
     return checks.digest(split_scores(spark, sf_dir), ["client_id", "split"], ["ordinal", "label", "attack_subtype"])
 
 
+def _prefixed_sql(columns: tuple[str, ...]) -> str:
+    one = "coalesce(unhex(format('{{:016x}}', octet_length(encode({c}::VARCHAR)))) || encode({c}::VARCHAR), unhex('ffffffffffffffff'))"
+    return " || ".join(one.format(c=c) for c in columns)
+
+
+@query(
+    "f07_ordered_digest",
+    f"""WITH {OBS}, {SPLIT},
+h AS (SELECT client_id, split, row_number() OVER (PARTITION BY client_id, split ORDER BY ordinal) - 1 AS i, sha256({_prefixed_sql(("ordinal", "label", "attack_subtype"))}) AS h FROM sp),
+l AS (SELECT client_id, split, i // 1024 AS g, count(*) AS w, sha256(unhex(string_agg(h, '' ORDER BY i))) AS h FROM h GROUP BY 1, 2, 3),
+r AS (SELECT client_id, split, CAST(sum(w) AS BIGINT) AS n, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(unhex(string_agg(h, '' ORDER BY g))) END AS h FROM l GROUP BY 1, 2)
+SELECT client_id, split, n, sha256(unhex(format('{{:016x}}', n)) || unhex(h)) AS digest FROM r""",
+)
+def ordered_digest(spark, sf_dir):
+    return ordering.ordered_digest(split_scores(spark, sf_dir), ["client_id", "split"], ["ordinal"], ["ordinal", "label", "attack_subtype"])
+
+
+@query(
+    "d10_completion_states",
+    SEEDS
+    + """, e AS (SELECT seed, budget_id, policy, 'd' || seed AS digest FROM fu),
+s AS (
+  SELECT seed, budget_id, policy, 'evaluation' AS part, CASE WHEN seed = 1 AND budget_id = 'b2' THEN 'old' ELSE 'd' || seed END AS digest, usage <= 1.1 AS ok FROM fu WHERE NOT (budget_id = 'b3' AND policy = 'equal_alert')
+  UNION ALL SELECT seed, budget_id, policy, 'results', 'd' || seed, true FROM fu WHERE NOT (seed = 0 AND budget_id = 'b1')),
+c AS (
+  SELECT e.seed, e.budget_id, e.policy, CASE WHEN count(*) FILTER (WHERE part = 'evaluation') = 0 THEN 'MISSING' WHEN count(DISTINCT part) < 2 THEN 'INCOMPLETE' WHEN bool_or(s.digest <> e.digest) THEN 'STALE' WHEN NOT bool_and(ok) THEN 'MALFORMED' ELSE 'VALID' END AS state
+  FROM e LEFT JOIN s ON (s.seed, s.budget_id, s.policy) = (e.seed, e.budget_id, e.policy) GROUP BY 1, 2, 3)
+SELECT seed, budget_id, policy, state FROM c""",
+)
+def completion_states(spark, sf_dir):
+    """Cells of two parts, some without one, some made of an older input, some over their budget."""
+    keys, of_seed = ["seed", "budget_id", "policy"], F.concat(F.lit("d"), F.col("seed").cast("string"))
+    evals = staged(seed_evaluations(spark, sf_dir).select(*keys, "usage"), "evaluations")
+    old = F.when((F.col("seed") == 1) & (F.col("budget_id") == "b2"), "old").otherwise(of_seed)
+    one = evals.where(~((F.col("budget_id") == "b3") & (F.col("policy") == "equal_alert"))).select(*keys, F.lit("evaluation").alias("part"), old.alias("digest"), (F.col("usage") <= 1.1).alias("ok"))
+    two = evals.where(~((F.col("seed") == 0) & (F.col("budget_id") == "b1"))).select(*keys, F.lit("results").alias("part"), of_seed.alias("digest"), F.lit(True).alias("ok"))
+    return incremental.cell_states(evals.select(*keys, of_seed.alias("digest")), one.unionByName(two), keys, "evaluation", ["results"])
+
+
+@query("d06_refreshed_totals", f"WITH {OBS} SELECT client_id, count(*) AS n, round(sum(score), 4) AS total FROM obs WHERE client_id <> 'c1' OR ordinal % 2 = 0 GROUP BY 1")
+def refreshed_totals(spark, sf_dir):
+    """Totals of all devices, and again when one device has lost half of its rows: only that one is worked out anew."""
+    path, obs = new_path(spark, "cells"), observations(spark, sf_dir).select("client_id", "ordinal", "score")
+    total = lambda own: own.groupBy("client_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    incremental.refresh(spark, path, obs, ["client_id"], ["ordinal"], total)
+    again = incremental.refresh(spark, path, obs.where((F.col("client_id") != "c1") | (F.pmod("ordinal", F.lit(2)) == 0)), ["client_id"], ["ordinal"], total)
+    assert {r["client_id"] for r in again.collect()} <= {"c1"}
+    return incremental.outputs(spark, path, ["client_id"])
+
+
 @query("u06_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_keys(spark, sf_dir):
     return checks.repeated(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
