@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetward.staging import new_path, released, remove, written
+from fleetward.staging import shared_folder as shared_dir
+
+__all__ = ["new_path", "released", "remove", "shared_dir", "written"]
+
 #: White space that separates words: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
 #: A side of a join is broadcast up to so many bytes, counted before the join is planned.
@@ -21,43 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
-
-    One of our own is a folder of this machine, so a session on more machines must name one.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("fleetward.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="fleetward-")
-        spark.conf.set("fleetward.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Paths of what was staged within the innermost released() of this thread or task; None outside of any.
-_SCOPE: ContextVar[list[str] | None] = ContextVar("fleetward_staged", default=None)
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, which the innermost released() removes."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if (scope := _SCOPE.get()) is not None:
-        scope.append(path)
-    return path
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def stage(df: DataFrame, what: str, few: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: computed once, and no executor's loss takes it away.
 
@@ -69,22 +31,6 @@ def stage(df: DataFrame, what: str, few: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, what was staged within: for code that has written its own result by then.
-
-    Each block has a list of its own, and threads do not see each other's.
-    """
-    own: list[str] = []
-    outer = _SCOPE.set(own)
-    try:
-        yield
-    finally:
-        _SCOPE.reset(outer)
-        for path in own:
-            remove(spark, path)
-
-
 def small_side(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df (a staged table) with a broadcast hint if its rows fit the limit; else Spark's own choice, a shuffle join.
 

@@ -39,7 +39,7 @@ BLOCK = 4096
 CHUNK = 1 << 20
 #: Characters that are tokenized at a time, and pieces, and words, after which a worker starts to remember anew.
 SLICE_CHARS = 1 << 20
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Characters of the longest piece or word that is remembered.
 LONGEST = 64
 
@@ -159,6 +159,15 @@ def _byte_signs() -> dict[int, str]:
 _SIGNS = str.maketrans({chr(b): sign for b, sign in _byte_signs().items()})
 
 
+def _words(piece: str) -> list[str]:
+    """The words of a space and a piece; letters alone, or with a mark behind them, are known without a search."""
+    if piece.isalpha():
+        return [" " + piece]
+    if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+        return [" " + piece[:-1], piece[-1]]
+    return _WORDS.findall(" " + piece)
+
+
 class _Words(dict):
     """The ids of words by a tokenizer's model, remembered."""
 
@@ -199,7 +208,7 @@ class Encoder:
     def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
         latin = [p for p in pieces if p.isascii() or not _BEYOND_LATIN.search(p)]
         word = self.words.__getitem__
-        out = {p: b"".join(map(word, _WORDS.findall(" " + p))) for p in latin}
+        out = {p: b"".join(map(word, _words(p))) for p in latin}
         others = [p for p in pieces if p not in out]
         for k in range(0, len(others), 10_000):
             part = others[k : k + 10_000]
