@@ -131,13 +131,45 @@ def event_tables(obs: DataFrame, budgets: dict[str, float], steps: dict[str, tup
     return {"metrics": metrics, "robustness": robustness(own, steps, keys), "gini": gini_by(metrics, "benign_events", ["budget_id"]), "budgets": budget_rows(obs, per_hour, parameters)}
 
 
-def detected_intervals(intervals: DataFrame, alerts: DataFrame, keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
-    """intervals (keys, start, end, ...) that hold an alert (keys, t) of theirs, ends included."""
-    own = alerts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("t").alias("__t"))
-    same = F.col("__t").between(F.col("start"), F.col("end"))
+def in_intervals(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("client_id",), how: str = "inner", width: float | None = None) -> DataFrame:
+    """Joins intervals (keys, start, end, ...) with points (keys, t, ...) that they hold, ends included, by range bins.
+
+    An interval's level is how often width must be doubled to be no less than its length, so it reaches into two
+    bins of its level at the most; a point has one bin at each level that some interval has. Points meet the
+    intervals of their bins alone, and long intervals cost no more rows than short ones. width: the least bin
+    (unset: the median length). how: inner, left_semi (of intervals) or left_anti. Intervals whose end is before
+    their start hold nothing; null bounds or times neither. Columns of points but the keys are to have other names
+    than those of intervals.
+    """
+    length = F.col("end") - F.col("start")
+    if width is None:
+        width = intervals.where(length > 0).agg(F.percentile_approx(length, 0.5)).first()[0] or 1.0
+    size = lambda level: F.lit(float(width)) * F.pow(F.lit(2.0), level)
+    level = F.when(length <= width, 0).otherwise(F.ceil(F.log2(length / F.lit(float(width))))).cast("int")
+    binned = intervals.withColumn("__level", level).withColumn("__ends", F.array_distinct(F.array(F.floor(F.col("start") / size(F.col("__level"))).cast("long"), F.floor(F.col("end") / size(F.col("__level"))).cast("long"))))
+    # Rounding at a power of two may leave three bins: all between the ends.
+    bins = F.sequence(F.element_at("__ends", 1), F.element_at("__ends", -1))
+    binned = binned.where(length >= 0).withColumn("__bin", F.explode(bins)).drop("__ends")
+    levels = sorted(r["__level"] for r in binned.select("__level").distinct().collect())
+    own = points.select(*(F.col(k).alias(f"__{k}") for k in keys), *(F.col(c) for c in points.columns if c not in keys))
+    own = own.where(F.col("t").isNotNull()).withColumn("__at", F.explode(F.array(*(F.lit(k) for k in levels)) if levels else F.array().cast("array<int>"))).withColumn("__place", F.floor(F.col("t") / size(F.col("__at"))).cast("long"))
+    same = (F.col("__level") == F.col("__at")) & (F.col("__bin") == F.col("__place"))
     for k in keys:
         same = same & (F.col(k) == F.col(f"__{k}"))
-    return intervals.join(own, same, "left_semi")
+    held = same & F.col("t").between(F.col("start"), F.col("end"))
+    inner = [f"__{k}" for k in keys]
+    if how == "inner":
+        return binned.join(own, held).drop("__level", "__bin", "__at", "__place", *inner)
+    # An interval stands in two bins at most: once is enough.
+    numbered = binned.withColumn("__row", F.struct(*intervals.columns))
+    found = numbered.join(own, held, "left_semi").select("__row").distinct()
+    same_row = intervals.withColumn("__row", F.struct(*intervals.columns))
+    return same_row.join(found.withColumnRenamed("__row", "__found"), F.col("__row").eqNullSafe(F.col("__found")), how).drop("__row", "__found")
+
+
+def detected_intervals(intervals: DataFrame, alerts: DataFrame, keys: tuple[str, ...] = ("client_id",)) -> DataFrame:
+    """intervals (keys, start, end, ...) that hold an alert (keys, t) of theirs, ends included."""
+    return in_intervals(alerts.select(*keys, "t"), intervals, keys, "left_semi")
 
 
 def steps_back(rows: DataFrame, keys: list[str], order: str, slices: int = 256) -> DataFrame:
