@@ -34,11 +34,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
 HIDDEN = frozenset("head noscript iframe template svg select button canvas object video audio map datalist dialog".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul center details".split())
+#: What may stand in a head; anything else ends it, as its end tag and the body's start tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+#: Elements whose own text stands for itself: a block of its own, as they hold the whole page.
+WHOLE = frozenset(("html", "body"))
 #: Opening one of these closes an open one of the set, up to the enclosing list or table.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 AGAINST = frozenset("ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related reply replies respond rss search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets alert complementary contentinfo".split())
 FOR = frozenset("article articlebody body content entry main maincontent post story text page hentry blog".split())
-TAGS = frozenset("article aside blockquote body div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html li main nav ol p pre section table tbody td th tr ul span".split())
+TAGS = frozenset("article aside blockquote body div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html li main nav ol p pre section table tbody td text th tr ul span".split())
 
 FRAME, CONTENT, OTHER = range(3)
 STATES = 3
@@ -72,7 +76,9 @@ class Scanner:
         source = self.source
         while (i := source.find("<", at)) >= 0:
             if source.startswith(("<!", "<?"), i):
-                if source.startswith("<!--", i):
+                if source.startswith(("<!-->", "<!--->"), i):
+                    end = source.index(">", i) + 1  # empty comments
+                elif source.startswith("<!--", i):
                     m = _COMMENT_END.search(source, i + 4)
                     end = m.end() if m else len(source)
                 else:
@@ -144,6 +150,8 @@ class Page:
         self.parent, self.tag, self.names, self.label = [-1], ["html"], [frozenset()], [None]
         #: (node, text, in a link) in page order; None where a block ends.
         self.pieces: list[tuple[int, str, bool] | None] = []
+        #: The node of text that stands in the page itself, up to the next block's border.
+        self.loose: int | None = None
         self._parse(source)
 
     def _parse(self, source: str) -> None:
@@ -152,13 +160,18 @@ class Page:
         while at < end:
             found = scan.next(at)
             start = found[0] if found else end
-            if start > at and not stack.hidden:
-                self.pieces.append((stack.open[-1][1], source[at:start], stack.links > 0))
+            if start > at:
+                if stack.hidden and stack.open[-1][0] == "head" and not source[at:start].isspace():
+                    stack.close(len(stack.open) - 1)
+                if not stack.hidden:
+                    self._text(stack.open[-1][1], source[at:start], stack.links > 0)
             if not found:
                 break
             _, at, closes, name, attrs = found
             if not name:
                 continue
+            if not closes and stack.hidden == 1 and name not in IN_HEAD and (place := stack.nearest(("head",))):
+                stack.close(place)
             if closes:
                 if place := stack.nearest((name,)):
                     if any(gone not in INLINE for gone in stack.close(place)):
@@ -172,13 +185,13 @@ class Page:
                 self._border()
             if name in VOID or (attrs.endswith("/") and name not in INLINE and name not in TAGS):
                 continue
+            if name == "html" and (m := _LABEL.search(attrs)):
+                self.label[0] = int(m[1])
             if name == "html" or (name == "body" and stack.nearest(("body",))):
                 continue
             shut, until = CLOSES.get(name, (None, None))
             if name in ENDS_P:
                 shut, until = {"p"}, {"div", "article", "section", "td", "li", "body", "main", "aside", "blockquote", "form"}
-            if name == "body":
-                shut, until = {"head"}, set()
             while shut and (place := stack.nearest(shut)) > stack.nearest(until):
                 stack.close(place)
                 self._border()
@@ -198,7 +211,20 @@ class Page:
                 self._border()
             stack.push(name, node)
 
+    def _text(self, node: int, text: str, link: bool) -> None:
+        """A piece of text of a node; in the page itself, of a nameless block that ends with the next border."""
+        if self.tag[node] in WHOLE and (self.loose is not None or not text.isspace()):
+            if self.loose is None:
+                self.loose = len(self.parent)
+                self.parent.append(node)
+                self.tag.append("text")
+                self.names.append(frozenset())
+                self.label.append(None)
+            node = self.loose
+        self.pieces.append((node, text, link))
+
     def _border(self) -> None:
+        self.loose = None
         if self.pieces and self.pieces[-1] is not None:
             self.pieces.append(None)
 
@@ -385,6 +411,12 @@ def training_pages(n: int = 600, seed: int = 5) -> list[str]:
         foot = [rng.choice([comments(), ""]), rng.choice([aside(), form(), ""]), rng.choice([f"<footer{y0}><p>&copy; {some(1, 3)} {said(1)}</p>{link()}</footer>", f"<footer{y0}>&copy; {some(1, 2)} &middot; {said(rng.randint(1, 3))}</footer>", f'<div id="footer"{y0}>{said(1)}{link()}</div>'])]
         middle = article() if rng.random() < 0.9 else f'<div class="wrapper">{article()}{aside()}</div>'
         out.append(f"<html><body>{''.join(top)}{middle}{''.join(foot)}</body></html>")
+    # Pages of text alone, and text in the page itself beside menus and other matter: by a generator of their own.
+    rng = random.Random(seed + 1)
+    for _ in range(n // 6):
+        bare = "<br>".join(said(rng.choice([1, 1, 2, 4])) for _ in range(rng.choice([1, 2, 5])))
+        links = f"<div{y0}>{' | '.join(link() for _ in range(4))}</div>"
+        out.append(rng.choice([f'<html data-y="1">{bare}</html>', f'<body data-y="1">{bare}</body>', f'<body data-y="1">{links}{bare}</body>', f'<body data-y="1">{bare}<p>{said(2)}</p>{aside()}</body>', f"<body{y0}>{' | '.join(link() for _ in range(5))}<article data-y=\"1\">{said(3)}</article></body>", f"<body{y0}>{some(1, 2)} <article data-y=\"1\"><p>{said(3)}</p></article></body>"]))
     return out
 
 

@@ -278,3 +278,45 @@ def test_odd_pages(spark, model):
     text = {(r["page_id"], r["text"]) for r in got}
     assert (6, "A&B <x> éé bold. Two lines") in text and (8, "Yes, this is text.") in text and (1, "") in text and (7, "") in text
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>x</title><article>{a}</article>", "{t}"),
+        ("<head><meta charset=utf-8><link href=x><style>p {{}}</style><body>{a}</body>", "{t}"),
+        ("<head><title>t</title>Text ends the head. It is the body's own.", "Text ends the head. It is the body's own."),
+        ("<head><noscript><p>No script here.</p></noscript><title>t</title></head><main>{a}</main>", "{t}"),
+        ("<!-->{a}<!-- gone -->", "{t}"), ("<!--->{a}<!-- gone --!>", "{t}"), ("<!-- <p>gone</p> -->{a}", "{t}"),
+        ("Just a text without tags. It has two sentences.", "Just a text without tags. It has two sentences."),
+        ("word", "word"), ("a &amp;  b\nc", "a & b c"),
+        ("<body>Plain text. With <b>bold</b>\n words.</body>", "Plain text. With bold words."),
+        ("First line of a page.<br>Second line of it.", "First line of a page. Second line of it."),
+        ("<body><a href=/>Home</a> | <a href=/a>About us</a> | <a href=/c>Contact</a><article>{a}</article></body>", "{t}"),
+    ],
+)
+def test_pages_with_omitted_tags_and_loose_text(page, want):
+    """Valid pages without head's end or body's start, without any tag, with empty comments."""
+    text = "A first sentence stands here, long enough to be prose. Another one follows it at once."
+    model = html_text.fit(html_text.training_pages())
+    assert html_text.extract(page.format(a=f"<p>{text}</p>" * 3), model) == want.format(t=" ".join([text] * 3))
+
+
+def test_text_on_pages_of_another_generator():
+    """Pages that the fit has not written: other words, nesting and omitted tags; recall and precision of words."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("bcdfghkpqvwxyz"), int(rng.integers(3, 9))))
+    said = lambda n: " ".join(" ".join(word() for _ in range(int(rng.integers(5, 14)))).capitalize() + "." for _ in range(n))
+    model = html_text.fit(html_text.training_pages())
+    hit = found = wanted = 0
+    for k in range(60):
+        body, junk = [said(int(rng.integers(2, 5))) for _ in range(int(rng.integers(2, 7)))], [said(1) for _ in range(3)]
+        menu = "".join(f"<li><a href=#>{word()}</a>" for _ in range(6))
+        article = "".join(f"<p>{x}" for x in body)
+        head = ["<!doctype html><title>t</title>", "<html><head><title>t</title></head><body>", "<head><meta charset=utf-8><title>t</title><body class=site>"][k % 3]
+        wrap = [f"<main id=primary><div class=row><article>{article}</article></div></main>", f"<div class=container><div class=story>{article}</div></div>", f"<section><h2>{said(1)}</h2>{article}</section>"][k // 3 % 3]
+        page = f"{head}<nav><ul>{menu}</ul></nav>{wrap}<aside><p>{junk[0]}</aside><div class=comments><p>{junk[1]}</div><footer>{junk[2]}</footer>"
+        got, want = html_text.extract(page, model).split(), " ".join(body).split()
+        hit += len(set(got) & set(want))
+        found, wanted = found + len(set(got)), wanted + len(set(want))
+    assert hit / wanted > 0.97 and hit / found > 0.95
