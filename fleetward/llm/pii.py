@@ -9,14 +9,14 @@ few others: an address's domain, an ip's first two parts, a card's first six dig
 number without its last four. Over all different texts, counts of texts with an entity (n_e),
 with a word (n_t) and with both, at any distance (n_te), tell what the word discloses:
 
-    p(e) = n_e / n        p(e|t) = (n_te + p(e)) / (n_t + 1)        PMI = log2(p(e|t) / p(e))
-
-The estimate is smoothed by one text of the prior, so a word seen once is believed by half. A word
-is a span of kind "term" wherever it stands in a text that holds the entity, if knowing it
-leaves at most log2(1 / BELIEF) bits of the entity's information (p(e|t) >= BELIEF) and tells
-MIN_BITS at least. Words that stand in one text only, beside an entity, are among these: who
-knows one finds the text, and with it the entity. A word of many texts never is, unless
-most of them hold the same entity.
+    p(e) = n_e / n        p(e|t) = (n_te + k p(e)) / (n_t + k)        PMI = log2(p(e|t) / p(e))
+
+The estimate is smoothed by k = PRIOR texts of the prior. A word is a span of kind "term"
+wherever it stands in a text that holds the entity, if knowing it leaves at most
+log2(1 / BELIEF) bits of the entity's information (p(e|t) >= BELIEF) and tells MIN_BITS at
+least. With two texts of the prior, one text in which a word and an entity meet is no
+evidence of a bond between them: it takes two that both have, and no other with the word, or
+more. A word of many texts is none, unless most of them hold the same entity.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ PATTERNS = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
-#: The disclosure threshold; least bits that a word tells; a word's least letters.
+#: The disclosure threshold; texts of the prior that smooth it; least bits that a word tells; a word's least letters.
 BELIEF = 0.5
+PRIOR = 2
 MIN_BITS = 3.0
 MIN_TERM = 3
 _WORD = "\\p{L}++"
@@ -166,7 +167,7 @@ def _text_counts(texts: list[DataFrame]) -> DataFrame:
 
 
 def _belief(n_te: Column, n_t: Column, share: Column) -> Column:
-    return (n_te + share) / (n_t + 1)
+    return (n_te + PRIOR * share) / (n_t + PRIOR)
 
 
 def _told(n_te: Column, n_t: Column, share: Column) -> Column:
@@ -185,7 +186,7 @@ def _flagged(based: DataFrame) -> DataFrame:
     held = stage(held, "pii-held", few=True)
     share = col("n_e") / n
     shared = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(_told(col("n_e"), col("n_e"), share))
-    shared = stage(shared.withColumns({"share": share, "most": (col("n_e") + share) / BELIEF - 1}), "pii-shared", few=True)
+    shared = stage(shared.withColumns({"share": share, "most": (col("n_e") + PRIOR * share) / BELIEF - PRIOR}), "pii-shared", few=True)
     bound = shared.agg(F.max("most").alias("most"), F.max("share").alias("share")).first()
     holders = stage(held.join(small_side(shared, 64 + F.octet_length("entity")), "entity"), "pii-holders", few=True)
     # Counts and words grow with the corpus, so they meet by a shuffle at every size.

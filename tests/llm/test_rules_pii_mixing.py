@@ -128,7 +128,7 @@ def told_spans(texts):
     secret = set()
     for (x, w), n_te in both.items():
         p = of_entity[x] / n
-        belief = (n_te + p) / (of_term[w] + 1)
+        belief = (n_te + pii.PRIOR * p) / (of_term[w] + pii.PRIOR)
         bits = math.log2(belief / p)
         if belief >= pii.BELIEF and bits >= pii.MIN_BITS:
             secret.add((x, w))
