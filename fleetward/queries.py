@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetward.functions import text
 from fleetward.operators import event_budget as event_budget_
-from fleetward.operators import calibrate, checks, evaluate, events, frontier, incremental, infer, lookups, ordering, policies, resampling, scoring, splits
+from fleetward.operators import calibrate, checks, evaluate, events, frontier, generalization, incremental, infer, lookups, ordering, policies, reports, resampling, scoring, splits
 from fleetward.sources import external, timed
 from fleetward.sources.adapters import features, large_observations, observations
 from fleetward.staging import new_path, staged
@@ -691,6 +691,66 @@ def external_replication(spark, sf_dir):
     return timed.scores_of(spark, path, "external", 0).groupBy("client_id", "split", "attack_subtype").agg(F.count("*").alias("n"))
 
 
+FOLDS = {"f1": ["m1", "m2", "m3"], "f2": ["m4", "m5"], "f3": ["m6", "m7"]}
+LINES = """obs AS (
+  SELECT 's' || (l_suppkey % 9) AS client_id, CASE WHEN l_returnflag = 'N' THEN 'benign' ELSE 'attack' END AS label, CASE WHEN l_returnflag <> 'N' THEN 'm' || l_linenumber END AS attack_subtype,
+    l_extendedprice / 1000.0::DOUBLE + CASE WHEN l_returnflag = 'N' THEN 0 ELSE 20 + 8 * (l_suppkey % 9) END AS score, l_orderkey * 8 + l_linenumber AS ordinal FROM lineitem)"""
+
+
+def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as split scores of nine devices, with line numbers as seven subtypes."""
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    benign = F.col("l_returnflag") == "N"
+    obs = x.select(
+        F.concat(F.lit("s"), F.pmod("l_suppkey", F.lit(9)).cast("string")).alias("client_id"), F.when(benign, "benign").otherwise("attack").alias("label"), F.when(~benign, F.concat(F.lit("m"), F.col("l_linenumber").cast("string"))).alias("attack_subtype"),
+        (F.col("l_extendedprice") / F.lit(1000.0) + F.when(benign, F.lit(0)).otherwise(20 + 8 * F.pmod("l_suppkey", F.lit(9)))).alias("score"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"),
+    )
+    return splits.split_rows(obs)
+
+
+def _rotation_sql() -> str:
+    sides = []
+    for name, own in FOLDS.items():
+        other = ", ".join(f"'{s}'" for k, x in FOLDS.items() if k != name for s in x)
+        mine = ", ".join(f"'{s}'" for s in own)
+        sides.append(f"SELECT *, '{name}' AS direction FROM sp0 WHERE label = 'benign' OR (split = 'attack_validation' AND attack_subtype IN ({mine})) OR (split = 'attack_test' AND attack_subtype IN ({other}))")
+    asked = " UNION ALL ".join(f"SELECT direction, client_id, '{b}' AS budget_id, {v}::DOUBLE AS budget, {v}::DOUBLE AS target_rate FROM (SELECT DISTINCT direction, client_id FROM sp)" for b, v in SEED_BUDGETS.items())
+    parts = [f"WITH {LINES}", split_sql().replace("sp AS (", "sp0 AS (", 1), f"sp AS ({' UNION ALL '.join(sides)})", WEIGHT, result_sql(asked, "direction, client_id", "budget_id, budget"), fleet_sql("", "budget", "direction, budget_id, budget").rstrip()]
+    return ", ".join(parts) + " SELECT direction, budget_id, " + ", ".join(r9(c, c) for c in FLEET) + " FROM fu"
+
+
+@query("o24_rotations", _rotation_sql())
+def fold_rotations(spark, sf_dir):
+    """Three rotations of subtype folds at three budgets, at an equal rate: each fold validated on, the others tested."""
+    s = staged(line_scores(spark, sf_dir), "lines")
+    v = generalization.views(s, generalization.rotations(FOLDS))
+    asked = v.select("direction", "client_id").distinct().select("direction", "client_id", F.inline(F.array(*(F.struct(F.lit(b).alias("budget_id"), F.lit(x).alias("budget"), F.lit(x).alias("target_rate")) for b, x in SEED_BUDGETS.items()))))
+    keys, by = ("direction", "client_id"), ("budget_id", "budget")
+    res = evaluate.evaluate(v, evaluate.final_thresholds(v, asked, keys), keys, by)
+    out = evaluate.fleet(evaluate.per_client(res, ("direction", *by)), benign_weights(s), None, ("direction", *by))
+    return rounded(out.select("direction", "budget_id", *FLEET))
+
+
+@query("d16_budget_policy_table", SEEDS + " SELECT format('{:.4f}', budget) AS budget, policy, format('{:.4f}', avg(macro_recall)) AS \"macro recall\", format('{:.4f}', avg(worst_recall)) AS \"worst-client recall\", format('{:.3f}', avg(usage)) AS \"budget usage\", format('{:.4f}', avg(fleet_fpr)) AS \"federation fpr\" FROM fu GROUP BY budget, policy")
+def budget_policy_table(spark, sf_dir):
+    return reports.budget_policy_table(reports.summaries(seed_evaluations(spark, sf_dir)), SEED_BUDGETS, reports.PRIMARY_COLUMNS, policies.POLICIES)
+
+
+@query("d14_summary_totals", SEEDS + " SELECT CASE grouping(budget_id, policy) WHEN 0 THEN 'cell' WHEN 1 THEN 'budget' WHEN 2 THEN 'policy' ELSE 'all' END AS level, budget_id, policy, count(*) AS n, " + ", ".join(f"round(avg({c}), 9) AS {c}" for c in ("macro_recall", "worst_recall", "fleet_fpr", "usage", "violation", "pooled_recall", "macro_f1", "balanced_accuracy")) + " FROM fu GROUP BY GROUPING SETS ((budget_id, policy), (policy), (budget_id), ())")
+def summary_totals(spark, sf_dir):
+    """Means by budget and policy with their totals, in one pass."""
+    return rounded(reports.summaries(seed_evaluations(spark, sf_dir)).drop("auroc", "auprc", "gini", "fallback_share"))
+
+
+@query("j09_alerts_in_intervals", TH + ", i AS (SELECT client_id, attack_subtype, min(t) AS a, max(t) AS b FROM obs WHERE label = 'attack' GROUP BY client_id, attack_subtype, seed) SELECT i.client_id, i.attack_subtype, round(i.a, 6) AS start, count(*) AS n, round(min(o.t), 6) AS first FROM i JOIN obs o ON o.client_id = i.client_id AND o.t BETWEEN i.a AND i.b JOIN th ON th.client_id = o.client_id WHERE o.score > th.threshold GROUP BY 1, 2, 3")
+def alerts_in_intervals(spark, sf_dir):
+    """Alerts by the attack intervals, overlapping ones too, that hold them."""
+    z = timed_alerts(spark, sf_dir)
+    spans = staged(z.where(F.col("label") == "attack").groupBy("client_id", "attack_subtype", "seed").agg(F.min("t").alias("start"), F.max("t").alias("end")).drop("seed"), "spans")
+    held = events.in_intervals(z.where(F.col("score") > F.col("threshold")).select("client_id", "t"), spans)
+    return held.groupBy("client_id", "attack_subtype", F.round("start", 6).alias("start")).agg(F.count("*").alias("n"), F.round(F.min("t"), 6).alias("first"))
+
+
 # --- text --------------------------------------------------------------------------------------------------------
 
 
