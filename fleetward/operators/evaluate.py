@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetward.operators.calibrate import TIGHT, thresholds
 from fleetward.operators.ranking import running_sums
+from fleetward.staging import measured
 
 CALIBRATION = ("benign_frontier", "benign_final_cal")
 
@@ -19,12 +20,12 @@ def final_thresholds(scores: DataFrame, decisions: DataFrame, keys: tuple[str, .
 def evaluate(scores: DataFrame, calibrated: DataFrame, keys: tuple[str, ...] = ("client_id",), by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each of keys, by and attack subtype: tp, fn, recall, and the device's fp, tn, fpr.
 
-    by: further columns of calibrated (a policy, a budget) for which thresholds differ. Thresholds are a small
-    table, one row a device; test rows meet them in a broadcast join.
+    by: further columns of calibrated (a policy, a budget) for which thresholds differ. Thresholds are broadcast to
+    the test rows if they are few enough.
     """
     group = [*keys, *by]
     test = scores.where(F.col("split").isin("benign_test", "attack_test")).select(*keys, "label", "attack_subtype", "score")
-    hit = test.join(F.broadcast(calibrated.select(*group, "threshold", "target_rate", "n_cal")), list(keys))
+    hit = test.join(measured(calibrated.select(*group, "threshold", "target_rate", "n_cal"), "calibrated", 64 + 32 * len(group)), list(keys))
     alert = (F.col("score") > F.col("threshold")) & ~F.isnan("score")
     one = hit.groupBy(*group, "label", "attack_subtype").agg(F.count_if(alert).alias("alerts"), F.count("*").alias("n"), F.max("threshold").alias("threshold"), F.max("target_rate").alias("target_rate"), F.max("n_cal").alias("n_cal"))
     of = Window.partitionBy(*group)
@@ -54,7 +55,8 @@ def fleet(clients: DataFrame, weights: DataFrame, budget: float | None = None, b
     budget: a number, or None if by has the column budget.
     """
     b = F.lit(float(budget)) if budget is not None else F.col("budget")
-    both = clients.join(F.broadcast(weights), "client_id")
+    # Weights are one row a device: Spark broadcasts them by their size, or joins by shuffle.
+    both = clients.join(weights, "client_id")
     out = both.groupBy(*by).agg(
         F.avg("macro_recall").alias("macro_recall"), F.min("macro_recall").alias("worst_recall"), F.sum(F.col("weight") * F.col("fpr")).alias("fleet_fpr"),
         (F.sum("tp") / F.sum(F.col("tp") + F.col("fn"))).alias("pooled_recall"), F.avg("f1").alias("macro_f1"), F.avg("balanced_accuracy").alias("balanced_accuracy"),

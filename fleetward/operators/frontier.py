@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetward.operators.calibrate import TIGHT, thresholds
 from fleetward.operators.ranking import count_below
+from fleetward.staging import measured
 
 # A short grid of rates, and the budgets that the long one contains beside its steps.
 GRID = (0.0, 0.001, 0.005, 0.01, 0.02, 0.05)
@@ -30,14 +31,14 @@ def confusions(scores: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
 
     Thresholds never rise with the rate, so a score alerts from some rate of the grid on. Each row is given the
     number of rates at which it alerts; counts of that number, summed up, are the true positives: one pass, no row
-    for each rate. A client's thresholds travel as one array: clients x grid, a bounded table.
+    for each rate. A client's thresholds travel as one array; the table is broadcast if clients are few enough.
     """
     benign = scores.where(F.col("split") == "benign_frontier").select("client_id", "score")
     cut = thresholds(benign, grid_frame(scores, grid))
     arrays = cut.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("grid_ix", "target_rate", "threshold"))).alias("cuts"))
     arrays = arrays.withColumn("falling", F.reverse(F.transform("cuts", lambda c: c["threshold"])))
     attack = scores.where(F.col("split") == "attack_validation").select("client_id", "attack_subtype", "score")
-    seen = attack.join(F.broadcast(arrays), "client_id").withColumn("hits", F.when(F.isnan("score"), 0).otherwise(count_below(F.col("falling"), F.col("score"), len(grid))))
+    seen = attack.join(measured(arrays, "cuts", 64 + 48 * len(grid)), "client_id").withColumn("hits", F.when(F.isnan("score"), 0).otherwise(count_below(F.col("falling"), F.col("score"), len(grid))))
     counts = seen.groupBy("client_id", "attack_subtype", "hits").agg(F.count("*").alias("n"), F.any_value("cuts").alias("cuts"))
     total = F.sum("n").over(Window.partitionBy("client_id", "attack_subtype"))
     spread = counts.withColumn("total", total).select("client_id", "attack_subtype", "hits", "n", "total", F.inline("cuts"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetward.staging import measured
+
 CELLS = 256
 
 
@@ -18,14 +20,15 @@ def _celled(df: DataFrame, keys: list[str], value: str, cells: int) -> DataFrame
     """Adds __cell, which rises with the value: how many of the group's quantiles are less.
 
     Quantiles follow the values however they are spread; equal values share a cell. Null comes first (-1), infinity
-    and NaN in the last cells. The quantiles are one array for each group: a table of so many numbers a device,
-    which is broadcast as the fleet's size bounds it.
+    and NaN in the last cells. The quantiles are one array for each group; they are broadcast if groups are few
+    enough, which is counted.
     """
     x = F.col(value).cast("double")
     finite = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
     shares = F.array(*(F.lit(k / cells) for k in range(1, cells)))
     cuts = df.groupBy(*keys).agg(F.percentile_approx(finite, shares, F.lit(20 * cells)).alias("__cuts"))
-    held = df.join(F.broadcast(cuts), on=_same(df, cuts, keys), how="inner").drop(*(cuts[k] for k in keys))
+    cuts = measured(cuts, "quantiles", 64 + 8 * cells)
+    held = df.join(cuts, on=_same(df, cuts, keys), how="inner").drop(*(cuts[k] for k in keys))
     cell = F.when(F.col(value).isNull(), -1).when(F.col("__cuts").isNull(), 0).otherwise(count_below(F.col("__cuts"), x, cells))
     return held.withColumn("__cell", cell.cast("int")).drop("__cuts")
 

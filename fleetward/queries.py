@@ -397,24 +397,26 @@ def subtype_fold(spark, sf_dir):
 # --- several seeds: inference and gates --------------------------------------------------------------------------
 
 
-def seed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of three seeds, split; several plans read them."""
+    return staged(splits.split_rows(observations(spark, sf_dir), keys=("seed", "client_id")), "seed-scores")
+
+
+def seed_results(s: DataFrame) -> DataFrame:
     """Results of equal rate and equal alert, at three budgets, on three interleaved thirds."""
-    s = splits.split_rows(observations(spark, sf_dir), keys=("seed", "client_id"))
     seeds = s.select("seed", "client_id").distinct()
     w = benign_weights(s)
-    asked = None
-    for b, budget in SEED_BUDGETS.items():
-        for policy, rates in (("equal_rate", policies.equal_rate(s.select("client_id").distinct(), budget)), ("equal_alert", policies.equal_alert(w, budget))):
-            own = seeds.join(F.broadcast(rates), "client_id").withColumns({"budget_id": F.lit(b), "budget": F.lit(budget), "policy": F.lit(policy)})
-            asked = own if asked is None else asked.unionByName(own)
+    alert = policies.equal_alerts(w, SEED_BUDGETS).withColumn("policy", F.lit("equal_alert"))
+    rate = alert.select("budget_id", "budget", "client_id", F.col("budget").alias("target_rate"), F.lit("equal_rate").alias("policy"))
+    asked = seeds.join(alert.unionByName(rate), "client_id")
     by = ("budget_id", "budget", "policy")
     return evaluate.evaluate(s, evaluate.final_thresholds(s, asked, ("seed", "client_id")), ("seed", "client_id"), by)
 
 
 def seed_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seed, budget_id, policy, FLEET...) of seed_results()."""
-    s = splits.split_rows(observations(spark, sf_dir), keys=("seed", "client_id"))
-    w, by, res = benign_weights(s), ("budget_id", "budget", "policy"), seed_results(spark, sf_dir)
+    s = seed_scores(spark, sf_dir)
+    w, by, res = benign_weights(s), ("budget_id", "budget", "policy"), seed_results(s)
     return evaluate.fleet(evaluate.per_client(res, ("seed", *by)), w, None, ("seed", *by))
 
 
@@ -865,7 +867,7 @@ def policy_means(spark, sf_dir):
 
 @query("a38_operating_points", SEEDS + ", p AS (SELECT seed, client_id, avg(recall) AS macro_recall, any_value(target_rate) AS target_rate, any_value(threshold) AS threshold, any_value(fpr) AS fpr FROM res WHERE policy = 'equal_alert' AND budget_id = 'b2' GROUP BY 1, 2) SELECT client_id, round(avg(target_rate), 9) AS target_rate, " + r9("avg(threshold)", "threshold") + ", round(avg(fpr), 9) AS fpr, round(avg(macro_recall), 9) AS macro_recall FROM p GROUP BY 1")
 def operating_points(spark, sf_dir):
-    return rounded(evaluate.operating_points(seed_results(spark, sf_dir), "equal_alert", "b2"))
+    return rounded(evaluate.operating_points(seed_results(seed_scores(spark, sf_dir)), "equal_alert", "b2"))
 
 
 def all_policies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -908,7 +910,7 @@ def event_run(spark, sf_dir):
 def gain_heterogeneity(spark, sf_dir):
     """Each seed's gain beside the spread of its clients' recalls; one seed has no spread on record."""
     d = infer.paired_differences(seed_evaluations(spark, sf_dir), "equal_alert", "equal_rate", "macro_recall").groupBy("seed").agg(F.avg("diff").alias("gain"))
-    clients = evaluate.per_client(seed_results(spark, sf_dir).where((F.col("policy") == "equal_rate") & (F.col("budget_id") == "b2")), ("seed",))
+    clients = evaluate.per_client(seed_results(seed_scores(spark, sf_dir)).where((F.col("policy") == "equal_rate") & (F.col("budget_id") == "b2")), ("seed",))
     spread = clients.where(F.col("seed") < 2).groupBy("seed").agg(F.stddev_pop("macro_recall").alias("aggregate"))
     return rounded(lookups.gain_and_heterogeneity(d, spread))
 

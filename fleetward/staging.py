@@ -9,6 +9,10 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast up to so many bytes, counted before the join is planned.
+BROADCAST_BYTES = 48 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,6 +59,12 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return written(df, new_path(df.sparkSession, what))
 
 
+def measured(df: DataFrame, what: str, row_bytes: int) -> DataFrame:
+    """df staged, with a broadcast hint if its rows, of so many bytes each in memory, are few enough; else it is joined by shuffle."""
+    own = staged(df, what)
+    return F.broadcast(own) if own.count() * row_bytes <= BROADCAST_BYTES else own
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Removes, at its end, what was staged within: for code that has written its own result by then.
