@@ -955,7 +955,11 @@ def family_transfer(spark, sf_dir):
 def conservative_allocation(spark, sf_dir):
     s = split_scores(spark, sf_dir)
     util = scoring.conservative_utilities(frontier.confusions(s))
-    return policies.allocate(policies.problem_points(util, frontier.equal_weights(s.select("client_id").distinct()), BUDGET), "macro")
+    n = s.where(F.col("split").isin(*evaluate.CALIBRATION)).groupBy("client_id").agg(F.count("*").alias("n_cal"))
+    forbidden = frontier.resolution_guard(frontier.grid_frame(s), n)
+    weights = frontier.equal_weights(s.select("client_id").distinct())
+    macro = policies.allocate(policies.problem_points(util, weights, BUDGET), "macro").withColumn("policy", F.lit("macro"))
+    return macro.unionByName(policies.allocate(policies.problem_points(util, weights, BUDGET, forbidden), "minimax").withColumn("policy", F.lit("minimax")))
 
 
 @query("d10_completion", SEEDS + ", e AS (SELECT seed, budget_id, policy FROM (SELECT DISTINCT seed FROM obs), (VALUES ('b1'), ('b2'), ('b3'), ('b4')) b(budget_id), (VALUES ('equal_rate'), ('equal_alert')) p(policy)), s AS (SELECT CASE WHEN f.seed IS NULL THEN 'MISSING' WHEN usage <= 1.1 THEN 'VALID' ELSE 'MALFORMED' END AS state FROM e LEFT JOIN fu f USING (seed, budget_id, policy)) SELECT count(*) AS cells, count(*) FILTER (WHERE state = 'VALID') AS valid, count(*) FILTER (WHERE state = 'MISSING') AS missing, count(*) FILTER (WHERE state = 'MALFORMED') AS malformed, CASE WHEN count(*) FILTER (WHERE state = 'MISSING') = count(*) THEN 'NOT_STARTED' WHEN count(*) FILTER (WHERE state = 'MALFORMED') > 0 THEN 'FAILED' WHEN count(*) FILTER (WHERE state = 'MISSING') > 0 THEN 'EXECUTION_INCOMPLETE' ELSE 'PASSED' END AS state FROM s")
