@@ -340,9 +340,20 @@ def macro_objective(spark, sf_dir):
     return out.groupBy("status").agg(F.round(F.max("objective"), 6).alias("objective"))
 
 
-@query("o04_macro_allocation")
+#: The macro policy's choice among all of five devices and six rates: utility, then cost, variance and rates, each within its slack.
+CHOICE = f"""z AS (SELECT client_id, grid_ix, target_rate, utility AS u, utility_variance / 5 AS v, target_rate / 5.0::DOUBLE AS c, dense_rank() OVER (ORDER BY client_id) AS k FROM ut),
+x AS (SELECT [a.grid_ix, b.grid_ix, d.grid_ix, e.grid_ix, f.grid_ix] AS g, (a.u + b.u + d.u + e.u + f.u) / 5 AS u, a.c + b.c + d.c + e.c + f.c AS c, a.v + b.v + d.v + e.v + f.v AS v
+  FROM z a, z b, z d, z e, z f WHERE a.k = 1 AND b.k = 2 AND d.k = 3 AND e.k = 4 AND f.k = 5 AND a.c + b.c + d.c + e.c + f.c <= {BUDGET}::DOUBLE + 1e-12),
+y AS (SELECT max(u) AS best FROM x),
+y2 AS (SELECT min(c) AS least FROM x, y WHERE u >= best - 1e-4 + 1e-8 - 1e-12),
+y3 AS (SELECT min(v) AS calm FROM x, y, y2 WHERE u >= best - 1e-4 + 1e-8 - 1e-12 AND c <= least + 1e-4 - 1e-8 + 1e-12),
+y4 AS (SELECT min(g) AS g FROM x, y, y2, y3 WHERE u >= best - 1e-4 - 1e-12 AND c <= least + 1e-4 + 1e-12 AND v <= calm + 1e-4 + 1e-12)
+SELECT 'p' AS problem, client_id, z.grid_ix, target_rate, round(best, 6) AS objective, 'OPTIMAL' AS status FROM z, y, y4 WHERE z.grid_ix = list_extract(y4.g, z.k)"""
+
+
+@query("o04_macro_allocation", f"WITH {CURVE}, {CHOICE}")
 def macro_allocation(spark, sf_dir):
-    return policies.allocate(solver_points(spark, sf_dir), "macro")
+    return rounded(policies.allocate(solver_points(spark, sf_dir), "macro"), 6)
 
 
 WORST = f"""g AS (SELECT u.client_id, u.utility, u.target_rate / (SELECT count(*) FROM cl) AS c FROM ut u JOIN (SELECT client_id, count(*) AS n_cal FROM sp WHERE split IN ('benign_frontier', 'benign_final_cal') GROUP BY 1) USING (client_id)
@@ -381,11 +392,14 @@ def pooled_shared(spark, sf_dir):
     return rounded(policies.pooled_shared(s, benign_weights(s), BUDGET))
 
 
-@query("o07_test_oracle")
+ORACLE_VIEW = SPLIT.replace("sp AS (", "sp0 AS (", 1) + ", sp AS (SELECT * FROM sp0 WHERE split <> 'attack_validation' UNION ALL SELECT * REPLACE ('attack_validation' AS split) FROM sp0 WHERE split = 'attack_test')"
+
+
+@query("o07_test_oracle", f"WITH {CURVE.replace(SPLIT, ORACLE_VIEW)}, {CHOICE}")
 def test_oracle(spark, sf_dir):
     s = splits.oracle_view(split_scores(spark, sf_dir))
     points = policies.problem_points(frontier.utilities(frontier.confusions(s)), frontier.equal_weights(s.select("client_id").distinct()), BUDGET)
-    return policies.allocate(points, "macro")
+    return rounded(policies.allocate(points, "macro"), 6)
 
 
 @query("o24_subtype_fold", f"WITH {CURVE.replace('GROUP BY ALL)', 'GROUP BY ALL)', 1)}, z AS (SELECT client_id, grid_ix, tp / (tp + fn)::DOUBLE AS u FROM cf WHERE attack_subtype = 'error' AND tp + fn >= 50) SELECT client_id, grid_ix, round(u, 9) AS utility FROM z")

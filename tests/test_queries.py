@@ -7,7 +7,7 @@ from fleetward import queries as fleet
 
 SF = "/root/testdata/sf0.001"
 #: Their SQL takes the combinations of five eligible devices, which the smallest tables don't have.
-LARGER = {"o04_macro_objective", "o05_minimax_objective", "j13_exhaustive_macro"}
+LARGER = {"o04_macro_objective", "o04_macro_allocation", "o05_minimax_objective", "o07_test_oracle", "j13_exhaustive_macro"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
