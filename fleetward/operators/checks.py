@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,22 @@ def require_same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"only the {found['side']} side has {[found[k] for k in keys]} of {keys}")
 
 
+def covering(rows: DataFrame, reference: DataFrame, keys: list[str], by: list[str], what: str) -> DataFrame:
+    """rows with reference's other columns by keys; an error, where it is read, if some of by has a key that reference lacks or lacks one that it has.
+
+    reference is a small table, one row a key. Nothing is run before the result is.
+    """
+    everyone = Window.partitionBy(F.lit(1))
+    named = reference.withColumns({"__all": F.count("*").over(everyone), "__known": F.lit(True)})
+    out = rows.join(named, keys, "left")
+    out = out.withColumn("__have", F.size(F.collect_set(F.struct(*keys)).over(Window.partitionBy(*(by or [F.lit(1)])))))
+    text = lambda cols: F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols))
+    strange = F.raise_error(F.concat(F.lit(f"{what}: no "), text(keys), F.lit(" in the reference"))).cast("boolean")
+    short = F.raise_error(F.concat(F.lit(f"{what}: not all of the reference in "), text(by) if by else F.lit("the table"))).cast("boolean")
+    fits = F.when(F.col("__known").isNull(), strange).when(F.col("__have") < F.col("__all"), short).otherwise(True)
+    return out.where(fits).drop("__all", "__known", "__have")
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"no rows: {what}")

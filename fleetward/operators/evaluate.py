@@ -49,14 +49,17 @@ def per_client(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumns({"f1": f1, "balanced_accuracy": balanced})
 
 
-def fleet(clients: DataFrame, weights: DataFrame, budget: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def fleet(clients: DataFrame, weights: DataFrame, budget: float | None = None, by: tuple[str, ...] = (), complete: bool = False) -> DataFrame:
     """One row for each of by: macro and worst recall, weighted fpr, usage and violation of the budget, pooled recall, F1.
 
-    budget: a number, or None if by has the column budget.
+    budget: a number, or None if by has the column budget. complete: each of by must have exactly the clients that
+    have weights, or reading the result is an error; else clients without a weight are left out.
     """
+    from fleetward.operators.checks import covering
+
     b = F.lit(float(budget)) if budget is not None else F.col("budget")
     # Weights are one row a device: Spark broadcasts them by their size, or joins by shuffle.
-    both = clients.join(weights, "client_id")
+    both = covering(clients, weights, ["client_id"], list(by), "evaluation") if complete else clients.join(weights, "client_id")
     out = both.groupBy(*by).agg(
         F.avg("macro_recall").alias("macro_recall"), F.min("macro_recall").alias("worst_recall"), F.sum(F.col("weight") * F.col("fpr")).alias("fleet_fpr"),
         (F.sum("tp") / F.sum(F.col("tp") + F.col("fn"))).alias("pooled_recall"), F.avg("f1").alias("macro_f1"), F.avg("balanced_accuracy").alias("balanced_accuracy"),

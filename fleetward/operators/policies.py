@@ -98,6 +98,29 @@ def problem_points(util: DataFrame, weights: DataFrame, budget: float, forbidden
     return out.join(forbidden.select("client_id", "grid_ix", "forbidden"), ["client_id", "grid_ix"])
 
 
+def allocation_problem(scores: DataFrame, weights: DataFrame, budget: float, grid: tuple[float, ...] | None = None, min_client: int = 100, min_subtypes: int = 2, min_rows: int = 50, factor: float = 1.0, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
+    """(points, fallback) of one budget: what a solver chooses from, and (client_id, target_rate) of clients that are not eligible.
+
+    scores: client_id, attack_subtype, score, split. The clients of scores and weights must be the same; else reading
+    either is an error. Clients that are not eligible take the budget as their rate, at most the cap, and what their
+    weights leave of the budget is the problem's. forbidden marks rates that calibration rows cannot tell from 0.
+    """
+    from fleetward.operators import frontier
+    from fleetward.operators.checks import covering
+    from fleetward.operators.evaluate import CALIBRATION
+
+    people = covering(scores.select("client_id").distinct(), weights.select("client_id", "weight"), ["client_id"], [], "problem")
+    conf = frontier.confusions(scores, grid or frontier.GRID)
+    able = people.join(frontier.eligibility(conf, min_client, min_subtypes, min_rows).select("client_id", "eligible"), "client_id", "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    rate = float(min(budget, cap))
+    reserved = F.sum(F.when(~F.col("eligible"), F.col("weight") * rate).otherwise(0.0)).over(Window.partitionBy(F.lit(1)))
+    able = able.withColumn("budget", F.greatest(F.lit(0.0), F.lit(float(budget)) - reserved))
+    n_cal = scores.where(F.col("split").isin(*CALIBRATION)).groupBy("client_id").agg(F.count("score").alias("n_cal"))
+    points = frontier.utilities(conf, min_rows).join(able.where("eligible").drop("eligible"), "client_id").join(n_cal, "client_id", "left")
+    unseen = (F.col("target_rate") > TIGHT) & (F.col("target_rate") < F.lit(float(factor)) / (F.coalesce("n_cal", F.lit(0)) + 1))
+    return points.withColumn("forbidden", unseen).drop("n_cal"), able.where(~F.col("eligible")).select("client_id", F.lit(rate).alias("target_rate"))
+
+
 def exhaustive(util: DataFrame, weights: DataFrame, budget: float, clients: list[str]) -> DataFrame:
     """One row: the best mean utility of all combinations, by chained joins; for a handful of devices and rates."""
     out = None

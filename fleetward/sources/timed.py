@@ -103,3 +103,27 @@ def persist_tables(spark: SparkSession, path: str, per_seed: dict[int, dict[str,
                 one = tables[n].withColumn("seed", F.lit(seed).cast("long"))
                 united[n] = one if n not in united else united[n].unionByName(one)
     return commits.commit(spark, path, united)
+
+
+def event_run(spark: SparkSession, path: str, observations: dict[int, DataFrame], gate: DataFrame, budgets: dict[str, float], steps: dict[str, tuple[float, ...]], per_hour: tuple[float, ...]) -> str:
+    """Event tables (metrics, robustness, gini, budgets) of all seeds and budgets, in one commit below path.
+
+    observations: by seed, client_id, label, t, score. gate: the status of the captures' provenance. GATED if that is
+    not PASS; EMPTY, and nothing written, without observations or events; else WRITTEN.
+    """
+    from fleetward.operators.events import event_tables
+
+    if gate.first()["status"] != "PASS":
+        return "GATED"
+    with released(spark):
+        tables = {}
+        for seed, obs in observations.items():
+            own = staged(obs.select("client_id", "label", "t", "score"), "event-observations")
+            if not own.isEmpty():
+                found = {n: staged(t, f"event-{n}") for n, t in event_tables(own.withColumn("threshold", F.lit(0.0)), budgets, steps, per_hour).items()}
+                if not found["metrics"].isEmpty():
+                    tables[seed] = found
+        if not tables:
+            return "EMPTY"
+        persist_tables(spark, path, tables)
+        return "WRITTEN"
