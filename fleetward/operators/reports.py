@@ -121,3 +121,29 @@ def write_summary(evals: DataFrame, path: str, most_rows: int = 1_000_000) -> bo
     if n:
         write_csv(budget_cells(evals), path)
     return n > 0
+
+
+def policy_curves(summary: DataFrame, budgets: dict[str, float], metrics: tuple[str, ...] = ("macro_recall", "worst_recall", "usage")) -> DataFrame:
+    """(metric, policy, budget, value) behind the figures of policies by budget; cells without a value have no row."""
+    own = summary.where(F.col("level") == "cell").withColumn("budget", F.try_element_at(_budget_values(budgets), F.col("budget_id"))).where(F.col("budget").isNotNull())
+    return own.unpivot(["policy", "budget"], list(metrics), "metric", "value").where(F.col("value").isNotNull()).select("metric", "policy", "budget", "value")
+
+
+def figure_data(evals: DataFrame, results: DataFrame, utilities: DataFrame, replicates: DataFrame, heterogeneity: DataFrame, budgets: dict[str, float], treatment: str = "macro", baseline: str = "equal_rate") -> dict[str, DataFrame]:
+    """The tables behind a report's figures, by name.
+
+    policy_curves; operating_points of the treatment at the middle budget; utility_curves (client_id, target_rate,
+    utility); stability, five numbers of the replicates' rates (client_id, replicate, target_rate) of each client; and
+    gain_heterogeneity, each seed's mean gain of the treatment beside its heterogeneity (seed, aggregate).
+    """
+    from fleetward.operators import evaluate, lookups
+    from fleetward.staging import staged
+
+    middle = sorted(budgets, key=budgets.get)[len(budgets) // 2]
+    gains = infer.paired_differences(evals, treatment, baseline, "macro_recall").groupBy("seed").agg(F.avg("diff").alias("gain")).where(F.col("gain").isNotNull())
+    five = [F.percentile("target_rate", F.lit(q)).alias(n) for q, n in ((0.0, "least"), (0.25, "lower"), (0.5, "median"), (0.75, "upper"), (1.0, "most"))]
+    return {
+        "policy_curves": policy_curves(staged(summaries(evals), "summaries"), budgets), "operating_points": evaluate.operating_points(results, treatment, middle),
+        "utility_curves": utilities.select("client_id", "target_rate", "utility"), "stability": replicates.groupBy("client_id").agg(F.count("*").alias("n"), *five),
+        "gain_heterogeneity": lookups.gain_and_heterogeneity(gains, heterogeneity),
+    }

@@ -79,3 +79,20 @@ def test_intervals_by_bins(spark, width):
     assert text(map(tuple, events.in_intervals(points, intervals, how="left_anti", width=width).collect())) == text(s for s in spans if s not in hit)
     plan = events.in_intervals(points, intervals, width=width)._jdf.queryExecution().executedPlan().toString()
     assert "Nested" not in plan and "__bin" in plan.split("Join", 1)[1].split("\\n", 1)[0]
+
+
+def test_figure_data(spark):
+    rows, evals = evaluations(spark)
+    results = spark.createDataFrame([(s, b, "macro", c, k, 0.01, 1.0 + s, 0.02, 0.5 + s / 10) for s in (0, 1) for b in BUDGETS for c in "xy" for k in "pq"], "seed long, budget_id string, policy string, client_id string, attack_subtype string, target_rate double, threshold double, fpr double, recall double")
+    curves = spark.createDataFrame([("x", 0.01, 0.5, 0.1)], "client_id string, target_rate double, utility double, utility_variance double")
+    drawn = spark.createDataFrame([("x", r, float(r)) for r in range(9)], "client_id string, replicate int, target_rate double")
+    spread = spark.createDataFrame([(0, 0.2), (0, 0.4), (7, 0.1)], "seed long, aggregate double")
+    got = reports.figure_data(evals, results, curves, drawn, spread, BUDGETS)
+    curve = {(r["metric"], r["policy"], r["budget"]): r["value"] for r in got["policy_curves"].collect()}
+    assert len(curve) == 2 * 6 + 4 and ("usage", "pooled_shared", 0.02) not in curve
+    assert abs(curve["macro_recall", "macro", 0.005] - np.mean([r[3] for r in rows if r[1:3] == ("b2", "macro") and r[-1] == "COMPLETED"])) < 1e-12
+    assert {(r["client_id"], r["threshold"]) for r in got["operating_points"].collect()} == {("x", 1.5), ("y", 1.5)}
+    assert [tuple(r) for r in got["stability"].collect()] == [("x", 9, 0.0, 2.0, 4.0, 6.0, 8.0)]
+    assert [tuple(r) for r in got["utility_curves"].collect()] == [("x", 0.01, 0.5)]
+    gain = got["gain_heterogeneity"].collect()
+    assert [r["seed"] for r in gain] == [0] and abs(gain[0]["heterogeneity"] - 0.3) < 1e-12
