@@ -37,11 +37,10 @@ MAGIC = b"FWBITS1\n"
 BLOCK = 4096
 #: Ids read, packed or unpacked at a time.
 CHUNK = 1 << 20
-#: Characters that are tokenized at a time, and pieces, and words, after which a worker starts to remember anew.
-SLICE_CHARS = 1 << 20
-REMEMBERED = 600_000
-#: Characters of the longest piece or word that is remembered.
-LONGEST = 64
+#: Characters that are tokenized at a time; words after which a worker starts to remember anew, and their mean bytes.
+SLICE_CHARS = 1 << 21
+REMEMBERED = 500_000
+WORD_BYTES = 16
 
 
 def width_of(vocab: int) -> int:
@@ -142,52 +141,80 @@ class Reader:
         return self.ids(first, end - first)
 
 
-_PIECES = re.compile(r" (?=\S)")
-# Fixed value: how a byte-level pre-tokenizer cuts text.
-_WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: A place where every text may be cut: a space before a character that is no white space.
+_CUT = re.compile(r" (?=\S)")
 #: Beyond these letters, libraries may disagree on what is a letter: the tokenizer's own cutting applies.
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+_LETTER, _NUMBER, _BLANK, _OTHER, _BEYOND, _BEYOND_BLANK = range(6)
 
 
-def _byte_signs() -> dict[int, str]:
+@functools.lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of each code point."""
+    out = np.full(0x110000, _BEYOND, dtype=np.uint8)
+    for c in range(0x250):
+        out[c] = next((k for k, p in enumerate((r"\p{L}", r"\p{N}", r"\s")) if regex.match(p, chr(c))), _OTHER)
+    out[[c for c in range(0x250, 0x110000) if chr(c).isspace()]] = _BEYOND_BLANK
+    return out
+
+
+def _byte_signs() -> np.ndarray:
     """The sign of each byte in a byte-level vocabulary: printable ones their own, the others from U+0100 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in own]
-    return {b: chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)}
-
-
-_SIGNS = str.maketrans({chr(b): sign for b, sign in _byte_signs().items()})
+    return np.array([b if b in own else 256 + others.index(b) for b in range(256)], dtype="<u4")
 
 
-def _words(piece: str) -> list[str]:
-    """The words of a space and a piece; letters alone, or with a mark behind them, are known without a search."""
-    if piece.isalpha():
-        return [" " + piece]
-    if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-        return [" " + piece[:-1], piece[-1]]
-    return _WORDS.findall(" " + piece)
+_SIGNS = _byte_signs()
 
 
-class _Words(dict):
-    """The ids of words by a tokenizer's model, remembered."""
+def _word_starts(code: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Where the words of texts begin, as a byte-level pre-tokenizer cuts them; between two cuts with a character beyond Latin all is one.
 
-    def __init__(self, model) -> None:
-        self.model = model
-
-    def __missing__(self, word: str) -> bytes:
-        out = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SIGNS))]).tobytes()
-        if len(word) <= LONGEST:
-            self[word] = out
-        return out
+    code: the texts' code points, one text behind the other (one at least). docs: where each text begins. The words are
+    's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+    """
+    n, kind, space = len(code), _classes()[code], code == 32
+    first = np.zeros(n + 1, dtype=bool)
+    first[docs] = first[n] = True
+    first, last = first[:-1], first[1:]
+    blank = (kind == _BLANK) | (kind == _BEYOND_BLANK)
+    start = first.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # The last of some white space begins a word, and goes with what follows if it is a space.
+    ends = blank & ~last
+    ends[:-1] &= ~blank[1:]
+    start |= ends
+    cut = space & ends
+    start[1:] &= ~cut[:-1]
+    marks = np.flatnonzero(start & ~last & (code == 39))
+    if len(marks):
+        # What follows a mark; nothing at the text's end.
+        far = np.minimum(marks + 2, n - 1)
+        one, two = code[marks + 1], np.where(last[marks + 1], 0, code[far])
+        short = np.isin(one, [ord(x) for x in "stmd"])
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        start[marks[short | long] + 1] = False
+        for at in (marks[short] + 2, marks[long] + 3):
+            at = at[at < n]
+            start[at[kind[at] == _LETTER]] = True
+    beyond = np.flatnonzero(kind >= _BEYOND)
+    if not len(beyond):
+        return np.flatnonzero(start)
+    cuts, out = np.flatnonzero(first | cut), np.flatnonzero(start | cut)
+    whole = np.zeros(len(cuts), dtype=bool)
+    whole[np.searchsorted(cuts, beyond, "right") - 1] = True
+    return out[~whole[np.searchsorted(cuts, out, "right") - 1] | (first | cut)[out]]
 
 
 class Encoder:
-    """Texts to ids, each piece of text and each word once.
+    """Texts to ids, each word once.
 
     A byte-level pre-tokenizer without normalizer begins a token at every space that a character other than white
-    space follows, whatever stands around; so a text may be cut there, and the pieces, most of which are words,
-    are remembered. New pieces are cut into words as the pre-tokenizer does, and the tokenizer's model encodes the
-    words that are new. Other tokenizers get whole texts.
+    space follows, whatever stands around; so a text may be cut there. Slices of texts are cut into words as the
+    pre-tokenizer does, Arrow numbers a slice's different words, and the tokenizer's model encodes those that are
+    new; what lies between two cuts and has a character beyond Latin is encoded by the tokenizer as a whole. Ids of
+    words are remembered in one array, up to a number of words and of their bytes. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -199,39 +226,75 @@ class Encoder:
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not t.special]
         self.cuts = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex and self.tokenizer.normalizer is None and not added
         self.vocab = self.tokenizer.get_vocab_size()
-        self.pieces: dict[str, bytes] = {}
-        self.words = _Words(self.tokenizer.model)
+        self.model = self.tokenizer.model
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word is known: its number by word; ids of all words, and where those of each end."""
+        self.words: dict[bytes, int] = {}
+        self.ids, self.ends, self.held = array("I"), array("q", [0]), 0
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, pieces: set[str]) -> dict[str, bytes]:
-        latin = [p for p in pieces if p.isascii() or not _BEYOND_LATIN.search(p)]
-        word = self.words.__getitem__
-        out = {p: b"".join(map(word, _words(p))) for p in latin}
-        others = [p for p in pieces if p not in out]
-        for k in range(0, len(others), 10_000):
-            part = others[k : k + 10_000]
-            out.update(zip(part, self._raw([" " + p for p in part]), strict=True))
-        return out
+    def _learn(self, words: list[bytes]) -> None:
+        """The ids of new words."""
+        every = b"".join(words)
+        signs = _SIGNS[np.frombuffer(every, dtype=np.uint8)].tobytes().decode("utf-32-le")
+        latin, plain, beyond, at = every.isascii(), [], [], 0
+        tokenize, ids, ends = self.model.tokenize, self.ids, self.ends
+        for w in words:
+            to = at + len(w)
+            if latin or w.isascii() or not _BEYOND_LATIN.search(w.decode()):
+                ids.extend([t.id for t in tokenize(signs[at:to])])
+                ends.append(len(ids))
+                plain.append(w)
+            else:
+                beyond.append(w)
+            at = to
+        for k in range(0, len(beyond), 10_000):
+            for own in self._raw([w.decode() for w in beyond[k : k + 10_000]]):
+                ids.frombytes(own)
+                ends.append(len(ids))
+        self.words.update(zip([*plain, *beyond], range(len(self.words), len(ends) - 1), strict=True))
+        self.held += len(every)
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        whole = "".join(texts)
+        if not whole:
+            return [b""] * len(texts)
+        if len(self.words) > REMEMBERED or self.held > REMEMBERED * WORD_BYTES:
+            self._forget()
+        docs = np.cumsum([0, *map(len, texts)])
+        code, raw = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4"), np.frombuffer(whole.encode(), dtype=np.uint8)
+        starts = _word_starts(code, docs[:-1][np.diff(docs) > 0])
+        places = starts if len(raw) == len(code) else np.flatnonzero((raw & 0xC0) != 0x80)[starts]
+        offsets = np.append(places, len(raw)).astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in words if w not in self.words])
+        ends = np.array(self.ends, dtype=np.int64)
+        number = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
+        here = found.indices.to_numpy()
+        sizes, begins = (ends[number + 1] - ends[number])[here], ends[number][here]
+        upto = np.cumsum(sizes)
+        ids = np.array(self.ids, dtype="<u4")[np.repeat(begins - upto + sizes, sizes) + np.arange(upto[-1])]
+        bounds = np.append(0, upto)[np.searchsorted(starts, docs)]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+        """Each text's ids as little-endian unsigned 32-bit integers; long texts go by parts that end where a text may be cut."""
         if not self.cuts:
             return self._raw(texts)
-        cuts = [_PIECES.split(t) for t in texts]
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        here = self._fresh(set().union(*(c[1:] for c in cuts)).difference(self.pieces))
-        self.pieces.update(here)
-        heads = self._raw([c[0] for c in cuts])
-        out = [head + b"".join(map(self.pieces.__getitem__, c[1:])) for head, c in zip(heads, cuts, strict=True)]
-        for p in here:
-            if len(p) > LONGEST:
-                del self.pieces[p]
-        return out
+        if len(texts) != 1 or len(texts[0]) <= SLICE_CHARS:
+            return self._slice(texts)
+        out, at = [], 0
+        while at < len(texts[0]):
+            cut = _CUT.search(texts[0], at + SLICE_CHARS)
+            to = cut.start() if cut else len(texts[0])
+            out += self._slice([texts[0][at:to]])
+            at = to
+        return [b"".join(out)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -2,6 +2,7 @@
 
 import io
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -76,6 +77,33 @@ def test_pieces_are_as_whole_texts(text):
     assert token_files.encoder(BPE).encode([text]) == [whole]
 
 
+def test_words_of_every_latin_character():
+    rng = np.random.default_rng(1)
+    signs = np.array([*map(chr, range(0x250)), *" '\n" * 60, *"stmdrevl" * 20, *"中’\u2003\u3000😀\u0301\x85" * 6])
+    texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(3_000)]
+    e = token_files.Encoder(BPE)
+    assert e.encode(texts) == e._raw(texts) and e.encode([]) == [] and e.encode(["", ""]) == [b"", b""]
+
+
+def test_words_are_remembered_in_little_memory_and_long_texts_go_by_parts(monkeypatch):
+    e = token_files.Encoder(BPE)
+    names = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(60_000)]
+    text = " ".join(f"{w}.\n{w.upper()}" for w in names)
+    whole = e._raw([text])
+    e.encode(["a"])
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    assert e.encode([text]) == whole
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    # 120,000 different words; pieces of text are not remembered beside them.
+    assert held < 20 << 20, held
+    monkeypatch.setattr(token_files, "SLICE_CHARS", 1_000)
+    monkeypatch.setattr(token_files, "REMEMBERED", 5_000)
+    assert e.encode([text]) == whole
+    assert len(e.words) < 7_000
+
+
 def test_other_tokenizers_get_whole_texts():
     e = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert not e.cuts
