@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetward.functions.text import attack_name, capture_time, device_name, epoch_seconds, is_device, label_subtype, number
+from fleetward.staging import measured, staged
+
+#: Bytes in memory of a block's row of counts, and of a file's row with its header.
+BLOCK_ROW, FILE_ROW = 512, 8192
+
+
+class Scan(NamedTuple):
+    """Captures read once: (file, at, line), and one row a file with (file, names) and what else is known of files."""
+
+    lines: DataFrame
+    files: DataFrame
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -22,65 +36,74 @@ def capture_files(spark: SparkSession, path: str | list[str], limit: int | None
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, at, line): each line of the CSV captures below path and its place in its file, from 0.
 
-    Spark deals a file out in blocks. Lines are numbered within their block, and the blocks' counts, one row each,
-    give every block its first place; so a file of any size is spread over its blocks.
+    Spark deals a file out in blocks. Lines are staged with a number that rises by one within their block, and the
+    blocks' counts, one row each, give every block its first place; so a file of any size is spread over its blocks,
+    and no line is sorted or moved.
     """
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("__id"))
-    inside = Window.partitionBy("file", "__block").orderBy("__id")
+    lines = staged(text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line")), "lines")
     before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = lines.groupBy("file", "__block").agg(F.count("*").alias("__n"))
-    counts = counts.select("file", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    out = lines.withColumn("__k", F.row_number().over(inside)).join(counts, ["file", "__block"])
-    return out.select("file", (F.col("__before") + F.col("__k") - 1).cast("long").alias("at"), "line")
+    counts = lines.groupBy("file", "__block").agg(F.count("*").alias("__n"), F.min("__id").alias("__least"))
+    counts = counts.select("file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__least")).alias("__before"))
+    out = lines.join(measured(counts, "blocks", BLOCK_ROW), ["file", "__block"])
+    return out.select("file", (F.col("__before") + F.col("__id")).cast("long").alias("at"), "line")
 
 
 def _fields(line: Column) -> Column:
+    """A line's cells; without any quotes it is only split."""
     found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("[^"]*"|[^,]*)'))
-    return F.transform(found, lambda x: F.regexp_replace(x, '^"|"$', ""))
+    return F.when(F.contains(line, F.lit('"')), F.transform(found, lambda x: F.regexp_replace(x, '^"|"$', ""))).otherwise(F.split(line, ","))
 
 
-def _blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, block, id, line) of the CSV captures below path; id rises within a block."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+def _names(lines: DataFrame) -> DataFrame:
+    """(file, names): each capture's header, one row a file."""
+    return lines.where(F.col("at") == 0).select("file", _fields(F.col("line")).alias("names"))
 
 
 def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, id, names): each capture's header, the first line of its first block; one row a file, by an aggregate."""
-    first = _blocks(spark, path).where(F.col("block") == 0).groupBy("file").agg(F.min(F.struct("id", "line")).alias("h"))
-    return first.select("file", F.col("h.id").alias("id"), _fields(F.col("h.line")).alias("names"))
+    """(file, names): each capture's header, the first line of its first block."""
+    return _names(numbered_lines(spark, path))
+
+
+def scan(spark: SparkSession, path: str | list[str], known: Callable[[DataFrame], DataFrame] = lambda files: files) -> Scan:
+    """The captures below path, for any number of passes. known: from the files (file, names) to those wanted, with more columns."""
+    lines = numbered_lines(spark, path)
+    # Staged before, since what is asked of files would be asked of each of their lines.
+    return Scan(lines, measured(known(staged(_names(lines), "headers")), "files", FILE_ROW))
 
 
 def _values(columns: list[str] | None) -> Column:
-    """The cells of a line by their names, the given columns or all; a blank cell is null, one that the line lacks too."""
-    cells = F.transform(_fields(F.col("line")), lambda x: F.when(F.trim(x) == "", None).otherwise(x))
-    n = F.size("names")
-    padded = F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
-    every = F.map_from_arrays("names", padded)
-    return every if columns is None else F.map_filter(every, lambda k, _: k.isin(columns))
+    """The cells of a line by their names, the given columns (__keep, __keys) or all; a blank cell is null, one that the line lacks too."""
+    cells = _fields(F.col("line"))
+    if columns is not None:
+        cells = F.filter(cells, lambda x, k: F.get("__keep", k))
+    n = F.size("__keys")
+    cells = F.transform(cells, lambda x: F.when(F.trim(x) != "", x))
+    return F.map_from_arrays("__keys", F.slice(F.concat(cells, F.array_repeat(F.lit(None).cast("string"), n)), 1, n))
 
 
-def loose_rows(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
-    """file and values, as typed_rows() without the rows' numbers: lines meet their file's header and nothing is sorted."""
-    lines = _blocks(spark, path).where(F.trim("line") != "")
-    top = headers(spark, path).withColumnRenamed("id", "first")
-    return lines.join(top, "file").where((F.col("block") > 0) | (F.col("id") > F.col("first"))).select("file", _values(columns).alias("values"))
+def loose_rows(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, read: Scan | None = None) -> DataFrame:
+    """file and values, as typed_rows() without the rows' numbers."""
+    return typed_rows(spark, path, columns=columns, read=read).drop("source_row")
 
 
-def typed_rows(spark: SparkSession, path: str | list[str], row_limit: int | None = None, columns: list[str] | None = None) -> DataFrame:
-    """file, source_row (from 0, without the header) and values, a map of column name to text.
+def typed_rows(spark: SparkSession, path: str | list[str], row_limit: int | None = None, columns: list[str] | None = None, read: Scan | None = None) -> DataFrame:
+    """file, source_row (from 0, without the header) and values, a map of column name to text; what else read knows of files.
 
     Headers may differ between captures; a header is one row a file and meets its file's lines in a join. A blank
     cell is null. row_limit: rows of each file. columns: those to keep (unset: all). Quoted cells may hold commas,
-    but no line breaks.
+    but no line breaks. read: what scan() of path gave (unset: it is read now).
     """
-    lines = numbered_lines(spark, path)
-    names = lines.where(F.col("at") == 0).select("file", _fields(F.col("line")).alias("names"))
-    rows = lines.where((F.col("at") > 0) & (F.trim("line") != ""))
+    read = read or scan(spark, path)
+    rows = read.lines.where((F.col("at") > 0) & (F.trim("line") != ""))
     if row_limit is not None:
         rows = rows.where(F.col("at") <= row_limit)
-    return rows.join(names, "file").select("file", (F.col("at") - 1).cast("long").alias("source_row"), _values(columns).alias("values"))
+    more = [c for c in read.files.columns if c not in ("file", "names")]
+    kept = F.transform("names", lambda x: F.lit(True) if columns is None else x.isin(columns))
+    keys = F.col("names") if columns is None else F.filter("names", lambda x: x.isin(columns))
+    files = read.files.select("file", *more, keys.alias("__keys"), kept.alias("__keep"))
+    # Behind the generator, filters on values do not take a line apart again for each of their uses.
+    return rows.join(files, "file").select("file", (F.col("at") - 1).cast("long").alias("source_row"), *more, F.explode_outer(F.array(_values(columns))).alias("values"))
 
 
 def feature_columns(columns: list[str], layout: list[str], excluded: list[str] = ()) -> list[str]:

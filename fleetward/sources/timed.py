@@ -11,7 +11,7 @@ from fleetward.operators import scoring
 from fleetward.operators.splits import ATTACK_FRACTION, BENIGN_BOUNDS, split_rows
 from fleetward.sources import commits
 from fleetward.sources.captures import trainable
-from fleetward.staging import released, staged
+from fleetward.staging import measured, released, staged
 
 #: Rows with z (client_id, split, ..., z) and a seed, to the rows with score.
 Model = Callable[[DataFrame, DataFrame, int], DataFrame]
@@ -29,7 +29,7 @@ def autoencoder(sizes: list[int], rounds: int = 10, epochs: int = 3) -> Model:
 def in_order(rows: DataFrame) -> DataFrame:
     """rows with ordinal, a number that rises by source_file, then source_row. Files are a table of one row each."""
     files = rows.select("source_file").distinct().withColumn("__file", F.row_number().over(Window.orderBy("source_file")).cast("long"))
-    return rows.join(files, "source_file").withColumn("ordinal", F.shiftleft("__file", 33) + F.col("source_row")).drop("__file")
+    return rows.join(measured(files, "files", 512), "source_file").withColumn("ordinal", F.shiftleft("__file", 33) + F.col("source_row")).drop("__file")
 
 
 def seed_scores(rows: DataFrame, model: Model, dataset: str, seed: int, bounds: tuple[float, float, float] = BENIGN_BOUNDS, attack: float = ATTACK_FRACTION) -> dict[str, DataFrame]:

@@ -71,3 +71,20 @@ def test_too_few_devices_end_the_run(spark, tmp_path):
     assert not os.path.exists(path)
     with pytest.raises(ValueError, match="holds numbers"):
         external.manifest(spark, root, "Benign", ["f1", "f2", "extra"], 0.95)
+
+
+def test_lines_are_read_once_and_not_moved(spark, tmp_path):
+    root = str(tmp_path / "data")
+    write(f"{root}/Benign/a.csv", ["f1,src_mac,note,f2", '1,a,"x, y",', "2,b", " ,c,z,4,5", '"",d,,"6"'])
+    write(f"{root}/Benign/b.csv", ["src_mac,f2", "e,7"])
+    rows = captures.typed_rows(spark, root, columns=["f1", "f2", "src_mac"])
+    got = {(r["file"][-5:], r["source_row"]): r["values"] for r in rows.collect()}
+    one = lambda f1, mac, f2: {"f1": f1, "src_mac": mac, "f2": f2}
+    assert got == {("a.csv", 0): one("1", "a", None), ("a.csv", 1): one("2", "b", None), ("a.csv", 2): one(None, "c", "4"), ("a.csv", 3): one(None, "d", "6"), ("b.csv", 0): {"src_mac": "e", "f2": "7"}}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert all(x not in plan for x in ("Window", "SortMergeJoin", "hashpartitioning", "FileScan text")), plan
+    # Every pass reads what was scanned; what is known of a file is not worked out for its lines.
+    read = external.scanned(spark, root, "Benign")
+    assert read.files.columns == ["file", "names", "label", "attack_subtype"]
+    plan = captures.loose_rows(spark, root, ["src_mac"], read).where(F.col("label") == "benign")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "regexp_replace(file" not in plan
